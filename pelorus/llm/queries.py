@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pelorus.llm import exact_dedup
+from pelorus.llm import exact_dedup, packing
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
 }
 
