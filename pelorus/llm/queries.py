@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pelorus.llm import exact_dedup, packing
+from pelorus.llm import exact_dedup, packing, simhash, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLE_SQL = {
