@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import heapq
 import itertools
 import zlib
@@ -41,22 +42,35 @@ class Pieces:
         self.normalise = sp.normalize
         self.unknown = min(s for s in self.score.values() if s > USELESS) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.piece))
+        #: The id of each piece, and -1 for what only begins one.
+        self.begun = dict.fromkeys((p[:k] for p in self.piece for k in range(1, len(p))), -1) | self.piece
         if any(a != MARK and b == MARK for p in self.piece for a, b in itertools.pairwise(p)):
             raise ValueError("a piece spans the start of a word")
 
-    def lattice(self, word: str) -> list[list[tuple[int, float, int]]]:
-        """For each end position: (start, score, id) of the pieces that end there; id -1 is a code point as bytes."""
-        ends: list[list[tuple[int, float, int]]] = [[] for _ in range(len(word) + 1)]
-        get, score = self.piece.get, self.score
-        for j in range(1, len(word) + 1):
-            own = ends[j]
-            for i in range(max(0, j - self.longest), j):
-                k = get(word[i:j])
-                if k is not None:
-                    own.append((i, score[k], k))
-            if word[j - 1] not in self.piece:
-                own.append((j - 1, self.unknown, -1))
-        return ends
+    def lattice(self, word: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
+        """For each end position (start, score, id) of the pieces that end there, and the best score of all ways to it.
+
+        An id of -1 is a code point as bytes.
+        """
+        n = len(word)
+        ends: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
+        best = [0.0] + [-np.inf] * n
+        begun, score = self.begun.get, self.score
+        for i in range(n):
+            so_far = best[i]
+            for j in range(i + 1, n + 1):
+                k = begun(word[i:j])
+                if k is None:
+                    break
+                if k >= 0:
+                    s = score[k]
+                    ends[j].append((i, s, k))
+                    if so_far + s > best[j]:
+                        best[j] = so_far + s
+            if word[i] not in self.piece:
+                ends[i + 1].append((i, self.unknown, -1))
+                best[i + 1] = max(best[i + 1], so_far + self.unknown)
+        return ends, best
 
     def nbest(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a word by score, best first (fewer if there are no more).
@@ -65,10 +79,7 @@ class Pieces:
         the end that always goes on with the best sum of what it has and what can come reaches the
         start with the best path first, then the second, and so on.
         """
-        ends = self.lattice(word)
-        best = [0.0] + [0.0] * len(word)
-        for j in range(1, len(word) + 1):
-            best[j] = max(best[i] + s for i, s, _ in ends[j])
+        ends, best = self.lattice(word)
         count = itertools.count(0, -1)  # of equal sums the later one first
         heap = [(-best[-1], next(count), len(word), 0.0, None)]
         out: list[tuple[float, list[int]]] = []
@@ -124,7 +135,11 @@ class Encoder:
         self.best, self.gap = np.zeros(0), np.zeros(0)
 
     def add(self, new: list[str]) -> None:
-        found = [self.pieces.nbest(w, 2) for w in new]
+        gc.disable()  # many small lists that live on: collections would scan them again and again
+        try:
+            found = [self.pieces.nbest(w, 2) for w in new]
+        finally:
+            gc.enable()
         self.ids.extend([f[0][1] for f in found])
         self.best = np.concatenate([self.best, [f[0][0] for f in found]])
         self.gap = np.concatenate([self.gap, [f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in found]])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelorus.llm import exact_dedup, fingerprints, html_extract, language_id, packing, simhash, substring_dedup, token_counts
+from pelorus.llm import exact_dedup, fingerprints, html_extract, language_id, packing, piece_lattice, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op7_html_extract": html_extract.op7_html_extract,
     "op8_simhash": simhash.op8_simhash,
+    "op9_piece_nbest": piece_lattice.op9_piece_nbest,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
