@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelorus.llm import exact_dedup, fingerprints, html_extract, language_id, packing, piece_lattice, simhash, substring_dedup, token_counts
+from pelorus.llm import exact_dedup, fingerprints, html_extract, language_id, packing, piece_lattice, secret_scan, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_language_id": language_id.op5_language_id,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_html_extract": html_extract.op7_html_extract,
     "op8_simhash": simhash.op8_simhash,
     "op9_piece_nbest": piece_lattice.op9_piece_nbest,
