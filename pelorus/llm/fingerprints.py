@@ -12,8 +12,9 @@ from pelorus.llm.common import SPACES, table
 
 SHINGLE = 5
 K = 128
-#: Text of the rows that one window partition sorts.
-RANGE_BYTES = 16_000_000
+#: Text of the rows that one window partition sorts, until there are so many ranges; then they grow instead.
+RANGE_BYTES = 2_000_000
+MOST_RANGES = 50_000
 LEAST_ID = -(1 << 63)
 
 
@@ -93,13 +94,13 @@ def with_next(rows: DataFrame, order: str, size: str, columns: list[str]) -> Dat
 
     Rows are dealt to ranges of `order` of about RANGE_BYTES of `size` each. A range ends at a value that
     occurs, and the rows with that value are also sent to the range above, behind its rows, so every
-    row finds its successor in its own range. The bounds are one number for RANGE_BYTES of input.
+    row finds its successor in its own range. There are at most MOST_RANGES bounds.
     """
     key = F.coalesce(F.col(order), F.lit(LEAST_ID))
     total = rows.agg(F.sum(size).alias("bytes"), F.max(key).alias("top")).first()
     if total.top is None:
         return rows.limit(0).withColumns({f"next_{c}": F.col(c) for c in columns})
-    parts = math.ceil((total.bytes or 0) / RANGE_BYTES)
+    parts = min(MOST_RANGES, math.ceil((total.bytes or 0) / RANGE_BYTES))
     bounds = {total.top}
     if parts > 1:
         share = _shares(parts)
