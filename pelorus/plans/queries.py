@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pelorus.functions import kernels, metrics, scalars, stats
 from pelorus.operators import bars as B
-from pelorus.operators import broker, controller, features, labels, regime
+from pelorus.operators import broker, controller, features, labels, offline, regime, simulate
 from pelorus.plans import search
 from pelorus.sources import fixtures as X
 from pelorus.sources import minutes
@@ -594,3 +595,44 @@ def supplier_rolling(spark, d):
         F.col("instrument").cast("long").alias("supplier"), F.col("at.l_orderkey").alias("orderkey"), F.col("at.l_linenumber").alias("linenumber"),
         r(F.avg("close").over(w.rowsBetween(-12, -1)), 4).alias("mean12"), r(F.log(F.col("close") / F.lag("close").over(w))).alias("ret"),
     )
+
+
+# The path-dependent engine and the models
+
+
+def _decision_bars(spark, d) -> DataFrame:
+    bars = B.count_bars(X.ticks(spark, d), 5, X.GAP_MS, ("open_time", "idx"))
+    df = features.base_features(bars.withColumnRenamed("run", "chunk_run"))
+    df = features.build(df, [features.FeatureSpec("vol8", "parkinson_vol", "mean", 8), features.FeatureSpec("ret4", "return", "mean", 4)])
+    return df.withColumns({"regime": regime.fit_cuts(df, "parkinson_var").assign(), "p": 1 / (1 + F.exp(-F.col("return") / 2))})
+
+
+SIM = simulate.SimConfig(m_minutes=5, alpha_label=0.5, tp=0.5, sl=0.5, inventory_cap=3, policies=(("max_positions", (5,)),), params=(("tau", 0.6),))
+
+
+@query()
+def simulate_backtest(spark, d):
+    out = simulate.simulate(_decision_bars(spark, d), SIM)
+    return rounded(out.where("kind = 'fill'"), "entry_price", "exit_price", "pnl_net").select("instrument", "position_id", "entry_ts", "exit_ts", "entry_price", "exit_price", "reason", "pnl_net")
+
+
+@query()
+def adaptive_backtest(spark, d):
+    cfg = dataclasses.replace(SIM, strategy="composite_adaptive", params=(("t_max", 4), ("tau0", 0.55)))
+    out = simulate.simulate(_decision_bars(spark, d), cfg)
+    return rounded(out.where("kind = 'state'"), "tau", "r_hat", "r_star", "equity").select("instrument", "ts", "tau", "r_hat", "r_star", "paused", "n_open", "equity")
+
+
+@query()
+def online_forest_trace(spark, d):
+    cfg = dataclasses.replace(SIM, learn=True, features=("vol8", "ret4", "return", "parkinson_vol", "close_position"), params=(("tau", 2.0),))
+    out = simulate.simulate(_decision_bars(spark, d), cfg)
+    return rounded(simulate.trace(out), "p").select("instrument", "idx", "p", "y", "regime")
+
+
+@query()
+def offline_model(spark, d):
+    df = labels.chronological_split(labels.labels(_decision_bars(spark, d)))
+    names = ["return", "parkinson_vol", "close_position", "log_volume", "volume_imbalance"]
+    models = offline.fit(df.where("is_train"), names, (42,), iterations=5, depth=3)
+    return offline.evaluate(offline.score(df.where("NOT is_train"), models))
