@@ -223,9 +223,10 @@ def _gradient(transitions: np.ndarray, scores: np.ndarray, sizes: np.ndarray, y:
     moved = (pair * real.T[:, :, None, None]).sum(axis=(0, 1))
     inner = at[1:] > 0
     np.subtract.at(moved, (y[:-1][inner], y[1:][inner]), 1)
-    head = np.flatnonzero(at == 0)  # a chain starts from any language alike
+    start = y[at == 0]  # a chain starts from any language alike
+    share = step / step.sum(axis=0)
     for k in range(labels):
-        np.subtract.at(moved, (np.full(len(head), k), y[head]), pair[0, row[head], k].sum(axis=1))
+        np.subtract.at(moved, (np.full(len(start), k), start), share[k, start])
     return wrong, moved
 
 
