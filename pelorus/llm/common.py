@@ -94,7 +94,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "links") -> DataF
     """Connected components of edges (a long, b long): node, root (least node of its component).
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014) until nothing changes. Each
-    round is written to the shared folder; per round a node's links meet as partial minima first.
+    round is written to the shared folder; a node's links are spread over salts, so one with very many is no burden.
     Nodes without an edge aren't in the result.
     """
     spark = edges.sparkSession
@@ -104,12 +104,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "links") -> DataF
     mark = -1
     for i in range(1, 200):
         # large star: all larger neighbours of a node (and itself) link to the least of its neighbourhood
-        both = state.union(state.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = state.union(state.select("v", "u")).withColumn("salt", salt("v"))
+        least = totals(both, "u", "v", ("m", F.min("v"), F.min("m"))).withColumn("m", F.least("u", "m"))
+        large = both.where("v > u").join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node and its smaller neighbours link to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        large = large.withColumn("salt", salt("v"))
+        joined = large.join(totals(large, "u", "v", ("m", F.min("v"), F.min("m"))), ["u", "salt"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         state = scratch.settle(small.where("u <> v").distinct(), f"{name}{i}")
         scratch.drop(f"{name}{i - 1}")
