@@ -153,8 +153,11 @@ def uniqueness(trades: DataFrame, width: int = 64) -> DataFrame:
     """
     spans = trades.select("trade_id", F.col("n_open").alias("a"), F.greatest(F.col("n_close"), F.col("n_open") + 1).alias("b"))
     counts = concurrency(spans.select(F.col("a").alias("n_open"), F.col("b").alias("n_close")))
-    nxt = F.lead("t").over(Window.partitionBy("g").orderBy("t"))
-    steps = counts.withColumn("g", F.lit(0)).withColumn("next", nxt).where("open > 0").select("t", "next", (1.0 / F.col("open")).alias("w"))
+    counts = counts.withColumn("k", F.floor(F.col("t") / width))
+    heads = counts.groupBy("k").agg(F.min("t").alias("head"))
+    heads = heads.select("k", F.lead("head").over(Window.orderBy("k")).alias("after"))
+    nxt = F.coalesce(F.lead("t").over(Window.partitionBy("k").orderBy("t")), F.col("after"))
+    steps = counts.join(heads, "k").withColumn("next", nxt).where("open > 0").select("t", "next", (1.0 / F.col("open")).alias("w"))
     # area before each step's start: prefix sums of (length of the step) * w
     steps = steps.withColumn("area", (F.col("next") - F.col("t")) * F.col("w")).withColumn("g", F.lit(0))
     sums = running(steps, ["g"], "t", {"before": "area"}, F.floor(F.col("t") / width))

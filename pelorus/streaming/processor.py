@@ -24,9 +24,12 @@ def deduplicated(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def streaming_bars(minutes: DataFrame, m: int, delay: str = "10 minutes") -> DataFrame:
-    """Bars of m minutes of the epoch, emitted when the watermark passes their end; takes static frames too."""
-    df = event_time(minutes) if "ts" not in minutes.columns else minutes
-    if df.isStreaming:
+    """Bars of m minutes of the epoch, emitted when the watermark passes their end; takes static frames too.
+
+    A frame that has ts already (after `deduplicated`) keeps the watermark that it has.
+    """
+    df = minutes if "ts" in minutes.columns else event_time(minutes)
+    if df.isStreaming and "ts" not in minutes.columns:
         df = df.withWatermark("ts", delay)
     at = F.col("open_time")
     first, last = F.min(F.struct(at, "open")), F.max(F.struct(at, "close"))
