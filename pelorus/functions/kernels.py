@@ -70,4 +70,6 @@ def bounded_batch(df: DataFrame, name: str, kernel: Kernel, source: str, window:
     values = F.collect_list(src).over(own.rowsBetween(-(lag + window - 1), -lag))
     ready = src.isNotNull() & (F.row_number().over(own) >= lag + window)
     df = df.withColumn("__window", F.when(ready, values))
+    # an instrument's windows were made in one task; the kernel, which costs far more, runs in all
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "instrument", "open_time")
     return df.withColumn(name, kernel_udf(kernel)(F.col("__window"))).drop("__window")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -636,3 +638,77 @@ def offline_model(spark, d):
     names = ["return", "parkinson_vol", "close_position", "log_volume", "volume_imbalance"]
     models = offline.fit(df.where("is_train"), names, (42,), iterations=5, depth=3)
     return offline.evaluate(offline.score(df.where("NOT is_train"), models))
+
+
+# Positions, costs, coverage
+
+
+def _marks(spark, d) -> DataFrame:
+    bars = X.bars(spark, d)
+    e = X.ticks(spark, d).where("idx % 97 = 0").select(F.col("idx").alias("entry_id"), "instrument", F.col("open_time").alias("ts"), F.col("close").alias("price"), F.when(F.col("idx") % 2 == 0, 1).otherwise(-1).alias("side"), F.lit(0.5).alias("size"))
+    cells = e.withColumn("cell", F.explode(F.sequence(F.floor(F.col("ts") / M) + 1, F.floor(F.col("ts") / M) + 6)))
+    return cells.join(bars.select("instrument", "open_time", "close", F.floor(F.col("open_time") / M).alias("cell")), ["instrument", "cell"])
+
+
+MARKS = f"""{BARS}, en AS (SELECT idx AS entry_id, instrument, open_time AS ts, price, CASE WHEN idx % 2 = 0 THEN 1 ELSE -1 END AS side FROM ticks WHERE idx % 97 = 0),
+    mk AS (SELECT entry_id, b.instrument, b.open_time, side, side * ln(close / price) * 0.5 AS u FROM en JOIN bars b ON b.instrument = en.instrument AND b.open_time // {M} BETWEEN ts // {M} + 1 AND ts // {M} + 6)"""
+
+
+@query(
+    f"""WITH {MARKS} SELECT entry_id, open_time, round(u, 6) + 0.0 AS unrealized, round(least(0, min(u) OVER w), 6) + 0.0 AS mae, round(greatest(0, max(u) OVER w), 6) + 0.0 AS mfe
+    FROM mk WINDOW w AS (PARTITION BY entry_id ORDER BY open_time ROWS UNBOUNDED PRECEDING)"""
+)
+def mark_to_market(spark, d):
+    return rounded(broker.excursions(_marks(spark, d)), "unrealized", "mae", "mfe").select("entry_id", "open_time", "unrealized", "mae", "mfe")
+
+
+@query(f"WITH {MARKS} SELECT instrument, count(*) AS n_open, round(sum(side * 0.5), 6) AS net_signed, round(sum(u), 5) + 0.0 AS unrealized, count(*) FILTER (u > 0) AS winners, count(*) FILTER (u <= 0) AS losers FROM mk GROUP BY 1")
+def portfolio(spark, d):
+    out = broker.portfolio(broker.excursions(_marks(spark, d)))
+    return rounded(rounded(out, "net_signed"), "unrealized", digits=5)
+
+
+@query(
+    """SELECT o_orderkey AS orderkey, round((1.5 + 0.5 * 2.0 + 0.1 * (o_orderkey % 4)) * 1e-4, 8) AS per_side, round(2 * (1.5 + 0.5 * 2.0 + 0.1 * (o_orderkey % 4)) * 1e-4 * (o_orderkey % 4), 8) AS round_trip FROM orders"""
+)
+def costs(spark, d):
+    c, size = broker.Costs(1.5, 2.0, 0.1), (F.col("o_orderkey") % 4).cast("double")
+    return X.table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), r(c.per_side(size), 8).alias("per_side"), r(c.round_trip(size), 8).alias("round_trip"))
+
+
+@query(f"WITH {PREDS} SELECT regime, count(*) AS n, round(avg(CAST(p BETWEEN 0.3 AND 0.7 AS INT)) - 0.4, 6) + 0.0 AS coverage_gap FROM preds GROUP BY 1")
+def coverage_gap(spark, d):
+    p = X.predictions(spark, d)
+    return p.groupBy("regime").agg(F.count("*").alias("n"), r(scalars.coverage_gap(F.col("p").between(0.3, 0.7), 0.4)).alias("coverage_gap"))
+
+
+@query(
+    f"""WITH {IVALS}, w AS (SELECT range * 100 + 8000 AS a, range * 100 + 8100 AS b FROM range(30)) SELECT a AS start, count(*) AS n_trades, CAST(sum(least(b, n_close) - greatest(a, n_open)) AS BIGINT) AS days FROM iv JOIN w ON n_open < b AND a < n_close GROUP BY 1"""
+)
+def window_overlap(spark, d):
+    iv = X.intervals(spark, d).withColumn("cell", F.explode(F.sequence(F.floor(F.col("n_open") / 100), F.floor((F.col("n_close") - 1) / 100))))
+    iv = iv.withColumn("start", F.col("cell") * 100).where("start BETWEEN 8000 AND 10900").withColumn("i", scalars.intersection(F.col("n_open"), F.col("n_close"), F.col("start"), F.col("start") + 100))
+    return iv.groupBy("start").agg(F.count("*").alias("n_trades"), F.sum(F.col("i.end") - F.col("i.start")).alias("days"))
+
+
+@query(f"WITH {PREDS}, b AS (SELECT regime, count(*) AS n, sum(y) AS k FROM preds WHERE p >= 0.5 GROUP BY 1) SELECT regime, n, CAST(k AS BIGINT) AS hits, round(k / n, 6) AS precision FROM b")
+def precision_at_gate(spark, d):
+    hit = X.predictions(spark, d).where(broker.gate("p", 0.5)["enter"])
+    return hit.groupBy("regime").agg(F.count("*").alias("n"), F.sum("y").alias("hits"), r(F.avg("y")).alias("precision"))
+
+
+@query()
+def brier_intervals(spark, d):
+    p = X.predictions(spark, d).withColumn("se", metrics.squared_error())
+    return rounded(stats.grouped_bootstrap(p, "regime", "se", "idx", np.mean, 100), "point", "lo", "hi")
+
+
+@query()
+def pr_auc_intervals(spark, d):
+    def resample(key, part):
+        y, p = part["y"].to_numpy(), part["p"].to_numpy()
+        got = [stats.stratified_pr_auc(y, p, np.random.default_rng([42, b])) for b in range(100)] if 0 < y.sum() < len(y) else [np.nan]
+        lo, hi = np.quantile(got, [0.025, 0.975])
+        return pd.DataFrame({"regime": [key[0]], "lo": [lo], "hi": [hi]})
+
+    return rounded(X.predictions(spark, d).groupBy("regime").applyInPandas(resample, "regime int, lo double, hi double"), "lo", "hi")
