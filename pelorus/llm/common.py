@@ -64,6 +64,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/pelorus/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._clean)
 
     def settle(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it again: a plan that starts at the files, without the lineage before them."""
@@ -71,6 +72,11 @@ class Scratch:
             df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def _clean(self) -> None:
+        """At the driver's end, if its session still runs: results have been read by then."""
+        if self.spark.sparkContext._jsc is not None and self.spark.sparkContext._jsc.sc().isStopped() is False:
+            self.drop("")
+
     def drop(self, *names: str) -> None:
         hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:

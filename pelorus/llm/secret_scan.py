@@ -40,15 +40,14 @@ NEAR_GOOD = {"token", "secret", "password", "passwd", "pwd", "key", "apikey", "a
 NEAR_BAD = {"example", "sample", "commit", "sha", "sha1", "sha256", "md5", "uuid", "guid", "id", "checksum", "hash", "digest", "version", "isbn", "etag", "order", "invoice", "placeholder", "dummy", "revision", "file", "integrity", "color", "class", "url"}
 PATH_BAD = {"test", "tests", "example", "examples", "doc", "docs", "fixture", "fixtures", "sample", "samples", "spec", "mock", "vendor", "dist", "lock"}
 PATH_GOOD = {"env", "config", "conf", "settings", "secrets", "credentials", "deploy", "yaml", "yml", "ini", "properties", "tfvars"}
+#: A small dictionary of words that names and placeholders are made of.
 WORDS = (
-    "about above access account action after again agent alpha also angle another answer apple array author auto back base batch best beta block board body book bound branch bridge bucket build button cache call camera card case center change channel chapter "
-    "check child city class clean client clone close cloud code color column command common config connect content context control copy core count cover create current custom data date debug default delete demo design detail device digest display document "
-    "domain down draft edit email empty enable engine entry error event example export false field file filter final find first folder font form format frame from function game general get global graph green group handler hash head header hello help here high "
-    "history home host house html http image import index info input insert item john json just key label language large last layer left length level library light limit line link list load local lock log login long main make manager map mark master match "
-    "media member memory menu message meta method model module money month more mouse move name network never next node none note null number object offset open option order other output page panel param parent part pass password path phone place plain "
-    "player point port post power press print private process product profile project public query queue random range rate read record region release remote render report request reset result return right root route row rule sample save scale schema scope "
-    "screen script search second secret section select send server service session set shape share size small some sort source space spec split stack stage start state status step stop store stream string style super sure switch system table task team "
-    "temp test text that theme this thread time title todo token tool total track tree true type under unit update upload user value version video view water web when white width window with word work world write year your"
+    "about access again alpha angle answer array base best block body bound build cache camera case change child class client close code common connect "
+    "context copy count custom date default demo detail document down edit empty engine example false file final first format from game get graph hash "
+    "header help high home http import info insert john label large layer length library link load lock login main mark match member menu meta money more "
+    "move network next null object open order output parent pass path place player power print process profile public range read region remote report "
+    "return root row sample scale script second section send service share small sort space split state step store string super table team test that this "
+    "todo tool track true under user version view web white word world year"
 ).split()
 
 
@@ -75,6 +74,11 @@ def _transitions() -> dict[str, float]:
     return {a + b: math.log((pair.get(a + b, 0) + 0.3) / (first.get(a, 0) + 0.3 * len(chars))) for a in chars for b in chars}
 
 
+def _nearness(words: list[str], wanted: set[str]) -> float:
+    """One over the place of the first word that is wanted."""
+    return next((1 / k for k, w in enumerate(words, 1) if w in wanted), 0.0)
+
+
 def features(value: str, rule: int, before: str, after: str, path: str) -> list[float]:
     """Length, character make-up and transitions, dictionary coverage, path and neighbouring words of a candidate."""
     n, low = len(value), value.lower()
@@ -97,7 +101,7 @@ def features(value: str, rule: int, before: str, after: str, path: str) -> list[
         sum(map(len, known)) / n, max(map(len, known), default=0),
         float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None), len(count) / n, run / n,
         float(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low) is not None), float(value.count("/")), float(value.count("-") + value.count("_")),
-        float(rule), float(sum(w in NEAR_GOOD for w in near)), float(sum(w in NEAR_BAD for w in (*near, *behind))), float(bool(folders & PATH_BAD)), float(bool(folders & PATH_GOOD)),
+        float(rule), _nearness(near[::-1], NEAR_GOOD), max(_nearness(near[::-1], NEAR_BAD), _nearness(behind, NEAR_BAD) / 2), float(bool(folders & PATH_BAD)), float(bool(folders & PATH_GOOD)),
     ]
 
 
@@ -204,6 +208,8 @@ def findings_fixture(n: int = 3000, seed: int = 5) -> list[tuple[str, int, str,
             kind = r.randrange(9)
             name = case(r.choice(("token", "secret", "password", "api_key", "auth")))
             if kind == 0:
+                if r.random() < 0.3:
+                    before += f'{name} = "{some(hexes, 40)}" {phrase(1)} '
                 value, before = some(hexes, r.choice((32, 40, 64))), before + r.choice(("commit ", "sha256: ", "md5 ", "checksum = ", "revision ", "etag: ", "digest "))
             elif kind == 1:
                 value, before = "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12)), before + r.choice(("", "uuid ", "id: ", "id = "))
