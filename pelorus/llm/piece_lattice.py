@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import hashlib
 import heapq
 import itertools
 import zlib
@@ -12,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pelorus.llm import spans
 from pelorus.llm.common import table, texts
@@ -25,6 +25,19 @@ UNKNOWN_PENALTY = 10.0
 USELESS = -1e8  # a score this low marks pieces that only whole text of their kind may use
 
 
+class Lattice:
+    """The pieces of a word by where they end: (start, score, id), where an id of -1 is a code point as bytes.
+
+    For each position also the best and the second best score of all ways to it (Viterbi), and the last
+    piece of the best way.
+    """
+
+    __slots__ = ("word", "ends", "best", "second", "back")
+
+    def __init__(self):
+        self.word, self.ends, self.best, self.second, self.back = "", [[]], [0.0], [-np.inf], [None]
+
+
 class Pieces:
     """The pieces of a sentencepiece model, their scores, and lattices over them."""
 
@@ -41,36 +54,69 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.normalise = sp.normalize
         self.unknown = min(s for s in self.score.values() if s > USELESS) - UNKNOWN_PENALTY
+        #: By last character, then the one before; under "" the id and score of the piece that starts there.
+        self.trie: dict = {}
+        for p, i in self.piece.items():
+            node = self.trie
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = (i, self.score[i])
         self.longest = max(map(len, self.piece))
-        #: The id of each piece, and -1 for what only begins one.
-        self.begun = dict.fromkeys((p[:k] for p in self.piece for k in range(1, len(p))), -1) | self.piece
+        spoken = [bytes([self.byte_of[i]]) if i in self.byte_of else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
+        self.spoken = spans.Ragged(np.uint8)
+        self.spoken.extend(spoken)
         if any(a != MARK and b == MARK for p in self.piece for a, b in itertools.pairwise(p)):
             raise ValueError("a piece spans the start of a word")
 
-    def lattice(self, word: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
-        """For each end position (start, score, id) of the pieces that end there, and the best score of all ways to it.
+    def lattice(self, word: str) -> Lattice:
+        out = Lattice()
+        self.extend(out, word)
+        return out
 
-        An id of -1 is a code point as bytes.
-        """
-        n = len(word)
-        ends: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
-        best = [0.0] + [-np.inf] * n
-        begun, score = self.begun.get, self.score
-        for i in range(n):
-            so_far = best[i]
-            for j in range(i + 1, n + 1):
-                k = begun(word[i:j])
-                if k is None:
+    def extend(self, at: Lattice, word: str) -> None:
+        """Make `at` the lattice of word, keeping what it has of a common beginning with the word before."""
+        common = 0
+        for x, y in zip(at.word, word):
+            if x != y:
+                break
+            common += 1
+        at.word = word
+        ends, best, second, back = at.ends, at.best, at.second, at.back
+        del ends[common + 1 :], best[common + 1 :], second[common + 1 :], back[common + 1 :]
+        chars, trie, unknown = list(word), self.trie, self.unknown
+        for j in range(common, len(chars)):
+            node, own, top, next_, edge = trie, [], -np.inf, -np.inf, None
+            for i in range(j, -1, -1):
+                node = node.get(chars[i])
+                if node is None:
                     break
-                if k >= 0:
-                    s = score[k]
-                    ends[j].append((i, s, k))
-                    if so_far + s > best[j]:
-                        best[j] = so_far + s
-            if word[i] not in self.piece:
-                ends[i + 1].append((i, self.unknown, -1))
-                best[i + 1] = max(best[i + 1], so_far + self.unknown)
-        return ends, best
+                found = node.get("")
+                if found is not None:
+                    k, s = found
+                    own.append((i, s, k))
+            if "" not in trie.get(chars[j], ()):
+                own.append((j, unknown, -1))
+            for e in own:
+                i, s, _ = e
+                v = best[i] + s
+                if v > top:
+                    next_, top, edge = max(top, second[i] + s), v, e
+                elif v > next_:
+                    next_ = v
+            ends.append(own)
+            best.append(top)
+            second.append(next_)
+            back.append(edge)
+
+    def best_path(self, at: Lattice) -> list[int]:
+        ids: list[int] = []
+        j = len(at.word)
+        while j:
+            i, _, k = at.back[j]
+            ids += [k] if k >= 0 else [self.byte[b] for b in reversed(at.word[i:j].encode())]
+            j = i
+        ids.reverse()
+        return ids
 
     def nbest(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a word by score, best first (fewer if there are no more).
@@ -79,7 +125,8 @@ class Pieces:
         the end that always goes on with the best sum of what it has and what can come reaches the
         start with the best path first, then the second, and so on.
         """
-        ends, best = self.lattice(word)
+        made = self.lattice(word)
+        ends, best = made.ends, made.best
         count = itertools.count(0, -1)  # of equal sums the later one first
         heap = [(-best[-1], next(count), len(word), 0.0, None)]
         out: list[tuple[float, list[int]]] = []
@@ -100,11 +147,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The normalised text of ids, with spaces for marks and without the space put before a text."""
-        if all(i not in self.byte_of for i in ids):
-            text = "".join([self.text[i] for i in ids])
-        else:
-            text = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode() for i in ids).decode("utf-8", "replace")
-        return text.replace(MARK, " ")[1:]
+        return self.spoken.gather(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace")[1:]
 
 
 @functools.lru_cache(1)
@@ -137,12 +180,15 @@ class Encoder:
     def add(self, new: list[str]) -> None:
         gc.disable()  # many small lists that live on: collections would scan them again and again
         try:
-            found = [self.pieces.nbest(w, 2) for w in new]
+            best, gap, ids = np.zeros(len(new)), np.zeros(len(new)), [[]] * len(new)
+            at = Lattice()
+            for i in sorted(range(len(new)), key=new.__getitem__):  # neighbours share the beginnings of their lattices
+                self.pieces.extend(at, new[i])
+                best[i], gap[i], ids[i] = at.best[-1], at.best[-1] - at.second[-1], self.pieces.best_path(at)
         finally:
             gc.enable()
-        self.ids.extend([f[0][1] for f in found])
-        self.best = np.concatenate([self.best, [f[0][0] for f in found]])
-        self.gap = np.concatenate([self.gap, [f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in found]])
+        self.ids.extend(ids)
+        self.best, self.gap = np.concatenate([self.best, best]), np.concatenate([self.gap, gap])
 
     def encode(self, docs: list[str], n: int) -> Iterator[tuple[np.ndarray, list[tuple[float, list[tuple[int, list[int]]]]]]]:
         """Of each text: ids of the best encoding, and the n best: score, and (place of a piece run, other ids) where they differ.
@@ -193,8 +239,10 @@ def encode(docs: DataFrame, model: str | None = None, best: int = BEST) -> DataF
     score 0. Repeated rows have each their row; an empty table gives none. Scores are fewer than `best`
     if a text has fewer encodings.
     """
-    path = model or _default_path()
+    return texts(docs).mapInArrow(_encoded(model or _default_path(), best), "doc_id long, ids array<int>, scores array<double>")
+
 
+def _encoded(path: str, best: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for part in parts:
@@ -206,7 +254,7 @@ def encode(docs: DataFrame, model: str | None = None, best: int = BEST) -> DataF
                 scores = [[s for s, _ in ranked] for _, ranked in found]
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.ListArray.from_arrays(bounds, flat), pa.array(scores, pa.list_(pa.float64()))], ["doc_id", "ids", "scores"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, scores array<double>")
+    return run
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -218,7 +266,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
         for part in parts:
             for at in range(0, part.num_rows, 500):
                 some = part.slice(at, 500)
-                text = [None if ids is None else made.decode(ids) for ids in some.column(1).to_pylist()]
+                text = [made.decode(ids.values.to_numpy()) if ids.is_valid else None for ids in some.column(1)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -235,15 +283,14 @@ def op9_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _default_path()
     docs = table(spark, sf_dir, "documents")
 
-    def digest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoded = _encoded(path, BEST)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = pieces(path)
-        for part in parts:
-            for at in range(0, part.num_rows, 500):
-                some = part.slice(at, 500)
-                ids = some.column(1)
-                crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in ids]
-                text = [made.decode(x) for x in ids.to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), some.column(2), pa.array(text, pa.string())], ["doc_id", "n_pieces", "ids_crc32", "scores", "decoded"])
+        for part in encoded(parts):
+            ids = [x.values.to_numpy() for x in part.column(1)]
+            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+            sha = [hashlib.sha256(made.decode(x).encode()).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), part.column(2), pa.array(sha, pa.string())], ["doc_id", "n_pieces", "ids_crc32", "scores", "decoded_sha256"])
 
-    out = encode(docs, path).mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded string")
-    return out.select("doc_id", "n_pieces", "ids_crc32", "scores", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return texts(docs).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded_sha256 string")
