@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
 }

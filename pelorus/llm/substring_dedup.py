@@ -242,3 +242,21 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, s, array_to_string(words[s:s + 12], ' ') AS k FROM w, unnest(range(1, len(words) - 11)) t(s)
+), firsts AS (
+  SELECT k, min(doc_id) AS first_id FROM windows GROUP BY k
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS places FROM (
+    SELECT doc_id, unnest(range(s, s + 13)) AS p FROM windows JOIN firsts USING (k) WHERE first_id < doc_id
+  ) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(words, lambda x, i: NOT coalesce(list_contains(places, i), false)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
