@@ -103,6 +103,26 @@ def bootstrap(spark: SparkSession, x: np.ndarray, metric: Callable[[np.ndarray],
     )
 
 
+def sharpe_interval(df: DataFrame, by: str, order: list[str], value: str, block: int = 20, groups: int = 1000, n: int = 2000, confidence: float = 0.95, seed: int = 42) -> tuple[float, float]:
+    """Bootstrap interval of the Sharpe ratio of any number of rows, from at most `groups` rows of sums.
+
+    Blocks of `block` consecutive rows of a series are dealt to groups by hash; groups are resampled. So
+    serial dependence within blocks is kept and what reaches the driver doesn't grow with the data.
+    """
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    dealt = df.withColumn("__block", F.floor(nth / block)).withColumn("__group", F.pmod(F.xxhash64(by, "__block"), F.lit(groups)))
+    x = F.col(value)
+    sums = np.array([tuple(r) for r in dealt.groupBy("__group").agg(F.count(x), F.sum(x), F.sum(x * x)).orderBy("__group").drop("__group").collect()], float).reshape(-1, 3)
+    if len(sums) < 2:
+        return float("nan"), float("nan")
+    rng = np.random.default_rng(seed)
+    c, s, q = sums[rng.integers(0, len(sums), (n, len(sums)))].sum(axis=1).T
+    var = np.maximum(0, (q - s * s / c) / np.maximum(1, c - 1))
+    ratio = np.where(var > 1e-20, s / c / np.sqrt(np.maximum(var, 1e-20)), 0.0)
+    lo, hi = np.quantile(ratio, [(1 - confidence) / 2, (1 + confidence) / 2])
+    return float(lo), float(hi)
+
+
 def grouped_bootstrap(df: DataFrame, by: str, value: str, order: str, metric: Callable[[np.ndarray], float], n: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """Bootstrap interval of a metric for each group, groups side by side."""
 

@@ -7,7 +7,6 @@ import json
 import math
 import pathlib
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,10 +61,9 @@ def battery(tables: dict[str, DataFrame], m_minutes: int, n_resamples: int = 500
     trading = row(metrics.trading(fills, m_minutes))
     if trading.get("n_trades"):
         trading |= row(metrics.cdar(fills))
-        pnl = np.array([r.pnl for r in fills.orderBy("exit_ts", "idx").select("pnl").collect()])
         trading["psr"] = metrics.NORMAL.cdf(trading["psr_z"]) if trading.get("psr_z") is not None else 0.5
-        got = row(stats.bootstrap(trace.sparkSession, pnl, stats.sharpe, n_resamples))
-        trading["sharpe_ci"] = (got["lo"], got["hi"])
+        lo, hi = stats.sharpe_interval(fills, "instrument", ["exit_ts", "idx"], "pnl", n=n_resamples)
+        trading["sharpe_ci"] = (lo, hi) if math.isfinite(lo) else (None, None)
         trading |= row(metrics.batched_exits(fills))
     spans = metrics.spans(state.select("instrument", F.col("ts").alias("idx"), "paused"), "paused", ["instrument"])
     last = row(state.agg(F.max_by("tau", "ts").alias("tau"), F.max("size").alias("max_inventory"), F.avg("size").alias("mean_inventory"), F.min("drawdown").alias("worst_drawdown"), F.count("*").alias("n_bars")))

@@ -131,3 +131,11 @@ def test_bootstrap(spark):
 def test_deflated_sharpe():
     assert metrics.deflated_sharpe(2.0, 1.0, 1, 100)[0] > metrics.deflated_sharpe(2.0, 1.0, 100, 100)[0]
     assert metrics.probabilistic_sharpe(0.0, 50) == 0.5
+
+
+def test_sharpe_interval(spark):
+    x = np.random.default_rng(1).normal(0.2, 1, 3000)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "instrument string, idx long, pnl double")
+    lo, hi = stats.sharpe_interval(df, "instrument", ["idx"], "pnl")
+    assert lo < x.mean() / x.std(ddof=1) < hi and hi - lo < 0.15
+    assert math.isnan(stats.sharpe_interval(df.limit(0), "instrument", ["idx"], "pnl")[0])
