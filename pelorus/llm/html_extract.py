@@ -43,6 +43,8 @@ DROPPED_WORDS = set(
     "subscription signup login comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations "
     "widget widgets toolbar pagination pager search tags".split()
 )
+LAYOUT_WORDS = {"has", "no", "with", "without"}
+OWN_HEADER = {"article", "post", "entry", "content", "story"}
 MAIN_WORDS = {"articlebody", "maincontent", "storybody", "postbody", "postcontent", "entrycontent", "articlecontent", "articletext", "main"}
 
 
@@ -199,7 +201,11 @@ def expression(node: dict, sig: str = "html") -> str:
 def _dropped(tag: str, words: set[str], inside: bool) -> bool:
     if tag in ("article", "main", "body", "html"):
         return False
-    return tag in DROPPED_TAGS or tag == "header" and not inside or bool(words & DROPPED_WORDS) or (not inside and "header" in words)
+    if tag in DROPPED_TAGS or tag == "header" and not inside:
+        return True
+    if words & LAYOUT_WORDS:  # "no-sidebar" and the like say what a page looks like
+        return False
+    return bool(words & DROPPED_WORDS) or not inside and "header" in words and not words & OWN_HEADER
 
 
 def _parts(sig: str) -> tuple[str, set[str]]:

@@ -342,6 +342,7 @@ def extract(page):
         ('<body><header>H</header><nav><a href="/">Home</a></nav><main><article><header><h1>T</h1></header><p>x <b>y</b></p><ul><li>1<li>2</ul><div class="comments"><p>bad</p></div></article></main><aside>s</aside><footer>f</footer>', "T\nx y\n1\n2"),
         ('<article><p>keep</p><form>f</form><script>if (a < b) "</p>";</script><style>p{}</style><!-- c <p> --><div class="ad">buy</div></article>', "keep"),
         ('<div id="top-menu"><a href=1>a</a></div><div class="content"><h2>Head</h2><p>long enough text of the page</p></div><div class="cookie-notice">ok?</div>', "Head\nlong enough text of the page"),
+        ('<body class="x"><div class="page no-sidebar"><div class="post-header"><h1>T</h1></div><p>text of the page</p></div><div class="site-header">s</div>', "T\ntext of the page"),
         ("<article><p>unclosed <b>bold<p>next", "unclosed bold\nnext"),
     ],
 )
