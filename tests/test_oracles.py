@@ -4,6 +4,7 @@ import math
 import pathlib
 
 import duckdb
+import pandas as pd
 import pytest
 
 from pelorus import catalogue
@@ -16,7 +17,7 @@ def rows(frame):
     names = sorted(frame.columns)
     out = []
     for r in frame[names].astype(object).itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r))
+        out.append(tuple(None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r))
     return names, sorted(out, key=lambda t: tuple((v is None, str(v)) for v in t))
 
 
