@@ -56,7 +56,6 @@ def test_empty_tables(spark, odd):
     assert simhash.simhash_components(none, s("f")).count() == substring_dedup.repeats(none, s("g")).count() == 0
     assert language_id.identify(none, language_id.fit([])).count() == secret_scan.scan(none).count() == piece_lattice.encode(none).count() == 0
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string"), s("h")).count() == 0
-    none.select("doc_id", "text").write.mode("overwrite").parquet(f"{s('i').root}/t/documents.parquet".replace("i-", "empty-"))
 
 
 # 1 packing
