@@ -476,10 +476,10 @@ TOUCH = f"""{TICKS}, en AS (SELECT idx AS entry_id, instrument, open_time AS ts,
       AND t.open_time > ts AND t.open_time <= ts + 21600000 WHERE (side = 1 AND (t.price >= tp OR t.price <= sl)) OR (side = -1 AND (t.price <= tp OR t.price >= sl)) GROUP BY 1)"""
 
 
-def _touch(spark, d, tie="pessimistic") -> DataFrame:
+def _touch(spark, d, tie="pessimistic", entries="true") -> DataFrame:
     t = X.ticks(spark, d)
     side = F.when(F.col("idx") % 2 == 0, 1).otherwise(-1)
-    e = t.where("idx % 5 = 0").select(F.col("idx").alias("entry_id"), "instrument", F.col("open_time").alias("ts"), F.col("close").alias("price"), side.alias("side"), F.lit(0.3).alias("tp"), F.lit(0.3).alias("sl"))
+    e = t.where(entries).select(F.col("idx").alias("entry_id"), "instrument", F.col("open_time").alias("ts"), F.col("close").alias("price"), side.alias("side"), F.lit(0.3).alias("tp"), F.lit(0.3).alias("sl"))
     return broker.first_touch(e, t, 21_600_000, tie)
 
 
@@ -488,11 +488,23 @@ def _touch(spark, d, tie="pessimistic") -> DataFrame:
     round(CASE reason WHEN 'TP' THEN 0.3 WHEN 'SL' THEN -0.3 END - 0.0002, 6) AS pnl_net FROM lv LEFT JOIN ht USING (entry_id)"""
 )
 def first_touch(spark, d):
+    """Over the entries of the SQL, a fifth of the ticks; first_touch_all takes every tick."""
+    return rounded(_touch(spark, d, entries="idx % 5 = 0"), "exit_price", "pnl_gross", "pnl_net").select("entry_id", "reason", "exit_time", "exit_price", "pnl_gross", "pnl_net")
+
+
+@query()
+def first_touch_all(spark, d):
     return rounded(_touch(spark, d), "exit_price", "pnl_gross", "pnl_net").select("entry_id", "reason", "exit_time", "exit_price", "pnl_gross", "pnl_net")
 
 
 @query(f"WITH {TOUCH} SELECT coalesce(reason, 'OPEN') AS reason, count(*) AS n FROM lv LEFT JOIN ht USING (entry_id) GROUP BY 1")
 def tie_break(spark, d):
+    """Over the entries of the SQL, a fifth of the ticks; tie_break_all takes every tick."""
+    return _touch(spark, d, "optimistic", "idx % 5 = 0").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def tie_break_all(spark, d):
     return _touch(spark, d, "optimistic").groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -643,9 +655,9 @@ def offline_model(spark, d):
 # Positions, costs, coverage
 
 
-def _marks(spark, d) -> DataFrame:
+def _marks(spark, d, entries="true") -> DataFrame:
     bars = X.bars(spark, d)
-    e = X.ticks(spark, d).where("idx % 97 = 0").select(F.col("idx").alias("entry_id"), "instrument", F.col("open_time").alias("ts"), F.col("close").alias("price"), F.when(F.col("idx") % 2 == 0, 1).otherwise(-1).alias("side"), F.lit(0.5).alias("size"))
+    e = X.ticks(spark, d).where(entries).select(F.col("idx").alias("entry_id"), "instrument", F.col("open_time").alias("ts"), F.col("close").alias("price"), F.when(F.col("idx") % 2 == 0, 1).otherwise(-1).alias("side"), F.lit(0.5).alias("size"))
     cells = e.withColumn("cell", F.explode(F.sequence(F.floor(F.col("ts") / M) + 1, F.floor(F.col("ts") / M) + 6)))
     return cells.join(bars.select("instrument", "open_time", "close", F.floor(F.col("open_time") / M).alias("cell")), ["instrument", "cell"])
 
@@ -659,13 +671,29 @@ MARKS = f"""{BARS}, en AS (SELECT idx AS entry_id, instrument, open_time AS ts,
     FROM mk WINDOW w AS (PARTITION BY entry_id ORDER BY open_time ROWS UNBOUNDED PRECEDING)"""
 )
 def mark_to_market(spark, d):
+    """Over the entries of the SQL, one tick in 97; mark_to_market_all takes every tick."""
+    return rounded(broker.excursions(_marks(spark, d, "idx % 97 = 0")), "unrealized", "mae", "mfe").select("entry_id", "open_time", "unrealized", "mae", "mfe")
+
+
+@query()
+def mark_to_market_all(spark, d):
     return rounded(broker.excursions(_marks(spark, d)), "unrealized", "mae", "mfe").select("entry_id", "open_time", "unrealized", "mae", "mfe")
 
 
+def _portfolio(marks: DataFrame) -> DataFrame:
+    out = broker.portfolio(broker.excursions(marks))
+    return rounded(rounded(out, "net_signed"), "unrealized", digits=5)
+
+
 @query(f"WITH {MARKS} SELECT instrument, count(*) AS n_open, round(sum(side * 0.5), 6) AS net_signed, round(sum(u), 5) + 0.0 AS unrealized, count(*) FILTER (u > 0) AS winners, count(*) FILTER (u <= 0) AS losers FROM mk GROUP BY 1")
 def portfolio(spark, d):
-    out = broker.portfolio(broker.excursions(_marks(spark, d)))
-    return rounded(rounded(out, "net_signed"), "unrealized", digits=5)
+    """Over the entries of the SQL, one tick in 97; portfolio_all takes every tick."""
+    return _portfolio(_marks(spark, d, "idx % 97 = 0"))
+
+
+@query()
+def portfolio_all(spark, d):
+    return _portfolio(_marks(spark, d))
 
 
 @query(
