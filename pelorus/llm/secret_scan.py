@@ -26,7 +26,8 @@ CONTEXT = 80
 
 NAMES = ("token", "secret", "passw", "pwd", "api_key", "api-key", "apikey", "access_key", "access-key", "auth", "credential", "private_key", "private-key")
 ASSIGNED = re.compile(
-    r"(?<![A-Za-z0-9])[\w.-]{0,40}?(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key)[\w-]{0,20}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"'`]?([^\s\"'`,;<>|(){}\[\]]{8,512})",
+    r"(?<![A-Za-z0-9])[\w.-]{0,40}?(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key)[\w-]{0,20}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}"
+    r"(?:\"(?P<double>(?:[^\"\\\n]|\\.){8,}+)\"|'(?P<single>(?:[^'\\\n]|\\.){8,}+)'|`(?P<back>[^`\n]{8,}+)`|[\"'`]?(?P<bare>[^\s\"'`,;<>|(){}\[\]]{8,}+))",
     re.I,
 )
 KNOWN = re.compile(
@@ -34,7 +35,7 @@ KNOWN = re.compile(
     r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
 )
 KNOWN_STARTS = ("AKIA", "gh", "xox", "k_live_", "k_test_", "AIza", "eyJ", "-----BEGIN")
-GENERIC = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=-]{20,512}(?![A-Za-z0-9+/_=@-])")
+GENERIC = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=-]{20,}+(?!@)")
 
 NEAR_GOOD = {"token", "secret", "password", "passwd", "pwd", "key", "apikey", "auth", "bearer", "credential", "credentials", "login", "private"}
 NEAR_BAD = {"example", "sample", "commit", "sha", "sha1", "sha256", "md5", "uuid", "guid", "id", "checksum", "hash", "digest", "version", "isbn", "etag", "order", "invoice", "placeholder", "dummy", "revision", "file", "integrity", "color", "class", "url"}
@@ -112,7 +113,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), m.end(), 2) for m in KNOWN.finditer(text)]
     low = text.lower()
     if any(n in low for n in NAMES):
-        found += [(m.start(1), m.end(1), 1) for m in ASSIGNED.finditer(text)]
+        found += [(*m.span(m.lastgroup), 1) for m in ASSIGNED.finditer(text)]
     for m in GENERIC.finditer(text):
         value = m[0]
         if any(map(str.isdigit, value)) and any(map(str.isalpha, value)):

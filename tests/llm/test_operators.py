@@ -325,6 +325,18 @@ def test_secret_scan(spark, odd, docs, data):
     assert secret_scan.scan(one, redact=True).first().text == r.text
 
 
+def test_secrets_are_taken_whole(spark):
+    r = random.Random(3)
+    key = "MIIE" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1600))
+    rows = [f'private_key = "{key}" next', f"private_key={key} next", f"client-key-data: {key}\nnext", f"one {key} two", 'password = "Xk9$mQ2(vL7pR4" next']
+    want = [rows[0].replace(key, "[SECRET]"), rows[1].replace(key, "[SECRET]"), rows[2].replace(key, "[SECRET]"), rows[3].replace(key, "[SECRET]"), 'password = "[SECRET]" next']
+    got = secret_scan.stage(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "").collect()
+    assert [x.text for x in sorted(got)] == want
+    for text, value in (("pwd = 'a, b; c(d)' x", "a, b; c(d)"), ('token = "open1234 x', "open1234"), ('secret: "q\\"uoted1" x', 'q\\"uoted1')):
+        assert [text[a:b] for a, b, _ in secret_scan.candidates(text)] == [value]
+    assert secret_scan.candidates("x" * 30 + "1@example.org") == []
+
+
 # 7 pages
 
 
