@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from pelorus.llm import spans
 from pelorus.llm.common import table
 
-#: Bounds of what is learned from: documents of each language (as many in the mean), words of each, languages.
+#: Bounds of what is learned from: documents of each language (as many in the mean) and of all, words of each.
 SAMPLE_DOCS = 1500
+SAMPLE_ALL = 32_000
 CHAIN_WORDS = 48
-MOST_LANGUAGES = 64
-#: Hashed n-gram features, and words of each language's lexicon.
+#: Hashed n-gram features (fewer if the weights would be more than MOST_WEIGHTS), and words of each language's lexicon.
 FEATURES = 1 << 17
+MOST_WEIGHTS = 1 << 23
+#: Numbers in the blocks' transfer matrices that are held at a time.
+MOST_MOVES = 1 << 23
 LEXICON = 2000
 NGRAMS = (1, 2, 3, 4)
 BLOCK = 64
@@ -78,8 +81,9 @@ class Crf:
                 of.append(owner[edge])
         ids.append(spans.hashes(cp, starts[:-1], starts[1:], 6))
         of.append(np.arange(len(low)))
-        ids = [x & np.uint64(FEATURES - 1) for x in ids]
-        listed = [(i, FEATURES + lang) for i, w in enumerate(low) for lang in self.lexicon.get(w, ())]
+        hashed = len(self.weights) - len(self.langs)
+        ids = [x & np.uint64(hashed - 1) for x in ids]
+        listed = [(i, hashed + lang) for i, w in enumerate(low) for lang in self.lexicon.get(w, ())]
         ids.append(np.array([f for _, f in listed], np.uint64))
         of.append(np.array([i for i, _ in listed], np.int64))
         of, ids = np.concatenate(of), np.concatenate(ids).astype(np.int64)
@@ -90,6 +94,9 @@ class Crf:
         """Scores (word, language)."""
         if not words:
             return np.zeros((0, len(self.langs)), np.float32)
+        many = max(1, MOST_MOVES // (32 * len(self.langs)))
+        if len(words) > many:
+            return np.concatenate([self.emissions(words[i : i + many]) for i in range(0, len(words), many)])
         ids, size = self.features(words)
         return np.add.reduceat(self.weights[ids], np.cumsum(size) - size, axis=0)
 
@@ -103,19 +110,25 @@ class Crf:
         n, labels = scores.shape
         if not n:
             return scores.astype(float)
+        many = (n // BLOCK + len(sizes)) * labels * max(labels, BLOCK) > MOST_MOVES
+        if many and len(sizes) > 1:
+            half = len(sizes) // 2
+            cut = int(sizes[:half].sum())
+            return np.concatenate([self.marginals(scores[:cut], sizes[:half]), self.marginals(scores[cut:], sizes[half:])])
+        block = n if many else BLOCK  # a chain too long for its blocks' matrices is one block
         step = np.exp(self.transitions - self.transitions.max())
-        blocks = -(-sizes // BLOCK)
+        blocks = -(-sizes // block)
         first = np.cumsum(blocks) - blocks
         place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = (np.repeat(first, sizes) + place // BLOCK) * BLOCK + place % BLOCK
+        at = (np.repeat(first, sizes) + place // block) * block + place % block
         total = int(blocks.sum())
-        local = np.zeros((total * BLOCK, labels))
-        real = np.zeros(total * BLOCK, bool)
+        local = np.zeros((total * block, labels))
+        real = np.zeros(total * block, bool)
         local[at] = np.exp(scores - scores.max(axis=1, keepdims=True))
         real[at] = True
-        local, real = local.reshape(total, BLOCK, labels), real.reshape(total, BLOCK)
+        local, real = local.reshape(total, block, labels), real.reshape(total, block)
         move = np.broadcast_to(np.eye(labels), (total, labels, labels)).copy()
-        for t in range(BLOCK):
+        for t in range(block if blocks.max() > 1 else 0):
             on = real[:, t]
             new = (move[on].reshape(-1, labels) @ step).reshape(-1, labels, labels) * local[on, t][:, None, :]
             move[on] = new / new.max(axis=(1, 2), keepdims=True)
@@ -129,15 +142,15 @@ class Crf:
             to = last[blocks > k] - k
             new = np.einsum("bij,bj->bi", move[to + 1], behind[to + 1])
             behind[to] = new / new.sum(axis=1, keepdims=True)
-        out = np.zeros((total, BLOCK, labels))
+        out = np.zeros((total, block, labels))
         a = ahead
-        for t in range(BLOCK):
+        for t in range(block):
             on = real[:, t]
             new = (a[on] @ step) * local[on, t]
             a[on] = new / new.sum(axis=1, keepdims=True)
             out[:, t] = a
         b = behind
-        for t in range(BLOCK - 1, -1, -1):
+        for t in range(block - 1, -1, -1):
             on = real[:, t]
             out[:, t] *= b
             new = (local[on, t] * b[on]) @ step.T
@@ -163,7 +176,10 @@ def fit(chains: list[tuple[list[str], str]], epochs: int = 6, batch: int = 256,
             if n > 1:
                 lexicon.setdefault(w, []).append(number[lang])
     labels = len(langs)
-    model = Crf(langs, lexicon, np.zeros((FEATURES + labels, labels), np.float32), np.zeros((labels, labels)))
+    hashed = FEATURES
+    while hashed * labels > MOST_WEIGHTS and hashed > 1 << 10:
+        hashed >>= 1
+    model = Crf(langs, lexicon, np.zeros((hashed + labels, labels), np.float32), np.zeros((labels, labels)))
     if labels < 2:
         return model
     rng = np.random.default_rng(seed)
@@ -177,7 +193,7 @@ def fit(chains: list[tuple[list[str], str]], epochs: int = 6, batch: int = 256,
     made = []
     for words, y in rows:
         ids, size = model.features(words)
-        made.append((ids, size, np.array(y)))
+        made.append((ids.astype(np.int32), size, np.array(y)))
     params = [model.weights, model.transitions]
     mean, square, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
@@ -188,7 +204,7 @@ def fit(chains: list[tuple[list[str], str]], epochs: int = 6, batch: int = 256,
             scores = np.add.reduceat(model.weights[ids], np.cumsum(size) - size, axis=0)
             wrong, moved = _gradient(model.transitions, scores, sizes, y)
             of_feature = np.repeat(wrong, size, axis=0)
-            grad = np.stack([np.bincount(ids, of_feature[:, k], FEATURES + labels) for k in range(labels)], 1) / len(y)
+            grad = np.stack([np.bincount(ids, of_feature[:, k], len(model.weights)) for k in range(labels)], 1) / len(y)
             step += 1
             for k, g in enumerate((grad + decay * model.weights, moved / len(y) + decay * model.transitions)):
                 mean[k] = 0.9 * mean[k] + 0.1 * g
@@ -218,9 +234,9 @@ def _gradient(transitions: np.ndarray, scores: np.ndarray, sizes: np.ndarray, y:
     post /= post.sum(axis=2, keepdims=True)
     wrong = post[at, row]
     wrong[np.arange(len(y)), y] -= 1
-    pair = a[:-1][..., :, None] * step * (local.transpose(1, 0, 2) * b[1:])[..., None, :]
-    pair /= pair.sum(axis=(2, 3), keepdims=True)
-    moved = (pair * real.T[:, :, None, None]).sum(axis=(0, 1))
+    into = local.transpose(1, 0, 2) * b[1:]
+    total = ((a[:-1] @ step) * into).sum(axis=2, keepdims=True)
+    moved = step * ((a[:-1] / total * real.T[:, :, None]).reshape(-1, labels).T @ into.reshape(-1, labels))
     inner = at[1:] > 0
     np.subtract.at(moved, (y[:-1][inner], y[1:][inner]), 1)
     start = y[at == 0]  # a chain starts from any language alike
@@ -231,12 +247,16 @@ def _gradient(transitions: np.ndarray, scores: np.ndarray, sizes: np.ndarray, y:
 
 
 def sample_chains(docs: DataFrame) -> list[tuple[list[str], str]]:
-    """At most CHAIN_WORDS words from a hashed place of about SAMPLE_DOCS documents of each language."""
+    """At most CHAIN_WORDS words from a hashed place of about SAMPLE_DOCS documents of each language, or fewer of each where all would be over SAMPLE_ALL.
+
+    Every value of lang is learned: a language has at least the document with the least hash.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.coalesce(~held_out("doc_id"), F.lit(True))).withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("least")).collect()
     if not counts:
         return []
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1 << 30, (SAMPLE_DOCS << 30) // r["count"]))))
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(counts)))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], max(r["least"] + 1, min(1 << 30, (each << 30) // r["n"])))))
     chosen = labelled.where(F.col("u") < share[F.col("lang")])
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +278,7 @@ class Labeller:
     def __init__(self, model: Crf):
         self.model = model
         self.clear()
-        self.memo = spans.Memo(self.add, self.clear)
+        self.memo = spans.Memo(self.add, self.clear, min(spans.MEMO_WORDS, 4 * MOST_MOVES // max(1, len(model.langs))))
 
     def clear(self) -> None:
         self.scores = np.zeros((0, len(self.model.langs)), np.float32)

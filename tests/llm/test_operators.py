@@ -303,6 +303,32 @@ def test_language_accuracy_and_odd(spark, docs, odd, data):
     assert language_id.stage(spark, docs, "").columns == docs.columns
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    r = random.Random(4)
+    words = {f"l{k:02}": ["".join(chr(0x4E00 + 12 * k + r.randrange(12)) for _ in range(5)) for _ in range(30)] for k in range(70)}
+    rows = [(70 * j + k, " ".join(r.choices(words[lang], k=20)), lang) for j in range(12) for k, lang in enumerate(sorted(words))]
+    docs = spark.createDataFrame([*rows, (9999, "qqq www eee", "rare")], "doc_id long, text string, lang string")
+    assert not zlib.crc32(b"9999") % 3 == 1
+    chains = language_id.sample_chains(docs)
+    assert {lang for _, lang in chains} == {*words, "rare"}
+    model = language_id.fit(chains)
+    of = {i: lang for i, _, lang in rows}
+    got = language_id.identify(docs, model).where("doc_id < 9999").collect()
+    assert np.mean([x.lang_pred == of[x.doc_id] for x in got]) > 0.95
+    monkeypatch.setattr(language_id, "SAMPLE_ALL", 71)
+    assert {lang for _, lang in language_id.sample_chains(docs)} == {*words, "rare"}
+
+
+def test_marginals_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes = np.array([200, 3, 70, 1])
+    model = language_id.Crf(list("abc"), {}, np.zeros((4, 3)), rng.normal(size=(3, 3)))
+    scores = rng.normal(size=(int(sizes.sum()), 3))
+    want = model.marginals(scores, sizes)
+    monkeypatch.setattr(language_id, "MOST_MOVES", 1)
+    assert np.allclose(model.marginals(scores, sizes), want)
+
+
 # 6 secrets
 
 
