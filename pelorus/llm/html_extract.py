@@ -45,17 +45,27 @@ DROPPED_WORDS = set(
 )
 LAYOUT_WORDS = {"has", "no", "with", "without"}
 OWN_HEADER = {"article", "post", "entry", "content", "story"}
+#: Elements of running text: a word of their id names an anchor, not a kind of element.
+TEXT_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "td", "th", "tr", "table", "blockquote", "pre", "section", "figure"}
 MAIN_WORDS = {"articlebody", "maincontent", "storybody", "postbody", "postcontent", "entrycontent", "articlecontent", "articletext", "main"}
 
 
 class Element:
-    """A structural element of a page: signature, and its content in order (texts, elements)."""
+    """A structural element of a page: signature, and its content in order (texts, elements).
+
+    The signature is the tag, the words of its names, and `!` if one of DROPPED_WORDS is a whole name
+    in its class or role, `?` if one is only in its id.
+    """
 
     __slots__ = ("tag", "words", "sig", "items", "link")
 
-    def __init__(self, tag: str, words: frozenset[str]):
+    def __init__(self, tag: str, words: frozenset[str], mark: str = ""):
         self.tag, self.words, self.items, self.link = tag, words, [], 0
-        self.sig = f"{tag}.{'.'.join(sorted(words))}" if words else tag
+        self.sig = f"{tag}.{'.'.join(sorted(words))}{mark}" if words else tag
+
+
+def _words(names: str) -> frozenset[str]:
+    return frozenset(w.lower() for w in re.findall(r"[A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names)))
 
 
 def parse(page: str) -> Element:
@@ -115,15 +125,20 @@ def parse(page: str) -> Element:
                 close(i)
             elif i := find({"p"}, SCOPES):
                 close(i)
-        words = frozenset()
+        words, mark = frozenset(), ""
         if m[3] and ("=" in m[3]):
-            values = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m[3]))
-            words = frozenset(w.lower() for w in re.findall(r"[A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", values)))
+            named = [(name.lower(), a or b or c) for name, a, b, c in ATTRIBUTE.findall(m[3])]
+            words = _words(" ".join(v for _, v in named))
+            if words & DROPPED_WORDS:
+                if any(v in DROPPED_WORDS for name, value in named if name in ("class", "role") for v in value.lower().split()):
+                    mark = "!"
+                elif not _words(" ".join(v for name, v in named if name != "id")) & DROPPED_WORDS:
+                    mark = "?"
         if tag == "html":
             continue
         linked += tag == "a"
         if (tag in BLOCKS or words) and len(stack) < DEPTH:
-            own = Element(tag, words)
+            own = Element(tag, words, mark)
             stack[-1][1].items.append(own)
             stack.append((tag, own))
         else:
@@ -198,21 +213,49 @@ def expression(node: dict, sig: str = "html") -> str:
     return f"<{sig}>{text}{f'({inner})+' if node['g'] else inner}</{sig}>"
 
 
-def _dropped(tag: str, words: set[str], inside: bool) -> bool:
+def _dropped(sig: str, inside: bool) -> bool:
+    """Whether an element is left out by its tag and names. Inside the main element only whole names in class or role count."""
+    tag, words = _parts(sig)
     if tag in ("article", "main", "body", "html"):
         return False
     if tag in DROPPED_TAGS or tag == "header" and not inside:
         return True
+    if inside:
+        return sig.endswith("!")
     if words & LAYOUT_WORDS:  # "no-sidebar" and the like say what a page looks like
         return False
-    return bool(words & DROPPED_WORDS) or not inside and "header" in words and not words & OWN_HEADER
+    if words & DROPPED_WORDS:
+        return not (sig.endswith("?") and tag in TEXT_TAGS)
+    return "header" in words and not words & OWN_HEADER
 
 
 def _parts(sig: str) -> tuple[str, set[str]]:
-    tag, _, words = sig.partition(".")
+    tag, _, words = sig.rstrip("!?").partition(".")
     return tag, set(words.split(".")) if words else set()
 
 
+def _template(node: dict, path: list[str], pages: int) -> list[list[str]]:
+    """Paths below a main element of parts that have one of DROPPED_WORDS in a name and that the wrapper shows as template.
+
+    That is: nearly all text in links, or the same text in nearly all pages, of which there are three at least.
+    """
+
+    def fixed(n: dict) -> bool:
+        return n["t"] is not None and all(fixed(k) for _, _, k in n["k"].values())
+
+    out: list[list[str]] = []
+    for s, (_, repeated, kid) in node["k"].items():
+        tag, words = _parts(s)
+        here = [*path, s]
+        linked = kid["l"] * 10 >= kid["c"] * 7
+        same = pages >= 3 and kid["n"] * 10 >= pages * 9 and not repeated and fixed(kid)
+        if kid["c"] and words & DROPPED_WORDS and not words & LAYOUT_WORDS and not (s.endswith("?") and tag in TEXT_TAGS) and (linked or same):
+            out.append(here)
+        else:
+            out += _template(kid, here, pages)
+    return out
+
+
 def rules(node: dict) -> dict:
     """Where the main text of a wrapper's pages is: paths of the main elements, and of template parts in them to leave out.
 
@@ -224,7 +267,7 @@ def rules(node: dict) -> dict:
     def look(n: dict, path: list[str], inside: bool) -> None:
         for s, (_, _, kid) in n["k"].items():
             tag, words = _parts(s)
-            if _dropped(tag, words, inside):
+            if _dropped(s, inside):
                 continue
             if tag == "article" or tag == "main" or words & MAIN_WORDS or "".join(sorted(words)) in MAIN_WORDS or {"article", "body"} <= words:
                 marked.append((tag == "article", kid["c"], [*path, s]))
@@ -233,7 +276,10 @@ def rules(node: dict) -> dict:
     look(node, [], False)
     if marked:
         best = max((m for m in marked if m[1] * 5 >= max(x[1] for x in marked)), key=lambda m: (m[0], m[1]))
-        return {"main": best[2], "drop": []}
+        at = node
+        for s in best[2]:
+            at = at["k"][s][2]
+        return {"main": best[2], "drop": _template(at, best[2], at["n"]), "inside": True}
     drop: list[list[str]] = []
 
     def worth(n: dict, path: list[str]) -> int:
@@ -243,7 +289,7 @@ def rules(node: dict) -> dict:
         for s, (_, _, kid) in n["k"].items():
             tag, words = _parts(s)
             here = [*path, s]
-            if _dropped(tag, words, False):
+            if _dropped(s, False):
                 continue
             if tag not in ("body", "p") and kid["c"] and kid["l"] * 10 >= kid["c"] * 7 and kid["n"] >= 1:
                 drop.append(here)
@@ -261,7 +307,7 @@ def rules(node: dict) -> dict:
         held = [(kid.get("w", 0), s, kid) for s, (_, rep, kid) in at["k"].items() if not rep and [*path, s] not in drop and _parts(s)[0] not in ("p", "li", "h1", "h2", "h3", "td", "tr", "blockquote", "pre")]
         w, s, kid = max(held, key=lambda x: x[0], default=(0, "", {}))
         if not w or w * 100 < at["w"] * 85:
-            return {"main": path, "drop": drop}
+            return {"main": path, "drop": drop, "inside": False}
         path, at = [*path, s], kid
 
 
@@ -289,7 +335,7 @@ def text_of(root: Element, rule: dict) -> str | None:
                 line.append(x)
             else:
                 here = (*path, x.sig)
-                if here in drop or _dropped(x.tag, x.words, inside):
+                if here in drop or _dropped(x.sig, inside):
                     if x.tag in BLOCKS:
                         end()
                     continue
@@ -300,7 +346,7 @@ def text_of(root: Element, rule: dict) -> str | None:
                     end()
 
     for n in nodes:
-        walk(n, tuple(rule["main"]), any(_parts(s)[0] in ("article", "main") for s in rule["main"]))
+        walk(n, tuple(rule["main"]), rule["inside"] or any(_parts(s)[0] in ("article", "main") for s in rule["main"]))
         end()
     return "\n".join(blocks)
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy, with the odd cases of each."""
 
 import collections
+import functools
 import hashlib
 import html
 import itertools
@@ -387,6 +388,27 @@ def test_pages(page, want):
     assert extract(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><h2 id="related-work">Related</h2><section id="discussion"><p>seen</p></section><p id="search-results">found</p><div class="side-effects">none</div></article>', "Related\nseen\nfound\nnone"),
+        ('<main><h2 id="social-effects">Effects</h2><p>text</p><div class="share">tell</div><div role="search">find</div></main>', "Effects\ntext"),
+        ('<article><p>text</p><div class="related-posts"><a href="/1">one</a> <a href="/2">two</a></div></article>', "text"),
+        ('<div itemprop="articleBody"><p class="side-note">noted</p><p>text</p></div>', "noted\ntext"),
+        ('<div class="content"><h2 id="related-work">Related</h2><p>text of the page, long enough</p></div>', "Related\ntext of the page, long enough"),
+    ],
+)
+def test_names_in_the_main_element(page, want):
+    assert extract(page) == want
+
+
+def test_template_in_the_main_element():
+    pages = [f'<article><p>text {i}</p><div class="share-box">Tell your friends</div><div class="ad-hoc">word {i}</div></article>' for i in range(4)]
+    trees = [html_extract.parse(p) for p in pages]
+    rule = html_extract.rules(functools.reduce(html_extract.align, map(html_extract.wrapper_of, trees)))
+    assert [html_extract.text_of(t, rule) for t in trees] == [f"text {i}\nword {i}" for i in range(4)]
+
+
 def test_wrapper_resolves_mismatches():
     a, b = (html_extract.wrapper_of(html_extract.parse(p)) for p in ("<div><h1>One</h1><p>x</p><p>y</p></div>", "<div><h1>Two</h1><table><tr><td>1</table><p>z</p></div>"))
     w = html_extract.align(a, b)
