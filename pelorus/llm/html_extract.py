@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import json
 import re
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pelorus.llm.common import Scratch, table
 
 SALTS = 32
+#: A longer text isn't template for being the same in all pages.
+SHORT = 200
 #: Elements deeper than this are taken as children of the last one above.
 DEPTH = 100
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
@@ -150,14 +153,18 @@ def parse(page: str) -> Element:
     return root
 
 
-# A wrapper node is {"n": pages, "c": characters, "l": of them in links, "t": fixed text or None (a slot),
+# A wrapper node is {"n": pages, "c": characters, "l": of them in links, "t": fixed text (of a long one the start and a
+# hash of the whole) or None (a slot),
 # "g": whether its children make a group ((a)?(b)?...)+, "k": {signature: [optional, repeated, node]} in order}.
 
 
 def wrapper_of(e: Element) -> dict:
     """The wrapper that one page's element is an instance of."""
     own = [x for x in e.items if isinstance(x, str)]
-    node = {"n": 1, "c": sum(map(len, own)), "l": e.link, "t": " ".join("".join(own).split())[:200], "g": False, "k": {}}
+    text = " ".join("".join(own).split())
+    if len(text) > SHORT:
+        text = text[:SHORT] + "#" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+    node = {"n": 1, "c": sum(map(len, own)), "l": e.link, "t": text, "g": False, "k": {}}
     last = ""
     for child in e.items:
         if not isinstance(child, Element):
@@ -260,7 +267,8 @@ def rules(node: dict) -> dict:
     """Where the main text of a wrapper's pages is: paths of the main elements, and of template parts in them to leave out.
 
     The main element is the article (or main) with the most text; without one, the innermost element
-    that holds most of the text outside of dropped, link-filled and fixed parts.
+    that holds all of the text outside of dropped, link-filled and fixed parts. Short texts that are the
+    same in nearly all of three pages or more are fixed, if other texts differ.
     """
     marked: list[tuple[bool, int, list[str]]] = []
 
@@ -282,9 +290,9 @@ def rules(node: dict) -> dict:
         return {"main": best[2], "drop": _template(at, best[2], at["n"]), "inside": True}
     drop: list[list[str]] = []
 
-    def worth(n: dict, path: list[str]) -> int:
+    def worth(n: dict, path: list[str], same: bool = True) -> int:
         own = n["c"] - sum(k["c"] for _, _, k in n["k"].values())
-        fixed = node["n"] >= 3 and n["n"] * 10 >= node["n"] * 9 and n["t"] and len(path) > 1
+        fixed = same and node["n"] >= 3 and n["n"] * 10 >= node["n"] * 9 and n["t"] and len(n["t"]) <= SHORT and len(path) > 1
         total = 0 if fixed else own
         for s, (_, _, kid) in n["k"].items():
             tag, words = _parts(s)
@@ -294,19 +302,21 @@ def rules(node: dict) -> dict:
             if tag not in ("body", "p") and kid["c"] and kid["l"] * 10 >= kid["c"] * 7 and kid["n"] >= 1:
                 drop.append(here)
                 continue
-            got = worth(kid, here)
+            got = worth(kid, here, same)
             if not got and kid["c"]:
                 drop.append(here)
             total += got
         n["w"] = total
         return total
 
-    worth(node, [])
+    if not worth(node, []):  # copies of one page
+        drop.clear()
+        worth(node, [], False)
     path, at = [], node
     while True:
         held = [(kid.get("w", 0), s, kid) for s, (_, rep, kid) in at["k"].items() if not rep and [*path, s] not in drop and _parts(s)[0] not in ("p", "li", "h1", "h2", "h3", "td", "tr", "blockquote", "pre")]
         w, s, kid = max(held, key=lambda x: x[0], default=(0, "", {}))
-        if not w or w * 100 < at["w"] * 85:
+        if not w or w < at["w"]:
             return {"main": path, "drop": drop, "inside": False}
         path, at = [*path, s], kid
 

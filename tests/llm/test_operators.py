@@ -409,6 +409,21 @@ def test_template_in_the_main_element():
     assert [html_extract.text_of(t, rule) for t in trees] == [f"text {i}\nword {i}" for i in range(4)]
 
 
+@pytest.mark.parametrize("pages", [1, 2, 3, 4])
+def test_text_without_an_article_stays(pages):
+    def texts_of(made):
+        trees = [html_extract.parse(p) for p in made]
+        rule = html_extract.rules(functools.reduce(html_extract.align, map(html_extract.wrapper_of, trees)))
+        return [html_extract.text_of(t, rule) for t in trees]
+
+    lead = "the same words of a lead " * 10
+    assert texts_of([f"<body><div>{lead}<br>ends with {i}</div>" for i in range(pages)]) == [f"{lead}ends with {i}" for i in range(pages)]
+    assert texts_of([f"<body><div>{lead * 3}end</div>"] * pages) == [f"{lead * 3}end"] * pages
+    assert texts_of(["<body><div>a short page</div>"] * pages) == ["a short page"] * pages
+    long = [f"<body><div>an intro {i}</div><div><p>{'long text ' * 90}{i}</p></div>" for i in range(pages)]
+    assert texts_of(long) == [f"an intro {i}\n{'long text ' * 90}{i}" for i in range(pages)]
+
+
 def test_wrapper_resolves_mismatches():
     a, b = (html_extract.wrapper_of(html_extract.parse(p)) for p in ("<div><h1>One</h1><p>x</p><p>y</p></div>", "<div><h1>Two</h1><table><tr><td>1</table><p>z</p></div>"))
     w = html_extract.align(a, b)
