@@ -1,0 +1,132 @@
+"""Near-dedup by exact Jaccard similarity of word shingles; candidates by banded MinHash."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pelorus.llm import spans
+from pelorus.llm.common import Scratch
+from pelorus.llm.simhash import kept_rows, near_groups
+
+SHINGLE = 5
+SIMILARITY = 0.8
+SEED = 42
+#: Two texts of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS: all but 5e-8 of those of 0.8.
+BANDS = 32
+ROWS = 4
+
+
+def shingles(text: str) -> np.ndarray:
+    """Distinct 32-bit hashes of a text's shingles, sorted; of a shorter text, the hash of all its words."""
+    words = text.encode().lower().split()  # of bytes: A-Z, and ASCII white space
+    if not words:
+        return np.zeros(0, np.uint32)
+    joined = b" ".join(words)
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    start = np.concatenate([[0], end[:-1] + 1])
+    k = min(SHINGLE, len(words))
+    h = xxhash.xxh32_intdigest
+    return np.unique(np.array([h(joined[a:b], SEED) for a, b in zip(start[: len(words) - k + 1].tolist(), end[k - 1 :].tolist())], np.uint32))
+
+
+def minima(hashed: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS MinHash values of a set."""
+    factor = spans.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * spans.BASE) | np.uint64(1)
+    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    mixed = spans.mix(hashed.astype(np.uint64))
+    for at in range(0, len(mixed), 4096):
+        np.minimum(out, (mixed[at : at + 4096, None] * factor).min(axis=0), out=out)
+    return out
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, __text, and: fp, the hash of a text's words; row, a hash of doc_id and __text; shingles (32-bit numbers); bands (key, next)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            fps, blobs, bands = [], [], []
+            for text in part.column(3).to_pylist():
+                words = b" ".join(text.encode().lower().split())
+                fps.append(xxhash.xxh64_intdigest(words, SEED))
+                own = shingles(text)
+                blobs.append(own.tobytes())
+                if not len(own):
+                    bands.append(np.zeros((0, 2), np.uint64))
+                    continue
+                value = minima(own).reshape(BANDS, ROWS)
+                key = spans.mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))
+                for k in range(ROWS):
+                    key = spans.mix(key ^ value[:, k])
+                bands.append(np.stack([key, np.roll(key, 1)], axis=1))
+            flat = np.concatenate([b.reshape(-1) for b in bands] or [np.zeros(0, np.uint64)]).view(np.int64)
+            sizes = np.array([len(b) for b in bands], np.int64)
+            pairs = pa.StructArray.from_arrays([pa.array(flat[0::2]), pa.array(flat[1::2])], ["key", "next"])
+            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(blobs, pa.binary()), made], ["doc_id", "__text", "row", "fp", "shingles", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__text", F.xxhash64("doc_id", "__text").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, __text long, row long, fp long, shingles binary, bands array<struct<key: long, next: long>>")
+
+
+def similar_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of fp between texts of SIMILARITY or more, verified on all their shingles.
+
+    Rows are sorted by band, so a band's rows are neighbours, those that share the next band too side by side; each is a candidate with
+    the one before it. So a band of m rows has m - 1 candidates, not all pairs, and no band need be in
+    one task: a band that goes over two tasks lacks one candidate there, which other bands have.
+    """
+    dealt = rows.select("fp", "row", F.explode("bands").alias("band")).select("band.key", "band.next", "fp", "row")
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    ranged = dealt.repartitionByRange(n, "key", "next", "fp", "row").sortWithinPartitions("key", "next", "fp", "row")
+
+    def neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((3, 0), np.int64)
+        for part in parts:
+            own = np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3)])
+            if not own.shape[1]:
+                continue
+            own = np.concatenate([last, own], axis=1)
+            last = own[:, -1:]
+            x, y = own[:, :-1], own[:, 1:]
+            swap = x[1] > y[1]
+            a, b = np.where(swap, y, x), np.where(swap, x, y)
+            good = (x[0] == y[0]) & (x[1] != y[1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[good]) for c in (a[1], b[1], a[2], b[2])], ["a", "b", "a_row", "b_row"])
+
+    near = ranged.mapInArrow(neighbours, "a long, b long, a_row long, b_row long")
+    near = scratch.settle(near.groupBy("a", "b").agg(F.min(F.struct("a_row", "b_row")).alias("at")).select("a", "b", "at.*"), "candidates")
+    blobs = rows.select("row", "shingles")
+    both = near.join(blobs.select(F.col("row").alias("a_row"), F.col("shingles").alias("x")), "a_row")
+    both = both.join(blobs.select(F.col("row").alias("b_row"), F.col("shingles").alias("y")), "b_row")
+
+    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            good = []
+            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                least, most = sorted((len(x), len(y)))
+                common = len(np.intersect1d(x, y, assume_unique=True)) if least >= SIMILARITY * most else 0
+                good.append(common >= SIMILARITY * (least + most - common))
+            yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return scratch.settle(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct(), "similar")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-dedup as a pipeline stage: of each group that links of SIMILARITY reach, the row with the least doc_id (then text hash) stays.
+
+    Texts of the same words are one group, those without words too. Equal rows leave one.
+    """
+    scratch = Scratch(spark, "stage-near")
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = scratch.settle(sketches(docs.select("doc_id", "text", text.alias("__text"))), "sketches")
+    order = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), F.col("__text").alias("text"))
+    links = similar_links(rows, scratch)
+    scratch.drop("candidates")
+    return kept_rows(docs, near_groups(rows.select("doc_id", "__text", "fp"), scratch, order, links=links), scratch)

@@ -175,13 +175,13 @@ def near_links(fps: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> Da
     return out
 
 
-def near_groups(rows: DataFrame, scratch: Scratch, least: Column, distance: int = DISTANCE) -> DataFrame:
-    """rows (with fp) and `least`: the least value of the column `least` over all rows that links of at most `distance` bits reach."""
+def near_groups(rows: DataFrame, scratch: Scratch, least: Column, distance: int = DISTANCE, links: DataFrame | None = None) -> DataFrame:
+    """rows (with fp) and `least`: the least value of the column `least` over all rows that links of at most `distance` bits reach, or those given."""
     rows = scratch.settle(rows.withColumn("least", least).withColumn("salt", salt("least")), "rows")
     nodes = totals(rows, "fp", "least", ("own", F.min("least"), F.min("own")))
     nodes = scratch.settle(nodes, "nodes")
     each = nodes.groupBy("fp").agg(F.first("own").alias("own"))
-    roots = components(near_links(each.select("fp"), scratch, distance), scratch)
+    roots = components(near_links(each.select("fp"), scratch, distance) if links is None else links, scratch)
     rooted = scratch.settle(
         each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "own", F.coalesce("root", "fp").alias("root"), salt("fp").alias("salt")), "rooted"
     )
@@ -214,7 +214,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__text"))
     rows = fingerprints(keyed, keys=("doc_id", "__text"))
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), F.col("__text").alias("text"))
-    grouped = near_groups(rows, scratch, order)
+    return kept_rows(docs, near_groups(rows, scratch, order), scratch)
+
+
+def kept_rows(docs: DataFrame, grouped: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs that are the least of their group (doc_id, __text, least: id, text), once each."""
     stays = (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("least.id")) & (F.col("__text") == F.col("least.text"))
     kept = scratch.settle(grouped.where(stays).groupBy(F.col("doc_id").alias("k_id"), F.col("__text").alias("k_text")).agg(F.count("*").alias("copies")), "kept")
     own = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pelorus.llm import exact_dedup, fingerprints, html_extract, language_id, packing, piece_lattice, queries, secret_scan, simhash, spans, substring_dedup, token_counts
+from pelorus.llm import exact_dedup, fingerprints, html_extract, language_id, near_dedup, packing, piece_lattice, queries, secret_scan, simhash, spans, substring_dedup, token_counts
 from pelorus.llm.common import Scratch, components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -513,6 +513,40 @@ def test_simhash_stage(spark, odd, docs):
     assert simhash.stage(spark, docs, "").count() == simhash.simhash_components(docs, Scratch(spark, "t8s")).select("component_id").distinct().count()
 
 
+def test_near_stage_is_all_pairs(spark, odd, docs):
+    r = random.Random(6)
+    rows = [(i, t) for i, t in sorted(texts(docs).items())]
+    base = [r.choices([f"w{k}" for k in range(500)], k=250) for _ in range(30)]
+    for k, words in enumerate(base):
+        for e in range(1, 5):  # e words changed, so up to 5 * e of 246 shingles
+            other = list(words)
+            for at in r.sample(range(250), e):
+                other[at] = "changed"
+            rows.append((10_000 + 10 * k + e, " ".join(other)))
+        rows.append((10_000 + 10 * k, " ".join(words)))
+    own = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        own[i] = {b" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    group = {i: i for i in own}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    pairs = 0
+    for a, b in itertools.combinations(sorted(own), 2):
+        common = len(own[a] & own[b])
+        if common and common >= 0.8 * (len(own[a]) + len(own[b]) - common):
+            pairs += 1
+            group[max(root(a), root(b))] = min(root(a), root(b))
+    got = near_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert pairs > 150 and sorted(x.doc_id for x in got) == sorted({root(i) for i in own})
+    out = near_dedup.stage(spark, odd, "")
+    assert out.columns == odd.columns and out.count() == len({b" ".join((t or "").encode().lower().split()) for _, t in ODD})
+
+
 # 9 pieces
 
 
