@@ -19,6 +19,8 @@ from pelorus.sources import minutes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Resamples of the Sharpe interval, and of the intervals of Brier score and PR-AUC.
+SHARPE_RESAMPLES, RESAMPLES = 5_000, 1_000
 
 M = X.BAR_MINUTES * 60_000
 TICKS = f"""ticks AS (
@@ -585,7 +587,7 @@ def autocovariance(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    out = stats.grouped_bootstrap(X.trades(spark, d), "series", "pnl", "idx", stats.sharpe, 200)
+    out = stats.grouped_bootstrap(X.trades(spark, d), "series", "pnl", "idx", stats.sharpe, SHARPE_RESAMPLES)
     return rounded(out, "point", "lo", "hi")
 
 
@@ -728,14 +730,14 @@ def precision_at_gate(spark, d):
 @query()
 def brier_intervals(spark, d):
     p = X.predictions(spark, d).withColumn("se", metrics.squared_error())
-    return rounded(stats.grouped_bootstrap(p, "regime", "se", "idx", np.mean, 100), "point", "lo", "hi")
+    return rounded(stats.grouped_bootstrap(p, "regime", "se", "idx", np.mean, RESAMPLES), "point", "lo", "hi")
 
 
 @query()
 def pr_auc_intervals(spark, d):
     def resample(key, part):
         y, p = part["y"].to_numpy(), part["p"].to_numpy()
-        got = [stats.stratified_pr_auc(y, p, np.random.default_rng([42, b])) for b in range(100)] if 0 < y.sum() < len(y) else [np.nan]
+        got = [stats.stratified_pr_auc(y, p, np.random.default_rng([42, b])) for b in range(RESAMPLES)] if 0 < y.sum() < len(y) else [np.nan]
         lo, hi = np.quantile(got, [0.025, 0.975])
         return pd.DataFrame({"regime": [key[0]], "lo": [lo], "hi": [hi]})
 
