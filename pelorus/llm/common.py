@@ -7,7 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,17 +29,29 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """One column `row`, a struct of all columns of df, beside which helper columns can have any name."""
+    return df.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row"))
+
+
+def least_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of `row` (see whole_rows) one for each value of the keys: the least as JSON, which columns of any type have."""
+    return rows.groupBy(*keys).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+
+
 def salt(*cols: str | Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where none is set."""
+    """The folder that driver and executors share; a temporary one of our own only in local mode where none is set."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     if own := spark.sparkContext.getCheckpointDir():
         return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="pelorus-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{path}")
@@ -72,6 +84,15 @@ class Scratch:
             df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+        """Like settle, with rows dealt to `buckets` files by a hash of column: groups by that column need no shuffle."""
+        known = f"pelorus_{uuid.uuid4().hex}"
+        with shuffles_removed(self.spark):
+            df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", f"{self.root}/{name}").saveAsTable(known)
+        made = self.spark.table(known)
+        self.spark.sql(f"DROP TABLE {known}")  # the name; the frame is resolved and the files stay
+        return made
+
     def _clean(self) -> None:
         """At the driver's end, if its session still runs: results have been read by then."""
         if self.spark.sparkContext._jsc is not None and self.spark.sparkContext._jsc.sc().isStopped() is False:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pelorus.llm import spans
 from pelorus.llm.common import Scratch
-from pelorus.llm.simhash import kept_rows, near_groups
+from pelorus.llm.simhash import id_order, kept_rows, near_groups, text_hash
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -46,7 +46,7 @@ def minima(hashed: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, __text, and: fp, the hash of a text's words; row, a hash of doc_id and __text; shingles (32-bit numbers); bands (key, next)."""
+    """doc_id, text_hash, and: fp, the hash of a text's words; row, a hash of doc_id and text_hash; shingles (32-bit numbers); bands (key, next)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -68,10 +68,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             sizes = np.array([len(b) for b in bands], np.int64)
             pairs = pa.StructArray.from_arrays([pa.array(flat[0::2]), pa.array(flat[1::2])], ["key", "next"])
             made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(blobs, pa.binary()), made], ["doc_id", "__text", "row", "fp", "shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(blobs, pa.binary()), made], ["doc_id", "text_hash", "row", "fp", "shingles", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__text", F.xxhash64("doc_id", "__text").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, __text long, row long, fp long, shingles binary, bands array<struct<key: long, next: long>>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", F.xxhash64("doc_id", "text_hash").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, row long, fp long, shingles binary, bands array<struct<key: long, next: long>>")
 
 
 def similar_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -124,9 +124,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts of the same words are one group, those without words too. Equal rows leave one.
     """
     scratch = Scratch(spark, "stage-near")
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = scratch.settle(sketches(docs.select("doc_id", "text", text.alias("__text"))), "sketches")
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), F.col("__text").alias("text"))
+    rows = scratch.settle(sketches(docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))), "sketches")
     links = similar_links(rows, scratch)
     scratch.drop("candidates")
-    return kept_rows(docs, near_groups(rows.select("doc_id", "__text", "fp"), scratch, order, links=links), scratch)
+    return kept_rows(docs, near_groups(rows.select("doc_id", "text_hash", "fp"), scratch, id_order(), links=links), scratch)

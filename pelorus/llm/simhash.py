@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelorus.llm import spans
-from pelorus.llm.common import Scratch, components, salt, table, totals
+from pelorus.llm.common import Scratch, components, least_rows, salt, table, totals, whole_rows
 
 SHINGLE = 4
 DISTANCE = 4
@@ -209,23 +209,34 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup as a pipeline stage: of each group the row with the least doc_id (then text hash) stays."""
+    """SimHash near-dedup as a pipeline stage: of each group the row with the least doc_id (then text hash) stays.
+
+    A null text counts as empty; texts without words are one group. Rows that repeat leave one, the
+    least as JSON; a null doc_id comes after all ids. An empty table gives an empty one. Columns can
+    have any names and types.
+    """
     scratch = Scratch(spark, "stage-simhash")
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__text"))
-    rows = fingerprints(keyed, keys=("doc_id", "__text"))
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), F.col("__text").alias("text"))
-    return kept_rows(docs, near_groups(rows, scratch, order), scratch)
+    rows = fingerprints(docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash")), keys=("doc_id", "text_hash"))
+    return kept_rows(docs, near_groups(rows, scratch, id_order()), scratch)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def id_order() -> Column:
+    """doc_id (null last), then text_hash."""
+    return F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), F.col("text_hash").alias("text"))
 
 
 def kept_rows(docs: DataFrame, grouped: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of docs that are the least of their group (doc_id, __text, least: id, text), once each."""
-    stays = (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("least.id")) & (F.col("__text") == F.col("least.text"))
-    kept = scratch.settle(grouped.where(stays).groupBy(F.col("doc_id").alias("k_id"), F.col("__text").alias("k_text")).agg(F.count("*").alias("copies")), "kept")
-    own = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    on = own["doc_id"].cast("long").eqNullSafe(F.col("k_id")) & (F.col("__text") == F.col("k_text"))
-    single = own.join(kept.where("copies = 1").drop("copies"), on, "left_semi").select(*docs.columns)
+    """The rows of docs that are the least of their group (doc_id, text_hash, least: id, text), once each."""
+    stays = (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("least.id")) & (F.col("text_hash") == F.col("least.text"))
+    kept = scratch.settle(grouped.where(stays).groupBy(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_text")).agg(F.count("*").alias("copies")), "kept")
+    own = whole_rows(docs).withColumns({"id": F.col("row.doc_id").cast("long"), "h": text_hash(F.col("row.text"))})
+    on = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_text"))
+    single = own.join(kept.where("copies = 1").drop("copies"), on, "left_semi").select("row.*")
     repeated = kept.where("copies > 1").drop("copies")
     if repeated.isEmpty():
         return single
-    rest = own.join(repeated, on, "left_semi").groupBy("doc_id", "__text").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return single.union(rest.select("row.*"))
+    return single.union(least_rows(own.join(repeated, on, "left_semi"), ["id", "h"]).select("row.*"))

@@ -1,7 +1,8 @@
 """Word spans of many texts at once, as numpy arrays.
 
-Texts lie end to end in one array of code points. Spans are found by array operations and named by a
-64-bit hash, so that Python handles each distinct word of a batch once, not each occurrence.
+Texts lie end to end in one array of code points. Spans are found by array operations and sorted out by
+a hash, and spans of one hash are compared letter by letter, so that Python handles each distinct word
+of a batch once, not each occurrence, and words with one hash aren't taken for each other.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ import regex
 
 #: Code points handled at a time; a longer text is handled alone.
 BATCH_CHARS = 2_000_000
-#: Distinct words a worker remembers before it starts afresh.
+#: Code points of the spans that are hashed and compared at a time; a longer span is handled alone.
+SLICE_CHARS = 1_000_000
+#: Distinct words a worker remembers before it starts afresh, and their code points.
 MEMO_WORDS = 700_000
+MEMO_CHARS = 12_000_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 ASCII_SPACE = np.array([32, 9, 10, 11, 12, 13])
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -52,13 +56,10 @@ def char_values(seed: int) -> np.ndarray:
     return mix(np.arange(1, 0x110001, dtype=np.uint64) * BASE + np.uint64(seed))
 
 
-@functools.lru_cache(2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    base, inverse = int(BASE), pow(int(BASE), -1, 1 << 64)
-    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+@functools.cache
+def place_factors() -> np.ndarray:
+    """Odd factors for the places in a span, repeated after as many."""
+    return mix(np.arange(1, 4097, dtype=np.uint64) * BASE) | np.uint64(1)
 
 
 def batches(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
@@ -79,14 +80,31 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cp, np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
 
 
+def slices(start: np.ndarray, end: np.ndarray) -> Iterator[slice]:
+    """Runs of spans with SLICE_CHARS code points together, or one longer span."""
+    upto, at = np.cumsum(end - start), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_CHARS, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def inside(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all spans, end to end: the place of each code point, its place in its span, and where each span begins in these."""
+    size = end - start
+    first = np.cumsum(size) - size
+    within = np.arange(int(size.sum())) - np.repeat(first, size)
+    return np.repeat(start, size) + within, within, first
+
+
 def hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = powers(1 << max(21, int(len(cp)).bit_length()))
-    total = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum(char_values(seed)[cp] * up[: len(cp)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    """A 64-bit hash of each span (which must not be empty). Different spans can have one."""
+    out = np.zeros(len(start), np.uint64)
+    values, factors = char_values(seed), place_factors()
+    for s in slices(start, end):
+        place, within, first = inside(start[s], end[s])
+        out[s] = np.add.reduceat(values[cp[place]] * factors[within & 4095], first)
+    return mix(out + (end - start).astype(np.uint64))
 
 
 def words(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +121,7 @@ def words(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def contractions(cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Apostrophes of `first` that begin 's 't 'm 'd 're 've 'll, and the length with the apostrophe."""
-    pad = np.concatenate([cp, [0, 0]])
+    pad = np.concatenate([cp, np.zeros(2, cp.dtype)])
     a, b = pad[first + 1], pad[first + 2]
     one = np.isin(a, [ord(c) for c in "stmd"])
     two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
@@ -121,10 +139,10 @@ def byte_level_tokens(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
     head = np.zeros(n + 3, bool)
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
-    before = np.concatenate([[255], kind[:-1]]).astype(np.uint8) if n else kind
+    before = np.concatenate([np.array([255], np.uint8), kind[:-1]]) if n else kind
     before[edge[:n]] = 255
     space = kind == SPACE
-    gap = np.concatenate([[0], cp[:-1]]) == 32 if n else space
+    gap = np.concatenate([[False], cp[:-1] == 32]) if n else space
     gap &= ~edge[:n]
     change = kind != before
     head[:n] = change & ~(~space & gap)
@@ -159,7 +177,7 @@ def word_level_tokens(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
     head = np.zeros(n + 3, bool)
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
-    before = np.concatenate([[255], kind[:-1]]).astype(np.uint8) if n else kind
+    before = np.concatenate([np.array([255], np.uint8), kind[:-1]]) if n else kind
     before[edge[:n]] = 255
     change = kind != before
     head[:n] = change | (kind == NUMBER)
@@ -175,26 +193,50 @@ def word_level_tokens(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Memo:
-    """Row numbers for words by hash; `add` is called with the words that are new."""
+    """Row numbers for words; `add` is called with the words that are new, `clear` before all are forgotten."""
 
     def __init__(self, add: Callable[[list[str]], None], clear: Callable[[], None], limit: int = MEMO_WORDS):
-        self.add, self.clear, self.limit, self.index = add, clear, limit, {}
+        self.add, self.clear, self.limit, self.index, self.chars = add, clear, limit, {}, 0
 
     def rows(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Of each span of `text` (whose code points are cp): the row of its word."""
-        codes, uniq = pd.factorize(hashes(cp, start, end))
-        if len(self.index) + len(uniq) > self.limit and self.index:
-            self.index = {}
+        """Of each span of `text` (whose code points are cp, and none of which is empty): the row of its word."""
+        named = [(s, *distinct(cp, start[s], end[s])) for s in slices(start, end)]
+        words = {text[a:b] for s, _, at in named for a, b in zip(start[s][at].tolist(), end[s][at].tolist())}
+        size = sum(map(len, words))
+        if self.index and (len(self.index) + len(words) > self.limit or self.chars + size > MEMO_CHARS):
+            self.index, self.chars = {}, 0
             self.clear()
-        get, keys = self.index.get, uniq.tolist()
-        rows = np.array([get(k, -1) for k in keys], np.int64)
-        if len(new := np.flatnonzero(rows < 0)):
-            place = np.full(len(uniq), -1, np.int64)
-            place[codes[::-1]] = np.arange(len(codes))[::-1]
-            self.add([text[a:b] for a, b in zip(start[place[new]].tolist(), end[place[new]].tolist())])
-            rows[new] = np.arange(len(self.index), len(self.index) + len(new))
-            self.index.update(zip((keys[i] for i in new.tolist()), rows[new].tolist()))
-        return rows[codes]
+        new = sorted(words - self.index.keys())
+        if new:
+            self.add(new)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.chars += sum(map(len, new))
+        get, out = self.index.__getitem__, np.zeros(len(start), np.int64)
+        for s, codes, at in named:
+            out[s] = np.array([get(text[a:b]) for a, b in zip(start[s][at].tolist(), end[s][at].tolist())], np.int64)[codes]
+        return out
+
+
+def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, the same for equal spans, and a span of each number.
+
+    Spans of one hash are compared with the first of them; those that differ have numbers of their own.
+    """
+    codes, uniq = pd.factorize(hashes(cp, start, end))
+    at = np.full(len(uniq), -1, np.int64)
+    at[codes[::-1]] = np.arange(len(codes))[::-1]
+    size, like = end - start, at[codes]
+    other = size != size[like]
+    shown = np.where(other, np.arange(len(codes)), like)
+    place, _, first = inside(start, end)
+    differs = cp[place] != cp[place + np.repeat(start[shown] - start, size)]
+    if differs.any() or other.any():
+        other |= np.logical_or.reduceat(differs, first)
+        own = np.flatnonzero(other)
+        codes = codes.copy()
+        codes[own] = len(uniq) + np.arange(len(own))
+        at = np.concatenate([at, own])
+    return codes, at
 
 
 class Ragged:

@@ -3,11 +3,14 @@
 Documents are cut into blocks of 7 words that don't overlap; every rolling run of 7 words of every
 document probes those blocks. A window of 13 words that occurs in two documents holds a whole block of
 either, so its words are among the hits. Hits are extended to all windows around them, windows are
-matched exactly by 128 bits, and windows that meet make maximal repeats.
+matched by 128 bits that come from their words' BLAKE2 digests, and windows that meet make maximal
+repeats. Two different windows would be taken for one with a probability of 2**-128 for each pair.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 
 import numpy as np
@@ -23,25 +26,44 @@ BLOCK = (WINDOW + 1) // 2
 #: Text that one task handles at a time (a longer document is handled alone), and run hashes that meet in one task.
 CHUNK_BYTES = 6_000_000
 PART_KEYS = 2_000_000
+CHUNKS_A_FILE = 20
 NO_ID = (1 << 63) - 1
 
 
+class Digests:
+    """128-bit digests of words, as two arrays, and a memo of them."""
+
+    def __init__(self):
+        self.clear()
+        self.memo = spans.Memo(self.add, self.clear)
+
+    def clear(self) -> None:
+        self.pair = np.zeros((0, 2), np.uint64)
+
+    def add(self, words: list[str]) -> None:
+        made = b"".join([hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words])
+        self.pair = np.concatenate([self.pair, np.frombuffer(made, np.uint64).reshape(-1, 2)])
+
+
+@functools.cache
+def digests() -> Digests:
+    return Digests()
+
+
 class Chunk:
-    """Word hashes of some documents, end to end."""
+    """Word digests of some documents, end to end."""
 
-    def __init__(self, docs: pa.Table, exact: bool):
+    def __init__(self, docs: pa.Table):
         self.ids = np.array([NO_ID if i is None else i for i in docs.column("doc_id").to_pylist()], np.int64)
         self.texts = docs.column("text").to_pylist()
-        self.counts, a, b = np.zeros(len(self.texts), np.int64), [], []
+        self.counts, pairs, known = np.zeros(len(self.texts), np.int64), [np.zeros((0, 2), np.uint64)], digests()
         for i, j in spans.batches(self.texts):
             cp, starts = spans.code_points(self.texts[i:j])
             start, end, first = spans.words(cp, starts)
             self.counts[i:j] = np.diff(first)
-            a.append(spans.hashes(cp, start, end, 1))
-            if exact:
-                b.append(spans.hashes(cp, start, end, 2))
-        self.a = np.concatenate(a) if a else np.zeros(0, np.uint64)
-        self.b = np.concatenate(b) if b else np.zeros(0, np.uint64)
+            rows = known.memo.rows("".join(self.texts[i:j]), cp, start, end)
+            pairs.append(known.pair[rows])
+        self.a, self.b = np.concatenate(pairs).T.copy()
         self.doc = np.repeat(np.arange(len(self.texts)), self.counts)
         self.end = np.cumsum(self.counts)
         self.at = np.arange(len(self.a)) - np.repeat(self.end - self.counts, self.counts)
@@ -60,6 +82,14 @@ def roll(h: np.ndarray, starts: np.ndarray, width: int, seed: int) -> np.ndarray
     return spans.mix(out)
 
 
+def chain(h: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Another one, mixed after each value, so that no sum of values can be made to agree with another."""
+    out = np.full(len(starts), width, np.uint64)
+    for i in range(width):
+        out = spans.mix((out ^ h[starts + i]) * spans.BASE)
+    return out
+
+
 class Runs:
     """Distinct runs of BLOCK words of a chunk by key; the key's upper `bits` name the part where they meet."""
 
@@ -87,7 +117,7 @@ class Windows:
         near = np.cumsum(near)
         starts = chunk.starts(WINDOW)
         self.starts = starts[near[starts + WINDOW - BLOCK + 1] > near[starts]]
-        hi, lo = roll(chunk.a, self.starts, WINDOW, 13), roll(chunk.b, self.starts, WINDOW, 14)
+        hi, lo = chain(chunk.a, self.starts, WINDOW), chain(chunk.b, self.starts, WINDOW)
         order = np.lexsort((lo, hi))
         hi, lo = hi[order], lo[order]
         head = np.ones(len(order), bool)
@@ -139,18 +169,22 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     doc_id, n_words, n_removed, spans (maximal removed runs, as first word and word behind), kept (the
     words that stay, joined by one space). An empty table gives no rows.
 
-    Documents are dealt to chunks of bounded size. A chunk asks about each distinct run or window once,
-    so the rows that meet for one of them are as many as chunks, however often it occurs. Nothing is
-    capped; a false hit of a run's short key only adds windows to compare.
+    Documents are dealt to chunks, which are written once, in files by chunk, so that the three passes
+    over them need no shuffle of texts; rows that repeat go to a chunk for each input partition. A chunk
+    asks about each distinct run or window once, so the rows that meet for one of them are as many as
+    chunks, however often it occurs, and a chunk sends no more rows than it has distinct runs. Nothing
+    is capped; a false hit of a run's short key only adds windows to compare.
     """
     plain = texts(docs)
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0]
     chunks = max(1, math.ceil((size or 0) / CHUNK_BYTES))
     bits = max(3, math.ceil(math.log2(max(1, (size or 0) / 6 / PART_KEYS))))
-    plain = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int"))
+    files = min(chunks, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chunks / CHUNKS_A_FILE)))
+    plain = scratch.bucketed(dealt, "chunks", "chunk", files)
 
     def ask_runs(group: pa.Table) -> pa.Table:
-        runs = Runs(Chunk(group, False), bits)
+        runs = Runs(Chunk(group), bits)
         cut = [(p, slice(a, b)) for p, (a, b) in enumerate(zip(runs.bound[:-1].tolist(), runs.bound[1:].tolist())) if a < b]
         low = runs.key.astype(np.uint32)
         return pa.table(
@@ -180,7 +214,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def ask_windows(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not group.num_rows:
             return WINDOWS.empty_table()
-        chunk = Chunk(group, True)
+        chunk = Chunk(group)
         runs = Runs(chunk, bits)
         w = Windows(chunk, runs, _told(answers, 0, runs.bound), bits)
         cut = [(p, slice(a, b)) for p, (a, b) in enumerate(zip(w.bound[:-1].tolist(), w.bound[1:].tolist())) if a < b]
@@ -206,7 +240,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
         return _answer(group, flags, sizes, 1)
 
     def cut_out(group: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = Chunk(group, bool(answers.num_rows)) if group.num_rows else None
+        chunk = Chunk(group) if group.num_rows else None
         if chunk is None:
             return RESULT.empty_table()
         gone = np.zeros(len(chunk.a), bool)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pelorus.llm.packing import _byte_alphabet
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-#: Prefix states of longer words aren't remembered beyond the word.
+#: Prefix states of longer words aren't remembered beyond the word: by prefix they would take memory as its square.
 MEMO_UNITS = 40
 MEMO_STATES = 1_500_000
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -52,7 +53,7 @@ class PrefixCounter:
         self.final = {t[: -len(self.end)]: i for t, i in vocab.items() if t.endswith(self.end)}
         self.longest = max(map(len, vocab))
         self.fits: dict[int, bool] = {}
-        self.states: dict[str, tuple[int, int]] = {"": (0, -1)}
+        self.states: dict[str, tuple[int, int]] = {}
         self.counts: list[int] = []
         self.array = np.zeros(0, np.int64)
         self.memo = spans.Memo(self._add, self._clear)
@@ -62,7 +63,7 @@ class PrefixCounter:
 
     def _add(self, new: list[str]) -> None:
         if len(self.states) > MEMO_STATES:
-            self.states = {"": (0, -1)}
+            self.states = {}
         if len(self.fits) > MEMO_STATES:
             self.fits = {}
         self.array = np.concatenate([self.array, np.array([self.count(w) for w in new], np.int64)])
@@ -92,22 +93,25 @@ class PrefixCounter:
             else:  # at equal rank the merge further left comes first
                 before, b = b + 1, self.parts[b][0]
 
-    def _last(self, word: str, i: int, tokens: dict[str, int], states: dict[str, tuple[int, int]]) -> tuple[int, int]:
+    def _last(self, word: str, i: int, tokens: dict[str, int], counts: Sequence[int], lasts: Sequence[int]) -> tuple[int, int]:
         for j in range(max(0, i - self.longest), i):
             token = tokens.get(word[j:i])
-            if token is not None:
-                count, last = states[word[:j]]
-                if not j or self.compatible(last, token):
-                    return count + 1, token
+            if token is not None and (not j or self.compatible(lasts[j], token)):
+                return counts[j] + 1, token
         raise ValueError(f"no encoding of {word[:i]!r}")
 
-    def _states(self, word: str) -> dict[str, tuple[int, int]]:
-        """States of the prefixes that go on, for a word in units."""
-        states = self.states if len(word) <= MEMO_UNITS else dict.fromkeys([""], (0, -1))
+    def _states(self, word: str) -> tuple[array.array, array.array]:
+        """Token count and last token of the prefixes that go on, by length, for a word in units."""
+        counts, lasts, shared = array.array("i", [0]), array.array("i", [-1]), len(word) <= MEMO_UNITS
         for i in range(1, len(word)):
-            if word[:i] not in states:
-                states[word[:i]] = self._last(word, i, self.inner, states)
-        return states
+            state = self.states.get(word[:i]) if shared else None
+            if state is None:
+                state = self._last(word, i, self.inner, counts, lasts)
+                if shared:
+                    self.states[word[:i]] = state
+            counts.append(state[0])
+            lasts.append(state[1])
+        return counts, lasts
 
     def units(self, word: str) -> str:
         return "".join(map(self.unit.__getitem__, word.encode()))
@@ -117,19 +121,19 @@ class PrefixCounter:
         u = self.units(word)
         if u in self.final:
             return 1
-        return self._last(u, len(u), self.final, self._states(u))[0]
+        return self._last(u, len(u), self.final, *self._states(u))[0]
 
     def word_prefixes(self, word: str) -> list[int]:
         """Tokens of a text that is the first 1, 2, ... code points of word."""
         out, u = [], self.units(word)
-        states = self._states(u)
+        states, n = self._states(u), 0
         for k in range(1, len(word) + 1):
+            n += len(word[k - 1].encode())
             if word[0] == "'" and 1 < k < len(word):  # a contraction cut short is an apostrophe and letters
                 if len(cut := CUT.findall(word[:k])) > 1:
                     out.append(sum(map(self.count, cut)))
                     continue
-            n = len(word[:k].encode())
-            out.append(self._last(u, n, self.final, states)[0])
+            out.append(self._last(u, n, self.final, *states)[0])
         return out
 
     def normalise(self, text: str) -> str:

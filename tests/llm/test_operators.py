@@ -125,6 +125,44 @@ def test_byte_encoder_is_the_librarys():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == enc.library.encode(t, add_special_tokens=False).ids, t
 
 
+def thue_morse(swap=False):
+    """Of 1,024 letters; with its complement it breaks polynomial hashes modulo 2**64."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(1024))
+
+
+def test_words_with_one_hash_are_told_apart(spark, monkeypatch):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    words = [thue_morse(), thue_morse(True), "one", "two", "three"]
+    cases = [*words, " ".join(words)]
+    weak = lambda cp, start, end, seed=0: np.asarray(end - start, np.uint64) % np.uint64(2)
+    for hashes in (spans.hashes, weak):
+        monkeypatch.setattr(spans, "hashes", hashes)
+        enc = packing.ByteEncoder(packing._default_path())
+        ids, bounds = enc.encode(cases)
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [enc.library.encode(t, add_special_tokens=False).ids for t in cases]
+        counter = token_counts.PrefixCounter(token_counts._default_path())
+        _, total, (bounds, _, extra) = counter.batch(cases)
+        lib = Tokenizer.from_file(token_counts._default_path())
+        assert (total[bounds[1:]] - total[bounds[:-1]]).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in cases]
+        pieces = piece_lattice.Encoder(piece_lattice._default_path())
+        text = [pieces.pieces.normalise(t) for t in cases]
+        got = [ids.tolist() for ids, _ in pieces.encode(text, 1)]
+        assert [pieces.pieces.decode(x) for x in got] == cases
+        sp = sentencepiece.SentencePieceProcessor(model_file=piece_lattice._default_path())
+        assert all(sp.decode(x) == t for x, t in zip(got, cases))
+        known = substring_dedup.Digests()
+        cp, starts = spans.code_points([cases[-1]])
+        start, end, _ = spans.words(cp, starts)
+        rows = known.memo.rows(cases[-1], cp, start, end)
+        assert [known.pair[r].tobytes() for r in rows] == [hashlib.blake2b(w.encode(), digest_size=16).digest() for w in words]
+    monkeypatch.undo()
+    run = [f"w{i}" for i in range(6)]
+    docs = spark.createDataFrame([(1, " ".join([*run, words[0], *run])), (2, " ".join([*run, words[1], *run]))], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.repeats(docs, Scratch(spark, "ttm")).collect()] == [0, 0]
+
+
 # 2 fingerprints
 
 
@@ -204,6 +242,23 @@ def test_prefix_counts_are_the_librarys():
             assert own.prefixes(t) == [len(lib.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
 
 
+def test_a_long_word_takes_linear_memory():
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    counter = token_counts.PrefixCounter(token_counts._default_path())
+    for n in (1000, 200_000):
+        tracemalloc.start()
+        _, total, _ = counter.batch([word[:n]])
+        assert tracemalloc.get_traced_memory()[1] < 15_000_000 + 120 * n
+        tracemalloc.stop()
+    _, total, _ = counter.batch([word])
+    assert total[-1] == len(Tokenizer.from_file(token_counts._default_path()).encode(word, add_special_tokens=False).ids)
+
+
 def test_token_counts(spark, odd):
     rows = token_counts.token_counts(odd, prefixes=True)
     got = {r.doc_id: r for r in rows.collect()}
@@ -244,6 +299,55 @@ def test_exact_stage_keeps_columns_and_one_of_repeats(spark, odd):
     assert out.columns == odd.columns and out.count() == len(brute_dedup(ODD))
 
 
+def test_index_keeps_its_buckets_and_batches(spark, monkeypatch):
+    s = Scratch(spark, "t4i")
+    rows = spark.createDataFrame([(i, f"text {i % 20}") for i in range(60)], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, f"{s.root}/index", 4)
+    assert exact_dedup.exact_dedup(rows, index, Scratch(spark, "t4j"), "first").where("kept").count() == 20
+    index.close()
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = exact_dedup.DigestIndex(spark, f"{s.root}/index")
+        assert again.buckets == 4
+        assert exact_dedup.exact_dedup(rows, again, Scratch(spark, "t4k"), "second").where("kept").count() == 0
+        # the first batch again, as if its caller had crashed: whole, and in part
+        assert exact_dedup.exact_dedup(rows, again, Scratch(spark, "t4l"), "first").where("kept").count() == 20
+        assert again.rows().count() == 20
+        again.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    half = exact_dedup.DigestIndex(spark, f"{s.root}/half", 3)
+    exact_dedup.exact_dedup(rows.where("doc_id < 10"), half, Scratch(spark, "t4m"), "b").count()
+    got = exact_dedup.exact_dedup(rows, half, Scratch(spark, "t4n"), "b")
+    assert sorted(r.doc_id for r in got.where("kept").collect()) == list(range(20)) and half.rows().count() == 20
+    with pytest.raises(ValueError, match="3 buckets"):
+        exact_dedup.DigestIndex(spark, f"{s.root}/half", 5)
+
+
+CLASHES = "id n d k_id k_n k_d __id __n __d __text row copies salt fp text2 least part here".split()
+
+
+def test_stages_keep_clashing_and_map_columns(spark):
+    names = ", ".join(f"{c} string" for c in CLASHES)
+    rows = [(i, t, {"a": str(k)}, *(f"{c}{k}" for c in CLASHES)) for k, (i, t) in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, m map<string,string>, {names}").repartition(3)
+    for stage in (exact_dedup.stage, simhash.stage):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        for r in out.collect():
+            k = r.m["a"]
+            assert rows[int(k)][0] == r.doc_id and all(r[c] == f"{c}{k}" for c in CLASHES)
+
+
+def test_a_row_repeated_often(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COPIES", 7)
+    docs = spark.range(100).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same text").alias("text")).repartition(3)
+    s = Scratch(spark, "t4r")
+    rows = exact_dedup.exact_dedup(docs, exact_dedup.DigestIndex(spark, f"{s.root}/index"), s).collect()
+    assert len(rows) == 100 and sum(r.kept for r in rows) == 1 and {r.group_size for r in rows} == {100}
+    assert exact_dedup.stage(spark, docs, "").count() == 1
+
+
 # 5 language ID
 
 
