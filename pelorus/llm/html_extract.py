@@ -1,4 +1,10 @@
-"""HTML extraction with wrappers: union-free regular expressions inferred from the pages of a host."""
+"""HTML extraction with wrappers: union-free regular expressions inferred from the pages of a host.
+
+A page is a stream of tags and texts, balanced into nodes. The wrapper of a host starts as its first
+page; every further page is aligned with it, level by level. Where texts differ there is a text slot;
+where tags differ, what is missing is a repetition of its neighbour or of an earlier part (a repeated
+group) or else optional. The wrapper then tells template from text.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +13,35 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelorus.llm.common import Scratch, table
 
-SALTS = 32
-#: A longer text isn't template for being the same in all pages.
-SHORT = 200
-#: Elements deeper than this are taken as children of the last one above.
-DEPTH = 100
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+#: Partial wrappers of a host that meet in one task.
+FAN_IN = 64
+#: Children that are kept in order; with more they make one repeated group. Cells of an alignment's table.
+KIDS = 64
+CELLS = 4096
+#: Adjacent equal elements that are a repetition on sight.
+RUN = 12
+#: A wrapper with more nodes forgets those that fewer than a quarter of its pages have: no template is among them.
+NODES = 1500
+#: Different pages that a text must be the same in to be template, and how many a wrapper remembers.
+LEAST_PAGES = 3
+SEEN = 8
+#: Places that a host's pages are dealt to: a quarter of the input's partitions, or these.
+LEAST_SALTS = 8
+#: Pages that are aligned before their wrappers are handed on.
+SLICE = 1000
+
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTES = re.compile(r"(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg", "math"}
@@ -39,6 +60,7 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 SCOPES = {"html", "body", "article", "main", "section", "div", "td", "th", "table", "aside", "nav", "header", "footer", "form", "blockquote"}
+LISTS = {"ul", "ol", "dl", "tr", "tbody"}
 DROPPED_TAGS = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "object", "canvas", "audio", "video"}
 DROPPED_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation navi breadcrumb breadcrumbs "
@@ -46,78 +68,126 @@ DROPPED_WORDS = set(
     "subscription signup login comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations "
     "widget widgets toolbar pagination pager search tags".split()
 )
+COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus"}
+#: Of the dropped words those that also name parts of a text: in the main element they need the wrapper's word.
+PLAIN_WORDS = {"side", "rail", "foot", "discussion"}
 LAYOUT_WORDS = {"has", "no", "with", "without"}
 OWN_HEADER = {"article", "post", "entry", "content", "story"}
 #: Elements of running text: a word of their id names an anchor, not a kind of element.
 TEXT_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "td", "th", "tr", "table", "blockquote", "pre", "section", "figure"}
 MAIN_WORDS = {"articlebody", "maincontent", "storybody", "postbody", "postcontent", "entrycontent", "articlecontent", "articletext", "main"}
+#: Elements that may be links from end to end and yet are text.
+UNLINKED = {"html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "blockquote", "pre"}
+#: What names say of an element: nothing; one of DROPPED_WORDS is in them; the same, of an id that may be an anchor's; it is a whole name in class or role.
+NO_NAME, NAMED, ANCHOR, WHOLE = 0, 1, 2, 3
+FIXED, LINKED, SAME = 1, 2, 4
 
 
-class Element:
-    """A structural element of a page: signature, and its content in order (texts, elements).
+class Node:
+    """An element of a page, or of a wrapper: what is the same in all pages, and what isn't.
 
-    The signature is the tag, the words of its names, and `!` if one of DROPPED_WORDS is a whole name
-    in its class or role, `?` if one is only in its id.
+    n, c, l: occurrences, characters of its own text, those in links; t: a hash of that text, None for a
+    slot; kids; rep, opt: whether it is repeated, whether pages can lack it; group: whether its kids,
+    one of each signature, make a group ((a)?(b)?...)+. Of a page also tag, items (its texts, kids and,
+    as None, ends of blocks) and what its names say.
     """
 
-    __slots__ = ("tag", "words", "sig", "items", "link")
+    __slots__ = ("tag", "sig", "items", "says", "words", "kids", "n", "c", "l", "t", "rep", "opt", "group", "flag", "kinds")
 
-    def __init__(self, tag: str, words: frozenset[str], mark: str = ""):
-        self.tag, self.words, self.items, self.link = tag, words, [], 0
-        self.sig = f"{tag}.{'.'.join(sorted(words))}{mark}" if words else tag
+    def __init__(self, tag: str, sig: str, says: int = NO_NAME, words: frozenset[str] = frozenset()):
+        self.tag, self.sig, self.says, self.words = tag, sig, says, words
+        self.items, self.kids, self.n, self.c, self.l, self.t = [], [], 1, 0, 0, ""
+        self.rep = self.opt = self.group = False
+        self.flag, self.kinds = 0, None
 
 
 def _words(names: str) -> frozenset[str]:
     return frozenset(w.lower() for w in re.findall(r"[A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names)))
 
 
-def parse(page: str) -> Element:
-    """The tree of a page. Inline elements without class or id leave only their text; missing end tags are implied."""
-    root = Element("html", frozenset())
-    stack: list[tuple[str, Element]] = [("", root)]
+def _named(attributes: str) -> tuple[int, frozenset[str], str]:
+    """What the names among attributes say, their words, and those of class and role for the signature."""
+    found = [(name.lower(), a or b or c) for name, a, b, c in ATTRIBUTE.findall(attributes)]
+    words = _words(" ".join(v for _, v in found))
+    kind = _words(" ".join(v for name, v in found if name != "id"))
+    says = NO_NAME
+    if words & DROPPED_WORDS:
+        if any(v in DROPPED_WORDS for name, value in found if name in ("class", "role") for v in value.lower().split()):
+            says = WHOLE
+        else:
+            says = NAMED if kind & DROPPED_WORDS else ANCHOR
+    return says, words, ".".join(sorted(kind | (words & (DROPPED_WORDS | MAIN_WORDS))))
+
+
+def parse(page: str) -> Node:
+    """The nodes of a page. Inline elements without class or id leave only their text; missing end tags are implied.
+
+    One pass over the page: a tag that doesn't end within its quotes ends at the next `>`.
+    """
+    root = Node("html", "html")
+    stack: list[tuple[str, Node]] = [("", root)]
+    opened: Counter[str] = Counter()
     at = linked = 0
-    size = len(page)
+    size, shut = len(page), -1
 
     def text(a: int, b: int) -> None:
         if a < b:
             own = stack[-1][1]
             own.items.append(page[a:b])
             if linked:
-                own.link += b - a
+                own.l += b - a
 
     def close(upto: int) -> None:
         nonlocal linked
         for tag, _ in stack[upto:]:
+            opened[tag] -= 1
             linked -= tag == "a"
         del stack[upto:]
 
     def find(tags: set[str], stops: set[str]) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in stops:
-                break
+        if any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in tags:
+                    return i
+                if stack[i][0] in stops:
+                    break
         return 0
 
     while at < size:
-        m = TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if shut < start:
+            shut = page.find(">", start)
+        if start < 0 or shut < 0:
             text(at, size)
             break
-        text(at, m.start())
-        at = m.end()
-        if m[2] is None:
+        after = page[start + 1 : start + 2]
+        if after in ("!", "?"):
+            text(at, start)
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else size
+            else:
+                at = shut + 1
+            continue
+        name = NAME.match(page, start + 1)
+        if name is None:
+            text(at, start + 1)
+            at = start + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if i := find({tag}, set() if tag in SCOPES or tag in {"ul", "ol", "dl", "tr", "tbody"} else SCOPES):
+        text(at, start)
+        end = ATTRIBUTES.match(page, name.end()).end()
+        end = end if end < size else page.find(">", name.end())
+        more, at = page[name.end() : end], end + 1
+        tag = name[2].lower()
+        if name[1]:
+            if i := find({tag}, set() if tag in SCOPES or tag in LISTS else SCOPES):
                 close(i)
                 if tag in BLOCKS:
                     stack[-1][1].items.append(None)
             continue
-        if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+        if tag in RAW and not more.endswith("/"):
+            end_tag = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = end_tag.end() if end_tag else size
             continue
         if tag in VOID:
             stack[-1][1].items.append(" " if tag in ("br", "wbr") else None if tag == "hr" else "")
@@ -128,207 +198,404 @@ def parse(page: str) -> Element:
                 close(i)
             elif i := find({"p"}, SCOPES):
                 close(i)
-        words, mark = frozenset(), ""
-        if m[3] and ("=" in m[3]):
-            named = [(name.lower(), a or b or c) for name, a, b, c in ATTRIBUTE.findall(m[3])]
-            words = _words(" ".join(v for _, v in named))
-            if words & DROPPED_WORDS:
-                if any(v in DROPPED_WORDS for name, value in named if name in ("class", "role") for v in value.lower().split()):
-                    mark = "!"
-                elif not _words(" ".join(v for name, v in named if name != "id")) & DROPPED_WORDS:
-                    mark = "?"
         if tag == "html":
             continue
+        says, words, kind = _named(more) if "=" in more else (NO_NAME, frozenset(), "")
         linked += tag == "a"
-        if (tag in BLOCKS or words) and len(stack) < DEPTH:
-            own = Element(tag, words, mark)
+        opened[tag] += 1
+        if tag in BLOCKS or words:
+            own = Node(tag, f"{tag}.{kind}" if kind else tag, says, words)
             stack[-1][1].items.append(own)
+            stack[-1][1].kids.append(own)
             stack.append((tag, own))
         else:
             stack.append((tag, stack[-1][1]))
             if tag in BLOCKS:
                 stack[-1][1].items.append(None)
-        if m[3].endswith("/") and tag not in BLOCKS:
+        if more.endswith("/") and tag not in BLOCKS:
             close(len(stack) - 1)
+    for node in preorder(root):
+        own = [x for x in node.items if isinstance(x, str)]
+        node.c = sum(map(len, own))
+        if line := " ".join("".join(own).split()):
+            node.t = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
     return root
 
 
-# A wrapper node is {"n": pages, "c": characters, "l": of them in links, "t": fixed text (of a long one the start and a
-# hash of the whole) or None (a slot),
-# "g": whether its children make a group ((a)?(b)?...)+, "k": {signature: [optional, repeated, node]} in order}.
+def preorder(root: Node) -> list[Node]:
+    """All nodes, each before its kids."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack.extend(reversed(node.kids))
+    return out
 
 
-def wrapper_of(e: Element) -> dict:
-    """The wrapper that one page's element is an instance of."""
-    own = [x for x in e.items if isinstance(x, str)]
-    text = " ".join("".join(own).split())
-    if len(text) > SHORT:
-        text = text[:SHORT] + "#" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
-    node = {"n": 1, "c": sum(map(len, own)), "l": e.link, "t": text, "g": False, "k": {}}
-    last = ""
-    for child in e.items:
-        if not isinstance(child, Element):
-            continue
-        made = wrapper_of(child)
-        if (seen := node["k"].get(child.sig)) is None:
-            node["k"][child.sig] = [False, False, made]
-        else:  # the same square again: a repeated group, of the element if adjacent or else of all children
-            seen[1] = True
-            node["g"] |= last != child.sig
-            seen[2] = align(seen[2], made)
-            seen[2]["n"] = 1
-        last = child.sig
-        node["c"] += made["c"]
-        node["l"] += made["l"]
-    return node
-
-
-def align(a: dict, b: dict) -> dict:
-    """The wrapper of all pages that a and b are wrappers of.
-
-    Texts that differ become slots; elements that only one has become optional; where the common
-    elements come in another order, the children become a repeated group of optional elements.
+def _kinds(node: Node) -> frozenset[str]:
+    if node.kinds is None:
+        node.kinds = frozenset(k.sig for k in node.kids)
+    return node.kinds
+
+
+def _alike(a: Node, b: Node) -> bool:
+    """Whether two nodes of one signature have much the same kinds of kids."""
+    x, y = _kinds(a), _kinds(b)
+    return 2 * len(x & y) >= len(x | y)
+
+
+def place(x: list[Node], y: list[Node]) -> list[int]:
+    """For the nodes y of a page or wrapper the places of their partners among the nodes x of a wrapper, in order; -1 without one.
+
+    The alignment has the most partners, weighed by whether they are alike and have the same text; a
+    repeated node can have several.
     """
-    mine, other = list(a["k"]), list(b["k"])
-    group = a["g"] or b["g"] or [s for s in mine if s in b["k"]] != [s for s in other if s in a["k"]]
-    order: list[str] = []
-    if group:
-        order = mine + [s for s in other if s not in a["k"]]
-    else:
-        i = 0
-        for s in other:
-            if s in a["k"]:
-                order += mine[i : mine.index(s) + 1]
-                i = mine.index(s) + 1
-            else:
-                order.append(s)
-        order += mine[i:]
-    kids = {}
-    for s in order:
-        x, y = a["k"].get(s), b["k"].get(s)
-        if x and y:
-            kids[s] = [x[0] or y[0], x[1] or y[1], align(x[2], y[2])]
+    if len(x) == len(y) and all(a.sig == b.sig for a, b in zip(x, y)):
+        return list(range(len(y)))
+    n, m, head = len(x), len(y), 0
+    while head < min(n, m) and x[head].sig == y[head].sig and not x[head].rep and x[head].t == y[head].t and _alike(x[head], y[head]):
+        head += 1
+    if (n - head) * (m - head) > CELLS:  # too many for a table: the first of the signature that is still to come
+        to, at = list(range(head)), head
+        where: dict[str, list[int]] = {}
+        for i in range(n - 1, head - 1, -1):
+            where.setdefault(x[i].sig, []).append(i)
+        for b in y[head:]:
+            found = where.get(b.sig, [])
+            while found and found[-1] < at:
+                found.pop()
+            to.append(found[-1] if found else -1)
+            if found:
+                at = found[-1] + (not x[found[-1]].rep)
+        return to
+    width = m - head + 1
+    best = [[0] * width for _ in range(n - head + 1)]
+    for i in range(n - 1, head - 1, -1):
+        row, below = best[i - head], best[i - head + 1]
+        a = x[i]
+        for j in range(m - 1, head - 1, -1):
+            got = below[j - head] if below[j - head] >= row[j - head + 1] else row[j - head + 1]
+            if a.sig == y[j].sig:
+                worth = 2 + 2 * _alike(a, y[j]) + (a.t == y[j].t)
+                got = max(got, worth + below[j - head + 1], worth + row[j - head + 1] if a.rep else 0)
+            row[j - head] = got
+    to, i, j = list(range(head)), head, head
+    while j < m:
+        if i == n:
+            to.append(-1)
+            j += 1
+            continue
+        a, here = x[i], best[i - head][j - head]
+        worth = 2 + 2 * _alike(a, y[j]) + (a.t == y[j].t) if a.sig == y[j].sig else 0
+        if worth and a.rep and here == worth + best[i - head][j - head + 1]:
+            to.append(i)
+            j += 1
+        elif worth and here == worth + best[i - head + 1][j - head + 1]:
+            to.append(i)
+            i, j = i + 1, j + 1
+        elif here == best[i - head + 1][j - head]:
+            i += 1
         else:
-            kids[s] = [True, (x or y)[1], (x or y)[2]]
-    return {"n": a["n"] + b["n"], "c": a["c"] + b["c"], "l": a["l"] + b["l"], "t": a["t"] if a["t"] == b["t"] else None, "g": group, "k": kids}
+            to.append(-1)
+            j += 1
+    return to
+
+
+def merge(a: Node, b: Node) -> Node:
+    """Make the wrapper a one of all pages that a or b is a wrapper of (b is used up)."""
+    todo = [(a, b)]
+    while todo:
+        a_, b_ = todo.pop()
+        _meet(a_, b_, todo)
+    return a
+
+
+def _meet(a: Node, b: Node, todo: list[tuple[Node, Node]]) -> None:
+    a.n, a.c, a.l = a.n + b.n, a.c + b.c, a.l + b.l
+    a.rep, a.opt, a.group = a.rep or b.rep, a.opt or b.opt, a.group or b.group
+    if a.t != b.t:
+        a.t = None
+    joined: list[tuple[Node, Node]] = []  # of one page's kids, that are one repeated node
+    pairs: list[tuple[Node, Node]] = []
+    x, y = _runs(a.kids, joined), _runs(b.kids, joined)
+    out: list[Node] = []
+    if not a.group:
+        to, i = place(x, y), 0
+        for j, own in enumerate(y):
+            if to[j] >= 0:
+                lost, partner = x[i : to[j]], x[to[j]]
+                while lost and lost[-1].sig == partner.sig and _alike(lost[-1], partner):
+                    partner.rep = True
+                    joined.append((partner, lost.pop()))
+                for k in lost:
+                    _spare(k, out, joined, a)
+                if to[j] >= i:
+                    out.append(x[to[j]])
+                    i = to[j] + 1
+                else:
+                    x[to[j]].rep = True
+                pairs.append((x[to[j]], own))
+            else:
+                after = x[to[j + 1]] if j + 1 < len(y) and to[j + 1] >= 0 else None
+                if after is not None and after.sig == own.sig and _alike(after, own):
+                    after.rep = True
+                    pairs.append((after, own))
+                else:
+                    _spare(own, out, joined, a)
+        for k in x[i:]:
+            _spare(k, out, joined, a)
+        a.group = len(out) > KIDS or a.group
+    else:
+        out = x + y
+        for k in out:
+            k.opt = True
+    if a.group:
+        first: dict[str, Node] = {}
+        for k in out:
+            if (seen := first.setdefault(k.sig, k)) is not k:
+                seen.rep = True
+                joined.append((seen, k))
+        out = list(first.values())
+    a.kids, a.kinds = out, None
+    to_node: dict[int, Node] = {id(k): node for node, k in [*joined, *pairs]}
+
+    def whole(node: Node) -> Node:
+        while id(node) in to_node:
+            node = to_node[id(node)]
+        return node
+
+    todo.extend((whole(node), k) for node, k in [*joined, *pairs])
+
+
+def _runs(kids: list[Node], joined: list[tuple[Node, Node]]) -> list[Node]:
+    """Kids with a long run of adjacent equal ones, or one beside a repeated one, as one repeated node."""
+    out: list[Node] = []
+    i = 0
+    while i < len(kids):
+        j = i + 1
+        while j < len(kids) and kids[j].sig == kids[i].sig:
+            j += 1
+        run = kids[i:j]
+        if len(run) > RUN or (len(run) > 1 and any(k.rep for k in run)):
+            run[0].rep = True
+            joined.extend((run[0], k) for k in run[1:])
+            run = run[:1]
+        out += run
+        i = j
+    return out
 
 
-def expression(node: dict, sig: str = "html") -> str:
-    """A wrapper as a union-free regular expression over tags and text (#TEXT is a slot)."""
-    inner = "".join(f"({expression(n, s)}){'+' if rep else ''}{'?' if opt else ''}" for s, (opt, rep, n) in node["k"].items())
-    text = "#TEXT" if node["t"] is None else node["t"]
-    return f"<{sig}>{text}{f'({inner})+' if node['g'] else inner}</{sig}>"
+def _spare(own: Node, out: list[Node], joined: list[tuple[Node, Node]], parent: Node) -> None:
+    """A node without a partner: it repeats the node before it, or shows a repeated group, or is optional."""
+    if out and out[-1].sig == own.sig and _alike(out[-1], own):
+        out[-1].rep = True
+        joined.append((out[-1], own))
+        return
+    if any(k.sig == own.sig and _alike(k, own) for k in out):
+        parent.group = True
+    own.opt = True
+    out.append(own)
+
+
+def prune(root: Node) -> None:
+    """Forget nodes that fewer than a quarter of the pages have, if there are many."""
+    if len(preorder(root)) > NODES:
+        for node in preorder(root):
+            node.kids, node.kinds = [k for k in node.kids if 4 * k.n >= root.n], None
+
+
+class Wrapper:
+    """The wrapper of some pages: its nodes, and hashes of the first SEEN different pages."""
+
+    def __init__(self, root: Node, seen: set[str]):
+        self.root, self.seen = root, seen
+
+    def add(self, other: Wrapper) -> Wrapper:
+        merge(self.root, other.root)
+        prune(self.root)
+        self.seen = set(sorted(self.seen | other.seen)[:SEEN])
+        return self
+
+    def dumps(self) -> str:
+        return json.dumps([sorted(self.seen), [[k.sig, len(k.kids), k.n, k.c, k.l, k.t, k.rep | k.opt << 1 | k.group << 2] for k in preorder(self.root)]])
+
+    @staticmethod
+    def loads(text: str) -> Wrapper:
+        seen, rows = json.loads(text)
+        stack: list[tuple[Node, int]] = []
+        root = None
+        for sig, kids, n, c, l_, t, bits in rows:
+            node = Node(sig.partition(".")[0], sig)
+            node.n, node.c, node.l, node.t, node.rep, node.opt, node.group = n, c, l_, t, bool(bits & 1), bool(bits & 2), bool(bits & 4)
+            while stack and not stack[-1][1]:
+                stack.pop()
+            if stack:
+                parent, left = stack.pop()
+                parent.kids.append(node)
+                stack.append((parent, left - 1))
+            root = root or node
+            stack.append((node, kids))
+        return Wrapper(root, set(seen))
+
+
+def wrapper_of(page: str) -> Wrapper:
+    """The wrapper that has one page."""
+    root = parse(page)
+    for node in preorder(root):
+        node.items = []
+    return Wrapper(root, {hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()})
 
 
-def _dropped(sig: str, inside: bool) -> bool:
-    """Whether an element is left out by its tag and names. Inside the main element only whole names in class or role count."""
-    tag, words = _parts(sig)
-    if tag in ("article", "main", "body", "html"):
-        return False
-    if tag in DROPPED_TAGS or tag == "header" and not inside:
-        return True
-    if inside:
-        return sig.endswith("!")
-    if words & LAYOUT_WORDS:  # "no-sidebar" and the like say what a page looks like
-        return False
-    if words & DROPPED_WORDS:
-        return not (sig.endswith("?") and tag in TEXT_TAGS)
-    return "header" in words and not words & OWN_HEADER
+def infer(pages: list[str]) -> Wrapper:
+    return functools.reduce(Wrapper.add, map(wrapper_of, pages))
 
 
-def _parts(sig: str) -> tuple[str, set[str]]:
-    tag, _, words = sig.rstrip("!?").partition(".")
-    return tag, set(words.split(".")) if words else set()
+def expression(node: Node) -> str:
+    """A wrapper as a union-free regular expression over tags and text (#TEXT is a slot, other texts are their hashes)."""
+    inner = "".join(f"({expression(k)}){'+' if k.rep else ''}{'?' if k.opt else ''}" for k in node.kids)
+    return f"<{node.sig}>{'#TEXT' if node.t is None else node.t}{f'({inner})+' if node.group else inner}</{node.sig}>"
 
 
-def _template(node: dict, path: list[str], pages: int) -> list[list[str]]:
-    """Paths below a main element of parts that have one of DROPPED_WORDS in a name and that the wrapper shows as template.
+def judge(wrapper: Wrapper) -> Wrapper:
+    """Set the flags of a wrapper's nodes: SAME if all of their text is the same in nearly all pages, LINKED if most is links.
 
-    That is: nearly all text in links, or the same text in nearly all pages, of which there are three at least.
+    Text is the same only if LEAST_PAGES different pages or more have it; and FIXED too, unless the same
+    texts together are the larger part of the pages: copies of one page and pages with one long text
+    have no fixed text.
     """
+    nodes, root = preorder(wrapper.root), wrapper.root
+    whole: dict[int, tuple[int, int, bool]] = {}
+    for node in reversed(nodes):
+        c, l_ = node.c, node.l
+        same = not node.c or node.t == "" or (node.t is not None and not node.rep and 10 * node.n >= 9 * root.n)
+        for k in node.kids:
+            kc, kl, ks = whole[id(k)]
+            c, l_, same = c + kc, l_ + kl, same and (ks or not kc)
+        whole[id(node)] = c, l_, same
+        node.flag = LINKED if c and 10 * l_ >= 7 * c and node.tag not in UNLINKED else 0
+    if len(wrapper.seen) >= LEAST_PAGES:
+        fixed = sum(k.c for k in nodes if k.t and not k.rep and 10 * k.n >= 9 * root.n)
+        flag = SAME | FIXED if 2 * fixed <= whole[id(root)][0] else SAME
+        for node in nodes:
+            c, _, same = whole[id(node)]
+            if c and same and node is not root:
+                node.flag |= flag
+    return wrapper
+
+
+def rule_of(wrapper: Wrapper) -> str:
+    """What extraction needs of a judged wrapper: the nodes that half of the pages have."""
+    judge(wrapper)
+    stack = [wrapper.root]
+    while stack:
+        node = stack.pop()
+        node.kids = [k for k in node.kids if 2 * k.n >= wrapper.root.n]
+        stack.extend(node.kids)
+    return json.dumps([[k.sig, len(k.kids), k.t or "", k.rep | k.group << 1 | k.flag << 2] for k in preorder(wrapper.root)])
+
+
+@functools.lru_cache(256)
+def _rule(text: str) -> Node:
+    rows = json.loads(text)
+    root, stack = None, []
+    for sig, kids, t, bits in rows:
+        node = Node(sig.partition(".")[0], sig)
+        node.t, node.rep, node.group, node.flag = t, bool(bits & 1), bool(bits & 2), bits >> 2
+        while stack and not stack[-1][1]:
+            stack.pop()
+        if stack:
+            stack[-1][1] -= 1
+            stack[-1][0].kids.append(node)
+        root = root or node
+        stack.append([node, kids])
+    return root
+
+
+def _dropped(e: Node, inside: bool) -> bool:
+    """Whether an element is left out by its tag and names. Inside the main element only whole names in class or role count."""
+    if e.tag in ("article", "main", "body", "html"):
+        return e.tag == "article" and e.says == WHOLE and bool(e.words & COMMENT_WORDS)
+    if e.tag in DROPPED_TAGS or e.tag == "header" and not inside:
+        return True
+    if inside:
+        return e.says == WHOLE and bool(e.words & DROPPED_WORDS - PLAIN_WORDS)
+    if e.words & LAYOUT_WORDS:  # "no-sidebar" and the like say what a page looks like
+        return False
+    if e.says:
+        return not (e.says == ANCHOR and e.tag in TEXT_TAGS)
+    return "header" in e.words and not e.words & OWN_HEADER
+
 
-    def fixed(n: dict) -> bool:
-        return n["t"] is not None and all(fixed(k) for _, _, k in n["k"].values())
-
-    out: list[list[str]] = []
-    for s, (_, repeated, kid) in node["k"].items():
-        tag, words = _parts(s)
-        here = [*path, s]
-        linked = kid["l"] * 10 >= kid["c"] * 7
-        same = pages >= 3 and kid["n"] * 10 >= pages * 9 and not repeated and fixed(kid)
-        if kid["c"] and words & DROPPED_WORDS and not words & LAYOUT_WORDS and not (s.endswith("?") and tag in TEXT_TAGS) and (linked or same):
-            out.append(here)
+def _flags(root: Node, rule: Node) -> None:
+    """Give a page's nodes the flags of their partners in a rule."""
+    todo = [(root, rule)]
+    while todo:
+        e, w = todo.pop()
+        if not e.kids or not w.kids:
+            continue
+        if w.group:
+            of = {k.sig: k for k in w.kids}
+            found = [(k, of.get(k.sig)) for k in e.kids]
         else:
-            out += _template(kid, here, pages)
-    return out
+            found = [(k, w.kids[i] if i >= 0 else None) for k, i in zip(e.kids, place(w.kids, e.kids))]
+        for k, partner in found:
+            if partner is not None:
+                k.flag = partner.flag
+                todo.append((k, partner))
 
 
-def rules(node: dict) -> dict:
-    """Where the main text of a wrapper's pages is: paths of the main elements, and of template parts in them to leave out.
+def _mains(root: Node) -> list[Node]:
+    """The main elements of a page: its outermost articles, or a main element or one of that name that has far more text.
 
-    The main element is the article (or main) with the most text; without one, the innermost element
-    that holds all of the text outside of dropped, link-filled and fixed parts. Short texts that are the
-    same in nearly all of three pages or more are fixed, if other texts differ.
+    They stand outside of dropped elements, or else in one that only a name (not of comments) drops. An
+    article that is mostly links leads elsewhere, if there are others.
     """
-    marked: list[tuple[bool, int, list[str]]] = []
-
-    def look(n: dict, path: list[str], inside: bool) -> None:
-        for s, (_, _, kid) in n["k"].items():
-            tag, words = _parts(s)
-            if _dropped(s, inside):
-                continue
-            if tag == "article" or tag == "main" or words & MAIN_WORDS or "".join(sorted(words)) in MAIN_WORDS or {"article", "body"} <= words:
-                marked.append((tag == "article", kid["c"], [*path, s]))
-            look(kid, [*path, s], inside or tag in ("article", "main"))
-
-    look(node, [], False)
-    if marked:
-        best = max((m for m in marked if m[1] * 5 >= max(x[1] for x in marked)), key=lambda m: (m[0], m[1]))
-        at = node
-        for s in best[2]:
-            at = at["k"][s][2]
-        return {"main": best[2], "drop": _template(at, best[2], at["n"]), "inside": True}
-    drop: list[list[str]] = []
-
-    def worth(n: dict, path: list[str], same: bool = True) -> int:
-        own = n["c"] - sum(k["c"] for _, _, k in n["k"].values())
-        fixed = same and node["n"] >= 3 and n["n"] * 10 >= node["n"] * 9 and n["t"] and len(n["t"]) <= SHORT and len(path) > 1
-        total = 0 if fixed else own
-        for s, (_, _, kid) in n["k"].items():
-            tag, words = _parts(s)
-            here = [*path, s]
-            if _dropped(s, False):
-                continue
-            if tag not in ("body", "p") and kid["c"] and kid["l"] * 10 >= kid["c"] * 7 and kid["n"] >= 1:
-                drop.append(here)
+    size: dict[int, tuple[int, int]] = {}
+    for node in reversed(preorder(root)):
+        kids = [size[id(k)] for k in node.kids]
+        size[id(node)] = node.c + sum(c for c, _ in kids), node.l + sum(l_ for _, l_ in kids)
+    for lenient in (False, True):
+        found: dict[str, list[Node]] = {"article": [], "main": [], "named": []}
+        stack = [(root, False, False, False)]
+        while stack:
+            e, in_article, in_main, in_named = stack.pop()
+            inside = in_article or in_main
+            if _dropped(e, inside) and not (lenient and e.says and e.tag not in DROPPED_TAGS and e.tag != "header" and not e.words & COMMENT_WORDS):
                 continue
-            got = worth(kid, here, same)
-            if not got and kid["c"]:
-                drop.append(here)
-            total += got
-        n["w"] = total
-        return total
-
-    if not worth(node, []):  # copies of one page
-        drop.clear()
-        worth(node, [], False)
-    path, at = [], node
-    while True:
-        held = [(kid.get("w", 0), s, kid) for s, (_, rep, kid) in at["k"].items() if not rep and [*path, s] not in drop and _parts(s)[0] not in ("p", "li", "h1", "h2", "h3", "td", "tr", "blockquote", "pre")]
-        w, s, kid = max(held, key=lambda x: x[0], default=(0, "", {}))
-        if not w or w < at["w"]:
-            return {"main": path, "drop": drop, "inside": False}
-        path, at = [*path, s], kid
-
-
-def text_of(root: Element, rule: dict) -> str | None:
-    """The main text under a rule; None if the page lacks the main element."""
-    nodes = [root]
-    for s in rule["main"]:
-        nodes = [x for n in nodes for x in n.items if isinstance(x, Element) and x.sig == s]
-    if not nodes:
-        return None
-    drop = {tuple(p) for p in rule["drop"]}
+            if e.tag == "article":
+                if not in_article:
+                    found["article"].append(e)
+                in_article = True
+            elif e.tag == "main":
+                if not in_main:
+                    found["main"].append(e)
+                in_main = True
+            elif e.words and (e.words & MAIN_WORDS or "".join(sorted(e.words)) in MAIN_WORDS or {"article", "body"} <= e.words):
+                if not in_named:
+                    found["named"].append(e)
+                in_named = True
+            stack.extend((k, in_article, in_main, in_named) for k in reversed(e.kids))
+        told = [e for e in found["article"] if size[id(e)][1] * 10 < size[id(e)][0] * 7]
+        found["article"] = told or found["article"]
+        held = {k: sum(size[id(e)][0] for e in v) for k, v in found.items()}
+        if most := max(held.values()):
+            if 5 * held["article"] >= most:
+                return found["article"]
+            return found["main"] if 5 * held["main"] >= most else found["named"]
+    return []
+
+
+def text_of(root: Node, rule: Node | None) -> str:
+    """The main text of a page: of its main elements, or else of all that isn't dropped and isn't template."""
+    if rule is not None:
+        _flags(root, rule)
+    mains = _mains(root)
+    text = _blocks(mains, True) if mains else _blocks([root], False)
+    return text if text or mains else _blocks([root], False, lenient=True)
+
+
+def _blocks(mains: list[Node], inside: bool, lenient: bool = False) -> str:
+    """Blocks of text of some elements, in page order. Lenient: names (but those of comments) and flags don't count."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -337,93 +604,118 @@ def text_of(root: Element, rule: dict) -> str | None:
             blocks.append(got)
         line.clear()
 
-    def walk(e: Element, path: tuple[str, ...], inside: bool) -> None:
-        for x in e.items:
-            if x is None:
-                end()
-            elif isinstance(x, str):
-                line.append(x)
-            else:
-                here = (*path, x.sig)
-                if here in drop or _dropped(x.sig, inside):
-                    if x.tag in BLOCKS:
-                        end()
-                    continue
-                if x.tag in BLOCKS:
+    for main in mains:
+        own_inside = inside or main.tag in ("article", "main")
+        stack: list = [(iter(main.items), own_inside, True)]
+        while stack:
+            items, within, block = stack[-1]
+            for x in items:
+                if x is None:
                     end()
-                walk(x, here, inside or x.tag in ("article", "main"))
-                if x.tag in BLOCKS:
+                elif isinstance(x, str):
+                    line.append(x)
+                else:
+                    blocky = x.tag in BLOCKS
+                    if blocky:
+                        end()
+                    if not _left_out(x, within, lenient):
+                        stack.append((iter(x.items), within or x.tag in ("article", "main"), blocky))
+                        break
+            else:
+                stack.pop()
+                if block:
                     end()
-
-    for n in nodes:
-        walk(n, tuple(rule["main"]), rule["inside"] or any(_parts(s)[0] in ("article", "main") for s in rule["main"]))
-        end()
     return "\n".join(blocks)
 
 
-def extract_page(page: str, rule: dict) -> str:
-    root = parse(page)
-    text = text_of(root, rule)
-    return (text_of(root, rules(wrapper_of(root))) or "") if text is None else text
+def _left_out(e: Node, inside: bool, lenient: bool) -> bool:
+    if lenient:
+        return e.tag in DROPPED_TAGS or e.tag == "header" or bool(e.words & COMMENT_WORDS)
+    if _dropped(e, inside):
+        return True
+    if inside:
+        return bool(e.flag) and e.says in (NAMED, WHOLE, ANCHOR) and not e.words & LAYOUT_WORDS and not (e.says == ANCHOR and e.tag in TEXT_TAGS)
+    return bool(e.flag & (FIXED | LINKED))
 
 
-@functools.lru_cache(4096)
-def _rule(text: str) -> dict:
-    return json.loads(text)
+def extract_page(page: str, rule: str | None = None) -> str:
+    """The main text of a page under the rule of its host; without one, under its own."""
+    return text_of(parse(page), _rule(rule if rule is not None else rule_of(wrapper_of(page))))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """Wrapper of each host from all its pages (host, salt, html): host, wrapper (JSON).
+def wrappers(pages: DataFrame, parts: int) -> DataFrame:
+    """Wrapper of each host from all its pages (host, html): host, wrapper (JSON).
 
-    Pages are aligned within a batch, then the partial wrappers of a host by salt, then those of all
-    salts; a wrapper has the size of the template, so a host with a third of all pages is no burden.
+    Pages are aligned slice by slice, then the partial wrappers of a host, FAN_IN or so at a time, in as
+    many levels as there are powers of FAN_IN in the number of partitions. A wrapper has the size of a
+    few pages (see NODES), so a host with a third of all pages is no burden.
     """
 
-    def infer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            made: dict[tuple[str, int], dict] = {}
-            for host, salt, page in zip(*(c.to_pylist() for c in part.columns)):
-                one = wrapper_of(parse(page))
-                made[host, salt] = align(made[host, salt], one) if (host, salt) in made else one
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in made], pa.string()), pa.array([k[1] for k in made], pa.int32()), pa.array([json.dumps(w) for w in made.values()], pa.string())], ["host", "salt", "wrapper"])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                made: dict[str, Wrapper] = {}
+                some = batch.slice(at, SLICE)
+                for host, page in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    one = wrapper_of(page)
+                    made[host] = made[host].add(one) if host in made else one
+                part = pa.array([TaskContext.get().partitionId()] * len(made), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), part, pa.array([w.dumps() for w in made.values()], pa.string())], ["host", "part", "wrapper"])
 
     def meet(group: pa.Table) -> pa.Table:
-        whole = functools.reduce(align, (json.loads(w) for w in sorted(group.column("wrapper").to_pylist())))
-        return pa.table({"host": group.column("host").slice(0, 1), "salt": group.column("salt").slice(0, 1), "wrapper": [json.dumps(whole)]})
+        whole = functools.reduce(Wrapper.add, map(Wrapper.loads, sorted(group.column("wrapper").to_pylist())))
+        return pa.table({"host": group.column("host").slice(0, 1), "part": group.column("part").slice(0, 1), "wrapper": [whole.dumps()]})
 
-    schema = "host string, salt int, wrapper string"
-    part = pages.mapInArrow(infer, schema)
-    salted = part.groupBy("host", "salt").applyInArrow(meet, schema)
-    return salted.groupBy("host").applyInArrow(meet, schema).select("host", "wrapper")
+    schema = "host string, part long, wrapper string"
+    found, groups = pages.select("host", "html").mapInArrow(learn, schema), 1
+    levels = []
+    while groups < parts:
+        levels.append(groups)
+        groups *= FAN_IN
+    for groups in reversed(levels):
+        found = found.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(groups))).groupBy("host", "part").applyInArrow(meet, schema)
+    return found.select("host", "wrapper")
 
 
 def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Main text of pages (page_id, url, html): page_id, url, text.
 
     A null html is empty and gives an empty text; pages without a host in their url share one wrapper.
-    Repeated rows have each their row; an empty table gives none.
+    Repeated rows have each their row; an empty table gives none. A host's rule goes once to each
+    of the places its pages are dealt to, ahead of them, so that no group of pages is held.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     plain = pages.select("page_id", "url", host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    plain = plain.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-
-    def rule(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([json.dumps(rules(json.loads(w))) for w in part.column(1).to_pylist()], pa.string())], ["host", "rule"])
-
-    ruled = scratch.settle(wrappers(plain.select("host", "salt", "html")).mapInArrow(rule, "host string, rule string"), "rules")
-    salts = plain.select("host", "salt").distinct()
-    dealt = plain.join(salts.join(ruled, "host"), ["host", "salt"])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for at in range(0, part.num_rows, 1000):
-                some = part.slice(at, 1000)
-                text = [extract_page(p, _rule(r)) for p, r in zip(some.column(2).to_pylist(), some.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
-
+    parts = plain.rdd.getNumPartitions()
+    plain = plain.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(max(LEAST_SALTS, parts // 4))))
     kinds = dict(plain.dtypes)
-    return dealt.select("page_id", "url", "html", "rule").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+
+    def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rule_of(Wrapper.loads(w)) for w in batch.column(1).to_pylist()], pa.string())], ["host", "rule"])
+
+    found = scratch.settle(wrappers(plain, parts).mapInArrow(ruled, "host string, rule string"), "rules")
+    ahead = plain.select("host", "salt").distinct().join(found, "host")
+    none = [F.lit(None).cast(kinds[c]).alias(c) for c in ("page_id", "url")]
+    rows = ahead.select("host", "salt", F.lit(0).alias("nth"), *none, F.col("rule").alias("html")).union(plain.select("host", "salt", F.lit(1), "page_id", "url", "html"))
+    dealt = rows.repartition("host", "salt").sortWithinPartitions("host", "salt", "nth")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                text, own = [], []
+                for k, (nth, page) in enumerate(zip(some.column(0).to_pylist(), some.column(3).to_pylist())):
+                    if nth:
+                        text.append(extract_page(page, rule))
+                        own.append(k)
+                    else:
+                        rule = page
+                own = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(1).take(own), some.column(2).take(own), pa.array(text, pa.string())], ["page_id", "url", "text"])
+
+    return dealt.select("nth", "page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -472,7 +473,17 @@ def test_secrets_are_taken_whole(spark):
 
 
 def extract(page):
-    return html_extract.extract_page(page, html_extract.rules(html_extract.wrapper_of(html_extract.parse(page))))
+    return html_extract.extract_page(page)
+
+
+def extract_host(pages):
+    """Of the pages of one host, under the wrapper of all of them, however they are put together."""
+    rule = html_extract.rule_of(html_extract.infer(pages))
+    halves = [html_extract.Wrapper.loads(html_extract.infer(x).dumps()) for x in (pages[: len(pages) // 2], pages[len(pages) // 2 :]) if x]
+    other = html_extract.rule_of(functools.reduce(html_extract.Wrapper.add, halves))
+    out = [html_extract.extract_page(p, rule) for p in pages]
+    assert out == [html_extract.extract_page(p, other) for p in pages]
+    return out
 
 
 @pytest.mark.parametrize(
@@ -508,31 +519,79 @@ def test_names_in_the_main_element(page, want):
 
 def test_template_in_the_main_element():
     pages = [f'<article><p>text {i}</p><div class="share-box">Tell your friends</div><div class="ad-hoc">word {i}</div></article>' for i in range(4)]
-    trees = [html_extract.parse(p) for p in pages]
-    rule = html_extract.rules(functools.reduce(html_extract.align, map(html_extract.wrapper_of, trees)))
-    assert [html_extract.text_of(t, rule) for t in trees] == [f"text {i}\nword {i}" for i in range(4)]
+    assert extract_host(pages) == [f"text {i}\nword {i}" for i in range(4)]
 
 
 @pytest.mark.parametrize("pages", [1, 2, 3, 4])
 def test_text_without_an_article_stays(pages):
-    def texts_of(made):
-        trees = [html_extract.parse(p) for p in made]
-        rule = html_extract.rules(functools.reduce(html_extract.align, map(html_extract.wrapper_of, trees)))
-        return [html_extract.text_of(t, rule) for t in trees]
-
     lead = "the same words of a lead " * 10
-    assert texts_of([f"<body><div>{lead}<br>ends with {i}</div>" for i in range(pages)]) == [f"{lead}ends with {i}" for i in range(pages)]
-    assert texts_of([f"<body><div>{lead * 3}end</div>"] * pages) == [f"{lead * 3}end"] * pages
-    assert texts_of(["<body><div>a short page</div>"] * pages) == ["a short page"] * pages
+    assert extract_host([f"<body><div>{lead}<br>ends with {i}</div>" for i in range(pages)]) == [f"{lead}ends with {i}" for i in range(pages)]
+    assert extract_host([f"<body><div>{lead * 3}end</div>"] * pages) == [f"{lead * 3}end"] * pages
+    assert extract_host(["<body><div>a short page</div>"] * pages) == ["a short page"] * pages
     long = [f"<body><div>an intro {i}</div><div><p>{'long text ' * 90}{i}</p></div>" for i in range(pages)]
-    assert texts_of(long) == [f"an intro {i}\n{'long text ' * 90}{i}" for i in range(pages)]
+    assert extract_host(long) == [f"an intro {i}\n{'long text ' * 90}{i}" for i in range(pages)]
+    dated = [f"<body><div>date {i}</div><p>{lead}</p><p>{lead}</p><p>{lead}</p>" for i in range(pages)]
+    assert extract_host(dated) == [f"date {i}\n" + "\n".join([lead.strip()] * 3) for i in range(pages)]
+
+
+def test_wrapper_tells_template_without_names():
+    """Boxes without names: what is the same in all pages of the host, or links, isn't text; copies of pages don't count twice."""
+    rng = random.Random(4)
+    menu = "".join(f"<li><a href=/{w}>{w} pages</a></li>" for w in ("home", "news", "about"))
+
+    def page(i, extra=""):
+        words = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(20, 60)))
+        body = "".join(f"<p>{words} {i} {k}</p>" for k in range(rng.randint(2, 6)))
+        text = "\n".join(f"{words} {i} {k}" for k in range(body.count("<p>")))
+        return f"<body><div>Daily Example</div><div><ul>{menu}</ul></div>{extra}<div><h2>Story {i}</h2>{body}</div><div>All rights of the Example kept, since 1990</div>", f"Story {i}\n{text}"
+
+    made = [page(i) for i in range(6)]
+    assert extract_host([p for p, _ in made]) == [t for _, t in made]
+    assert extract_host([p for p, _ in made for _ in range(5)]) == [t for _, t in made for _ in range(5)]
+    two = [made[0]] * 9 + [made[1]]  # two different pages don't show a template
+    assert all(t in got for got, (_, t) in zip(extract_host([p for p, _ in two]), two))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="search-results"><article><p>found it</p></article></div>', "found it"),
+        ('<article class="a"><p>one</p></article><article class="b"><p>two</p></article>', "one\ntwo"),
+        ('<main><p>text</p><div class="side">beside</div></main>', "text\nbeside"),
+        ('<article><p>text</p><section class="comments"><article><p>reader</p></article></section><article class="comment"><p>me too</p></article></article>', "text"),
+        ("<div>" * 120 + "<nav>menu</nav><p>deep text</p>" + "</div>" * 120, "deep text"),
+        ("<div>" * 5000 + "<nav>menu</nav><p>deep text</p>", "deep text"),
+        ('<div class="notice"><p>all there is</p></div><nav>menu</nav>', "all there is"),
+        ('<p>a <a title="x > y">link</a> b</p>', "a link b"),
+        ("<p>1 < 2 and <b", "1 < 2 and <b"),
+    ],
+)
+def test_odd_pages(page, want):
+    assert extract(page) == want
+
+
+def test_long_pages_take_time_in_proportion():
+    for page, want in [("<a " * 400_000, 1_199_999), ("<p>word " * 120_000, 5 * 120_000 - 1), ("<article>" + "x" * 5_000_000, 5_000_000), ('<i ="' * 100_000, None), ("< " * 300_000 + ">", None)]:
+        start = time.monotonic()
+        got = extract(page)
+        assert time.monotonic() - start < 20 and want in (None, len(got))
 
 
 def test_wrapper_resolves_mismatches():
-    a, b = (html_extract.wrapper_of(html_extract.parse(p)) for p in ("<div><h1>One</h1><p>x</p><p>y</p></div>", "<div><h1>Two</h1><table><tr><td>1</table><p>z</p></div>"))
-    w = html_extract.align(a, b)
-    assert html_extract.expression(w) == "<html>(<div>(<h1>#TEXT</h1>)(<table>(<tr>(<td>1</td>)</tr>)</table>)?(<p>#TEXT</p>)+</div>)</html>"
-    assert html_extract.align(b, a)["k"]["div"][2]["k"]["table"][0]
+    of = lambda *pages: html_extract.expression(html_extract.infer(list(pages)).root)
+    text = lambda t: hashlib.blake2b(t.encode(), digest_size=8).hexdigest()
+    a, b = "<div><h1>One</h1><p>x</p><p>y</p></div>", "<div><h1>Two</h1><table><tr><td>1</table><p>z</p></div>"
+    want = f"<html>(<div>(<h1>#TEXT</h1>)(<table>(<tr>(<td>{text('1')}</td>)</tr>)</table>)?(<p>#TEXT</p>)+</div>)</html>"
+    assert of(a, b) == want
+    assert "(<table>" in of(b, a) and "</table>)?" in of(b, a)
+    assert of("<dl><dt>a<dd>b</dl>", "<dl><dt>a<dd>c<dt>d<dd>e</dl>") == "<html>(<dl>((<dt>#TEXT</dt>)+?(<dd>#TEXT</dd>)+?)+</dl>)</html>"
+
+
+def test_wrappers_stay_small():
+    pages = ["<body>" + "".join(f'<div class="c{"abcdefghij"[k]}{"abcdefghij"[i % 10]}{"abcdefghij"[i // 10]}"><p>{i} {k}</p></div>' for k in range(9)) + "<ul><li>menu</ul>" for i in range(100)]
+    w = html_extract.infer(pages * 4)
+    assert len(html_extract.preorder(w.root)) < 2 * html_extract.NODES
+    assert len(html_extract.rule_of(w)) < 1000
 
 
 def test_extract_table(spark, data):
@@ -546,6 +605,20 @@ def test_extract_table(spark, data):
             body = re.search(r"<article>(.*?)</article>", want[r.page_id], re.S)[1]
             lines = [" ".join(html.unescape(re.sub(r"<[^>]+>", lambda m: " " if "br" in m[0] else "", b)).split()) for b in re.split(r"</?(?:p|h1)[^>]*>", body)]
             assert r.text == "\n".join(x for x in lines if x)
+    # the same pages without the tags that say what is what: the host's wrapper leaves out the menu that all its pages have
+    menu = "<div><ul><li><a href='/a'>first</a><li><a href='/b'>second</a></ul></div><div>the one notice of this host</div>"
+    made = [(i, f"http://one.example/{i}", re.sub(r".*<article>(.*?)</article>.*", rf"<body>{menu}<div>\1</div>", h, flags=re.S)) for i, h in want.items()]
+    plain = html_extract.extract(spark.createDataFrame(made, "page_id long, url string, html string").repartition(3), Scratch(spark, "t7b")).collect()
+    by = {r.page_id: r.text for r in got}
+    assert len(plain) == len(made) and all(r.text == by[r.page_id] for r in plain)
+
+
+def test_pages_of_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "FAN_IN", 2)
+    made = [(i, f"http://h{i % 3}.example/{i}", f"<body><div>Site of host {i % 3}</div><div><p>text number {i} of the page</p></div>") for i in range(90)]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string").repartition(9)
+    got = html_extract.extract(pages, Scratch(spark, "t7c")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"text number {i} of the page" for i, _, _ in made}
 
 
 # 8 SimHash
