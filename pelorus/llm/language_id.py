@@ -8,15 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pelorus.llm import spans
 from pelorus.llm.common import table
 
-#: Bounds of what is learned from: documents of each language (as many in the mean) and of all, words of each.
-SAMPLE_DOCS = 1500
-SAMPLE_ALL = 32_000
+#: Bounds of what is learned from: documents of each language and, over all languages, of all.
+SAMPLE_DOCS = 400
+SAMPLE_ALL = 10_000
+#: The chains that whole documents are cut into for learning.
 CHAIN_WORDS = 48
 #: Hashed n-gram features (fewer if the weights would be more than MOST_WEIGHTS), and words of each language's lexicon.
 FEATURES = 1 << 17
@@ -247,29 +248,36 @@ def _gradient(transitions: np.ndarray, scores: np.ndarray, sizes: np.ndarray, y:
 
 
 def sample_chains(docs: DataFrame) -> list[tuple[list[str], str]]:
-    """At most CHAIN_WORDS words from a hashed place of about SAMPLE_DOCS documents of each language, or fewer of each where all would be over SAMPLE_ALL.
+    """All words of SAMPLE_DOCS documents of each language at most, or fewer of each where all would be over SAMPLE_ALL; in chains of CHAIN_WORDS.
 
-    Every value of lang is learned: a language has at least the document with the least hash.
+    Documents are chosen by a hash of doc_id and text; those alike in both count once. Every value of
+    lang is learned: a language has at least the document with the least hash. A null text or one
+    without letters has no words.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.coalesce(~held_out("doc_id"), F.lit(True))).withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    labelled = docs.where(F.col("lang").isNotNull() & F.coalesce(~held_out("doc_id"), F.lit(True)))
+    labelled = labelled.select("lang", text.alias("text"), F.pmod(F.xxhash64("doc_id", text, F.lit("sample")), F.lit(1 << 40)).alias("u"))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("least")).collect()
     if not counts:
         return []
     each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(counts)))
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], max(r["least"] + 1, min(1 << 30, (each << 30) // r["n"])))))
-    chosen = labelled.where(F.col("u") < share[F.col("lang")])
+    # over twice as many as wanted, so that there are enough; then the first of those
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], max(r["least"] + 1, min(1 << 40, 2 * (each << 40) // r["n"] + 1)))))
+    some = labelled.where(F.col("u") < share[F.col("lang")]).groupBy("lang", "u").agg(F.min("text").alias("text"))
+    chosen = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).where(F.col("nth") <= each)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = []
-            for u, text, lang in zip(*(c.to_pylist() for c in part.columns)):
-                cp, starts = spans.code_points([text or ""])
+            for text, lang in zip(*(c.to_pylist() for c in part.columns)):
+                cp, starts = spans.code_points([text])
                 start, end, _ = letter_words(cp, starts)
-                first = (u * 2654435761 >> 8) % max(1, len(start) - CHAIN_WORDS + 1)
-                rows.append(([text[a:b] for a, b in zip(start[first : first + CHAIN_WORDS].tolist(), end[first : first + CHAIN_WORDS].tolist())], lang))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.string())], ["words", "lang"])
+                for at in range(0, len(start), CHAIN_WORDS):
+                    rows.append((" ".join([text[a:b] for a, b in zip(start[at : at + CHAIN_WORDS].tolist(), end[at : at + CHAIN_WORDS].tolist())]), lang))
+                rows += [("", lang)] * (not len(start))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["words", "lang"])
 
-    return [(list(r.words), r.lang) for r in chosen.select("u", "text", "lang").mapInArrow(cut, "words array<string>, lang string").collect()]
+    return [(r.words.split(" ") if r.words else [], r.lang) for r in chosen.select("text", "lang").mapInArrow(cut, "words string, lang string").collect()]
 
 
 class Labeller:
@@ -299,7 +307,7 @@ def identify(docs: DataFrame, model: Crf, segments: bool = False) -> DataFrame:
     """The language of each text of docs (doc_id, text): doc_id, lang_pred, score.
 
     Words are runs of letters. A document's language is the one with the largest share of its words'
-    marginals, weighted by their letters; score is that share. A text that is null or has no letter,
+    marginals, weighted by their letters (of equal shares the first in the order of names); score is that share. A text that is null or has no letter,
     and any text under a model that learned no language, is `und` with score 0. With segments also
     the runs of words of one language: lang, start and end in code points. Repeated rows have each
     their row, an empty table none.
@@ -342,7 +350,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID as a pipeline stage: documents without letters, or without a language that has LEAST_SCORE of them, go."""
+    """Language ID as a pipeline stage: documents without letters, or without a language that has LEAST_SCORE of them, go.
+
+    A null text has no letters. Without any label all documents with letters stay. Rows that repeat
+    are judged alike; an empty table gives an empty one. All columns stay as they are.
+    """
     model = fit(sample_chains(docs))
     names = docs.columns
     lettered = F.regexp_like(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"\p{L}"))

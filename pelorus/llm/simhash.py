@@ -18,10 +18,10 @@ from pelorus.llm.common import Scratch, components, least_rows, salt, table, tot
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
-#: Buckets of variants dealt out in one pass.
-PASS_BITS = 7
-#: Fingerprints that one bucket's task holds, and variants that it makes at a time.
-BUCKET_FINGERPRINTS = 1 << 25
+#: Buckets are 2**LEAST_BITS or more, so that all tasks have some; and as many copies of a fingerprint are dealt out in one pass.
+LEAST_BITS = 7
+#: Fingerprints that one bucket holds in the mean, and variants that its task makes at a time.
+BUCKET_FINGERPRINTS = 1 << 20
 SLICE_VARIANTS = 1 << 22
 
 
@@ -101,12 +101,11 @@ def collide(fps: np.ndarray, bucket: int, bits: int, radius: int) -> tuple[np.nd
     more = max(0, math.ceil(math.log2(max(1, len(fps) * len(masks) / (1 << bits) / SLICE_VARIANTS))))
     own, of_mask = label(fps, bits + more), label(masks, bits + more)
     order = np.argsort(own, kind="stable")
-    fps = fps[order]
-    bound = np.searchsorted(own[order], np.arange((1 << bits + more) + 1))
+    fps, own = fps[order], own[order]
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for slice_ in range(1 << more):
         want = (bucket | slice_ << bits) ^ of_mask
-        parts = [fps[a:b] for a, b in zip(bound[want].tolist(), bound[want + 1].tolist())]
+        parts = [fps[a:b] for a, b in zip(np.searchsorted(own, want).tolist(), np.searchsorted(own, want, "right").tolist())]
         source = np.concatenate(parts)
         variant = source ^ np.repeat(masks, [len(p) for p in parts])
         ranked = np.sort(variant)
@@ -131,35 +130,65 @@ def collide(fps: np.ndarray, bucket: int, bits: int, radius: int) -> tuple[np.nd
     return forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
 
 
+def bucket_bits(n: int, radius: int) -> tuple[int, int]:
+    """For n fingerprints the number of buckets and of passes over them, as powers of two.
+
+    A fingerprint goes to each bucket that a variant of it falls in: to all at first, to as many as
+    there are variants once buckets are far more than those. So buckets hold n times that share.
+    """
+    bits = LEAST_BITS
+    while bits < 62 and n * (reach := len(np.unique(label(flips(radius), bits)))) > BUCKET_FINGERPRINTS << bits:
+        bits += 1
+    reach = len(np.unique(label(flips(radius), bits)))
+    return bits, max(0, math.ceil(math.log2(reach)) - LEAST_BITS)
+
+
+def deal(fps: np.ndarray, bits: int, passes: int, nth: int, radius: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The buckets, among those of the nth of 2**passes passes, that variants of fps fall in, and the fingerprints of each.
+
+    A pass has the buckets whose last `passes` bits are its number. Labels are linear, so which of a
+    fingerprint's variants those are follows from the last bits of its own label.
+    """
+    reach = np.unique(label(flips(radius), bits))
+    own, last = label(fps, bits), (1 << passes) - 1
+    buckets, source = [], []
+    for low in range(1 << passes):
+        at = np.flatnonzero((own & last) == low)
+        there = reach[(reach & last) == low ^ nth]
+        if len(at) and len(there):
+            buckets.append((own[at][:, None] ^ there).reshape(-1))
+            source.append(np.repeat(fps[at], len(there)))
+    if not buckets:
+        return np.zeros(0, np.int64), []
+    bucket, fp = np.concatenate(buckets), np.concatenate(source)
+    order = np.argsort(bucket, kind="stable")
+    bucket, fp = bucket[order], fp[order]
+    head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return bucket[head], np.split(fp, head[1:])
+
+
 def near_links(fps: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) among distinct fingerprints (column fp): their components are those of all pairs within `distance` bits.
 
     Every fingerprint has all variants within half the distance (2,081 at radius 2). Variants are
     dealt out by a linear hash, so which of them fall in a bucket follows from the fingerprint's own
     label: what is shuffled is the fingerprint, once for each bucket that holds variants of it, and
-    the bucket's task makes the variants, slice by slice. With more fingerprints than a task holds
-    there are more buckets, and passes of 2**PASS_BITS buckets, so the disk used at a time stays in
-    proportion to the fingerprints. distance must be even.
+    the bucket's task makes the variants, slice by slice. With more fingerprints there are more
+    buckets, so a bucket's group stays bounded, and a fingerprint is dealt at most once for each of
+    its variants, in passes that deal 2**LEAST_BITS copies or so: there are 2 ** 5 passes at most,
+    however many fingerprints, and the disk used at a time stays in proportion to them. distance must
+    be even.
     """
     if distance % 2:
         raise ValueError("distance must be even")
     radius = distance // 2
-    spark, n = fps.sparkSession, fps.count()
-    bits = PASS_BITS + max(0, math.ceil(math.log2(max(1, n / BUCKET_FINGERPRINTS))))
+    bits, passes = bucket_bits(fps.count(), radius)
 
-    def deal(parts: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
-        reach = np.unique(label(flips(radius), bits))
+    def dealt(parts: Iterator[pa.RecordBatch], nth: int) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            own = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            at = label(own, bits)
-            buckets, blobs = [], []
-            for bucket in range(first, first + (1 << PASS_BITS)):
-                there = own[np.isin(at ^ bucket, reach)]
-                if len(there):
-                    buckets.append(bucket)
-                    blobs.append(there.tobytes())
-            if buckets:
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "fps"])
+            buckets, own = deal(part.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits, passes, nth, radius)
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array([x.tobytes() for x in own], pa.binary())], ["bucket", "fps"])
 
     def meet(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
@@ -168,9 +197,9 @@ def near_links(fps: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> Da
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     out = None
-    for k in range(1 << bits - PASS_BITS):
-        dealt = fps.select("fp").mapInArrow(lambda parts, first=k << PASS_BITS: deal(parts, first), "bucket int, fps binary")
-        links = scratch.settle(dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct(), f"pass{k}")
+    for k in range(1 << passes):
+        copies = fps.select("fp").mapInArrow(lambda parts, nth=k: dealt(parts, nth), "bucket long, fps binary")
+        links = scratch.settle(copies.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct(), f"pass{k}")
         out = links if out is None else out.union(links)
     return out
 

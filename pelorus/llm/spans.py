@@ -18,9 +18,9 @@ import regex
 BATCH_CHARS = 2_000_000
 #: Code points of the spans that are hashed and compared at a time; a longer span is handled alone.
 SLICE_CHARS = 1_000_000
-#: Distinct words a worker remembers before it starts afresh, and their code points.
-MEMO_WORDS = 700_000
-MEMO_CHARS = 12_000_000
+#: Distinct words a worker remembers, and their code points; with more it starts afresh at the next batch.
+MEMO_WORDS = 500_000
+MEMO_CHARS = 8_000_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 ASCII_SPACE = np.array([32, 9, 10, 11, 12, 13])
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -51,15 +51,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.cache
+@functools.lru_cache(4)
 def char_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 0x110001, dtype=np.uint64) * BASE + np.uint64(seed))
+    return mix(np.arange(1, 0x110001, dtype=np.uint64) * BASE + mix(np.array([seed], np.uint64)))
 
 
-@functools.cache
-def place_factors() -> np.ndarray:
-    """Odd factors for the places in a span, repeated after as many."""
-    return mix(np.arange(1, 4097, dtype=np.uint64) * BASE) | np.uint64(1)
+def factors(place: np.ndarray, seed: int) -> np.ndarray:
+    """Odd factors for places in a span."""
+    return mix((place + 1).astype(np.uint64) * BASE - mix(np.array([~seed], np.int64).view(np.uint64))) | np.uint64(1)
+
+
+@functools.lru_cache(4)
+def first_factors(seed: int) -> np.ndarray:
+    return factors(np.arange(1 << 12), seed)
 
 
 def batches(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
@@ -98,12 +102,17 @@ def inside(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span (which must not be empty). Different spans can have one."""
+    """A 64-bit hash of each span (which must not be empty): the sum of its letters' values times the factors of their places.
+
+    Values and factors follow from the seed alone and have no structure, so two spans that weren't made
+    for the seed have one hash with a probability of about 2**-60.
+    """
     out = np.zeros(len(start), np.uint64)
-    values, factors = char_values(seed), place_factors()
+    values, near = char_values(seed), first_factors(seed)
     for s in slices(start, end):
         place, within, first = inside(start[s], end[s])
-        out[s] = np.add.reduceat(values[cp[place]] * factors[within & 4095], first)
+        by = near[within] if (end[s] - start[s]).max() <= len(near) else factors(within, seed)
+        out[s] = np.add.reduceat(values[cp[place]] * by, first)
     return mix(out + (end - start).astype(np.uint64))
 
 
@@ -193,32 +202,70 @@ def word_level_tokens(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Memo:
-    """Row numbers for words; `add` is called with the words that are new, `clear` before all are forgotten."""
+    """Row numbers for words; `add` is called with the words that are new, `clear` before all are forgotten.
+
+    Words are looked up by hash and then compared letter by letter; of words with one hash the second
+    and further ones are looked up by themselves.
+    """
 
     def __init__(self, add: Callable[[list[str]], None], clear: Callable[[], None], limit: int = MEMO_WORDS):
-        self.add, self.clear, self.limit, self.index, self.chars = add, clear, limit, {}, 0
+        self.add, self.clear, self.limit = add, clear, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[int, int] = {}
+        self.other: dict[str, int] = {}
+        self.letters = Ragged()
 
     def rows(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of each span of `text` (whose code points are cp, and none of which is empty): the row of its word."""
-        named = [(s, *distinct(cp, start[s], end[s])) for s in slices(start, end)]
-        words = {text[a:b] for s, _, at in named for a, b in zip(start[s][at].tolist(), end[s][at].tolist())}
-        size = sum(map(len, words))
-        if self.index and (len(self.index) + len(words) > self.limit or self.chars + size > MEMO_CHARS):
-            self.index, self.chars = {}, 0
+        if len(self.letters.size) > self.limit or self.letters.used > MEMO_CHARS:
+            self._forget()
             self.clear()
-        new = sorted(words - self.index.keys())
-        if new:
-            self.add(new)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.chars += sum(map(len, new))
-        get, out = self.index.__getitem__, np.zeros(len(start), np.int64)
-        for s, codes, at in named:
-            out[s] = np.array([get(text[a:b]) for a, b in zip(start[s][at].tolist(), end[s][at].tolist())], np.int64)[codes]
+        out = np.zeros(len(start), np.int64)
+        for s in slices(start, end):
+            out[s] = self._slice(text, cp, start[s], end[s])
+        return out
+
+    def _slice(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        codes, at, keys = distinct(cp, start, end)
+        a, b, get = start[at], end[at], self.index.get
+        rows = np.array([get(k, -1) for k in keys.tolist()], np.int64)
+        taken = rows >= 0  # by a word with that hash, or by an earlier one of these
+        taken[pd.Series(keys).duplicated().to_numpy()] = True
+        known = np.flatnonzero(rows >= 0)
+        rows[known[self._differ(cp, a[known], b[known], rows[known])]] = -1
+        new = np.flatnonzero(rows < 0)
+        for i in new[taken[new]].tolist():
+            rows[i] = self.other.get(text[a[i] : b[i]], -1)
+        new = new[rows[new] < 0]
+        if len(new):
+            words = [text[x:y] for x, y in zip(a[new].tolist(), b[new].tolist())]
+            rows[new] = np.arange(len(self.letters.size), len(self.letters.size) + len(new))
+            self.add(words)
+            place, _, _ = inside(a[new], b[new])
+            self.letters.append(cp[place], b[new] - a[new])
+            for k, w, row, late in zip(keys[new].tolist(), words, rows[new].tolist(), taken[new].tolist()):
+                if late:
+                    self.other[w] = row
+                else:
+                    self.index[k] = row
+        return rows[codes]
+
+    def _differ(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Which spans aren't the words of those rows."""
+        size = end - start
+        out = size != self.letters.size[rows]
+        same = np.flatnonzero(~out)
+        if len(same):
+            place, within, first = inside(start[same], end[same])
+            letters = self.letters.flat[np.repeat(self.letters.start[rows[same]], size[same]) + within]
+            out[same] = np.logical_or.reduceat(cp[place] != letters, first)
         return out
 
 
-def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each span, the same for equal spans, and a span of each number.
+def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each span, the same for equal spans; of each number a span, and its hash.
 
     Spans of one hash are compared with the first of them; those that differ have numbers of their own.
     """
@@ -232,11 +279,15 @@ def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     differs = cp[place] != cp[place + np.repeat(start[shown] - start, size)]
     if differs.any() or other.any():
         other |= np.logical_or.reduceat(differs, first)
+        words: dict[bytes, int] = {}
         own = np.flatnonzero(other)
-        codes = codes.copy()
-        codes[own] = len(uniq) + np.arange(len(own))
-        at = np.concatenate([at, own])
-    return codes, at
+        named = [words.setdefault(cp[a:b].tobytes(), len(words)) for a, b in zip(start[own].tolist(), end[own].tolist())]
+        keys = uniq[codes[own]]
+        codes, named = codes.copy(), np.array(named, np.int64)
+        _, one = np.unique(named, return_index=True)
+        codes[own] = len(uniq) + named
+        at, uniq = np.concatenate([at, own[one]]), np.concatenate([uniq, keys[one]])
+    return codes, at, uniq
 
 
 class Ragged:
@@ -252,7 +303,10 @@ class Ragged:
 
     def extend(self, runs: list) -> None:
         size = np.fromiter(map(len, runs), np.int64, len(runs))
-        more = np.fromiter((x for r in runs for x in r), self.dtype, int(size.sum()))
+        self.append(np.fromiter((x for r in runs for x in r), self.dtype, int(size.sum())), size)
+
+    def append(self, more: np.ndarray, size: np.ndarray) -> None:
+        """Runs of these sizes, end to end."""
         if self.used + len(more) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(more), len(self.flat)), self.dtype)])
         self.flat[self.used : self.used + len(more)] = more

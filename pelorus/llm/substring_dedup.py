@@ -3,15 +3,15 @@
 Documents are cut into blocks of 7 words that don't overlap; every rolling run of 7 words of every
 document probes those blocks. A window of 13 words that occurs in two documents holds a whole block of
 either, so its words are among the hits. Hits are extended to all windows around them, windows are
-matched by 128 bits that come from their words' BLAKE2 digests, and windows that meet make maximal
-repeats. Two different windows would be taken for one with a probability of 2**-128 for each pair.
+matched by 128 bits, and windows that meet make maximal repeats. The hash of a word is keyed, with a
+key drawn for each run, so no text can be made to collide: two different windows are taken for one
+with a probability of about 2**-120 for each pair, whatever they hold.
 """
 
 from __future__ import annotations
 
-import functools
-import hashlib
 import math
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -30,40 +30,19 @@ CHUNKS_A_FILE = 20
 NO_ID = (1 << 63) - 1
 
 
-class Digests:
-    """128-bit digests of words, as two arrays, and a memo of them."""
-
-    def __init__(self):
-        self.clear()
-        self.memo = spans.Memo(self.add, self.clear)
-
-    def clear(self) -> None:
-        self.pair = np.zeros((0, 2), np.uint64)
-
-    def add(self, words: list[str]) -> None:
-        made = b"".join([hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words])
-        self.pair = np.concatenate([self.pair, np.frombuffer(made, np.uint64).reshape(-1, 2)])
-
-
-@functools.cache
-def digests() -> Digests:
-    return Digests()
-
-
 class Chunk:
-    """Word digests of some documents, end to end."""
+    """Word hashes of some documents, end to end, in two arrays of 64 bits."""
 
-    def __init__(self, docs: pa.Table):
+    def __init__(self, docs: pa.Table, key: int):
         self.ids = np.array([NO_ID if i is None else i for i in docs.column("doc_id").to_pylist()], np.int64)
         self.texts = docs.column("text").to_pylist()
-        self.counts, pairs, known = np.zeros(len(self.texts), np.int64), [np.zeros((0, 2), np.uint64)], digests()
+        self.counts, pairs = np.zeros(len(self.texts), np.int64), [np.zeros((2, 0), np.uint64)]
         for i, j in spans.batches(self.texts):
             cp, starts = spans.code_points(self.texts[i:j])
             start, end, first = spans.words(cp, starts)
             self.counts[i:j] = np.diff(first)
-            rows = known.memo.rows("".join(self.texts[i:j]), cp, start, end)
-            pairs.append(known.pair[rows])
-        self.a, self.b = np.concatenate(pairs).T.copy()
+            pairs.append(np.stack([spans.hashes(cp, start, end, key), spans.hashes(cp, start, end, key + 1)]))
+        self.a, self.b = np.concatenate(pairs, axis=1)
         self.doc = np.repeat(np.arange(len(self.texts)), self.counts)
         self.end = np.cumsum(self.counts)
         self.at = np.arange(len(self.a)) - np.repeat(self.end - self.counts, self.counts)
@@ -177,6 +156,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     plain = texts(docs)
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0]
+    key = secrets.randbits(60)
     chunks = max(1, math.ceil((size or 0) / CHUNK_BYTES))
     bits = max(3, math.ceil(math.log2(max(1, (size or 0) / 6 / PART_KEYS))))
     dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int"))
@@ -184,7 +164,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     plain = scratch.bucketed(dealt, "chunks", "chunk", files)
 
     def ask_runs(group: pa.Table) -> pa.Table:
-        runs = Runs(Chunk(group), bits)
+        runs = Runs(Chunk(group, key), bits)
         cut = [(p, slice(a, b)) for p, (a, b) in enumerate(zip(runs.bound[:-1].tolist(), runs.bound[1:].tolist())) if a < b]
         low = runs.key.astype(np.uint32)
         return pa.table(
@@ -214,7 +194,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def ask_windows(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not group.num_rows:
             return WINDOWS.empty_table()
-        chunk = Chunk(group)
+        chunk = Chunk(group, key)
         runs = Runs(chunk, bits)
         w = Windows(chunk, runs, _told(answers, 0, runs.bound), bits)
         cut = [(p, slice(a, b)) for p, (a, b) in enumerate(zip(w.bound[:-1].tolist(), w.bound[1:].tolist())) if a < b]
@@ -240,7 +220,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
         return _answer(group, flags, sizes, 1)
 
     def cut_out(group: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = Chunk(group) if group.num_rows else None
+        chunk = Chunk(group, key) if group.num_rows else None
         if chunk is None:
             return RESULT.empty_table()
         gone = np.zeros(len(chunk.a), bool)

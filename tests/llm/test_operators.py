@@ -153,11 +153,6 @@ def test_words_with_one_hash_are_told_apart(spark, monkeypatch):
         assert [pieces.pieces.decode(x) for x in got] == cases
         sp = sentencepiece.SentencePieceProcessor(model_file=piece_lattice._default_path())
         assert all(sp.decode(x) == t for x, t in zip(got, cases))
-        known = substring_dedup.Digests()
-        cp, starts = spans.code_points([cases[-1]])
-        start, end, _ = spans.words(cp, starts)
-        rows = known.memo.rows(cases[-1], cp, start, end)
-        assert [known.pair[r].tobytes() for r in rows] == [hashlib.blake2b(w.encode(), digest_size=16).digest() for w in words]
     monkeypatch.undo()
     run = [f"w{i}" for i in range(6)]
     docs = spark.createDataFrame([(1, " ".join([*run, words[0], *run])), (2, " ".join([*run, words[1], *run]))], "doc_id long, text string")
@@ -672,6 +667,35 @@ def test_ball_hashing_finds_all_links():
     assert [root.get(int(x), int(x)) for x in fps] == [int(fps[r]) for r in want]
 
 
+def test_buckets_stay_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(simhash, "BUCKET_FINGERPRINTS", 400)
+    for n in (2_000, 20_000):
+        fps = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        bits, passes = simhash.bucket_bits(n, 2)
+        assert passes <= 5
+        copies, largest = 0, 0
+        for nth in range(1 << passes):
+            buckets, own = simhash.deal(fps, bits, passes, nth, 2)
+            assert set((buckets & ((1 << passes) - 1)).tolist()) <= {nth} and len(set(buckets.tolist())) == len(buckets)
+            copies += sum(map(len, own))
+            largest = max([largest, *map(len, own)])
+        assert largest < 2 * simhash.BUCKET_FINGERPRINTS and copies <= len(simhash.flips(2)) * len(fps)
+
+
+def test_links_over_many_passes(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_FINGERPRINTS", 60)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    fps = np.unique(np.concatenate([base, [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, n, replace=False))) for b in base[:20] for n in (1, 3, 4, 5)]]))
+    bits, passes = simhash.bucket_bits(len(fps), 2)
+    assert bits > simhash.LEAST_BITS and passes
+    links = simhash.near_links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), Scratch(spark, "t8p")).collect()
+    node, to = simhash.forest(np.array([r.a for r in links], np.int64).view(np.uint64), np.array([r.b for r in links], np.int64).view(np.uint64))
+    root = dict(zip(node.tolist(), to.tolist()))
+    assert [root.get(int(x), int(x)) for x in fps] == [int(fps[r]) for r in roots([int(x) for x in fps])]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(70)]
