@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import SPACES, table
+from pelorus.llm.common import SPACES, Scratch, table
 
 SHINGLE = 5
 K = 128
-#: Text of the rows that one window partition sorts, until there are so many ranges; then they grow instead.
+#: Text of the rows that one window partition sorts, in the mean.
 RANGE_BYTES = 2_000_000
-MOST_RANGES = 50_000
+#: Ranges whose bounds (8 bytes each) are broadcast; with more they are joined by a shuffle.
+BROADCAST_RANGES = 1_000_000
 LEAST_ID = -(1 << 63)
 
 
@@ -75,46 +76,72 @@ def as_text(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
-def _literal(values: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def _below(bounds: Column, value: Column) -> Column:
+    """How many of the bounds are below value."""
+    return F.size(F.filter(bounds, lambda b: b < value))
 
 
 def _place(value: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are below value, by a search in two levels."""
-    step = max(1, math.isqrt(len(bounds)))
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds))
     rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    table_ = F.transform(F.split(F.lit(";".join(",".join(map(str, r)) for r in rows)), ";"), lambda r: F.split(r, ",").cast("array<bigint>"))
-    below = lambda b: F.size(F.filter(b, lambda x: x < value))
-    full = let(below(_literal([r[-1] for r in rows])), lambda n: n * step + F.when(n < len(rows), below(F.get(table_, n))).otherwise(0))
-    return full.cast("int")
+    lasts = F.array(*(F.lit(r[-1]) for r in rows))
+    table_ = F.array(*(F.array(*map(F.lit, r)) for r in rows))
+    return let(_below(lasts, value), lambda n: n * step + F.when(n < len(rows), _below(F.get(table_, n), value)).otherwise(0)).cast("int")
 
 
-def with_next(rows: DataFrame, order: str, size: str, columns: list[str]) -> DataFrame:
+def ranges(keys: DataFrame, scratch: Scratch) -> tuple[DataFrame, Column] | None:
+    """Ranges of keys (key, not_tie, bytes) of about RANGE_BYTES each: place, single, tops, next_place; and the place of a key. None for no keys.
+
+    The keys' quantiles cut them into places, as many as the root of the number of ranges; those cut
+    each place into ranges by its own quantiles: of key, or of not_tie in a place that is a single key. tops has
+    the greatest value of each range that occurs, ascending. Only the places' bounds come to the driver.
+    """
+    total = keys.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).first()
+    if not total.n:
+        return None
+    parts = max(1, math.ceil((total.bytes or 0) / RANGE_BYTES))
+    first = math.ceil(math.sqrt(parts))
+    second = math.ceil(parts / first)
+    bounds = sorted(set(keys.agg(F.percentile_approx("key", _shares(first), max(10_000, 10 * first))).first()[0])) if first > 1 else []
+    place = _place(F.col("key"), bounds)
+    placed = keys.select(place.alias("place"), "key", "not_tie")
+    cut = lambda c: F.percentile_approx(c, _shares(second), max(10_000, 10 * second)) if second > 1 else F.first(F.array().cast("array<bigint>"))
+    by_place = placed.groupBy("place").agg((F.min("key") == F.max("key")).alias("single"), cut("key").alias("keys"), cut("not_tie").alias("ties"))
+    by_place = by_place.select("place", "single", F.when(F.col("single"), F.col("ties")).otherwise(F.col("keys")).alias("cuts"))
+    value = F.when(F.col("single"), F.col("not_tie")).otherwise(F.col("key"))
+    joined = placed.join(F.broadcast(by_place) if parts <= BROADCAST_RANGES else by_place, "place").select("place", "single", value.alias("value"), "cuts")
+    tops = joined.groupBy("place", "single", _below(F.col("cuts"), F.col("value")).alias("nth")).agg(F.max("value").alias("top"))
+    made = scratch.settle(tops.groupBy("place", "single").agg(F.sort_array(F.collect_list("top")).alias("tops")), "ranges")
+    order = Window.orderBy("place")  # of a row for each place
+    after = F.coalesce(F.lead("place").over(order), F.first("place").over(order)).alias("next_place")
+    made = made.select("place", "single", "tops", after)
+    return F.broadcast(made) if parts <= BROADCAST_RANGES else made, place
+
+
+def with_next(rows: DataFrame, order: str, size: str, columns: list[str], scratch: Scratch) -> DataFrame:
     """Add next_<column>: the value in the next row by descending `order` (null last; ties by the row's `tie`); after the last row the first.
 
-    Rows are dealt to ranges of `order` of about RANGE_BYTES of `size` each. A range ends at a value that
-    occurs, and the rows with that value are also sent to the range above, behind its rows, so every
-    row finds its successor in its own range. There are at most MOST_RANGES bounds.
+    Rows are dealt to `ranges` of `order`. A range ends at a value that occurs, and the rows with that
+    value are also sent to the range above, behind its rows, so every row finds its successor in its
+    own range. Rows of one `order` are cut into ranges by `tie`; only those alike in both stay together.
     """
-    key = F.coalesce(F.col(order), F.lit(LEAST_ID))
-    total = rows.agg(F.sum(size).alias("bytes"), F.max(key).alias("top")).first()
-    if total.top is None:
+    key, not_tie = F.coalesce(F.col(order), F.lit(LEAST_ID)), F.bitwise_not("tie")
+    keys = scratch.settle(rows.select(key.alias("key"), not_tie.alias("not_tie"), F.col(size).alias("bytes")), "keys")
+    made = ranges(keys, scratch)
+    if made is None:
         return rows.limit(0).withColumns({f"next_{c}": F.col(c) for c in columns})
-    parts = min(MOST_RANGES, math.ceil((total.bytes or 0) / RANGE_BYTES))
-    bounds = {total.top}
-    if parts > 1:
-        share = _shares(parts)
-        bounds |= set(rows.agg(F.percentile_approx(key, share, max(10_000, 10 * parts))).first()[0])
-    bounds = sorted(bounds)
-    place = _place(key, bounds)
-    at_bound = F.array_contains(_literal(bounds), key) if len(bounds) < 64 else F.get(_literal(bounds), place) == key
-    above = F.when(F.col("place") == len(bounds) - 1, 0).otherwise(F.col("place") + 1)
-    own, extra = F.struct(F.col("place").alias("range"), F.lit(False).alias("extra")), F.struct(above.alias("range"), F.lit(True).alias("extra"))
-    dealt = rows.withColumns({"key": key, "place": place, "at_bound": at_bound})
-    dealt = dealt.withColumn("to", F.explode(F.when(F.col("at_bound"), F.array(own, extra)).otherwise(F.array(own)))).select("*", "to.*")
-    window = Window.partitionBy("range").orderBy("extra", F.desc("key"), "tie")
-    out = dealt.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns}).where("not extra")
-    return out.drop("key", "place", "at_bound", "to", "range", "extra")
+    dealt = rows.withColumns({"key": key, "not_tie": not_tie}).withColumn("place", made[1]).join(made[0], "place")
+    dealt = dealt.withColumn("value", F.when(F.col("single"), F.col("not_tie")).otherwise(F.col("key"))).withColumn("nth", _below(F.col("tops"), F.col("value")))
+    last = F.col("nth") == F.size("tops") - 1
+    own = F.struct("place", "nth", F.lit(False).alias("extra"))
+    above = F.struct(F.when(last, F.col("next_place")).otherwise(F.col("place")).alias("place"), F.when(last, 0).otherwise(F.col("nth") + 1).alias("nth"), F.lit(True).alias("extra"))
+    dealt = dealt.withColumn("to", F.explode(F.when(F.get("tops", F.col("nth")) == F.col("value"), F.array(own, above)).otherwise(F.array(own))))
+    window = Window.partitionBy("to.place", "to.nth").orderBy("to.extra", F.desc("key"), F.desc("not_tie"))
+    out = dealt.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns}).where("NOT to.extra")
+    return out.drop("key", "not_tie", "place", "single", "tops", "next_place", "value", "nth", "to")
 
 
 def _shares(parts: int) -> list[float]:
@@ -125,11 +152,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of whole texts and of edited ones, and their likeness.
 
     A null text is empty; an empty sketch is the empty string. Repeated rows have each their row, and
-    rows with one doc_id follow each other by a hash of their texts.
+    rows with one doc_id follow each other by a hash of their texts; a null doc_id comes last. An empty
+    table gives no rows.
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = docs.withColumns({"bytes": F.octet_length("text"), "tie": F.xxhash64("text"), "sketch": sketch(F.col("text"))})
-    rows = with_next(rows, "doc_id", "bytes", ["text", "sketch"])
+    rows = with_next(rows, "doc_id", "bytes", ["text", "sketch"], Scratch(spark, "op2"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))

@@ -24,9 +24,10 @@ TREES = 40
 DEPTH = 12
 CONTEXT = 80
 
-NAMES = ("token", "secret", "passw", "pwd", "api_key", "api-key", "apikey", "access_key", "access-key", "auth", "credential", "private_key", "private-key")
+NAMES = ("token", "secret", "passw", "pwd", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey", "auth", "credential", "private_key", "private-key", "privatekey")
+#: A name that says secret, of any length, an assignment, and its value: up to the closing quote, or of characters that stand in no quotes.
 ASSIGNED = re.compile(
-    r"(?<![A-Za-z0-9])[\w.-]{0,40}?(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key)[\w-]{0,20}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}"
+    r"(?<![\w.-])(?=[\w.-]*?(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key))[\w.-]++[\"']?+\s*+(?:=>|:=|=|:)\s*+"
     r"(?:\"(?P<double>(?:[^\"\\\n]|\\.){8,}+)\"|'(?P<single>(?:[^'\\\n]|\\.){8,}+)'|`(?P<back>[^`\n]{8,}+)`|[\"'`]?(?P<bare>[^\s\"'`,;<>|(){}\[\]]{8,}+))",
     re.I,
 )
@@ -107,7 +108,11 @@ def features(value: str, rule: int, before: str, after: str, path: str) -> list[
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, rule) of what looks like a secret, in order, without overlaps. Rules: 2 known form, 1 assigned to a name, 0 long token."""
+    """(start, end, rule) of what looks like a secret, in order, without overlaps.
+
+    Rules: 2 known form, 1 assigned to a name, 0 long token. Of two that overlap the higher rule stays,
+    of one rule the first, then the longer.
+    """
     found: list[tuple[int, int, int]] = []
     if any(s in text for s in KNOWN_STARTS):
         found += [(m.start(), m.end(), 2) for m in KNOWN.finditer(text)]
@@ -182,8 +187,11 @@ def fit_forest(rows: np.ndarray, labels: np.ndarray, trees: int = TREES, depth:
     return Forest(made)
 
 
-def findings_fixture(n: int = 3000, seed: int = 5) -> list[tuple[str, int, str, str, str, int]]:
-    """Labelled findings (value, rule, before, after, path, label), made up: real forms of secrets and of what is taken for them."""
+def findings_fixture(n: int = 3000, seed: int = 5, without: tuple[int, ...] = ()) -> list[tuple[str, int, str, str, str, int]]:
+    """Labelled findings (value, rule, before, after, path, label), made up: real forms of secrets and of what is taken for them.
+
+    `without` names kinds (0 to 8) of what is taken for secrets that are left out.
+    """
     r = random.Random(seed)
     hexes, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     some = lambda a, k: "".join(r.choice(a) for _ in range(k))
@@ -206,7 +214,7 @@ def findings_fixture(n: int = 3000, seed: int = 5) -> list[tuple[str, int, str,
                 before, rule = before + name + r.choice((' = "', " = ", ': "', '="', ": ")), 1
                 after = r.choice(('"', "", "'")) + after
         else:
-            kind = r.randrange(9)
+            kind = r.choice([k for k in range(9) if k not in without])
             name = case(r.choice(("token", "secret", "password", "api_key", "auth")))
             if kind == 0:
                 if r.random() < 0.3:
@@ -240,6 +248,21 @@ def default_forest() -> Forest:
     return train(findings_fixture())
 
 
+def labelled_findings(findings: DataFrame, most: int = MOST_FINDINGS) -> list[tuple[str, int, str, str, str, int]]:
+    """Findings for `train` from a table (text, start, end, rule, path, label): places in code points, rules as in RULES.
+
+    At most `most` are taken, those with the least hashes; rows that are null in text, places or label don't count.
+    """
+    rows = findings.dropna(subset=["text", "start", "end", "label"]).where(F.col("start") < F.col("end"))
+    at, to = F.col("start").cast("int"), F.col("end").cast("int")
+    near = rows.select(
+        F.substring("text", at + 1, to - at).alias("value"), F.greatest(F.coalesce(F.array_position(F.array(*map(F.lit, RULES)), F.col("rule")), F.lit(0)) - 1, F.lit(0)).cast("int").alias("rule"),
+        F.substring("text", F.greatest(at - CONTEXT, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT))).alias("before"), F.substring("text", to + 1, F.lit(CONTEXT)).alias("after"),
+        F.coalesce("path", F.lit("")).alias("path"), F.col("label").cast("int").alias("label"),
+    )
+    return [tuple(r) for r in near.orderBy(F.xxhash64(*near.columns), *near.columns).limit(most).collect()]
+
+
 def train(findings: list[tuple[str, int, str, str, str, int]]) -> Forest:
     """A forest from labelled findings (value, rule, before, after, path, label), of which it takes MOST_FINDINGS at most."""
     if len(findings) > MOST_FINDINGS:
@@ -302,7 +325,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scan as a pipeline stage: every document stays, secrets in its text are redacted (n_chars follows)."""
+    """Secret scan as a pipeline stage: every document stays, secrets in its text are redacted (n_chars follows).
+
+    A null text stays null; rows that repeat stay each; an empty table gives an empty one. Other columns
+    stay as they are.
+    """
     forest, names = default_forest(), docs.columns
     text_at, path_at = names.index("text"), names.index("source") if "source" in names else -1
     length_at = names.index("n_chars") if "n_chars" in names else -1

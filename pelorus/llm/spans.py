@@ -97,8 +97,10 @@ def inside(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Of all spans, end to end: the place of each code point, its place in its span, and where each span begins in these."""
     size = end - start
     first = np.cumsum(size) - size
-    within = np.arange(int(size.sum())) - np.repeat(first, size)
-    return np.repeat(start, size) + within, within, first
+    total = int(size.sum())
+    kind = np.int32 if max(total, int(end.max()) if len(end) else 0) < 1 << 31 else np.int64
+    at = np.arange(total, dtype=kind)
+    return at + np.repeat((start - first).astype(kind), size), at - np.repeat(first.astype(kind), size), first
 
 
 def hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -228,11 +230,11 @@ class Memo:
         return out
 
     def _slice(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        codes, at, keys = distinct(cp, start, end)
+        codes, at, keys, hashed = distinct(cp, start, end)
         a, b, get = start[at], end[at], self.index.get
         rows = np.array([get(k, -1) for k in keys.tolist()], np.int64)
         taken = rows >= 0  # by a word with that hash, or by an earlier one of these
-        taken[pd.Series(keys).duplicated().to_numpy()] = True
+        taken[hashed:] = True
         known = np.flatnonzero(rows >= 0)
         rows[known[self._differ(cp, a[known], b[known], rows[known])]] = -1
         new = np.flatnonzero(rows < 0)
@@ -259,15 +261,15 @@ class Memo:
         same = np.flatnonzero(~out)
         if len(same):
             place, within, first = inside(start[same], end[same])
-            letters = self.letters.flat[np.repeat(self.letters.start[rows[same]], size[same]) + within]
+            letters = self.letters.flat[np.repeat(self.letters.start[rows[same]].astype(within.dtype), size[same]) + within]
             out[same] = np.logical_or.reduceat(cp[place] != letters, first)
         return out
 
 
-def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A number for each span, the same for equal spans; of each number a span, and its hash.
+def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """A number for each span, the same for equal spans; of each number a span, and its hash; how many hashes there are.
 
-    Spans of one hash are compared with the first of them; those that differ have numbers of their own.
+    Spans of one hash are compared with the first of them; those that differ have numbers of their own, after all others.
     """
     codes, uniq = pd.factorize(hashes(cp, start, end))
     at = np.full(len(uniq), -1, np.int64)
@@ -276,7 +278,8 @@ def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     other = size != size[like]
     shown = np.where(other, np.arange(len(codes)), like)
     place, _, first = inside(start, end)
-    differs = cp[place] != cp[place + np.repeat(start[shown] - start, size)]
+    differs = cp[place] != cp[place + np.repeat((start[shown] - start).astype(place.dtype), size)]
+    hashed = len(uniq)
     if differs.any() or other.any():
         other |= np.logical_or.reduceat(differs, first)
         words: dict[bytes, int] = {}
@@ -287,7 +290,7 @@ def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
         _, one = np.unique(named, return_index=True)
         codes[own] = len(uniq) + named
         at, uniq = np.concatenate([at, own[one]]), np.concatenate([uniq, keys[one]])
-    return codes, at, uniq
+    return codes, at, uniq, hashed
 
 
 class Ragged:

@@ -31,18 +31,20 @@ NO_ID = (1 << 63) - 1
 
 
 class Chunk:
-    """Word hashes of some documents, end to end, in two arrays of 64 bits."""
+    """Word hashes of some documents, end to end: 64 bits, and if exact 64 more."""
 
-    def __init__(self, docs: pa.Table, key: int):
+    def __init__(self, docs: pa.Table, key: int, exact: bool):
         self.ids = np.array([NO_ID if i is None else i for i in docs.column("doc_id").to_pylist()], np.int64)
         self.texts = docs.column("text").to_pylist()
-        self.counts, pairs = np.zeros(len(self.texts), np.int64), [np.zeros((2, 0), np.uint64)]
+        self.counts, none = np.zeros(len(self.texts), np.int64), np.zeros(0, np.uint64)
+        a, b = [none], [none]
         for i, j in spans.batches(self.texts):
             cp, starts = spans.code_points(self.texts[i:j])
             start, end, first = spans.words(cp, starts)
             self.counts[i:j] = np.diff(first)
-            pairs.append(np.stack([spans.hashes(cp, start, end, key), spans.hashes(cp, start, end, key + 1)]))
-        self.a, self.b = np.concatenate(pairs, axis=1)
+            for hashed, k in ((a, key), (b, key + 1))[: 1 + exact]:
+                hashed.append(spans.hashes(cp, start, end, k))
+        self.a, self.b = np.concatenate(a), np.concatenate(b)
         self.doc = np.repeat(np.arange(len(self.texts)), self.counts)
         self.end = np.cumsum(self.counts)
         self.at = np.arange(len(self.a)) - np.repeat(self.end - self.counts, self.counts)
@@ -164,7 +166,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     plain = scratch.bucketed(dealt, "chunks", "chunk", files)
 
     def ask_runs(group: pa.Table) -> pa.Table:
-        runs = Runs(Chunk(group, key), bits)
+        runs = Runs(Chunk(group, key, False), bits)
         cut = [(p, slice(a, b)) for p, (a, b) in enumerate(zip(runs.bound[:-1].tolist(), runs.bound[1:].tolist())) if a < b]
         low = runs.key.astype(np.uint32)
         return pa.table(
@@ -194,7 +196,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def ask_windows(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not group.num_rows:
             return WINDOWS.empty_table()
-        chunk = Chunk(group, key)
+        chunk = Chunk(group, key, True)
         runs = Runs(chunk, bits)
         w = Windows(chunk, runs, _told(answers, 0, runs.bound), bits)
         cut = [(p, slice(a, b)) for p, (a, b) in enumerate(zip(w.bound[:-1].tolist(), w.bound[1:].tolist())) if a < b]
@@ -220,7 +222,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
         return _answer(group, flags, sizes, 1)
 
     def cut_out(group: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = Chunk(group, key) if group.num_rows else None
+        chunk = Chunk(group, key, bool(answers.num_rows)) if group.num_rows else None
         if chunk is None:
             return RESULT.empty_table()
         gone = np.zeros(len(chunk.a), bool)

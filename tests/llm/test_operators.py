@@ -206,6 +206,68 @@ def test_fingerprints_odd(spark, monkeypatch, tmp_path):
     assert got[0].near_next == 1.0
 
 
+def brute_sketch(t, k=fingerprints.K):
+    """The k least hashes of the shingles, by the chained hash of Spark's xxhash64."""
+    out = set()
+    for shingle in shingles(t):
+        h = 42
+        for w in shingle:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        out.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(out)[:k]
+
+
+def brute_likeness(a, b, k=fingerprints.K):
+    both = sorted(set(a) | set(b))[:k]
+    return len([h for h in both if h in a and h in b]) / len(both) if both else 1.0
+
+
+def brute_op2(rows):
+    """All columns of op2's rows but the sketch of repeated ids, whose order is that of a hash."""
+    rows = sorted(rows, key=lambda r: -r[0])
+    out = []
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+        half = len(t) // 2
+        e = t[: len(t) - half] + n[:half]
+        s, x, y = brute_sketch(t), brute_sketch(e), brute_sketch(n)
+        text = lambda a: "".join(f"{h % (1 << 64):016x}" for h in a)
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), text(s), text(x), round(brute_likeness(s, x), 9), round(brute_likeness(s, y), 9)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [3_000, 1 << 40])
+def test_op2_is_brute_force(spark, docs, monkeypatch, tmp_path, size):
+    """Exact bottom-k sketches; ids that no double holds, and ranges of a few rows."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", size)
+    for name, base in (("a", 0), ("b", (1 << 62) + 1)):
+        rows = [(base + i, t) for i, t in texts(docs).items()]
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = fingerprints.op2_fingerprints(spark, f"{tmp_path}/{name}").collect()
+        assert sorted((*r[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == brute_op2(rows)
+
+
+def test_op2_hot_id_repeats_and_empty(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 500)
+    rows = [(7, f"{k:04} is hot {k:04}") for k in range(300)] + [(i, f"text {i}") for i in range(20) if i != 7] + [(3, "text 3")] * 4 + [(None, "no id")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got, _ = check_op2(spark, df, monkeypatch, tmp_path)
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 500)
+    got = fingerprints.op2_fingerprints(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.n_chars) for r in got) == collections.Counter((i, len(t)) for i, t in rows)
+    edited = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r.edited_sha256)
+    assert by[8][0] in {edited("text 8", t) for i, t in rows if i == 7} and edited("text 6", "text 5") in by[6]
+    assert sorted(by[3]) == sorted([edited("text 3", "text 3")] * 4 + [edited("text 3", "text 2")])
+    assert sorted(by[None]) == sorted([edited("no id", "no id"), edited("no id", "text 19")])
+    last = [x for x in by[7] if x in {edited(t, "text 6") for i, t in rows if i == 7}]
+    assert len(last) == 1 and len(set(by[7])) == 300  # a chain through all texts of the hot id
+    df.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    none = fingerprints.op2_fingerprints(spark, str(tmp_path))
+    assert none.count() == 0 and none.columns[:2] == ["doc_id", "n_chars"]
+
+
 def test_sketch_algebra(spark):
     rng = random.Random(0)
     words = [f"w{i}" for i in range(3000)]
@@ -464,6 +526,75 @@ def test_secrets_are_taken_whole(spark):
     assert secret_scan.candidates("x" * 30 + "1@example.org") == []
 
 
+def test_kinds_of_findings_not_seen_in_training():
+    """False findings of a kind that the forest never saw: paths, identifiers and dates are known for what they are."""
+    share = lambda forest, rows: (forest.predict(np.array([secret_scan.features(*f[:5]) for f in rows])) >= 0.5).mean()
+    wrong = []
+    for kind in range(9):
+        forest = secret_scan.train(secret_scan.findings_fixture(1500, without=(kind,)))
+        found = secret_scan.findings_fixture(600, 77, tuple(k for k in range(9) if k != kind))
+        wrong.append(share(forest, [f for f in found if not f[5]]))
+        assert share(forest, [f for f in found if f[5]]) > 0.97
+    assert max(wrong[k] for k in (3, 4, 6, 7)) < 0.05 and np.mean(wrong) < 0.3
+
+
+def test_findings_from_a_table(spark):
+    rows, want = [], []
+    for value, rule, before, after, path, label in secret_scan.findings_fixture(300, 9):
+        rows.append((before + value + after, len(before), len(before) + len(value), secret_scan.RULES[rule], path, label))
+        want.append((value, rule, before, after, path, label))
+    rows += [(None, 0, 1, None, None, 1), ("text", 2, 2, None, None, 1), ("text", 0, 2, None, None, None)]
+    df = spark.createDataFrame(rows, "text string, start long, end long, rule string, path string, label int")
+    got = secret_scan.labelled_findings(df)
+    assert sorted(got) == sorted(want) and len(secret_scan.labelled_findings(df, 50)) == 50
+    assert secret_scan.train(got).trees
+
+
+def brute_candidates(text):
+    """By trying every name at every place behind the value before."""
+    found, upto = [], 0
+    names = re.compile(r"token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key", re.I)
+    for m in re.finditer(r"[\w.-]+", text):
+        if m.start() < upto or not names.search(m[0]):
+            continue
+        sign = re.match(r"[\"']?\s*(?:=>|:=|=|:)\s*", text[m.end() :])
+        if not sign:
+            continue
+        at = m.end() + sign.end()
+        rest = text[at:]
+        if rest[:1] in ("'", '"', "`") and rest.find(rest[0], 9) > 0 and "\n" not in rest[1 : rest.find(rest[0], 9)] and rest.find(rest[0], 1) >= 9:
+            found.append((at + 1, at + rest.find(rest[0], 1)))
+            upto = found[-1][1] + 1
+        elif bare := re.match(r"[\"'`]?([^\s\"'`,;<>|(){}\[\]]{8,})", rest):
+            found.append((at + bare.start(1), at + bare.end(1)))
+            upto = found[-1][1]
+    return found
+
+
+def test_candidates_are_brute_force():
+    rng = random.Random(10)
+    parts = ["token", "my_secret.key", "x" * 60 + "_password", "pwd" + "y" * 50, " = ", ": ", "=>", ' := "', '"', "'", "value1234", "ab", " ", "\n", "z9" * 400, ", ", "author"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 8)))
+        want = brute_candidates(text)
+        got = [(a, b) for a, b, rule in secret_scan.candidates(text) if rule == 1]
+        assert want == got, text
+
+
+def test_op6_is_brute_force(spark, tmp_path):
+    """Of whole texts: every candidate, its places, score and digest, odd rows and all."""
+    rows = [*ODD, (11, 'é😀 my.password = "Xk9$mQ2(vL7pR4" and ' + "token = '" + "a1" * 300 + "'"), (12, "commit 9b0b3c6a43eb78aa99cbd7049c572391524f37a8"), (12, "commit 9b0b3c6a43eb78aa99cbd7049c572391524f37a8")]
+    spark.createDataFrame([(i, t, "src/config") for i, t in rows], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    forest = secret_scan.default_forest()
+    for i, t in rows:
+        found = secret_scan.scan_text(t or "", "src/config", forest)
+        good = [(a, b, secret_scan.RULES[k], round(s, 6), hashlib.sha256(t[a:b].encode()).hexdigest()) for a, b, k, s in found if s >= 0.5]
+        want.append((-1 if i is None else i, len(found), len(good), good))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_candidates, r.n_secrets, [tuple(s) for s in r.secrets]) for r in secret_scan.op6_secret_scan(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and sum(r[2] for r in want) == 2
+
+
 # 7 pages
 
 
