@@ -5,6 +5,7 @@ import functools
 import hashlib
 import html
 import itertools
+import math
 import random
 import re
 import time
@@ -16,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pelorus.llm import exact_dedup, fingerprints, html_extract, language_id, near_dedup, packing, piece_lattice, queries, secret_scan, simhash, spans, substring_dedup, token_counts
+from pelorus.llm import exact_dedup, fingerprints, html_extract, language_id, packing, piece_lattice, queries, secret_scan, simhash, simhash_similar, spans, substring_dedup, token_counts
 from pelorus.llm.common import Scratch, components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -389,7 +390,7 @@ def test_stages_keep_clashing_and_map_columns(spark):
     names = ", ".join(f"{c} string" for c in CLASHES)
     rows = [(i, t, {"a": str(k)}, *(f"{c}{k}" for c in CLASHES)) for k, (i, t) in enumerate(ODD)]
     docs = spark.createDataFrame(rows, f"doc_id long, text string, m map<string,string>, {names}").repartition(3)
-    for stage in (exact_dedup.stage, simhash.stage):
+    for stage in (exact_dedup.stage, simhash.stage, simhash_similar.stage):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns
         for r in out.collect():
@@ -845,21 +846,14 @@ def test_simhash_stage(spark, odd, docs):
     assert simhash.stage(spark, docs, "").count() == simhash.simhash_components(docs, Scratch(spark, "t8s")).select("component_id").distinct().count()
 
 
-def test_near_stage_is_all_pairs(spark, odd, docs):
-    r = random.Random(6)
-    rows = [(i, t) for i, t in sorted(texts(docs).items())]
-    base = [r.choices([f"w{k}" for k in range(500)], k=250) for _ in range(30)]
-    for k, words in enumerate(base):
-        for e in range(1, 5):  # e words changed, so up to 5 * e of 246 shingles
-            other = list(words)
-            for at in r.sample(range(250), e):
-                other[at] = "changed"
-            rows.append((10_000 + 10 * k + e, " ".join(other)))
-        rows.append((10_000 + 10 * k, " ".join(words)))
-    own = {}
-    for i, t in rows:
-        w = (t or "").encode().lower().split()
-        own[i] = {b" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+def word_shingles(t, k=5):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w[j : j + k]) for j in range(max(1, len(w) - k + 1))}
+
+
+def similar_roots(rows, similarity=0.8):
+    """Of (id, text) the least id that links of the similarity reach, by comparing all pairs; and how many links there are."""
+    own = {i: word_shingles(t) for i, t in rows}
     group = {i: i for i in own}
 
     def root(i):
@@ -870,15 +864,76 @@ def test_near_stage_is_all_pairs(spark, odd, docs):
     pairs = 0
     for a, b in itertools.combinations(sorted(own), 2):
         common = len(own[a] & own[b])
-        if common and common >= 0.8 * (len(own[a]) + len(own[b]) - common):
+        if common and common >= similarity * (len(own[a]) + len(own[b]) - common):
             pairs += 1
             group[max(root(a), root(b))] = min(root(a), root(b))
-    got = near_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
-    assert pairs > 150 and sorted(x.doc_id for x in got) == sorted({root(i) for i in own})
-    out = near_dedup.stage(spark, odd, "")
+    return {i: root(i) for i in own}, pairs
+
+
+def test_similar_stage_is_all_pairs(spark, odd, docs):
+    r = random.Random(6)
+    rows = [(i, t) for i, t in sorted(texts(docs).items())]
+    base = [r.choices([f"w{k}" for k in range(500)], k=250) for _ in range(30)]
+    for k, words in enumerate(base):
+        for e in range(1, 5):  # e words changed, so up to 5 * e of 246 shingles
+            other = list(words)
+            for at in r.sample(range(250), e):
+                other[at] = "changed"
+            rows.append((10_000 + 10 * k + e, " ".join(other)))
+        rows.append((10_000 + 10 * k, " ".join(words)))
+    group, pairs = similar_roots(rows)
+    got = simhash_similar.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert pairs > 150 and sorted(x.doc_id for x in got) == sorted(set(group.values()))
+    out = simhash_similar.stage(spark, odd, "")
     assert out.columns == odd.columns and out.count() == len({b" ".join((t or "").encode().lower().split()) for _, t in ODD})
 
 
+def test_recall_at_the_least_similarity():
+    rng = random.Random(7)
+    bits = simhash_similar.drawn(*simhash_similar.shape(200_000))
+    found = near = 0
+    for n in (120, 250, 900):
+        for _ in range(150):
+            m = 4 + math.ceil((n - 4) * 1.6 / 1.8)
+            a = [f"a{rng.randrange(10**9)}" for _ in range(n)]
+            b = a[:m] + [f"b{rng.randrange(10**9)}" for _ in range(n - m)]
+            x, y = word_shingles(" ".join(a)), word_shingles(" ".join(b))
+            near += 0.8 <= len(x & y) / len(x | y) < 0.84
+            (lx, _), (ly, _) = simhash_similar.sketch(" ".join(a)), simhash_similar.sketch(" ".join(b))
+            least = np.bitwise_count(simhash_similar.short(lx[None], bits) ^ simhash_similar.short(ly[None], bits)).min()
+            found += least <= 2 * simhash_similar.RADIUS and np.bitwise_count(lx[: simhash_similar.CHECK_WORDS] ^ ly[: simhash_similar.CHECK_WORDS]).sum() <= simhash_similar.CHECK_BITS
+    assert near == 450 and found >= 0.97 * near
+
+
+def test_candidates_of_large_groups_are_few(spark, monkeypatch):
+    """A group of m near copies has candidates in proportion to m; and short fingerprints over many buckets and slices are as good as in one."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(600):
+        other = list(words)
+        other[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(other)))
+    rows += [(1000 + i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(100))) for i in range(200)]
+    nodes = Scratch(spark, "t8n").settle(simhash_similar.sketches(spark.createDataFrame(rows, "doc_id long, text string")).select("fp", "long", "shingles"), "n")
+    for size, variants, each in ((1 << 20, 1 << 20, 30), (100, 300, 90)):
+        monkeypatch.setattr(simhash_similar, "BUCKET_FINGERPRINTS", size)
+        monkeypatch.setattr(simhash_similar, "SLICE_VARIANTS", variants)
+        pairs = simhash_similar.candidate_links(nodes, Scratch(spark, "t8c")).collect()
+        assert 599 <= len(pairs) < each * 600
+        up = {}
+        find = lambda i: i if up.setdefault(i, i) == i else find(up[i])
+        for a, b in pairs:
+            up[max(find(a), find(b))] = min(find(a), find(b))
+        sizes = sorted(collections.Counter(find(i) for i in list(up)).values())
+        assert sizes == [600]
+
+
+def test_bits_are_counted():
+    v = np.random.default_rng(0).integers(0, 1 << 63, (1000, 3)).astype(np.uint64)
+    assert (simhash_similar.bit_counts(v) == np.unpackbits(v.view(np.uint8).reshape(1000, -1), axis=1, bitorder="little").sum(axis=0).reshape(3, 64)).all()
+
+
 # 9 pieces
 
 
@@ -977,9 +1032,8 @@ def test_pipeline(spark, data, docs):
     good = {r.doc_id for r in language_id.identify(docs, model).collect() if r.lang_pred != "und" and r.score >= language_id.LEAST_SCORE}
     left = {i: t for i, t in left.items() if i in good}
     keep = {k for k, _ in brute_dedup(left.items()).values()}
-    ids = sorted(keep)
-    root = roots([brute_simhash(left[i]) for i in ids])
-    ids = [i for k, i in enumerate(ids) if root[k] == k]
+    group, _ = similar_roots([(i, left[i]) for i in keep])
+    ids = sorted(set(group.values()))
     enc = packing.byte_encoder(packing._default_path())
     hide = lambda t: re.sub(r'(token = ")[0-9a-f]{40}(")', r"\1[SECRET]\2", t, flags=re.I)
     want = {i: len(enc.library.encode(hide(left[i]), add_special_tokens=False).ids) + 1 for i in ids}
