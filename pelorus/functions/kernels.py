@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -10,40 +11,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Kernel = Callable[[np.ndarray], float]
+#: Windows that a kernel takes at a time, and rows of an instrument that one task has.
+AT_ONCE = 512
+CHUNK = 8192
 
 
-def hurst(x: np.ndarray) -> float:
+def by_rows(many: Callable[..., np.ndarray]) -> Kernel:
+    """A kernel of one window from one of windows (rows, values); bounded_batch uses the latter."""
+
+    @functools.wraps(many)
+    def one(x: np.ndarray, *args, **kwargs) -> float:
+        return float(many(np.asarray(x, float)[None, :], *args, **kwargs)[0])
+
+    one.many = many
+    return one
+
+
+@by_rows
+def hurst(x: np.ndarray) -> np.ndarray:
     """Rescaled-range exponent: slope of ln(R/S) on ln(scale) over six log-spaced scales from 8 to n/2; NaN below 32 values."""
-    n = len(x)
+    n = x.shape[1]
     if n < 32:
-        return np.nan
-    points = []
+        return np.full(len(x), np.nan)
+    logs, found = [], []
     for m in np.unique(np.exp(np.linspace(np.log(8), np.log(n / 2), 6)).astype(int)):
-        parts = x[: n // m * m].reshape(-1, m)
-        dev = np.cumsum(parts - parts.mean(axis=1, keepdims=True), axis=1)
-        r, s = dev.max(axis=1) - dev.min(axis=1), parts.std(axis=1)
+        parts = x[:, : n // m * m].reshape(len(x), -1, m)
+        dev = np.cumsum(parts - parts.mean(axis=2, keepdims=True), axis=2)
+        r, s = dev.max(axis=2) - dev.min(axis=2), parts.std(axis=2)
         ok = (r > 0) & (s > 0)
-        if ok.any():
-            points.append((np.log(m), np.log((r[ok] / s[ok]).mean())))
-    if len(points) < 2:
-        return np.nan
-    a, b = np.array(points).T
-    return float(((a - a.mean()) * (b - b.mean())).sum() / ((a - a.mean()) ** 2).sum())
-
-
-def sample_entropy(x: np.ndarray, m: int = 2, tolerance: float = 0.2) -> float:
+        ratio = np.where(ok, r, 0.0) / np.where(ok, s, 1.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found.append(np.log(ratio.sum(axis=1) / ok.sum(axis=1)))
+        logs.append(np.log(m))
+    a, b = np.array(logs), np.array(found).T
+    has = np.isfinite(b)
+    k = has.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean_a, mean_b = (has * a).sum(axis=1) / k, np.where(has, b, 0.0).sum(axis=1) / k
+        da, db = np.where(has, a - mean_a[:, None], 0.0), np.where(has, b - mean_b[:, None], 0.0)
+        return np.where(k >= 2, (da * db).sum(axis=1) / (da * da).sum(axis=1), np.nan)
+
+
+@by_rows
+def sample_entropy(x: np.ndarray, m: int = 2, tolerance: float = 0.2) -> np.ndarray:
     """-ln of the share of pairs of m-templates within tolerance * std that stay so with one value more; NaN without pairs."""
-    r = tolerance * x.std()
-    if len(x) <= m + 1 or r <= 0:
-        return np.nan
-
-    def pairs(size: int) -> int:
-        t = np.lib.stride_tricks.sliding_window_view(x, size)[: len(x) - size + (size > m)]
-        near = np.abs(t[:, None, :] - t[None, :, :]).max(axis=2) <= r
-        return int(near.sum() - len(t)) // 2
-
-    a, b = pairs(m + 1), pairs(m)
-    return float(-np.log(a / b)) if a and b else np.nan
+    n = x.shape[1]
+    r = tolerance * x.std(axis=1)
+    if n <= m + 1:
+        return np.full(len(x), np.nan)
+    a, b = np.zeros(len(x)), np.zeros(len(x))
+    for gap in range(1, n - m):  # templates that start `gap` values apart
+        near = np.abs(x[:, gap:] - x[:, :-gap]) <= r[:, None]
+        same = near[:, : n - gap - m + 1].copy()
+        for k in range(1, m):
+            same &= near[:, k : n - gap - m + 1 + k]
+        longer = same[:, : n - gap - m] & near[:, m : n - gap]
+        a += longer.sum(axis=1)
+        b += same[:, : n - gap - m].sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((r > 0) & (a > 0) & (b > 0), -np.log(a / b), np.nan)
 
 
 def kernel_udf(kernel: Kernel) -> Callable[[Column], Column]:
@@ -64,12 +90,52 @@ def kernel_udf(kernel: Kernel) -> Callable[[Column], Column]:
 
 
 def bounded_batch(df: DataFrame, name: str, kernel: Kernel, source: str, window: int, lag: int = 1) -> DataFrame:
-    """Kernel over the `window` most recent non-null values that end `lag` values ago, across segments; null before there are enough."""
+    """Kernel over the `window` most recent non-null values that end `lag` values ago, across segments; null before there are enough.
+
+    An instrument's values are numbered, cut into chunks, and each chunk gets the values before it that
+    its windows need; windows are views of a chunk's array. So nothing grows with the window, and the
+    chunks of one instrument run in many tasks. An error, NaN or infinity in the kernel is null.
+    """
     src = F.col(source)
     own = Window.partitionBy("instrument", src.isNotNull()).orderBy("open_time")
-    values = F.collect_list(src).over(own.rowsBetween(-(lag + window - 1), -lag))
-    ready = src.isNotNull() & (F.row_number().over(own) >= lag + window)
-    df = df.withColumn("__window", F.when(ready, values))
-    # an instrument's windows were made in one task; the kernel, which costs far more, runs in all
-    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "instrument", "open_time")
-    return df.withColumn(name, kernel_udf(kernel)(F.col("__window"))).drop("__window")
+    reach = lag + window - 1
+    length = max(CHUNK, 4 * reach)
+    at = df.withColumn("__nth", F.row_number().over(own) - 1).withColumn("__chunk", F.when(src.isNotNull(), F.floor(F.col("__nth") / length)))
+    values = at.where(src.isNotNull()).select("instrument", "__chunk", "__nth", src.cast("double").alias("__x"))
+    late = values.where(F.col("__nth") % length >= length - reach).withColumn("__chunk", F.col("__chunk") + 1)
+    many = getattr(kernel, "many", None)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__nth")
+        x, nth = part["__x"].to_numpy(float), part["__nth"].to_numpy()
+        first = int(key[1]) * length
+        rows = np.flatnonzero((nth >= first) & (np.arange(len(nth)) >= reach))
+        out = np.full(len(nth), np.nan)
+        if len(rows):
+            views = np.lib.stride_tricks.sliding_window_view(x, window)
+            for i in range(0, len(rows), AT_ONCE):
+                some = rows[i : i + AT_ONCE]
+                out[some] = _applied(kernel, many, views[some - reach])
+        mine = nth >= first
+        return pd.DataFrame({"instrument": [key[0]] * int(mine.sum()), "__nth": nth[mine], name: [v if np.isfinite(v) else None for v in out[mine]]})
+
+    kind = dict(df.dtypes)["instrument"]
+    made = values.union(late).groupBy("instrument", "__chunk").applyInPandas(run, f"instrument {kind}, __nth int, `{name}` double")
+    missing = at.where(src.isNull()).withColumn(name, F.lit(None).cast("double")).drop("__nth", "__chunk")
+    known = at.where(src.isNotNull()).join(made, ["instrument", "__nth"]).drop("__nth", "__chunk")
+    return known.select(*df.columns, name).union(missing.select(*df.columns, name))
+
+
+def _applied(kernel: Kernel, many: Callable | None, windows: np.ndarray) -> np.ndarray:
+    if many is not None:
+        try:
+            return np.asarray(many(windows), float)
+        except Exception:  # a kernel may not like one of the windows: then each for itself
+            pass
+    out = np.full(len(windows), np.nan)
+    for i, w in enumerate(windows):
+        try:
+            out[i] = kernel(w)
+        except Exception:  # the row then has no value
+            pass
+    return out

@@ -16,6 +16,8 @@ from pelorus.functions.scalars import NORMAL
 
 ANY = "__all"
 TINY = 1e-10
+#: Rows of a group that one task's window has.
+CHUNK = 100_000
 
 
 def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -36,10 +38,51 @@ def log_loss(clip: float = 1e-7) -> Column:
     return F.avg(-F.col("y") * F.log(p) - (1 - F.col("y")) * F.log(1 - p))
 
 
+def cuts(df: DataFrame, columns: Sequence[str], n: int = 128) -> list[list[float]]:
+    """About n - 1 approximate quantiles of each column, ascending: bounds of buckets of about equal size."""
+    row = df.agg(*(F.percentile_approx(c, [k / n for k in range(1, n)], 100 * n) for c in columns)).first()
+    return [sorted(set(x or [])) for x in row]
+
+
+def place(value: Column, bounds: Sequence[float]) -> Column:
+    """Twice the number of bounds below value, one more if it is a bound: odd buckets hold a single value."""
+    if not bounds:
+        return F.lit(0)
+    each = F.array(*map(F.lit, bounds))
+    return 2 * F.size(F.filter(each, lambda b: b < value)) + F.array_contains(each, value).cast("int")
+
+
+def bucketed(df: DataFrame, falling: bool = False) -> tuple[Column, Column]:
+    """Two buckets: one that never falls as p grows, and one that never falls as (p, idx) grows, or as (-p, idx) does.
+
+    A p that many rows share has many of the latter, by idx.
+    """
+    by_p, by_idx = cuts(df, ["p", "idx"])
+    at = place(F.col("p"), by_p)
+    return at, F.struct((-at if falling else at).alias("p"), F.when(at % 2 == 1, place(F.col("idx"), by_idx)).otherwise(0).alias("i"))
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolated quantiles of each group (an array `quantiles`); rows without a value don't count.
+
+    Values are counted, and ranked bucket by bucket, so no task holds the values of a group.
+    """
+    df, keys = _grouped(df, by)
+    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    ranked = running(counted, keys, "__v", {"__below": "__n"}, place(F.col("__v"), cuts(counted, ["__v"])[0]))
+    sizes = counted.groupBy(*keys).agg((F.sum("__n") - 1).alias("__last"))
+    at = lambda k: F.max(F.when((F.col("__below") <= k) & (k < F.col("__below") + F.col("__n")), F.col("__v")))
+    place_of = [F.col("__last") * F.lit(float(s)) for s in shares]
+    found = ranked.join(sizes, keys).groupBy(*keys, "__last").agg(*(at(f(x)).alias(f"__{side}{i}") for i, x in enumerate(place_of) for side, f in (("lo", F.floor), ("hi", F.ceil))))
+    made = [F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (x - F.floor(x)) for i, x in enumerate(place_of)]
+    out = found.select(*keys, F.array(*made).alias("quantiles"))
+    return out if by else out.drop(ANY)
+
+
 def with_bins(df: DataFrame, n_bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """bin: how many inner quantile edges of p (within the group) are at most p; equal p share a bin."""
     df, by = _grouped(df, by)
-    edges = df.groupBy(*by).agg(F.percentile("p", [k / n_bins for k in range(1, n_bins)]).alias("__edges"))
+    edges = quantiles(df, "p", [k / n_bins for k in range(1, n_bins)], by).withColumnRenamed("quantiles", "__edges")
     return df.join(edges, by).withColumn("bin", F.size(F.filter("__edges", lambda e: e <= F.col("p")))).drop("__edges")
 
 
@@ -92,7 +135,7 @@ def running(df: DataFrame, by: Sequence[str], order: str, values: dict[str, str]
 def roc_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mann-Whitney with average ranks; 0.5 where a class lacks."""
     tied, keys = _tied(df, by)
-    ranked = running(tied, keys, "p", {"below": "neg"}, F.floor(F.col("p") * 1024))
+    ranked = running(tied, keys, "p", {"below": "neg"}, place(F.col("p"), cuts(tied, ["p"])[0]))
     out = ranked.groupBy(*keys).agg(
         F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")
     )
@@ -105,7 +148,7 @@ def pr_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Average precision by falling p; of equal p the smaller idx comes first. 0 without positives."""
     df, keys = _grouped(df, by)
     df = df.withColumns({"__order": F.struct((-F.col("p")).alias("p"), F.col("idx").alias("i")), "__one": F.lit(1)})
-    ranked = running(df, keys, "__order", {"hits": "y", "rows": "__one"}, F.floor(-F.col("p") * 1024))
+    ranked = running(df, keys, "__order", {"hits": "y", "rows": "__one"}, bucketed(df, falling=True)[1])
     precision = (F.col("hits") + F.col("y")) / (F.col("rows") + 1)
     out = ranked.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("y") == 1, precision)) / F.sum("y"), F.lit(0.0)).alias("pr_auc"))
     return out if by else out.drop(ANY)
@@ -114,9 +157,8 @@ def pr_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def delong(df: DataFrame, confidence: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
     """ROC-AUC with DeLong's variance and interval. Ranks within a class go by idx where p is tied."""
     df, keys = _grouped(df, by)
-    whole = Window.partitionBy(*keys)
-    bucket = F.floor(F.col("p") * 1024)
-    tied = running(df.groupBy(*keys, "p").agg(F.count("*").alias("__n")), keys, "p", {"__below": "__n"}, bucket)
+    of_p, bucket = bucketed(df)
+    tied = running(df.groupBy(*keys, "p").agg(F.count("*").alias("__n")), keys, "p", {"__below": "__n"}, of_p)
     rows = df.join(tied, [*keys, "p"]).withColumn("__mid", F.col("__below") + (F.col("__n") + 1) / 2)
     rows = rows.withColumns({"__order": F.struct("p", "idx"), "__one": F.lit(1)})
     rows = running(rows, [*keys, "y"], "__order", {"__before": "__one"}, bucket)
@@ -144,16 +186,20 @@ def wilson(successes: Column, total: Column, confidence: float = 0.95) -> tuple[
 
 
 def rolling_brier(df: DataFrame, window: int = 1000, by: Sequence[str] = ()) -> DataFrame:
-    """rolling_brier: trailing mean over `window` rows by idx, null before there are as many; baseline: over all rows."""
+    """rolling_brier: trailing mean over `window` rows by idx (distinct), null before there are as many; baseline: over all rows.
+
+    Rows are numbered bucket by bucket and cut into chunks, each with the rows before it that its means
+    need, so a group spreads over many tasks.
+    """
     df, keys = _grouped(df, by)
-    order = Window.partitionBy(*keys).orderBy("idx")
-    full = F.row_number().over(order) >= window
-    out = df.withColumns(
-        {
-            "rolling_brier": F.when(full, F.avg(squared_error()).over(order.rowsBetween(-(window - 1), 0))),
-            "baseline": F.avg(squared_error()).over(Window.partitionBy(*keys)),
-        }
-    )
+    base = df.groupBy(*keys).agg(F.avg(squared_error()).alias("baseline"))
+    names, length = df.columns, max(CHUNK, 4 * window)
+    rows = running(df.withColumn("__one", F.lit(1)), keys, "idx", {"__at": "__one"}, place(F.col("idx"), cuts(df, ["idx"])[0]))
+    rows = rows.withColumn("__chunk", F.floor(F.col("__at") / length)).withColumn("__own", F.lit(True))
+    late = rows.where(F.col("__at") % length > length - window).withColumns({"__chunk": F.col("__chunk") + 1, "__own": F.lit(False)})
+    near = Window.partitionBy(*keys, "__chunk").orderBy("idx").rowsBetween(-(window - 1), 0)
+    rows = rows.union(late).withColumn("rolling_brier", F.when(F.col("__at") >= window - 1, F.avg(squared_error()).over(near))).where("__own")
+    out = rows.join(base, keys).select(*names, "rolling_brier", "baseline")
     return out if by else out.drop(ANY)
 
 

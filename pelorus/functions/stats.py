@@ -30,25 +30,31 @@ def autocovariances(df: DataFrame, value: str, lags: list[int], by: str = "instr
 
 
 def block_length(x: np.ndarray, max_lag: int | None = None) -> int:
-    """Politis-White length for the stationary bootstrap, by the flat-top kernel; at most n // 4."""
+    """Politis and White's length (2004, corrected 2009) for the stationary bootstrap, between 1 and a quarter of the values.
+
+    The bandwidth is the first lag that is small and has only small autocorrelations in the lags behind
+    it; the flat-top window goes up to it. Series without variance, or without a positive spectrum at
+    zero, have the cube root of their length. Fewer than 8 values are an error.
+    """
     x = np.asarray(x, float)
     n = len(x)
-    fallback = max(1, min(max(1, n // 4), math.ceil(n ** (1 / 3)))) if n else 1
-    if n < 8 or np.var(x) < 1e-20:
-        return fallback
-    most = max_lag or min(n // 4, max(8, math.ceil(8 * math.log10(n))))
-    r = autocovariance(x, most)
-    small = np.abs(r / r[0]) < 2 * math.sqrt(math.log10(n) / n)
+    if n < 8:
+        raise ValueError(f"a block length needs 8 values or more, not {n}")
+    most = max(1, max_lag or min(n // 4, max(8, math.ceil(8 * math.log10(n)))))
+    cov = autocovariance(x, most)
+    plain = max(1, math.ceil(n ** (1 / 3)))
+    if cov[0] <= 0:
+        return plain
+    small = np.abs(cov / cov[0]) < 2 * math.sqrt(math.log10(n) / n)
     run = max(5, math.ceil(math.sqrt(math.log10(n))))
-    m = next((k for k in range(1, most - run + 2) if small[k : k + run].all()), most)
-    m = min(2 * m, most)
-    k = np.arange(-m, m + 1)
-    flat = np.clip(2 * (1 - np.abs(k) / max(m, 1)), 0, 1)
-    cov = r[np.abs(k)]
-    g, spectrum = float((flat * np.abs(k) * cov).sum()), float((flat * cov).sum())
-    if spectrum <= 0:
-        return fallback
-    return int(max(1, min(n // 4, math.ceil((2 * g * g / (2 * spectrum**2)) ** (1 / 3) * n ** (1 / 3)))))
+    width = next((k for k in range(1, most - run + 1) if small[k : k + run + 1].all()), most)
+    lag = np.arange(1, width + 1)
+    taper = np.clip(2 * (1 - lag / width), 0, 1) * cov[1 : width + 1]
+    spectrum, slope = float(cov[0] + 2 * taper.sum()), float(2 * (lag * taper).sum())
+    if not (math.isfinite(spectrum) and math.isfinite(slope)) or spectrum <= 0:
+        return plain
+    length = (2 * slope**2 / spectrum**2 * n) ** (1 / 3)
+    return max(1, min(round(length), n // 4)) if length >= 1 else 1
 
 
 def stationary_indices(n: int, block: int, rng: np.random.Generator) -> np.ndarray:
@@ -84,7 +90,7 @@ def bootstrap(spark: SparkSession, x: np.ndarray, metric: Callable[[np.ndarray],
     seed of its own, so the result doesn't depend on how they are dealt out. Schemes: stationary_block, iid.
     """
     x = np.asarray(x, float)
-    length = 1 if scheme == "iid" else block or block_length(x)
+    length = 1 if scheme == "iid" or not len(x) else block or block_length(x)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -124,10 +130,12 @@ def sharpe_interval(df: DataFrame, by: str, order: list[str], value: str, block:
 
 
 def grouped_bootstrap(df: DataFrame, by: str, value: str, order: str, metric: Callable[[np.ndarray], float], n: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """Bootstrap interval of a metric for each group, groups side by side."""
+    """Bootstrap interval of a metric for each group, groups side by side; groups of fewer than 8 rows have no interval."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         x = part.sort_values(order)[value].to_numpy(float)
+        if len(x) < 8:
+            return pd.DataFrame({by: [key[0]], "point": [metric(x)], "lo": [np.nan], "hi": [np.nan]})
         length = block_length(x)
         got = np.array([metric(x[stationary_indices(len(x), length, np.random.default_rng([seed, b]))]) for b in range(n)])
         got = got[np.isfinite(got)]
@@ -165,6 +173,19 @@ def concurrency(trades: DataFrame, width: int = 4096) -> DataFrame:
     return out.select("t", "delta", (F.col("before") + F.col("delta")).alias("open"))
 
 
+def with_following(df: DataFrame, t: str, width: int) -> DataFrame:
+    """next: the next greater value of t (distinct integers), null after the last; by blocks of t and blocks of those."""
+    block, above = F.floor(F.col(t) / width), F.floor(F.col("__k") / 4096)
+    blocks = df.groupBy(block.alias("__k")).agg(F.min(t).alias("__head")).withColumn("__above", above)
+    tops = blocks.groupBy("__above").agg(F.min("__head").alias("__top"))
+    tops = tops.select("__above", F.lead("__top").over(Window.orderBy("__above")).alias("__after"))  # a row for each 4096 * width
+    inner = Window.partitionBy("__above").orderBy("__k")
+    blocks = blocks.join(tops, "__above").select("__k", F.coalesce(F.lead("__head").over(inner), F.col("__after")).alias("__after"))
+    own = Window.partitionBy("__k").orderBy(t)
+    out = df.withColumn("__k", block).join(blocks, "__k").withColumn("next", F.coalesce(F.lead(t).over(own), F.col("__after")))
+    return out.drop("__k", "__after")
+
+
 def uniqueness(trades: DataFrame, width: int = 64) -> DataFrame:
     """Mean of 1 / open trades over each trade's times [n_open, max(n_close, n_open + 1)): trade_id, uniqueness.
 
@@ -173,11 +194,7 @@ def uniqueness(trades: DataFrame, width: int = 64) -> DataFrame:
     """
     spans = trades.select("trade_id", F.col("n_open").alias("a"), F.greatest(F.col("n_close"), F.col("n_open") + 1).alias("b"))
     counts = concurrency(spans.select(F.col("a").alias("n_open"), F.col("b").alias("n_close")))
-    counts = counts.withColumn("k", F.floor(F.col("t") / width))
-    heads = counts.groupBy("k").agg(F.min("t").alias("head"))
-    heads = heads.select("k", F.lead("head").over(Window.orderBy("k")).alias("after"))
-    nxt = F.coalesce(F.lead("t").over(Window.partitionBy("k").orderBy("t")), F.col("after"))
-    steps = counts.join(heads, "k").withColumn("next", nxt).where("open > 0").select("t", "next", (1.0 / F.col("open")).alias("w"))
+    steps = with_following(counts, "t", width).where("open > 0").select("t", "next", (1.0 / F.col("open")).alias("w"))
     # area before each step's start: prefix sums of (length of the step) * w
     steps = steps.withColumn("area", (F.col("next") - F.col("t")) * F.col("w")).withColumn("g", F.lit(0))
     sums = running(steps, ["g"], "t", {"before": "area"}, F.floor(F.col("t") / width))

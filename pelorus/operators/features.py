@@ -4,29 +4,34 @@ from __future__ import annotations
 
 import dataclasses
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pelorus.functions import kernels
+
 
 def by_time():
     return Window.partitionBy("instrument").orderBy("open_time")
 
 
+# Windows, lags and columns of the catalog, by which importance files and trained models name features.
 WINDOWS = (1, 2, 4, 8, 12, 24, 48, 96)
+LAGS = (1, 2, 3, 5, 10)
 SOURCES = (
-    "return", "abs_return", "squared_return", "parkinson_var", "garman_klass_var", "true_range", "range_pct", "close_position",
-    "log_volume", "volume_imbalance", "buy_ratio", "close_to_vwap", "amihud",
+    "return", "abs_return", "squared_return", "range_pct",
+    "parkinson_var", "garman_klass_var", "log_volume",
+    "log_quote_volume", "log_trades", "range_hl",
+    "close_to_vwap", "imbalance", "buy_ratio",
 )
-LAGGED = ("return", "abs_return", "parkinson_var", "log_volume", "volume_imbalance", "range_pct")
-LAGS = (1, 2, 3, 6, 12)
+LAGGED = ("return", "abs_return", "range_hl", "log_volume", "buy_ratio", "imbalance")
 CALENDAR = ("minute_sin", "minute_cos", "dow_sin", "dow_cos")
-BASE = (
-    "log_open log_high log_low log_close log_volume log_quote_volume log_trades range_hl range_pct body body_abs upper_wick lower_wick return abs_return squared_return "
-    "open_gap_return parkinson_var parkinson_vol garman_klass_var garman_klass_vol true_range close_position open_position oc_return vwap vwap_log close_to_vwap buy_ratio "
-    "volume_imbalance buy_ratio_quote avg_trade_size return_x_volume return_x_imbalance range_x_volume amihud minute_sin minute_cos dow_sin dow_cos"
-).split()
+#: Values of the windows of the kernels.
+KERNEL_WINDOW = 128
 
 
 def _c(*names: str) -> list[Column]:
@@ -47,9 +52,9 @@ def base_features(bars: DataFrame) -> DataFrame:
     df = bars.withColumns({"__prev": prev, "return": moved(c), "open_gap_return": moved(o)})
     hl, r, prev = F.log(h / lo), F.col("return"), F.col("__prev")
     ok = (h > 0) & (lo > 0)
-    park = F.when(ok, hl * hl / (4 * math.log(2))).otherwise(0.0)
+    park = F.when(ok & (h >= lo), hl * hl / (4 * math.log(2))).otherwise(0.0)
     gk = F.when(ok & (o > 0) & (c > 0), 0.5 * hl * hl - (2 * math.log(2) - 1) * F.log(c / o) * F.log(c / o)).otherwise(0.0)
-    vwap = ratio(qv, v, c)
+    vwap = F.when((v > 0) & (qv > 0), qv / v).otherwise(c)
     imbalance = ratio(2 * tbb - v, v)
     lv = F.when(v > 0, F.log1p(v))
     minute = (F.floor(F.col("open_time") / 60_000) % 1440).cast("double")
@@ -68,9 +73,9 @@ def base_features(bars: DataFrame) -> DataFrame:
             "close_position": ratio(c - lo, h - lo, 0.5), "open_position": ratio(o - lo, h - lo, 0.5),
             "oc_return": F.when((o > 0) & (c > 0), F.log(c / o)).otherwise(0.0),
             "vwap": vwap, "vwap_log": F.when(vwap > 0, F.log(vwap)), "close_to_vwap": F.when(vwap > 0, (c - vwap) / vwap).otherwise(0.0),
-            "buy_ratio": ratio(tbb, v, 0.5), "volume_imbalance": imbalance, "buy_ratio_quote": ratio(tbq, qv, 0.5),
-            "avg_trade_size": ratio(v, n), "return_x_volume": r * F.coalesce(lv, F.lit(0.0)), "return_x_imbalance": r * imbalance,
-            "range_x_volume": (h - lo) * F.coalesce(lv, F.lit(0.0)), "amihud": F.when((F.abs(r) > 0) & (qv > 0), F.abs(r) / qv).otherwise(0.0),
+            "buy_ratio": ratio(tbb, v, 0.5), "imbalance": imbalance, "buy_ratio_quote": ratio(tbq, qv, 0.5),
+            "avg_trade_size": ratio(v, n), "return_x_log_volume": r * F.coalesce(lv, F.lit(0.0)), "return_x_imbalance": r * imbalance,
+            "range_x_log_volume": (h - lo) * F.coalesce(lv, F.lit(0.0)), "illiq": F.when((F.abs(r) > 0) & (qv > 0), F.abs(r) / qv).otherwise(0.0),
             "minute_sin": turn(F.sin, minute, 1440), "minute_cos": turn(F.cos, minute, 1440), "dow_sin": turn(F.sin, dow, 7), "dow_cos": turn(F.cos, dow, 7),
         }
     ).drop("__prev")
@@ -111,7 +116,7 @@ class FeatureSpec:
             raise ValueError(f"{self.name}: a feature that is safe for forecasting has a lag of 1 or more")
         if self.window < 1:
             raise ValueError(f"{self.name}: the window must have a value")
-        if self.stat not in {*STATS, "lag", "identity"}:
+        if self.stat not in {*STATS, *KERNELS, "lag", "identity"}:
             raise ValueError(f"{self.name}: no statistic {self.stat}")
 
     @property
@@ -137,6 +142,10 @@ STATS: dict[str, Callable] = {
 }
 
 
+#: Kernels over the last values of a column, across segments.
+KERNELS: dict[str, kernels.Kernel] = {"hurst": kernels.hurst, "sample_entropy": kernels.sample_entropy}
+
+
 def register_stat(name: str, make: Callable) -> None:
     """Add a rolling statistic: make(source column, window) -> column."""
     STATS[name] = make
@@ -170,14 +179,18 @@ def feature(spec: FeatureSpec) -> Column:
     return rolling(spec.source, spec.stat, spec.window, spec.lag).alias(spec.name)
 
 
-def default_catalog() -> list[FeatureSpec]:
-    """13 sources by rolling statistics, 6 by lags, and the calendar: 606 features."""
+def default_catalog(with_kernels: bool = False) -> list[FeatureSpec]:
+    """13 sources by rolling statistics, 6 by lags, and the calendar: 606 features; and three kernels, which cost far more."""
     out = []
     for s in SOURCES:
         for stat, windows in (("mean", WINDOWS), ("var", WINDOWS[1:]), ("min", WINDOWS), ("max", WINDOWS), ("iqr", WINDOWS[2:]), ("ptp", WINDOWS[1:])):
             out += [FeatureSpec(f"{s}_rolling_{stat}_{w}", s, stat, w) for w in windows]
     out += [FeatureSpec(f"{s}_lag_{n}", s, "lag", 1, n) for s in LAGGED for n in LAGS]
-    return out + [FeatureSpec(f"{s}_id", s, "identity", 1, 0, False) for s in CALENDAR]
+    out += [FeatureSpec(f"{s}_id", s, "identity", 1, 0, False) for s in CALENDAR]
+    if with_kernels:  # dfa_alpha is the rescaled-range exponent under a second name, of another column
+        made = (("hurst", "log_close", "hurst"), ("sample_entropy", "return", "sample_entropy"), ("dfa_alpha", "return", "hurst"))
+        out += [FeatureSpec(f"{name}_{KERNEL_WINDOW}", s, stat, KERNEL_WINDOW) for name, s, stat in made]
+    return out
 
 
 def build(df: DataFrame, specs: Iterable[FeatureSpec]) -> DataFrame:
@@ -186,7 +199,11 @@ def build(df: DataFrame, specs: Iterable[FeatureSpec]) -> DataFrame:
     names = [s.name for s in specs]
     if len(set(names)) < len(names):
         raise ValueError(f"features with one name: {sorted({n for n in names if names.count(n) > 1})}")
-    return with_runs(df).select("*", *(feature(s) for s in specs)).drop("seg_run")
+    out = with_runs(df).select("*", *(feature(s) for s in specs if s.stat not in KERNELS)).drop("seg_run")
+    for s in specs:
+        if s.stat in KERNELS:
+            out = kernels.bounded_batch(out, s.name, KERNELS[s.stat], s.source, s.window, s.lag)
+    return out.select(*df.columns, *names)
 
 
 def warmup(specs: Iterable[FeatureSpec]) -> int:
@@ -198,22 +215,64 @@ def by_importance(specs: Sequence[FeatureSpec], importance: dict[str, float]) ->
     return sorted(specs, key=lambda s: -importance.get(s.name, -math.inf))
 
 
-def drop_correlated(df: DataFrame, names: Sequence[str], threshold: float = 0.95, least: int = 8) -> list[str]:
-    """Greedy: names in order, without those whose |correlation| with a kept one is above the threshold.
+def correlations(df: DataFrame, names: Sequence[str], least: int = 8) -> np.ndarray:
+    """|correlation| of each pair of columns over the rows that have both; 0 with fewer than `least` of those, or without variance.
 
-    All correlations are one aggregate; only their matrix comes to the driver.
+    Each task sums up the products of its rows as matrices, the rows of the matrices are summed up side
+    by side, and their sums (a few numbers for each pair) come to the driver.
     """
-    pairs = [(a, b) for i, b in enumerate(names) for a in names[:i]]
-    if not pairs:
-        return list(names)
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    row = df.agg(*(F.when(F.count_if(both(a, b)) >= least, F.corr(a, b)).alias(str(i)) for i, (a, b) in enumerate(pairs))).first()
-    value = dict(zip(pairs, row))
-    kept: list[str] = []
-    for b in names:
-        if all(not abs(value[a, b] or 0.0) > threshold for a in kept):
-            kept.append(b)
-    return kept
+    k = len(names)
+    middle = df.agg(*(F.avg(F.when(~F.isnan(n), F.col(n))).alias(str(i)) for i, n in enumerate(names))).first()
+    shift = np.array([x or 0.0 for x in middle])
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - shift
+            has = np.isfinite(x)
+            x, has = np.where(has, x, 0.0), has.astype(float)
+            total += [has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x]
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([part] * k, pa.int32()), pa.array([total[:, i].tobytes() for i in range(k)], pa.binary())], ["i", "part", "sums"])
+
+    def add(group: pa.Table) -> pa.Table:
+        whole = sum(np.frombuffer(b) for b in group.column("sums").to_pylist())
+        return pa.table({"i": group.column("i").slice(0, 1), "part": group.column("part").slice(0, 1), "sums": [whole.tobytes()]})
+
+    schema = "i int, part int, sums binary"
+    made = df.select(*names).mapInArrow(moments, schema)
+    made = made.withColumn("part", (F.col("part") % 64).cast("int")).groupBy("i", "part").applyInArrow(add, schema).groupBy("i").applyInArrow(add, schema)
+    n, x, xx, xy = np.array([np.frombuffer(r.sums).reshape(4, k) for r in made.orderBy("i").collect()]).transpose(1, 0, 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = (n * xx - x * x) * (n * xx.T - x.T * x.T)
+        return np.where((n >= least) & (var > 0), np.abs(n * xy - x * x.T) / np.sqrt(np.where(var > 0, var, 1.0)), 0.0)
+
+
+def drop_correlated(df: DataFrame, names: Sequence[str], threshold: float = 0.95, least: int = 8) -> list[str]:
+    """Greedy: names in order, without those whose |correlation| with a kept one is above the threshold."""
+    if not names:
+        return []
+    value = correlations(df, names, least)
+    kept: list[int] = []
+    for i in range(len(names)):
+        if not kept or not (value[i, kept] > threshold).any():
+            kept.append(i)
+    return [names[i] for i in kept]
+
+
+def independent_stream(spark: SparkSession, n: int = 256, seed: int = 0) -> DataFrame:
+    """A synthetic stream to find features that are alike by their definition: sources are independent normal numbers, the calendar one turn."""
+    turn = 2 * math.pi * F.col("id") / (n - 1)
+    columns = [F.randn(seed + k).alias(c) for k, c in enumerate(dict.fromkeys((*SOURCES, *LAGGED, "log_close")))]
+    calendar = [(F.sin if c.endswith("sin") else F.cos)(turn).alias(c) for c in CALENDAR]
+    rows = spark.range(0, n, 1, 1)
+    return rows.select(F.lit("synthetic").alias("instrument"), F.col("id").alias("open_time"), F.lit(0).cast("long").alias("segment_id"), *columns, *calendar)
+
+
+def without_alike(spark: SparkSession, specs: Sequence[FeatureSpec], threshold: float = 0.95) -> list[FeatureSpec]:
+    """Specs in order (by importance, say), without those that follow a kept one on the synthetic stream."""
+    kept = set(drop_correlated(build(independent_stream(spark), specs), [s.name for s in specs], threshold))
+    return [s for s in specs if s.name in kept]
 
 
 def undefined_flags(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pelorus.functions.metrics import quantiles
 from pelorus.operators.features import by_time
 
 DEFAULT_ALPHA = 0.0041113
@@ -33,7 +34,8 @@ def numbered(df: DataFrame) -> DataFrame:
 def alpha(df: DataFrame, train_fraction: float = 0.6, quantile: float = 0.9) -> DataFrame:
     """Per instrument: the quantile of log_excursion over the first int(n * fraction) rows. Needs log_excursion."""
     train = numbered(df).where(F.col("nth") <= F.floor(F.col("n") * train_fraction))
-    return train.groupBy("instrument").agg(F.percentile("log_excursion", quantile).alias("alpha"))
+    known = quantiles(train, "log_excursion", [quantile], ["instrument"]).select("instrument", F.col("quantiles")[0].alias("alpha"))
+    return train.select("instrument").distinct().join(known, "instrument", "left")
 
 
 def labels(bars: DataFrame, alpha_value: float | None = None, train_fraction: float = 0.6, quantile: float = 0.9) -> DataFrame:
@@ -59,7 +61,7 @@ def asymmetric_weights(df: DataFrame, phi: float, w_max: float = 5.0, q_tail: fl
     """
     d = F.greatest(F.lit(0.0), F.lit(phi) - F.col(m))
     df = df.withColumn("__d", d)
-    star = df.where(F.col(label) == 0).groupBy("instrument").agg(F.percentile("__d", 1 - q_tail).alias("__star"))
+    star = quantiles(df.where(F.col(label) == 0), "__d", [1 - q_tail], ["instrument"]).select("instrument", F.col("quantiles")[0].alias("__star"))
     rate = math.log(w_max) / F.col("__star")
     grown = F.when(F.col("__star") > 0, F.exp(F.least(rate * F.col("__d"), F.lit(math.log(w_max))))).otherwise(1.0)
     positive = F.when(F.col("__star") > 0, F.exp(F.least(rate * F.greatest(F.lit(0.0), F.col(m) - F.lit(phi)), F.lit(math.log(w_max))))).otherwise(1.0) if use_positive else F.lit(1.0)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pelorus.functions.metrics import quantiles
 from pelorus.functions.scalars import null_if_nan
 
 
@@ -27,17 +28,18 @@ class RegimeCuts:
         return F.element_at(F.array(*map(F.lit, self.labels)), self.assign() + 1)
 
 
-def quantile_edges(feature: str, n: int = 3) -> Column:
-    """Aggregate: linear-interpolated quantiles at 1/n, 2/n, ..."""
-    return F.percentile(null_if_nan(F.col(feature)), [k / n for k in range(1, n)])
+def quantile_edges(df: DataFrame, feature: str, n: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """Linear-interpolated quantiles at 1/n, 2/n, ... of each group, as an array `edges`; null and NaN don't count."""
+    values = df.select(*by, null_if_nan(F.col(feature)).alias("value"))
+    return quantiles(values, "value", [k / n for k in range(1, n)], by).withColumnRenamed("quantiles", "edges")
 
 
 def fit_cuts(df: DataFrame, feature: str, n: int = 3, labels: Sequence[str] | None = None) -> RegimeCuts:
-    edges = df.agg(quantile_edges(feature, n)).first()[0]
-    if edges is None:
+    row = quantile_edges(df, feature, n).first()
+    if row is None:
         raise ValueError(f"{feature} has no values to cut")
     names = tuple(labels or (("low", "med", "high") if n == 3 else tuple(f"q{k}" for k in range(n))))
-    return RegimeCuts(feature, tuple(edges), names)
+    return RegimeCuts(feature, tuple(row.edges), names)
 
 
 def volatility_terciles(df: DataFrame) -> RegimeCuts:

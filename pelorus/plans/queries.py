@@ -160,14 +160,14 @@ def vol_estimators(spark, d):
 
 @query(
     f"""WITH {LINKED} SELECT instrument, open_time, round(quote_volume / volume, 6) AS vwap, round((close - quote_volume / volume) / (quote_volume / volume), 6) + 0.0 AS close_to_vwap,
-    round(taker_buy_base / volume, 6) AS buy_ratio, round((2 * taker_buy_base - volume) / volume, 6) + 0.0 AS volume_imbalance, round(taker_buy_quote / quote_volume, 6) AS buy_ratio_quote,
-    round(volume / trades, 6) AS avg_trade_size, round(ret * ln(1 + volume), 6) + 0.0 AS return_x_volume, round(ret * (2 * taker_buy_base - volume) / volume, 6) + 0.0 AS return_x_imbalance,
-    round((high - low) * ln(1 + volume), 6) AS range_x_volume, round(CASE WHEN abs(ret) > 0 THEN abs(ret) / quote_volume * 1e6 ELSE 0 END, 4) AS amihud_e6 FROM base"""
+    round(taker_buy_base / volume, 6) AS buy_ratio, round((2 * taker_buy_base - volume) / volume, 6) + 0.0 AS imbalance, round(taker_buy_quote / quote_volume, 6) AS buy_ratio_quote,
+    round(volume / trades, 6) AS avg_trade_size, round(ret * ln(1 + volume), 6) + 0.0 AS return_x_log_volume, round(ret * (2 * taker_buy_base - volume) / volume, 6) + 0.0 AS return_x_imbalance,
+    round((high - low) * ln(1 + volume), 6) AS range_x_log_volume, round(CASE WHEN abs(ret) > 0 THEN abs(ret) / quote_volume * 1e6 ELSE 0 END, 4) AS illiq_e6 FROM base"""
 )
 def vwap_flow(spark, d):
-    names = ("vwap", "close_to_vwap", "buy_ratio", "volume_imbalance", "buy_ratio_quote", "avg_trade_size", "return_x_volume", "return_x_imbalance", "range_x_volume")
-    out = features.base_features(X.bars(spark, d)).withColumn("amihud_e6", r(F.col("amihud") * 1e6, 4))
-    return rounded(out, *names).select("instrument", "open_time", *names, "amihud_e6")
+    names = ("vwap", "close_to_vwap", "buy_ratio", "imbalance", "buy_ratio_quote", "avg_trade_size", "return_x_log_volume", "return_x_imbalance", "range_x_log_volume")
+    out = features.base_features(X.bars(spark, d)).withColumn("illiq_e6", r(F.col("illiq") * 1e6, 4))
+    return rounded(out, *names).select("instrument", "open_time", *names, "illiq_e6")
 
 
 @query(
@@ -228,25 +228,92 @@ def undef_flags(spark, d):
     return features.undefined_flags(_rolled(spark, d, ("mean8", "parkinson_var", "mean", 8)), ["mean8"])
 
 
-@query()
+#: Of each statistic some features of the catalog.
+SHOWN = (
+    "log_trades_rolling_mean_4", "range_hl_rolling_var_8", "imbalance_rolling_min_8", "close_to_vwap_rolling_max_12", "log_quote_volume_rolling_iqr_8", "buy_ratio_rolling_ptp_24",
+    "squared_return_rolling_mean_2", "garman_klass_var_rolling_max_4", "range_hl_lag_10", "imbalance_lag_5", "log_volume_lag_3", "minute_sin_id", "dow_cos_id",
+)
+
+
+def _last(column: str, n: int, what: str) -> str:
+    """SQL of a statistic of the n values before this one, of its run; `@` stands for their list."""
+    return f"round(CASE WHEN rn >= {n + 1} THEN {what.replace('@', f'(list({column}) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING))')} END, 6) + 0.0"
+
+
+@query(
+    f"""WITH {LINKED}, f AS (SELECT *, ln(1 + trades) AS lt, high - low AS hl, (2 * taker_buy_base - volume) / volume AS im, (close - quote_volume / volume) / (quote_volume / volume) AS cv, ln(1 + quote_volume) AS lq,
+      taker_buy_base / volume AS br, ret * ret AS sq, 0.5 * ln(high / low) * ln(high / low) - (2 * ln(2) - 1) * ln(close / open) * ln(close / open) AS gk,
+      CASE WHEN segment_id <> prev_seg THEN 1 ELSE 0 END AS chg FROM base), n AS (SELECT *, sum(chg) OVER (PARTITION BY instrument ORDER BY open_time) AS run, row_number() OVER (PARTITION BY instrument ORDER BY open_time) AS nth FROM f),
+    m AS (SELECT *, row_number() OVER (PARTITION BY instrument, run ORDER BY open_time) AS rn FROM n)
+    SELECT instrument, open_time, CAST(13 * (3 * (rn >= 2)::INT + 5 * (rn >= 3)::INT + 6 * ((rn >= 5)::INT + (rn >= 9)::INT + (rn >= 13)::INT + (rn >= 25)::INT + (rn >= 49)::INT + (rn >= 97)::INT))
+      + 6 * ((nth > 1)::INT + (nth > 2)::INT + (nth > 3)::INT + (nth > 5)::INT + (nth > 10)::INT) + 4 AS INT) AS n_defined, 606 AS n_features,
+    {_last("lt", 4, "list_avg(@)")} AS log_trades_rolling_mean_4, {_last("hl", 8, "list_var_samp(@)")} AS range_hl_rolling_var_8, {_last("im", 8, "list_min(@)")} AS imbalance_rolling_min_8,
+    {_last("cv", 12, "list_max(@)")} AS close_to_vwap_rolling_max_12, {_last("lq", 8, "(list_sort(@)[7] - list_sort(@)[3])")} AS log_quote_volume_rolling_iqr_8,
+    {_last("br", 24, "(list_max(@) - list_min(@))")} AS buy_ratio_rolling_ptp_24, {_last("sq", 2, "list_avg(@)")} AS squared_return_rolling_mean_2, {_last("gk", 4, "list_max(@)")} AS garman_klass_var_rolling_max_4,
+    round(lag(hl, 10) OVER v, 6) + 0.0 AS range_hl_lag_10, round(lag(im, 5) OVER v, 6) + 0.0 AS imbalance_lag_5, round(lag(ln(1 + volume), 3) OVER v, 6) + 0.0 AS log_volume_lag_3,
+    round(sin(2 * pi() * ((open_time // 60000) % 1440) / 1440), 6) + 0.0 AS minute_sin_id, round(cos(2 * pi() * ((open_time // 86400000 + 4) % 7) / 7), 6) + 0.0 AS dow_cos_id
+    FROM m WINDOW w AS (PARTITION BY instrument, run ORDER BY open_time), v AS (PARTITION BY instrument ORDER BY open_time)"""
+)
 def feature_catalog(spark, d):
-    """All 606 features: one row for each bar with how many are defined and the sum of those."""
+    """All 606 features: one row for each bar with how many are defined, and some of each statistic."""
     specs = features.default_catalog()
     made = features.build(features.base_features(X.bars(spark, d)), specs)
     names = [s.name for s in specs]
     defined = F.aggregate(F.array(*(F.col(n).isNotNull().cast("int") for n in names)), F.lit(0), lambda a, x: a + x)
-    return made.select("instrument", "open_time", defined.alias("n_defined"), F.lit(len(names)).alias("n_features"))
+    out = made.select("instrument", "open_time", defined.alias("n_defined"), F.lit(len(names)).alias("n_features"), *SHOWN)
+    return rounded(out, *SHOWN)
 
 
-@query()
+RANKED = {"abs_return": 9.0, "parkinson_vol": 8.0, "squared_return": 7.0, "parkinson_var": 6.0, "log_volume": 5.0, "log_quote_volume": 4.0, "log_trades": 3.0, "range_pct": 2.0}
+RANKED_SQL = dict(zip(RANKED, ("abs(ret)", "sqrt(park)", "ret * ret", "park", "ln(1 + volume)", "ln(1 + quote_volume)", "ln(1 + trades)", "(high - low) / close")))
+
+
+@query(
+    f"""WITH RECURSIVE {LINKED}, f AS (SELECT {", ".join(f"{e} AS c{i}" for i, e in enumerate(RANKED_SQL.values()))} FROM base),
+    c AS ({" UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, abs(corr(c{i}, c{j})) AS r FROM f" for i in range(8) for j in range(i))}),
+    m AS (SELECT list(i * 10 + j) AS alike FROM c WHERE r > 0.9), g AS (SELECT 1 AS k, [0] AS kept UNION ALL
+      SELECT k + 1, CASE WHEN len(list_filter(kept, lambda j: list_contains(coalesce(alike, []), k * 10 + j))) = 0 THEN list_append(kept, k) ELSE kept END FROM g, m WHERE k < 8)
+    SELECT CAST(unnest(range(len(kept))) AS INT) AS place, [{", ".join(f"'{n}'" for n in RANKED)}][unnest(kept) + 1] AS feature FROM g WHERE k = 8"""
+)
+def selected_features(spark, d):
+    """Features by importance, without those that follow one above them."""
+    specs = features.by_importance([features.FeatureSpec(n, n, "identity", 1, 0, False) for n in sorted(RANKED)], RANKED)
+    kept = features.drop_correlated(features.base_features(X.bars(spark, d)), [s.name for s in specs], 0.9)
+    return spark.createDataFrame(list(enumerate(kept)), "place int, feature string")
+
+
+def _windows(n: int) -> str:
+    """SQL of the last n values before a row, by instrument: idx, x (a list)."""
+    return f"""{TICKS}, w AS (SELECT idx, instrument, row_number() OVER o AS nth, list(ln(price)) OVER (o ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS x FROM ticks WINDOW o AS (PARTITION BY instrument ORDER BY open_time, idx))"""
+
+
+def _ordered_ticks(spark, d) -> DataFrame:
+    """Ticks with their logarithm, in the order of time and then idx."""
+    return X.ticks(spark, d).withColumn("x", F.log("close")).withColumn("open_time", F.struct("open_time", "idx"))
+
+
+#: The six scales of a window of 64.
+SCALES = sorted({int(x) for x in np.exp(np.linspace(np.log(8), np.log(32), 6))})
+
+
+@query(
+    f"""WITH {_windows(64)}, e AS (SELECT instrument, idx, m, u // m AS part, u, x[u + 1] AS v FROM w, unnest([{", ".join(map(str, SCALES))}]) s(m), unnest(range(64)) t(u) WHERE nth >= 65 AND u < 64 // m * m),
+    a AS (SELECT *, avg(v) OVER p AS mean FROM e WINDOW p AS (PARTITION BY idx, m, part)), b AS (SELECT idx, m, part, v, sum(v - mean) OVER (PARTITION BY idx, m, part ORDER BY u ROWS UNBOUNDED PRECEDING) AS dev FROM a),
+    c AS (SELECT idx, m, part, max(dev) - min(dev) AS r, stddev_pop(v) AS s FROM b GROUP BY 1, 2, 3), p AS (SELECT idx, m, ln(avg(r / s)) AS y, ln(m) AS l FROM c WHERE r > 0 AND s > 0 GROUP BY 1, 2),
+    h AS (SELECT idx, regr_slope(y, l) AS h FROM p GROUP BY 1 HAVING count(*) > 1) SELECT instrument, w.idx, round(h, 6) + 0.0 AS hurst FROM w LEFT JOIN h ON h.idx = w.idx"""
+)
 def hurst(spark, d):
-    out = kernels.bounded_batch(X.ticks(spark, d).withColumn("x", F.log("close")), "hurst", kernels.hurst, "x", 64)
+    out = kernels.bounded_batch(_ordered_ticks(spark, d), "hurst", kernels.hurst, "x", 64)
     return out.select("instrument", "idx", r("hurst").alias("hurst"))
 
 
-@query()
+@query(
+    f"""WITH {_windows(48)}, v AS (SELECT idx, x, 0.2 * list_stddev_pop(x) AS tol FROM w WHERE nth >= 49), g AS (SELECT idx, tol, x, i, j FROM v, unnest(range(1, 47)) a(i), unnest(range(2, 47)) b(j) WHERE i < j),
+    n AS (SELECT idx, count(*) FILTER (abs(x[i] - x[j]) <= tol AND abs(x[i + 1] - x[j + 1]) <= tol) AS b, count(*) FILTER (abs(x[i] - x[j]) <= tol AND abs(x[i + 1] - x[j + 1]) <= tol AND abs(x[i + 2] - x[j + 2]) <= tol) AS a FROM g WHERE tol > 0 GROUP BY 1)
+    SELECT instrument, w.idx, round(CASE WHEN a > 0 AND b > 0 THEN -ln(a / b) END, 6) + 0.0 AS sample_entropy FROM w LEFT JOIN n ON n.idx = w.idx"""
+)
 def sample_entropy(spark, d):
-    out = kernels.bounded_batch(X.ticks(spark, d).withColumn("x", F.log("close")), "sample_entropy", kernels.sample_entropy, "x", 48)
+    out = kernels.bounded_batch(_ordered_ticks(spark, d), "sample_entropy", kernels.sample_entropy, "x", 48)
     return out.select("instrument", "idx", r("sample_entropy").alias("sample_entropy"))
 
 
@@ -263,8 +330,8 @@ def feature_correlation(spark, d):
 
 @query(f"WITH {LINKED} SELECT instrument, round(quantile_cont(park, 1.0 / 3), 6) AS edge1, round(quantile_cont(park, 2.0 / 3), 6) AS edge2 FROM base GROUP BY 1")
 def regime_cuts(spark, d):
-    out = features.base_features(X.bars(spark, d)).groupBy("instrument").agg(regime.quantile_edges("parkinson_var").alias("e"))
-    return out.select("instrument", r(F.col("e")[0]).alias("edge1"), r(F.col("e")[1]).alias("edge2"))
+    out = regime.quantile_edges(features.base_features(X.bars(spark, d)), "parkinson_var", by=["instrument"])
+    return out.select("instrument", r(F.col("edges")[0]).alias("edge1"), r(F.col("edges")[1]).alias("edge2"))
 
 
 @query(f"WITH {LINKED}, e AS (SELECT quantile_cont(park, 1.0 / 3) AS a, quantile_cont(park, 2.0 / 3) AS b FROM base) SELECT CAST(park > a AS INT) + CAST(park > b AS INT) AS regime, count(*) AS n FROM base, e GROUP BY 1")
@@ -463,25 +530,25 @@ def uniqueness(spark, d):
 
 
 @query(
-    """WITH o AS (SELECT CAST(user_id % 50 AS VARCHAR) AS instrument, event_id, (epoch_us(ts) // 1000) AS ts FROM events WHERE event_type = 'click'),
+    """WITH o AS (SELECT CAST(user_id % 50 AS VARCHAR) AS instrument, event_id, (epoch_us(ts) // 1000) AS ts FROM events),
     c AS (SELECT *, count(*) OVER (PARTITION BY instrument ORDER BY ts RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW) AS recent FROM o) SELECT instrument, event_id, ts, recent, recent <= 3 AS allowed FROM c"""
 )
 def order_rate(spark, d):
-    e = X.table(spark, d, "events").where("event_type = 'click'")
+    e = X.table(spark, d, "events")
     o = e.select((F.col("user_id") % 50).cast("string").alias("instrument"), "event_id", scalars.epoch_ms(F.col("ts")).alias("ts"))
     return broker.order_rate(o, window_ms=86_400_000, most=3)
 
 
-TOUCH = f"""{TICKS}, en AS (SELECT idx AS entry_id, instrument, open_time AS ts, price, CASE WHEN idx % 2 = 0 THEN 1 ELSE -1 END AS side FROM ticks WHERE idx % 5 = 0),
+TOUCH = f"""{TICKS}, en AS (SELECT idx AS entry_id, instrument, open_time AS ts, price, CASE WHEN idx % 2 = 0 THEN 1 ELSE -1 END AS side FROM ticks),
     lv AS (SELECT *, price * exp(side * 0.3) AS tp, price * exp(-side * 0.3) AS sl FROM en),
     ht AS (SELECT entry_id, arg_min(CASE WHEN (side = 1 AND t.price <= sl) OR (side = -1 AND t.price >= sl) THEN 'SL' ELSE 'TP' END, (open_time, idx)) AS reason, min(open_time) AS exit_time FROM lv JOIN ticks t ON t.instrument = lv.instrument
       AND t.open_time > ts AND t.open_time <= ts + 21600000 WHERE (side = 1 AND (t.price >= tp OR t.price <= sl)) OR (side = -1 AND (t.price <= tp OR t.price >= sl)) GROUP BY 1)"""
 
 
-def _touch(spark, d, tie="pessimistic", entries="true") -> DataFrame:
+def _touch(spark, d, tie="pessimistic") -> DataFrame:
     t = X.ticks(spark, d)
     side = F.when(F.col("idx") % 2 == 0, 1).otherwise(-1)
-    e = t.where(entries).select(F.col("idx").alias("entry_id"), "instrument", F.col("open_time").alias("ts"), F.col("close").alias("price"), side.alias("side"), F.lit(0.3).alias("tp"), F.lit(0.3).alias("sl"))
+    e = t.select(F.col("idx").alias("entry_id"), "instrument", F.col("open_time").alias("ts"), F.col("close").alias("price"), side.alias("side"), F.lit(0.3).alias("tp"), F.lit(0.3).alias("sl"))
     return broker.first_touch(e, t, 21_600_000, tie)
 
 
@@ -490,23 +557,11 @@ def _touch(spark, d, tie="pessimistic", entries="true") -> DataFrame:
     round(CASE reason WHEN 'TP' THEN 0.3 WHEN 'SL' THEN -0.3 END - 0.0002, 6) AS pnl_net FROM lv LEFT JOIN ht USING (entry_id)"""
 )
 def first_touch(spark, d):
-    """Over the entries of the SQL, a fifth of the ticks; first_touch_all takes every tick."""
-    return rounded(_touch(spark, d, entries="idx % 5 = 0"), "exit_price", "pnl_gross", "pnl_net").select("entry_id", "reason", "exit_time", "exit_price", "pnl_gross", "pnl_net")
-
-
-@query()
-def first_touch_all(spark, d):
     return rounded(_touch(spark, d), "exit_price", "pnl_gross", "pnl_net").select("entry_id", "reason", "exit_time", "exit_price", "pnl_gross", "pnl_net")
 
 
 @query(f"WITH {TOUCH} SELECT coalesce(reason, 'OPEN') AS reason, count(*) AS n FROM lv LEFT JOIN ht USING (entry_id) GROUP BY 1")
 def tie_break(spark, d):
-    """Over the entries of the SQL, a fifth of the ticks; tie_break_all takes every tick."""
-    return _touch(spark, d, "optimistic", "idx % 5 = 0").groupBy("reason").agg(F.count("*").alias("n"))
-
-
-@query()
-def tie_break_all(spark, d):
     return _touch(spark, d, "optimistic").groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -532,7 +587,14 @@ def ewma_controller(spark, d):
     return rounded(controller.fold(rows), "tau", "r_hat", "r_star")
 
 
-@query()
+@query(
+    f"""WITH {PREDS}, n AS (SELECT regime, idx, y, p, p * (1 - p) AS sigma, (p - y) * (p - y) AS err, row_number() OVER (PARTITION BY regime ORDER BY idx) AS nth FROM preds QUALIFY nth <= 2000),
+    b AS (SELECT *, CASE WHEN nth >= 50 THEN avg(err) OVER (PARTITION BY regime ORDER BY nth ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END AS b FROM n), l AS (SELECT *, lag(b, 50) OVER (PARTITION BY regime ORDER BY nth) AS b0 FROM b),
+    s AS (SELECT regime, coalesce(min(CASE WHEN nth >= 100 AND b0 > 0 AND abs(b - b0) / b0 < 0.05 THEN nth END), max(nth)) AS n_used FROM l GROUP BY 1),
+    u AS (SELECT n.*, n_used, avg(y) OVER (PARTITION BY n.regime) AS r FROM n JOIN s ON s.regime = n.regime AND nth <= n_used), k AS (SELECT regime, any_value(n_used) AS n_used, any_value(r) AS r, max(sigma) AS top, quantile_cont(sigma, 0.75) AS q, list_sort(list(p)) AS ps FROM u GROUP BY 1)
+    SELECT CAST(regime AS VARCHAR) AS instrument, CAST(n_used AS INT) AS n_used, round(CASE WHEN top > 0 THEN q ELSE 'Infinity'::DOUBLE END, 6) AS sigma_max, round(r, 6) AS r_star,
+      round(greatest(0, ps[CAST(floor((len(ps) - 1) * (1 - r)) AS BIGINT) + 1] + (ps[CAST(ceil((len(ps) - 1) * (1 - r)) AS BIGINT) + 1] - ps[CAST(floor((len(ps) - 1) * (1 - r)) AS BIGINT) + 1]) * ((len(ps) - 1) * (1 - r) - floor((len(ps) - 1) * (1 - r)))), 6) AS tau FROM k"""
+)
 def warmup_calibration(spark, d):
     rows = X.predictions(spark, d).select(F.col("regime").cast("string").alias("instrument"), "idx", "y", "p", (F.col("p") * (1 - F.col("p"))).alias("sigma"))
     return rounded(controller.calibrate(rows), "sigma_max", "r_star", "tau")
@@ -557,13 +619,14 @@ def window_search(spark, d):
 
 
 @query(
-    """WITH f AS (SELECT range AS k, (1000 * range) // 6 AS a, (1000 * (range + 1)) // 6 AS b FROM range(6)), s AS (SELECT x.k AS i, y.k AS j, row_number() OVER (ORDER BY x.k, y.k) - 1 AS split FROM f x JOIN f y ON x.k < y.k),
-    t AS (SELECT split, unnest([i, j]) AS k FROM s), n AS (SELECT range AS row FROM range(1000)), st AS (SELECT s.split, n.row, bool_or(row >= a AND row < b) AS test, bool_or(row >= a - 1 AND row < b + 1 + 5) AS near FROM s CROSS JOIN n JOIN t ON t.split = s.split JOIN f ON f.k = t.k GROUP BY 1, 2)
+    """WITH z AS (SELECT count(*) AS n FROM events), f AS (SELECT range AS k, (n * range) // 10 AS a, (n * (range + 1)) // 10 AS b FROM range(10), z), s AS (SELECT x.k AS i, y.k AS j, row_number() OVER (ORDER BY x.k, y.k) - 1 AS split FROM f x JOIN f y ON x.k < y.k),
+    t AS (SELECT split, unnest([i, j]) AS k FROM s), r AS (SELECT range AS row FROM range((SELECT n FROM z))), st AS (SELECT s.split, r.row, bool_or(row >= a AND row < b) AS test, bool_or(row >= a - 1 AND row < b + 1 + 5) AS near FROM s CROSS JOIN r JOIN t ON t.split = s.split JOIN f ON f.k = t.k GROUP BY 1, 2)
     SELECT CAST(split AS INT) AS split, count(*) FILTER (test) AS n_test, count(*) FILTER (NOT near) AS n_train FROM st GROUP BY 1"""
 )
 def cv_folds(spark, d):
     size = F.col("behind") - F.col("first")
-    return search.purged_folds(spark, 1000, 6).groupBy("split").agg(F.sum(F.when(F.col("kind") == "test", size)).alias("n_test"), F.sum(F.when(F.col("kind") == "train", size)).alias("n_train"))
+    folds = search.purged_folds(spark, X.table(spark, d, "events").count())
+    return folds.groupBy("split").agg(F.sum(F.when(F.col("kind") == "test", size)).alias("n_test"), F.sum(F.when(F.col("kind") == "train", size)).alias("n_train"))
 
 
 @query(
@@ -649,22 +712,22 @@ def online_forest_trace(spark, d):
 @query()
 def offline_model(spark, d):
     df = labels.chronological_split(labels.labels(_decision_bars(spark, d)))
-    names = ["return", "parkinson_vol", "close_position", "log_volume", "volume_imbalance"]
-    models = offline.fit(df.where("is_train"), names, (42,), iterations=5, depth=3)
+    names = ["return", "parkinson_vol", "close_position", "log_volume", "imbalance"]
+    models = offline.fit(df.where("is_train"), names)
     return offline.evaluate(offline.score(df.where("NOT is_train"), models))
 
 
 # Positions, costs, coverage
 
 
-def _marks(spark, d, entries="true") -> DataFrame:
+def _marks(spark, d) -> DataFrame:
     bars = X.bars(spark, d)
-    e = X.ticks(spark, d).where(entries).select(F.col("idx").alias("entry_id"), "instrument", F.col("open_time").alias("ts"), F.col("close").alias("price"), F.when(F.col("idx") % 2 == 0, 1).otherwise(-1).alias("side"), F.lit(0.5).alias("size"))
+    e = X.ticks(spark, d).select(F.col("idx").alias("entry_id"), "instrument", F.col("open_time").alias("ts"), F.col("close").alias("price"), F.when(F.col("idx") % 2 == 0, 1).otherwise(-1).alias("side"), F.lit(0.5).alias("size"))
     cells = e.withColumn("cell", F.explode(F.sequence(F.floor(F.col("ts") / M) + 1, F.floor(F.col("ts") / M) + 6)))
     return cells.join(bars.select("instrument", "open_time", "close", F.floor(F.col("open_time") / M).alias("cell")), ["instrument", "cell"])
 
 
-MARKS = f"""{BARS}, en AS (SELECT idx AS entry_id, instrument, open_time AS ts, price, CASE WHEN idx % 2 = 0 THEN 1 ELSE -1 END AS side FROM ticks WHERE idx % 97 = 0),
+MARKS = f"""{BARS}, en AS (SELECT idx AS entry_id, instrument, open_time AS ts, price, CASE WHEN idx % 2 = 0 THEN 1 ELSE -1 END AS side FROM ticks),
     mk AS (SELECT entry_id, b.instrument, b.open_time, side, side * ln(close / price) * 0.5 AS u FROM en JOIN bars b ON b.instrument = en.instrument AND b.open_time // {M} BETWEEN ts // {M} + 1 AND ts // {M} + 6)"""
 
 
@@ -673,29 +736,13 @@ MARKS = f"""{BARS}, en AS (SELECT idx AS entry_id, instrument, open_time AS ts,
     FROM mk WINDOW w AS (PARTITION BY entry_id ORDER BY open_time ROWS UNBOUNDED PRECEDING)"""
 )
 def mark_to_market(spark, d):
-    """Over the entries of the SQL, one tick in 97; mark_to_market_all takes every tick."""
-    return rounded(broker.excursions(_marks(spark, d, "idx % 97 = 0")), "unrealized", "mae", "mfe").select("entry_id", "open_time", "unrealized", "mae", "mfe")
-
-
-@query()
-def mark_to_market_all(spark, d):
     return rounded(broker.excursions(_marks(spark, d)), "unrealized", "mae", "mfe").select("entry_id", "open_time", "unrealized", "mae", "mfe")
 
 
-def _portfolio(marks: DataFrame) -> DataFrame:
-    out = broker.portfolio(broker.excursions(marks))
-    return rounded(rounded(out, "net_signed"), "unrealized", digits=5)
-
-
 @query(f"WITH {MARKS} SELECT instrument, count(*) AS n_open, round(sum(side * 0.5), 6) AS net_signed, round(sum(u), 5) + 0.0 AS unrealized, count(*) FILTER (u > 0) AS winners, count(*) FILTER (u <= 0) AS losers FROM mk GROUP BY 1")
 def portfolio(spark, d):
-    """Over the entries of the SQL, one tick in 97; portfolio_all takes every tick."""
-    return _portfolio(_marks(spark, d, "idx % 97 = 0"))
-
-
-@query()
-def portfolio_all(spark, d):
-    return _portfolio(_marks(spark, d))
+    out = broker.portfolio(broker.excursions(_marks(spark, d)))
+    return rounded(rounded(out, "net_signed"), "unrealized", digits=5)
 
 
 @query(
@@ -713,11 +760,11 @@ def coverage_gap(spark, d):
 
 
 @query(
-    f"""WITH {IVALS}, w AS (SELECT range * 100 + 8000 AS a, range * 100 + 8100 AS b FROM range(30)) SELECT a AS start, count(*) AS n_trades, CAST(sum(least(b, n_close) - greatest(a, n_open)) AS BIGINT) AS days FROM iv JOIN w ON n_open < b AND a < n_close GROUP BY 1"""
+    f"""WITH {IVALS}, w AS (SELECT range * 100 AS a, range * 100 + 100 AS b FROM range((SELECT min(n_open) // 100 FROM iv), (SELECT max(n_close) // 100 + 1 FROM iv))) SELECT a AS start, count(*) AS n_trades, CAST(sum(least(b, n_close) - greatest(a, n_open)) AS BIGINT) AS days FROM iv JOIN w ON n_open < b AND a < n_close GROUP BY 1"""
 )
 def window_overlap(spark, d):
     iv = X.intervals(spark, d).withColumn("cell", F.explode(F.sequence(F.floor(F.col("n_open") / 100), F.floor((F.col("n_close") - 1) / 100))))
-    iv = iv.withColumn("start", F.col("cell") * 100).where("start BETWEEN 8000 AND 10900").withColumn("i", scalars.intersection(F.col("n_open"), F.col("n_close"), F.col("start"), F.col("start") + 100))
+    iv = iv.withColumn("start", F.col("cell") * 100).withColumn("i", scalars.intersection(F.col("n_open"), F.col("n_close"), F.col("start"), F.col("start") + 100))
     return iv.groupBy("start").agg(F.count("*").alias("n_trades"), F.sum(F.col("i.end") - F.col("i.start")).alias("days"))
 
 

@@ -23,21 +23,28 @@ def bracket(x: Column, lo: float, hi: float) -> Column:
 def window_scores(df: DataFrame, days: int = 14, slide: int = 1, rate: tuple[float, float, float] = (0.05, 0.10, 0.15), span: tuple[float, float] = (1.5, 3.0), by: str = "instrument") -> DataFrame:
     """Sliding windows of labelled bars (open_time, label, return, parkinson_var) within the event-rate band, scored.
 
-    Each row goes to the windows that hold it (days / slide of them), so a window is one aggregate.
+    Windows start a whole number of days after the first row, so each day is summed up once, and it is the
+    days that go to the windows that hold them (days / slide of them).
     Score: .45 event rate, .25 balance of up and down, .20 variation and .10 span of the Parkinson variance.
     """
     edges = df.groupBy(by).agg(F.min("open_time").alias("__min"), F.max("open_time").alias("__max"))
-    step, length = slide * DAY_MS, days * DAY_MS
-    rel = F.col("open_time") - F.col("__min")
-    first = F.greatest(F.lit(0), F.floor((rel - length) / step) + 1)
-    rows = df.join(edges, by).withColumn("k", F.explode(F.sequence(first, F.floor(rel / step))))
-    rows = rows.withColumn("start", F.col("__min") + F.col("k") * step).where(F.col("start") <= F.col("__max") - length)
+    length = days * DAY_MS
     r, pv = F.col("return"), F.col("parkinson_var")
     pos = F.when(pv > 0, pv)
+    day = F.floor((F.col("open_time") - F.col("__min")) / DAY_MS)
+    each = df.join(edges, by).groupBy(by, "__min", "__max", day.alias("__day")).agg(
+        F.count("label").alias("n"), F.sum("label").alias("hits"), F.count_if(r > 0).alias("up"), F.count_if(r != 0).alias("moved"),
+        F.count(pos).alias("np"), F.avg(pos).alias("mean"), F.var_pop(pos).alias("var"), F.max(pos).alias("high"), F.min(pos).alias("low"),
+    )
+    first = F.greatest(F.lit(0), F.ceil((F.col("__day") - days + 1) / slide))
+    rows = each.withColumn("k", F.explode(F.sequence(first, F.floor(F.col("__day") / slide)))) if slide <= days else each.withColumn("k", F.floor(F.col("__day") / slide)).where(F.col("__day") - F.col("k") * slide < days)
+    rows = rows.withColumn("start", F.col("__min") + F.col("k") * slide * DAY_MS).where(F.col("start") <= F.col("__max") - length)
+    whole = F.sum(F.col("np") * F.col("mean")) / F.sum("np")
     out = rows.groupBy(by, "start").agg(
-        F.count("label").alias("n"), F.avg("label").alias("event_rate"), F.avg(F.when(r != 0, (r > 0).cast("double"))).alias("up_frac"),
-        F.coalesce(F.stddev_pop(pos) / F.avg(pos), F.lit(0.0)).alias("parkinson_cv"), F.coalesce(F.max(pos) / F.min(pos), F.lit(1.0)).alias("parkinson_span"),
+        F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("event_rate"), F.when(F.sum("moved") > 0, F.sum("up") / F.sum("moved")).alias("up_frac"), whole.alias("__mean"),
+        (F.sum(F.col("np") * (F.col("var") + F.col("mean") * F.col("mean"))) / F.sum("np") - whole * whole).alias("__var"), F.coalesce(F.max("high") / F.min("low"), F.lit(1.0)).alias("parkinson_span"),
     )
+    out = out.withColumn("parkinson_cv", F.coalesce(F.sqrt(F.greatest(F.lit(0.0), F.col("__var"))) / F.col("__mean"), F.lit(0.0))).drop("__mean", "__var")
     lo, ideal, hi = rate
     out = out.where((F.col("event_rate") >= lo) & (F.col("event_rate") <= hi)).withColumn("up_frac", F.coalesce("up_frac", F.lit(0.5)))
     score = 0.45 * tent(F.col("event_rate"), lo, ideal, hi) + 0.25 * (1 - F.abs(F.col("up_frac") - 0.5) * 2) + 0.20 * F.least(F.lit(1.0), F.col("parkinson_cv")) + 0.10 * bracket(F.col("parkinson_span"), *span)

@@ -128,6 +128,89 @@ def test_kernels():
     assert kernels.sample_entropy(np.sin(np.arange(200) / 5)) < kernels.sample_entropy(rng.normal(size=200))
 
 
+def plain_hurst(x):
+    n, points = len(x), []
+    for m in sorted({int(s) for s in np.exp(np.linspace(np.log(8), np.log(n / 2), 6))}):
+        ratios = []
+        for k in range(n // m):
+            part = x[k * m : (k + 1) * m]
+            dev = np.cumsum(part - part.mean())
+            if dev.max() > dev.min() and part.std() > 0:
+                ratios.append((dev.max() - dev.min()) / part.std())
+        if ratios:
+            points.append((math.log(m), math.log(np.mean(ratios))))
+    return np.polyfit(*zip(*points), 1)[0] if len(points) > 1 else math.nan
+
+
+def plain_entropy(x, m=2):
+    tol, n = 0.2 * x.std(), len(x)
+    near = lambda i, j, k: all(abs(x[i + d] - x[j + d]) <= tol for d in range(k))
+    pairs = [(i, j) for i in range(n - m) for j in range(i + 1, n - m)]
+    a, b = sum(near(i, j, m + 1) for i, j in pairs), sum(near(i, j, m) for i, j in pairs)
+    return -math.log(a / b) if a and b and tol > 0 else math.nan
+
+
+def test_kernels_are_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (32, 45, 128):
+        x = np.concatenate([rng.normal(size=(4, n)), np.cumsum(rng.normal(size=(2, n)), axis=1), np.zeros((1, n)), np.repeat(rng.normal(size=(1, n // 2 + 1)), 2, axis=1)[:, :n]])
+        assert np.allclose(kernels.hurst.many(x), [plain_hurst(r) for r in x], equal_nan=True)
+        assert np.allclose(kernels.sample_entropy.many(x[:, :45]), [plain_entropy(r) for r in x[:, :45]], equal_nan=True)
+        assert math.isclose(kernels.hurst(x[0]), plain_hurst(x[0]))
+
+
+def test_bounded_batch_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "CHUNK", 16)
+    rng = np.random.default_rng(5)
+    x = [None if rng.random() < 0.1 else float(v) for v in rng.normal(size=400)]
+    df = spark.createDataFrame([("ab"[i % 2], i, v) for i, v in enumerate(x)], "instrument string, open_time long, x double").repartition(3)
+
+    def odd(w):
+        if w[0] > 1.5:
+            raise ValueError("no")
+        return w.sum() + w[-1]
+
+    got = {r.open_time: r.k for r in kernels.bounded_batch(df, "k", odd, "x", 7, 2).collect()}
+    assert len(got) == 400
+    for name in (0, 1):
+        before = []
+        for i in range(name, 400, 2):
+            if x[i] is None:
+                assert got[i] is None
+                continue
+            before.append(x[i])
+            w = np.array(before[-9:-2]) if len(before) >= 9 else None
+            assert got[i] is None if w is None or w[0] > 1.5 else math.isclose(got[i], w.sum() + w[-1])
+
+
+def test_catalog_names_and_kernels(spark):
+    names = [s.name for s in features.default_catalog()]
+    for known in ("log_quote_volume_rolling_iqr_96", "log_trades_rolling_var_2", "range_hl_lag_5", "buy_ratio_lag_10", "imbalance_rolling_ptp_48", "dow_cos_id", "return_rolling_mean_1"):
+        assert known in names
+    more = features.default_catalog(with_kernels=True)
+    assert [s.name for s in more[606:]] == ["hurst_128", "sample_entropy_128", "dfa_alpha_128"]
+    df = features.base_features(minute_rows(spark, [T0 + 60_000 * i for i in range(140)]).withColumn("close", 100 + F.abs(F.sin(F.col("open_time") / 70_001))))
+    specs = [s for s in more if s.name in ("hurst_128", "dfa_alpha_128", "return_rolling_mean_4")]
+    out = features.build(df, specs).orderBy("open_time").collect()
+    assert [r.hurst_128 is not None for r in out] == [i >= 128 for i in range(140)] and out[130].return_rolling_mean_4 is not None
+    x = np.array([r.log_close for r in out])
+    assert math.isclose(out[135].hurst_128, plain_hurst(x[7:135]))
+
+
+def test_drop_correlated(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=300), rng.normal(size=300)
+    cols = {"a": a, "b": b, "a2": 2 * a + 1e-3 * b, "c": a + b, "d": -b + 1e-3 * a, "flat": np.ones(300), "few": np.where(np.arange(300) < 5, a, np.nan)}
+    rows = [tuple(None if math.isnan(v[i]) else float(v[i]) for v in cols.values()) for i in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in cols)).repartition(5)
+    assert features.drop_correlated(df, list(cols)) == ["a", "b", "c", "flat", "few"]
+    value = features.correlations(df, list(cols))
+    assert math.isclose(value[0, 3], abs(np.corrcoef(a, a + b)[0, 1]), abs_tol=1e-12) and value[0, 5] == value[0, 6] == 0
+    specs = [features.FeatureSpec(n, s, stat, w) for n, s, stat, w in (("m8", "return", "mean", 8), ("m9", "return", "mean", 9), ("v8", "return", "var", 8), ("o8", "imbalance", "mean", 8))]
+    kept = [s.name for s in features.without_alike(spark, specs, 0.9)]
+    assert kept == ["m8", "v8", "o8"]
+
+
 def test_scalars(spark):
     with pytest.raises(ValueError):
         S.Split(S.TimeWindow(0, 10), S.TimeWindow(11, 20), embargo=2)

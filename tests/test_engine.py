@@ -201,9 +201,9 @@ def test_every_tick_is_an_entry(spark, data):
                     hit = ("TP" if move > 0 else "SL", at)
                     break
         want[t.idx] = hit
-    got = queries.QUERIES["first_touch_all"](spark, data).collect()
+    got = queries.QUERIES["first_touch"](spark, data).collect()
     assert len(got) == len(want) and {r.entry_id: (r.reason, r.exit_time) for r in got} == want
-    ties = {r.reason: r.n for r in queries.QUERIES["tie_break_all"](spark, data).collect()}
+    ties = {r.reason: r.n for r in queries.QUERIES["tie_break"](spark, data).collect()}
     assert ties == {k: sum(h[0] == k for h in want.values()) for k in {h[0] for h in want.values()}}
 
     size = queries.M
@@ -212,12 +212,12 @@ def test_every_tick_is_an_entry(spark, data):
         for at, _, price in rows:
             bars[k, at // size] = price
     unreal = {(t.idx, c * size): (1 if t.idx % 2 == 0 else -1) * math.log(bars[t.instrument, c] / t.close) * 0.5 for t in ticks for c in range(t.open_time // size + 1, t.open_time // size + 7) if (t.instrument, c) in bars}
-    marks = queries.QUERIES["mark_to_market_all"](spark, data).collect()
+    marks = queries.QUERIES["mark_to_market"](spark, data).collect()
     assert len(marks) == len(unreal) and all(math.isclose(r.unrealized, unreal[r.entry_id, r.open_time], abs_tol=2e-6) for r in marks)
     for r in marks:
         so_far = [u for (i, at), u in unreal.items() if i == r.entry_id and at <= r.open_time] if r.entry_id % 50 == 0 else None
         assert so_far is None or (math.isclose(r.mae, min(0, *so_far, 0), abs_tol=2e-6) and math.isclose(r.mfe, max(0, *so_far, 0), abs_tol=2e-6))
-    book = queries.QUERIES["portfolio_all"](spark, data).collect()
+    book = queries.QUERIES["portfolio"](spark, data).collect()
     kind = {t.idx: t.instrument for t in ticks}
     assert {r.instrument: r.n_open for r in book} == {k: sum(kind[i] == k for i, _ in unreal) for k in {kind[i] for i, _ in unreal}}
 

@@ -128,6 +128,77 @@ def test_bootstrap(spark):
     assert len(idx) == 100 and 0.6 < np.mean(np.diff(idx) % 100 == 1) < 0.95
 
 
+def plain_block_length(x):
+    n = len(x)
+    most = min(n // 4, max(8, math.ceil(8 * math.log10(n))))
+    d = x - x.mean()
+    cov = [float((d * d).mean())] + [float((d[k:] * d[:-k]).mean()) for k in range(1, most + 1)]
+    line, run = 2 * math.sqrt(math.log10(n) / n), max(5, math.ceil(math.sqrt(math.log10(n))))
+    m = most
+    for k in range(1, most + 1):
+        if k + run <= most and all(abs(cov[j] / cov[0]) < line for j in range(k, k + run + 1)):
+            m = k
+            break
+    g, s = 0.0, cov[0]
+    for k in range(1, m + 1):
+        w = 1.0 if 2 * k <= m else 2 * (1 - k / m)
+        s, g = s + 2 * w * cov[k], g + 2 * w * k * cov[k]
+    b = (2 * g * g / (s * s)) ** (1 / 3) * n ** (1 / 3)
+    return 1 if b < 1 else max(1, min(round(b), n // 4))
+
+
+def test_block_length():
+    rng = np.random.default_rng(0)
+    for rho in (0.0, 0.3, 0.9):
+        for n in (20, 200, 2000):
+            x = np.zeros(n)
+            for i in range(1, n):
+                x[i] = rho * x[i - 1] + rng.normal()
+            assert stats.block_length(x) == plain_block_length(x)
+    assert stats.block_length(np.ones(27)) == 3
+    with pytest.raises(ValueError):
+        stats.block_length(np.zeros(7))
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=501), "b": np.repeat([1.0, 2.0], [300, 5]), "c": np.array([4.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("d", None)], "g string, v double").repartition(4)
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.999, 1.0]
+    got = {r.g: r.quantiles for r in metrics.quantiles(df, "v", shares, ["g"]).collect()}
+    assert got.keys() == groups.keys() and all(np.allclose(got[g], np.quantile(x, shares), rtol=1e-12) for g, x in groups.items())
+    assert np.allclose(metrics.quantiles(df, "v", [0.25]).first()[0], np.quantile(np.concatenate(list(groups.values())), 0.25))
+    assert metrics.quantiles(df.limit(0), "v", [0.5]).count() == 0
+
+
+def test_one_probability_for_most_rows(spark):
+    """A p that most rows share: its rows are many buckets, and the results those of plain loops."""
+    rng = np.random.default_rng(9)
+    p = np.where(rng.random(800) < 0.7, 0.25, np.round(rng.random(800), 3))
+    y = (rng.random(800) < p).astype(int)
+    df = spark.createDataFrame([(i, int(b), float(a)) for i, (a, b) in enumerate(zip(p, y))], "idx long, y int, p double").repartition(4)
+    order = sorted(range(800), key=lambda i: (-p[i], i))
+    hits = np.cumsum([y[i] for i in order])
+    want = sum(hits[k] / (k + 1) for k, i in enumerate(order) if y[i]) / y.sum()
+    assert math.isclose(metrics.pr_auc(df).first().pr_auc, want)
+    pos, neg = p[y == 1], p[y == 0]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
+    assert math.isclose(metrics.roc_auc(df).first().roc_auc, auc) and math.isclose(metrics.delong(df).first().auc, auc)
+    at, bucket = metrics.bucketed(df)
+    assert df.where("p = 0.25").select(bucket.alias("b")).distinct().count() > 50
+
+
+def test_rolling_brier_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "CHUNK", 40)
+    rng = np.random.default_rng(4)
+    p, y = rng.random(300), rng.integers(0, 2, 300)
+    df = spark.createDataFrame([(3 * i, int(b), float(a)) for i, (a, b) in enumerate(zip(p, y))], "idx long, y int, p double").repartition(4)
+    err = (p - y) ** 2
+    for r in metrics.rolling_brier(df, 10).collect():
+        i = r.idx // 3
+        assert math.isclose(r.baseline, err.mean()) and (r.rolling_brier is None if i < 9 else math.isclose(r.rolling_brier, err[i - 9 : i + 1].mean()))
+
+
 def test_deflated_sharpe():
     assert metrics.deflated_sharpe(2.0, 1.0, 1, 100)[0] > metrics.deflated_sharpe(2.0, 1.0, 100, 100)[0]
     assert metrics.probabilistic_sharpe(0.0, 50) == 0.5
