@@ -14,6 +14,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -467,6 +468,44 @@ def test_language_accuracy_and_odd(spark, docs, odd, data):
     assert language_id.stage(spark, docs, "").columns == docs.columns
 
 
+def test_op5_is_brute_force(spark, docs, data, tmp_path):
+    """Every document's words, marginals by a plain pass from end to end, and shares of letters."""
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()] + [(7001, None, None), (7002, "1 2 3 ...", "en"), (None, "no id but words", None), (7003, "der die the and " * 300, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    made = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = language_id.fit(language_id.sample_chains(made))
+    step = np.exp(model.transitions)
+    want = []
+    for i, t, _ in rows:
+        words = regex.findall(r"\p{L}+", t or "")
+        pred, score = "und", 0.0
+        if words:
+            e = np.exp(model.emissions(words).astype(float))
+            ahead, behind = [np.ones(len(model.langs))], [np.ones(len(model.langs))]
+            for k in range(len(words)):
+                a, b = (ahead[-1] @ step) * e[k], step @ (e[len(words) - 1 - k] * behind[-1])
+                ahead.append(a / a.sum())
+                behind.append(b / b.sum())
+            post = np.array([ahead[k + 1] * behind[len(words) - 1 - k] for k in range(len(words))])
+            mass = (post / post.sum(axis=1, keepdims=True) * np.array([[len(w)] for w in words])).sum(axis=0)
+            pred, score = model.langs[int(mass.argmax())], float(mass.max() / mass.sum())
+        want.append((i, pred, score))
+    got = {r.doc_id: r for r in language_id.op5_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, pred, score in want:
+        assert got[i].lang_pred == pred and abs(got[i].score - score) < 1e-5 and got[i].held_out == (None if i is None else zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 20)
+    x, y = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    same = [(x, "one text of one id", "en")] * 400 + [(x, f"text number {'abcdefghij'[i % 10]} {'abcdefghij'[i // 10 % 10]} {'abcdefghij'[i // 100]}", "en") for i in range(500)]
+    none = [(None, f"ein Text {'abcdefghij'[i % 10]} {'abcdefghij'[i // 10 % 10]} {'abcdefghij'[i // 100]}", "de") for i in range(500)]
+    df = spark.createDataFrame([*same, *none, (y, "long " * 1000, "es")], "doc_id long, text string, lang string").repartition(4)
+    n = collections.Counter(lang for _, lang in language_id.sample_chains(df))
+    assert n["en"] == n["de"] == 20 and n["es"] == math.ceil(1000 / language_id.CHAIN_WORDS)
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     r = random.Random(4)
     words = {f"l{k:02}": ["".join(chr(0x4E00 + 12 * k + r.randrange(12)) for _ in range(5)) for _ in range(30)] for k in range(70)}
@@ -1041,6 +1080,77 @@ def test_pipeline(spark, data, docs):
     assert {r.doc_id: r.doc_tokens for r in out.select("doc_id", "doc_tokens").distinct().collect()} == want
 
 
+CLASHING = ", ".join(f"{c} string" for c in CLASHES)
+
+
+@pytest.fixture()
+def odd_documents(spark, tmp_path):
+    rows = [(i, t, ("en", "de", None)[k % 3], "src/config", len(t or ""), *(f"{c}{k}" for c in CLASHES)) for k, (i, t) in enumerate(ODD)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    return spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+
+def test_stages_on_odd_rows(spark, odd_documents):
+    for stage in (language_id.stage, exact_dedup.stage, simhash_similar.stage, secret_scan.stage):
+        for df in (odd_documents, odd_documents.limit(0)):
+            out = stage(spark, df, "")
+            assert out.schema == df.schema
+            rows = collections.Counter(tuple(r) for r in out.collect())
+            assert not rows - collections.Counter(tuple(r) for r in df.collect())
+    kept = {r.doc_id for r in language_id.stage(spark, odd_documents, "").collect()}
+    assert not kept & {3, 4, 5} and None in kept
+    assert secret_scan.stage(spark, odd_documents, "").count() == len(ODD)
+
+
+def test_pipeline_on_odd_rows(spark, odd_documents, tmp_path):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = collections.defaultdict(int)
+    for r in got:
+        left[r.doc_id] += r.length
+    enc = packing.byte_encoder(packing._default_path())
+    text = {i: t for i, t in ODD if t and t.strip()}
+    # the language stage drops texts without letters, and of 1, 2 and 6 one has the longest text and the least id
+    assert set(left) == set(text) - {2, 6} and all(n == len(enc.library.encode(text[i], add_special_tokens=False).ids) + 1 for i, n in left.items())
+    odd_documents.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_a_very_long_text(spark):
+    """A text of over 400,000 characters, one of them without a space, in every operator."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    run = " ".join(f"r{k}" for k in range(20))
+    long = " ".join(rng.choices(vocabulary, k=80_000)) + " " + run
+    whole = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=300_000))
+    rows = [(1, "a start " + run), (2, long), (3, whole), (4, long.replace(" ", "\n"))]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(2)
+    text = dict(rows)
+    enc = packing.byte_encoder(packing._default_path())
+    tokens = collections.Counter()
+    for r in packing.pack(df).collect():
+        tokens[r.doc_id] += r.length
+    assert tokens == {i: len(enc.library.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    lib = Tokenizer.from_file(token_counts._default_path())
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df).collect()} == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    assert {r.doc_id: r.fp % (1 << 64) for r in simhash.fingerprints(df).collect()} == {i: brute_simhash(t) for i, t in rows}
+    assert {r.doc_id for r in exact_dedup.stage(spark, df, "").collect()} == {1, 2, 3}
+    assert {r.doc_id for r in simhash_similar.stage(spark, df, "").collect()} == {1, 2, 3}
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.repeats(df, Scratch(spark, "tl")).collect()}
+    assert removed == {1: 0, 2: 20, 3: 0, 4: 80_020}
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_lattice._default_path())
+    encoded = piece_lattice.encode(df.where("doc_id < 3"))
+    assert {r.doc_id: r.text for r in piece_lattice.decode(encoded).collect()} == {i: sp.normalize(text[i])[1:].replace("▁", " ") for i in (1, 2)}
+    model = language_id.fit([(["the", "and", "of"], "en"), (["der", "und", "die"], "de")] * 4)
+    assert language_id.identify(df, model).count() == 4
+    assert [(f.start, f.end) for r in secret_scan.scan(df.where("doc_id = 3")).collect() for f in r.findings] == [(0, 300_000)]
+
+
 def test_spans_words():
     cases = mixed(200, 9) + ["", " ", "a\x0bb\x0cc\x1cd"]
     cp, starts = spans.code_points(cases)
