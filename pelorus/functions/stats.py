@@ -129,6 +129,41 @@ def sharpe_interval(df: DataFrame, by: str, order: list[str], value: str, block:
     return float(lo), float(hi)
 
 
+def calibration_intervals(trace: DataFrame, by: str, order: str, block: int = 20, groups: int = 200, bins: int = 200, n_ece: int = 10, n: int = 500, confidence: float = 0.95, seed: int = 42) -> dict[str, list[float]]:
+    """Bootstrap intervals of Brier score, ECE and PR-AUC of any number of predictions (y, p), from groups * bins rows of sums.
+
+    As sharpe_interval: blocks of consecutive rows are dealt to groups, and groups are resampled. p goes by
+    `bins` cells of equal width, in which the order counts as random for PR-AUC; ECE's bins are made of such cells.
+    """
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    dealt = trace.withColumn("__block", F.floor(nth / block)).withColumn("__group", F.pmod(F.xxhash64(by, "__block"), F.lit(groups)))
+    cell = F.least(F.lit(bins - 1), F.floor(F.col("p") * bins)).cast("int")
+    se = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
+    rows = dealt.groupBy("__group", cell.alias("__cell")).agg(F.count("*"), F.sum("p"), F.sum("y"), F.sum(se)).collect()
+    if not rows:
+        return {}
+    sums = np.zeros((groups, bins, 4))
+    for r in rows:
+        sums[r[0], r[1]] = r[2:]
+    sums = sums[sums[:, :, 0].sum(axis=1) > 0]
+    rng = np.random.default_rng(seed)
+    edges = np.searchsorted(np.cumsum(sums.sum(axis=0)[:, 0]) / sums[:, :, 0].sum(), np.arange(1, n_ece) / n_ece)
+    of_bin = np.searchsorted(edges, np.arange(bins), side="left")
+    found: dict[str, list[float]] = {"brier": [], "ece": [], "pr_auc": []}
+    for _ in range(n):
+        s = sums[rng.integers(0, len(sums), len(sums))].sum(axis=0)
+        total, hits = s[:, 0].sum(), s[:, 2].sum()
+        found["brier"].append(s[:, 3].sum() / total)
+        k, p, y = (np.bincount(of_bin, s[:, i], n_ece) for i in range(3))
+        found["ece"].append(np.abs(p - y).sum() / total)
+        if hits:
+            y, k = s[::-1, 2], s[::-1, 0]
+            precision = (np.cumsum(y) - y / 2) / np.maximum(np.cumsum(k) - k / 2, 1e-12)
+            found["pr_auc"].append(float((y * np.minimum(precision, 1.0)).sum() / hits))
+    tail = (1 - confidence) / 2
+    return {name: [float(q) for q in np.quantile(v, [tail, 1 - tail])] for name, v in found.items() if v}
+
+
 def grouped_bootstrap(df: DataFrame, by: str, value: str, order: str, metric: Callable[[np.ndarray], float], n: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """Bootstrap interval of a metric for each group, groups side by side; groups of fewer than 8 rows have no interval."""
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
 
+#: Confidence of the detectors of a tree's warnings and drifts.
+WARNING, DRIFT = 0.01, 0.001
+
 
 class Adwin:
     """Adaptive window over values in [0, 1]: it drops old buckets when halves of the window differ too much."""
@@ -120,13 +125,37 @@ def _entropy(c: np.ndarray) -> np.ndarray:
     return -(p * np.log2(p)).sum(axis=1)
 
 
+class Member:
+    """A tree of the forest with what watches its errors: a warning starts a tree in the background, a drift puts that in its place."""
+
+    def __init__(self, grow: Callable[[], HoeffdingTree]):
+        self.grow, self.tree = grow, grow()
+        self.background: HoeffdingTree | None = None
+        self.warning, self.drift = Adwin(WARNING), Adwin(DRIFT)
+
+    def learn(self, x: np.ndarray, y: int, weight: int) -> tuple[int, int]:
+        """One row, counted `weight` times; whether there was a warning, and a drift."""
+        wrong = float((self.tree.predict(x) >= 0.5) != bool(y))
+        if weight:
+            self.tree.learn(x, y, float(weight))
+            if self.background is not None:
+                self.background.learn(x, y, float(weight))
+        warned = self.warning.update(wrong)
+        if warned:
+            self.background, self.warning = self.grow(), Adwin(WARNING)
+        drifted = self.drift.update(wrong)
+        if drifted:
+            self.tree, self.background = self.background or self.grow(), None
+            self.warning, self.drift = Adwin(WARNING), Adwin(DRIFT)
+        return int(warned), int(drifted)
+
+
 class AdaptiveForest:
-    """Predict before learning; one half until the first label. A tree whose errors drift starts anew."""
+    """Predict before learning; one half until the first label. Trees are replaced as their errors drift."""
 
     def __init__(self, names: list[str], n_models: int = 10, lam: float = 6.0, seed: int = 42):
-        self.names, self.lam, self.rng, self.seen, self.drifts = names, lam, np.random.default_rng(seed), 0, 0
-        self.trees = [HoeffdingTree(2 * len(names), self.rng) for _ in range(n_models)]
-        self.detectors = [Adwin() for _ in self.trees]
+        self.names, self.lam, self.rng, self.seen, self.drifts, self.warnings = names, lam, np.random.default_rng(seed), 0, 0, 0
+        self.members = [Member(functools.partial(HoeffdingTree, 2 * len(names), self.rng)) for _ in range(n_models)]
 
     def encode(self, row: dict) -> np.ndarray:
         """Each feature's value (0 if undefined), then the flags of undefined ones."""
@@ -138,17 +167,13 @@ class AdaptiveForest:
         if not self.seen:
             return 0.5
         x = self.encode(row)
-        return float(min(1.0, max(0.0, np.mean([t.predict(x) for t in self.trees]))))
+        return float(min(1.0, max(0.0, np.mean([m.tree.predict(x) for m in self.members]))))
 
     def learn(self, row: dict, y: int) -> None:
         x = self.encode(row)
-        for i, (tree, detector) in enumerate(zip(self.trees, self.detectors)):
-            if detector.update(float((tree.predict(x) >= 0.5) != bool(y))):
-                self.drifts += 1
-                self.trees[i], self.detectors[i] = HoeffdingTree(2 * len(self.names), self.rng), Adwin()
-                tree = self.trees[i]
-            if k := int(self.rng.poisson(self.lam)):
-                tree.learn(x, int(y), float(k))
+        for member in self.members:
+            warned, drifted = member.learn(x, int(y), int(self.rng.poisson(self.lam)))
+            self.warnings, self.drifts = self.warnings + warned, self.drifts + drifted
         self.seen += 1
 
 

@@ -361,13 +361,18 @@ class Engine:
         if old is None or old["segment_id"] != bar["segment_id"] or not bar["high"] > 0 or not old["close"] > 0:
             return []
         y = int(math.log(bar["high"] / old["close"]) >= self.cfg.alpha_label)
+        found: list[dict] = []
         if self.model is not None:
+            before = self.model.warnings, self.model.drifts
             self.model.learn(old, y)
+            for why, n, now in zip(("warning", "drift"), before, (self.model.warnings, self.model.drifts)):
+                if now > n:  # of the forest's trees
+                    found.append({"kind": "drift", "ts": bar["ts"], "reason": why, "n_actions": now - n})
         if hasattr(self.strategy, "label"):
             self.strategy.label = y
         if old["p"] is None:
-            return []
-        return [{"kind": "trace", "ts": old["ts"], "p": old["p"], "p_offline": old.get("p_offline"), "y": y, "regime": old.get("regime")}]
+            return found
+        return [{"kind": "trace", "ts": old["ts"], "p": old["p"], "p_offline": old.get("p_offline"), "y": y, "regime": old.get("regime"), "sigma_ve": old.get("sigma_ve")}, *found]
 
     def step(self, bar: dict) -> list[dict]:
         self.n += 1
@@ -417,12 +422,19 @@ def frame(rows: list[dict], instrument: str) -> pd.DataFrame:
     return pd.DataFrame({k: pd.array([instrument if k == "instrument" else r.get(k) for r in rows], dtype=kinds[v]) for k, v in OUT.items()})
 
 
-def simulate(bars: DataFrame, cfg: SimConfig = SimConfig()) -> DataFrame:
-    """All outputs of a run over each instrument's bars, instruments side by side. Kinds: fill, close, trace, state, audit, rejected."""
+def simulate(bars: DataFrame, cfg: SimConfig = SimConfig(), own: tuple[str, ...] = ()) -> DataFrame:
+    """All outputs of a run over each instrument's bars, instruments side by side.
+
+    Kinds: fill, close, trace, state, audit, rejected, drift. Columns `own` hold an instrument's own
+    values of the strategy's parameters of those names (the same in all of its rows; null: the run's).
+    """
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        engine, out = Engine(cfg), []
-        for row in part.sort_values("open_time").to_dict("records"):
+        part = part.sort_values("open_time")
+        values = {k: part[k].iloc[0] for k in own}
+        params = {**dict(cfg.params), **{k: float(v) for k, v in values.items() if v is not None and math.isfinite(v)}}
+        engine, out = Engine(dataclasses.replace(cfg, params=tuple(sorted(params.items())))), []
+        for row in part.to_dict("records"):
             out += engine.step(bar_of(row, cfg))
         return frame(out, key[0])
 
@@ -434,4 +446,4 @@ def fills(outputs: DataFrame) -> DataFrame:
 
 
 def trace(outputs: DataFrame) -> DataFrame:
-    return outputs.where("kind = 'trace'").selectExpr("instrument", "ts AS idx", "p", "y", "regime")
+    return outputs.where("kind = 'trace'").selectExpr("instrument", "ts AS idx", "p", "y", "regime", "sigma_ve")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import pathlib
 from typing import Literal
 
 import yaml
@@ -12,6 +11,7 @@ from pydantic import BaseModel, ConfigDict, Field
 
 from pelorus.operators.broker import Costs
 from pelorus.operators.simulate import SimConfig
+from pelorus.sources import files
 
 #: Keys of earlier versions that are passed over.
 LEGACY = {"aci": None, "strategy": ("alpha", "layer"), "training": ("warm_start", "warm_samples")}
@@ -49,7 +49,9 @@ class BrokerConfig(Model):
 class ModelConfig(Model):
     alpha_label: float = 0.0041113
     learn: bool = True
+    #: How many features of the catalog are learned from, None for all; in the order of importance, if a file gives it.
     n_features: int | None = Field(8, ge=1)
+    importance_path: str | None = None
     offline_path: str | None = None
     offline_members: int = 1
     warmup: int = 0
@@ -99,7 +101,7 @@ class ExperimentSpec(Model):
 
 def load(path: str) -> ExperimentSpec:
     """A spec from a YAML (or JSON) file; keys of earlier versions are left out, unknown ones are an error."""
-    raw = yaml.safe_load(pathlib.Path(path).read_text()) or {}
+    raw = yaml.safe_load(files.read(path)) or {}
     for block, keys in LEGACY.items():
         if keys is None:
             raw.pop(block, None)

@@ -13,6 +13,7 @@ import zipfile
 import numpy as np
 
 from pelorus.operators.simulate import Action, Engine, SimConfig
+from pelorus.sources import files
 
 #: What a saved state may be made of.
 ALLOWED = ("pelorus.", "numpy", "collections", "builtins")
@@ -79,9 +80,11 @@ def save_state(engine: Engine, path: str, digest: str | None = None) -> None:
         blob = pickle.dumps(engine, 4)
     finally:
         engine.commands = commands
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("manifest.json", json.dumps({"versions": _versions(), "digest": digest, "n_seen": engine.n}))
         z.writestr("engine.pickle", blob)
+    files.write(path, made.getvalue())
 
 
 class _Unpickler(pickle.Unpickler):
@@ -93,7 +96,7 @@ class _Unpickler(pickle.Unpickler):
 
 def load_state(path: str, digest: str | None = None) -> Engine:
     """A saved engine; other versions or another configuration than it was saved with are an error."""
-    with zipfile.ZipFile(path) as z:
+    with zipfile.ZipFile(io.BytesIO(files.read(path))) as z:
         manifest = json.loads(z.read("manifest.json"))
         if manifest["versions"] != _versions():
             raise ValueError(f"saved under {manifest['versions']}")
@@ -106,17 +109,16 @@ class Checkpoints:
     """A state every `every` bars, of which the newest `keep` stay (all with keep=0)."""
 
     def __init__(self, folder: str, every: int = 1000, keep: int = 0, digest: str | None = None):
-        self.folder, self.every, self.keep, self.digest = pathlib.Path(folder), every, keep, digest
-        self.folder.mkdir(parents=True, exist_ok=True)
+        self.folder, self.every, self.keep, self.digest = folder.rstrip("/"), every, keep, digest
 
-    def after(self, engine: Engine, final: bool = False) -> pathlib.Path | None:
+    def after(self, engine: Engine, final: bool = False) -> str | None:
         if not final and engine.n % self.every:
             return None
-        path = self.folder / f"checkpoint_{engine.n:08d}.zip"
-        save_state(engine, str(path), self.digest)
+        path = f"{self.folder}/checkpoint_{engine.n:08d}.zip"
+        save_state(engine, path, self.digest)
         if self.keep:
-            for old in sorted(self.folder.glob("checkpoint_*.zip"))[: -self.keep]:
-                old.unlink()
+            for old in [n for n in files.names(self.folder, ".zip") if n.startswith("checkpoint_")][: -self.keep]:
+                files.delete(f"{self.folder}/{old}")
         return path
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime
 import json
 import math
-import pathlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,22 +14,36 @@ from pelorus.functions import metrics, stats
 from pelorus.operators import bars as B
 from pelorus.operators import controller, features, offline, regime, simulate
 from pelorus.plans import search
-from pelorus.plans.config import ExperimentSpec
+from pelorus.plans.config import ExperimentSpec, ModelConfig
 from pelorus.plans.pipeline import table_hash
-from pelorus.sources import minutes
+from pelorus.sources import files, minutes
 
 #: Sections of a report in their order.
 SECTIONS = ("overview", "calibration", "controller", "trading", "inventory", "operational", "drift", "coverage", "spec")
 
 
+def chosen(model: ModelConfig) -> list[features.FeatureSpec]:
+    """The features that the online model learns from.
+
+    By importance, if there is a file of it; else the means of 8 bars come first, of one source after the
+    other, then the rest of the catalog in its order.
+    """
+    catalog = features.default_catalog()
+    if model.importance_path:
+        catalog = features.by_importance(catalog, minutes.read_importance(model.importance_path))
+    else:
+        catalog.sort(key=lambda s: not (s.stat == "mean" and s.window == 8))
+    return catalog[: model.n_features]
+
+
 def prepare(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame | None = None) -> tuple[DataFrame, tuple[str, ...]]:
     """Bars with features, regime and p_offline, and the names that the online model learns from."""
     d = spec.data
     rows = minutes.valid_rows(minutes.read_minutes(spark, d.path, d.start_ms, d.end_ms) if rows is None else rows)
     bars = B.count_bars(rows, d.m_minutes)
-    names = [s for s in features.SOURCES][: spec.model.n_features]
-    specs = [features.FeatureSpec(f"{n}_rolling_mean_8", n, "mean", 8) for n in names]
-    df = features.build(features.base_features(bars), [*specs, features.FeatureSpec("parkinson_var_rolling_mean_24", "parkinson_var", "mean", 24)])
+    specs = chosen(spec.model)
+    tercile = features.FeatureSpec("parkinson_var_rolling_mean_24", "parkinson_var", "mean", 24)
+    df = features.build(features.base_features(bars), specs if tercile in specs else [*specs, tercile])
     try:
         df = df.withColumn("regime", regime.volatility_terciles(df).assign())
     except ValueError:  # too few bars for an edge
@@ -42,20 +55,35 @@ def prepare(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame | None =
     return df, tuple(s.name for s in specs)
 
 
-def backtest(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Named tables of a run: outputs, fills, trace, state, audit."""
+def backtest(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame | None = None, own: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Named tables of a run: outputs, fills, trace, state, audit, drift.
+
+    own: strategy parameters of each instrument (instrument, and a column for each), in place of the spec's.
+    """
     df, names = prepare(spark, spec, rows)
-    out = simulate.simulate(df, spec.sim(names))
-    return {"outputs": out, "fills": simulate.fills(out), "trace": simulate.trace(out), "state": out.where("kind = 'state'"), "audit": out.where("kind = 'audit'")}
+    if own is not None:
+        df = df.join(own, "instrument", "left")
+    out = simulate.simulate(df, spec.sim(names), tuple(c for c in own.columns if c != "instrument") if own is not None else ())
+    return named(out)
+
+
+def named(out: DataFrame) -> dict[str, DataFrame]:
+    of = lambda kind: out.where(F.col("kind") == kind)
+    return {"outputs": out, "fills": simulate.fills(out), "trace": simulate.trace(out), "state": of("state"), "audit": of("audit"), "drift": of("drift")}
+
 
+def battery(tables: dict[str, DataFrame], m_minutes: int, n_resamples: int = 500, trials: tuple[int, float] = (1, 0.0)) -> dict:
+    """The metrics of a run as one dictionary of blocks.
 
-def battery(tables: dict[str, DataFrame], m_minutes: int, n_resamples: int = 500) -> dict:
-    """The metrics of a run as one dictionary of blocks."""
+    trials: how many strategies were tried before this one, and the variance of their Sharpe ratios, by which its own is deflated.
+    """
     trace, fills, state = tables["trace"], tables["fills"], tables["state"]
     row = lambda df: {k: None if isinstance(v, float) and not math.isfinite(v) else v for k, v in (df.first().asDict() if df.columns else {}).items()}
     calibration = row(trace.agg(F.count("*").alias("n"), metrics.brier().alias("brier"), F.avg("y").alias("base_rate")))
     if calibration["n"]:
         calibration |= row(metrics.ece(trace)) | row(metrics.roc_auc(trace)) | row(metrics.pr_auc(trace))
+        calibration["intervals"] = stats.calibration_intervals(trace, "instrument", "idx", n=n_resamples)
+        calibration["roc_auc_ci"] = [row(metrics.delong(trace)).get(k) for k in ("lo", "hi")]
         calibration["regimes"] = [r.asDict() for r in metrics.by_regime(trace).orderBy("regime").collect()]
         calibration["reliability"] = [r.asDict() for r in metrics.reliability(trace).orderBy("bin").collect()]
     trading = row(metrics.trading(fills, m_minutes))
@@ -63,6 +91,7 @@ def battery(tables: dict[str, DataFrame], m_minutes: int, n_resamples: int = 500
         trading |= row(metrics.cdar(fills))
         trading["psr"] = metrics.NORMAL.cdf(trading["psr_z"]) if trading.get("psr_z") is not None else 0.5
         lo, hi = stats.sharpe_interval(fills, "instrument", ["exit_ts", "idx"], "pnl", n=n_resamples)
+        trading["deflated_sharpe"], trading["expected_best_sharpe"] = metrics.deflated_sharpe(trading.get("sharpe") or 0.0, trials[1], trials[0], trading["n_trades"])
         trading["sharpe_ci"] = (lo, hi) if math.isfinite(lo) else (None, None)
         trading |= row(metrics.batched_exits(fills))
     spans = metrics.spans(state.select("instrument", F.col("ts").alias("idx"), "paused"), "paused", ["instrument"])
@@ -71,9 +100,20 @@ def battery(tables: dict[str, DataFrame], m_minutes: int, n_resamples: int = 500
     rolled = metrics.rolling_brier(trace, 200, ["instrument"])
     drift = row(rolled.agg(F.max("rolling_brier").alias("worst_rolling_brier"), F.avg("baseline").alias("baseline")))
     drift |= row(metrics.crossings(rolled, "rolling_brier", 1.15 * F.col("baseline"), ["instrument"]).agg(F.coalesce(F.sum("crossings"), F.lit(0)).alias("crossings")))
+    drift |= row(tables["drift"].agg(F.coalesce(F.sum(F.when(F.col("reason") == "drift", F.col("n_actions"))), F.lit(0)).alias("tree_drifts"), F.coalesce(F.sum(F.when(F.col("reason") == "warning", F.col("n_actions"))), F.lit(0)).alias("tree_warnings")))
     return {"calibration": calibration, "trading": trading, "controller": last, "drift": drift}
 
 
+def overfit(fills: DataFrame, by: str, period_ns: int, n_chunks: int = 16) -> dict:
+    """Probability that the best of several runs (column `by`, numbered from 0) is overfit, from their pnl by period."""
+    at = fills.agg(F.min("exit_ts").alias("first"), F.max("exit_ts").alias("last")).first()
+    if at.first is None or (at.last - at.first) // period_ns + 1 < n_chunks:
+        return {}
+    each = fills.groupBy(F.col(by).alias("strategy"), F.floor((F.col("exit_ts") - at.first) / period_ns).alias("period")).agg(F.sum("pnl").alias("r"))
+    grid = fills.sparkSession.range((at.last - at.first) // period_ns + 1).select(F.col("id").alias("period")).join(fills.select(F.col(by).alias("strategy")).distinct())
+    return stats.pbo(stats.cscv_pbo(grid.join(each, ["strategy", "period"], "left").fillna(0.0, ["r"]), n_chunks)).first().asDict()
+
+
 def cross_validate(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """Combinatorial purged folds, each a run over the span of its test blocks; folds run side by side.
 
@@ -100,17 +140,19 @@ def cross_validate(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame |
     return each, search.fold_summary(each).first().asDict()
 
 
-def two_pass(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame | None = None) -> tuple[dict, dict[str, DataFrame]]:
-    """A first pass that only watches, calibration from it, and the run with the adaptive controller."""
+def two_pass(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """A first pass that only watches, calibration of each instrument from it, and the run with the adaptive controller.
+
+    Returns the calibration (instrument, n_used, sigma_max, r_star, tau) and the run's tables. Sigma is the
+    spread of the offline ensemble; without one it is 0, and the gate by it stays open.
+    """
     watch = spec.model_copy(update={"strategy": spec.strategy.model_copy(update={"kind": "threshold_gate", "tau": 2.0})})
-    seen = backtest(spark, watch, rows)["trace"].withColumn("sigma", F.lit(0.0))
-    found = controller.calibrate(seen).orderBy("instrument").first()
-    found = {} if found is None else found.asDict()
-    extra = {"tau0": found.get("tau") or 0.5, "r0": found.get("r_star") or 0.5}
-    if found.get("sigma_max") not in (None, float("inf")):
-        extra["sigma_max"] = found["sigma_max"]
-    main = spec.model_copy(update={"strategy": spec.strategy.model_copy(update={"kind": "composite_adaptive", "tau": extra["tau0"], "extra": {**spec.strategy.extra, **extra}})})
-    return found, backtest(spark, main, rows)
+    seen = backtest(spark, watch, rows)["trace"].withColumn("sigma", F.coalesce("sigma_ve", F.lit(0.0)))
+    found = controller.calibrate(seen)
+    finite = F.when(F.col("sigma_max") < float("inf"), F.col("sigma_max"))
+    own = found.select("instrument", F.col("tau").alias("tau0"), F.col("r_star").alias("r0"), finite.alias("sigma_max"))
+    main = spec.model_copy(update={"strategy": spec.strategy.model_copy(update={"kind": "composite_adaptive"})})
+    return found, backtest(spark, main, rows, own)
 
 
 def run(spark: SparkSession, spec: ExperimentSpec, out: str | None = None, rows: DataFrame | None = None) -> dict:
@@ -130,14 +172,16 @@ def run(spark: SparkSession, spec: ExperimentSpec, out: str | None = None, rows:
 
 def report(result: dict, tables: dict[str, DataFrame], spec: ExperimentSpec, out: str) -> None:
     """A table for each output, a JSON file for each section, and a manifest of both."""
-    base = pathlib.Path(out)
-    base.mkdir(parents=True, exist_ok=True)
     if "outputs" in tables:
         tables["outputs"].write.mode("overwrite").partitionBy("kind").parquet(f"{out}/outputs")
         hashes = {"outputs": table_hash(tables["outputs"])}
     else:
         tables["folds"].write.mode("overwrite").parquet(f"{out}/folds")
         hashes = {"folds": table_hash(tables["folds"])}
+    _sections(result, spec, out, hashes)
+
+
+def _sections(result: dict, spec: ExperimentSpec, out: str, hashes: dict[str, str]) -> None:
     known = {"overview": {"name": spec.name, "digest": spec.digest(), "rejected_by": result["rejected_by"]}, "spec": spec.model_dump(mode="json")}
     sections = {}
     for order, name in enumerate(SECTIONS):
@@ -147,10 +191,33 @@ def report(result: dict, tables: dict[str, DataFrame], spec: ExperimentSpec, out
             sections[name] = {"order": order, "file": f"{name}.json"}
     minutes.write_json(result, f"{out}/metrics.json")
     minutes.write_json({"schema_version": 1, "generated_at": datetime.datetime.now(datetime.UTC).isoformat(), "sections": sections, "hashes": hashes}, f"{out}/manifest.json")
-    for stale in set(p.name for p in base.glob("*.json")) - {s["file"] for s in sections.values()} - {"metrics.json", "manifest.json"}:
-        (base / stale).unlink()
+    for stale in set(files.names(out, ".json")) - {s["file"] for s in sections.values()} - {"metrics.json", "manifest.json"}:
+        files.delete(f"{out}/{stale}")
 
 
 def read_report(out: str) -> dict:
-    manifest = json.loads((pathlib.Path(out) / "manifest.json").read_text())
-    return manifest | {"metrics": json.loads((pathlib.Path(out) / "metrics.json").read_text())}
+    return json.loads(files.read(f"{out}/manifest.json")) | {"metrics": json.loads(files.read(f"{out}/metrics.json"))}
+
+
+def reports(folder: str) -> list[dict]:
+    """Of each report in the folders of `folder`: its folder, name, number of trades, Sharpe ratio and reasons against it."""
+    out = []
+    for name in files.folders(folder):
+        try:
+            shown = read_report(f"{folder}/{name}")
+        except FileNotFoundError:
+            continue
+        trading = shown["metrics"].get("trading", {})
+        overview = json.loads(files.read(f"{folder}/{name}/overview.json"))
+        out.append({"folder": name, "name": overview.get("name"), "n_trades": trading.get("n_trades"), "sharpe": trading.get("sharpe"), "rejected_by": overview.get("rejected_by")})
+    return out
+
+
+def rebuild(spark: SparkSession, out: str) -> dict:
+    """The metrics and sections of a report once more, from its tables and its spec."""
+    spec = ExperimentSpec.model_validate(json.loads(files.read(f"{out}/spec.json")))
+    outputs = spark.read.parquet(f"{out}/outputs")
+    result = battery(named(outputs), spec.data.m_minutes)
+    result["rejected_by"] = search.failed_gates(result["trading"], spec.accept.min_trades, spec.accept.sharpe_floor, spec.accept.max_seed_gap)
+    _sections(result, spec, out, {"outputs": table_hash(outputs)})
+    return result

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import pathlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pelorus.functions import scalars as S
+from pelorus.sources import files
 
 PRICES = ("open", "high", "low", "close")
 SCHEMA = T.StructType(
@@ -107,12 +107,12 @@ def write(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
 
 
 def write_json(value: object, path: str) -> None:
-    pathlib.Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, default=str))
+    files.write(path, json.dumps(value, indent=2, sort_keys=True, default=str).encode())
 
 
 def read_importance(path: str) -> dict[str, float]:
     """Feature importances: a JSON object, a JSON list of {name, score}, or lines `name score` with # comments."""
-    text = pathlib.Path(path).read_text()
+    text = files.read(path).decode()
     try:
         found = json.loads(text)
     except ValueError:

@@ -134,6 +134,85 @@ def test_adwin_and_forest():
     assert d.resets >= 1
 
 
+def test_background_trees():
+    rng = np.random.default_rng(1)
+    f = AdaptiveForest(["x"], n_models=4, seed=3)
+    grown = []
+    for i in range(4000):
+        x = rng.normal()
+        f.learn({"x": x}, int((x > 0) == (i < 2000)))
+        if i in (1999, 3999):
+            grown.append((f.warnings, f.drifts))
+    assert f.drifts > grown[0][1] and f.warnings >= f.drifts
+    assert np.mean([f.predict({"x": v}) < 0.5 for v in (0.5, 1.0, 2.0)]) == 1  # the turned rule is learned
+    from pelorus.operators.online import HoeffdingTree, Member
+
+    m = Member(lambda: HoeffdingTree(1, np.random.default_rng(0)))
+    first = m.tree
+    for i in range(20000):
+        x = rng.normal()
+        m.learn(np.array([x]), int((x > 0) != (rng.random() < min(1, max(0, (i - 1000) / 20000)))), 3)
+        if m.background is not None:
+            behind = m.background
+        if m.tree is not first:
+            break
+    assert m.tree is behind  # the tree grown since the warning takes its place
+
+
+def test_each_instrument_has_its_own_parameters(spark):
+    df = small_bars(spark).withColumn("tau0", F.when(F.col("instrument").startswith("S0"), 0.2).otherwise(F.lit(None).cast("double")))
+    cfg = simulate.SimConfig(m_minutes=20, strategy="composite_adaptive", params=(("t_max", 4), ("tau0", 0.9), ("gamma", 0.0)))
+    got = {r.instrument[:2]: r.tau for r in simulate.simulate(df, cfg, ("tau0",)).where("kind = 'state'").groupBy("instrument").agg(F.max("tau").alias("tau")).collect()}
+    assert got == {"S0": 0.2, "S1": 0.9}
+
+
+def test_overfit_and_logs(spark):
+    import io
+    import logging
+
+    from pelorus.plans import logs
+
+    rng = np.random.default_rng(0)
+    rows = [(s, int(t) * 10, float(v)) for s in range(4) for t, v in enumerate(rng.normal(0.3 * s, 1, 160))]
+    found = experiment.overfit(spark.createDataFrame(rows, "strategy int, exit_ts long, pnl double"), "strategy", 10, 8)
+    assert found["n_combos"] == 70 and found["pbo"] < 0.3
+    assert experiment.overfit(spark.createDataFrame([], "strategy int, exit_ts long, pnl double"), "strategy", 10) == {}
+    to = io.StringIO()
+    log = logs.configure("info", to)
+    log.info("bar %d", 3, extra={"instrument": "A"})
+    log.debug("not shown")
+    try:
+        raise ValueError("bad")
+    except ValueError:
+        log.exception("failed")
+    lines = [json.loads(x) for x in to.getvalue().splitlines()]
+    assert lines[0]["message"] == "bar 3" and lines[0]["instrument"] == "A" and lines[0]["level"] == "info" and "ValueError: bad" in lines[1]["error"]
+    logging.getLogger(logs.NAME).handlers.clear()
+
+
+def test_streams_are_logged(spark, tmp_path):
+    import io
+    import time
+
+    from pelorus.plans import logs
+
+    to = io.StringIO()
+    logs.configure("info", to)
+    listener = logs.listen(spark)
+    try:
+        spark.range(5).write.parquet(f"{tmp_path}/in")
+        q = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.format("memory").queryName("seen").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+        q.awaitTermination(60)
+        for _ in range(100):
+            if '"ended"' in to.getvalue():
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    lines = [json.loads(x) for x in to.getvalue().splitlines()]
+    assert [x["message"] for x in lines if x["message"] != "progress"] == ["started", "ended"] and sum(x.get("rows", 0) for x in lines) == 5
+
+
 def small_bars(spark):
     rows = minutes.synthetic(spark, 1200, instruments=2, sigma=0.002)
     from pelorus.operators.bars import count_bars
@@ -255,7 +334,16 @@ def test_experiment_and_cli(spark, tmp_path, capsys):
     cv = config.load(str(path)).model_copy(update={"mode": "cv", "cv": config.CVConfig(n_folds=4, n_test=2)})
     assert experiment.run(spark, cv)["cv"]["n_folds"] >= 1
     found, tables = experiment.two_pass(spark, config.load(str(path)))
-    assert "tau" in found and tables["state"].count() > 0
+    assert "tau" in found.columns and tables["state"].count() > 0
+    assert [r["folder"] for r in experiment.reports(str(tmp_path))] == ["report"]
+    before = shown["metrics"]
+    (tmp_path / "report/metrics.json").write_text("{}")
+    assert main(["rebuild", f"{tmp_path}/report"]) == 0
+    assert experiment.read_report(f"{tmp_path}/report")["metrics"] == before
+    block = before["calibration"]
+    assert block["intervals"]["brier"][0] <= block["brier"] <= block["intervals"]["brier"][1] and block["intervals"]["pr_auc"][0] <= block["pr_auc"] + 0.1
+    assert block["roc_auc_ci"][0] <= block["roc_auc"] <= block["roc_auc_ci"][1] and 0 <= before["trading"]["deflated_sharpe"] <= 1
+    assert main(["archive", f"{tmp_path}/zips", "--report", f"{tmp_path}/report", "--stamp", "s1"]) == 0 and "s1" in capsys.readouterr().out
     path.write_text(json.dumps({**spec, "bootstrap": {}}))
     with pytest.raises(ValueError):
         config.load(str(path))
