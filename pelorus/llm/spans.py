@@ -19,8 +19,8 @@ BATCH_CHARS = 2_000_000
 #: Code points of the spans that are hashed and compared at a time; a longer span is handled alone.
 SLICE_CHARS = 1_000_000
 #: Distinct words a worker remembers, and their code points; with more it starts afresh at the next batch.
-MEMO_WORDS = 500_000
-MEMO_CHARS = 8_000_000
+MEMO_WORDS = 900_000
+MEMO_CHARS = 12_000_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 ASCII_SPACE = np.array([32, 9, 10, 11, 12, 13])
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -203,6 +203,46 @@ def word_level_tokens(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
     return bounds[real], ends[real]
 
 
+class Slots:
+    """Row numbers by 64-bit hashes, looked up and added many at a time: open addressing in two arrays."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.used = bits, 0
+        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of the keys, -1 for those that aren't there."""
+        out, todo, slot, last = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self._first(keys), (1 << self.bits) - 1
+        while len(todo):
+            row = self.rows[slot]
+            hit = (row >= 0) & (self.keys[slot] == keys[todo])
+            out[todo[hit]] = row[hit]
+            on = (row >= 0) & ~hit
+            todo, slot = todo[on], (slot[on] + 1) & last
+        return out
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Keys that differ and aren't there yet."""
+        while 2 * (self.used + len(keys)) > 1 << self.bits:
+            old = self.rows >= 0
+            known = self.keys[old], self.rows[old]
+            self.__init__(self.bits + 1)
+            self.add(*known)
+        self.used += len(keys)
+        todo, slot, last = np.arange(len(keys)), self._first(keys), (1 << self.bits) - 1
+        while len(todo):
+            free = np.flatnonzero(self.rows[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            own = free[first]
+            self.keys[slot[own]], self.rows[slot[own]] = keys[todo[own]], rows[todo[own]]
+            rest = np.ones(len(todo), bool)
+            rest[own] = False
+            todo, slot = todo[rest], (slot[rest] + 1) & last
+
+
 class Memo:
     """Row numbers for words; `add` is called with the words that are new, `clear` before all are forgotten.
 
@@ -215,7 +255,7 @@ class Memo:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index = Slots()
         self.other: dict[str, int] = {}
         self.letters = Ragged()
 
@@ -231,8 +271,8 @@ class Memo:
 
     def _slice(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         codes, at, keys, hashed = distinct(cp, start, end)
-        a, b, get = start[at], end[at], self.index.get
-        rows = np.array([get(k, -1) for k in keys.tolist()], np.int64)
+        a, b = start[at], end[at]
+        rows = self.index.find(keys)
         taken = rows >= 0  # by a word with that hash, or by an earlier one of these
         taken[hashed:] = True
         known = np.flatnonzero(rows >= 0)
@@ -247,11 +287,10 @@ class Memo:
             self.add(words)
             place, _, _ = inside(a[new], b[new])
             self.letters.append(cp[place], b[new] - a[new])
-            for k, w, row, late in zip(keys[new].tolist(), words, rows[new].tolist(), taken[new].tolist()):
-                if late:
-                    self.other[w] = row
-                else:
-                    self.index[k] = row
+            first = ~taken[new]
+            self.index.add(keys[new[first]], rows[new[first]])
+            for i in np.flatnonzero(~first).tolist():
+                self.other[words[i]] = int(rows[new[i]])
         return rows[codes]
 
     def _differ(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray, rows: np.ndarray) -> np.ndarray:
