@@ -86,6 +86,11 @@ def with_bins(df: DataFrame, n_bins: int = 10, by: Sequence[str] = ()) -> DataFr
     return df.join(edges, by).withColumn("bin", F.size(F.filter("__edges", lambda e: e <= F.col("p")))).drop("__edges")
 
 
+def histogram_bin(p: str, n: int = 20) -> Column:
+    """The bin of a probability among n of equal width; 1 is in the last."""
+    return F.least(F.lit(n - 1), F.floor(F.col(p) * n)).cast("int")
+
+
 def reliability(df: DataFrame, n_bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """p_mean, y_mean and n of each bin that has rows."""
     _, keys = _grouped(df, by)

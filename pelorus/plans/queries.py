@@ -389,6 +389,11 @@ def ece_bins(spark, d):
     return rounded(metrics.ece(X.predictions(spark, d)), "ece")
 
 
+@query(f"WITH {PREDS} SELECT CAST(least(19, floor(p * 20)) AS INT) AS bin, y, count(*) AS n FROM preds GROUP BY 1, 2")
+def probability_histogram(spark, d):
+    return X.predictions(spark, d).groupBy(metrics.histogram_bin("p", 20).alias("bin"), "y").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {PREDS}, {EDGES} SELECT CAST(bin AS INT) AS bin, round(avg(p), 6) AS p_mean, round(avg(y), 6) AS y_mean, count(*) AS n FROM b GROUP BY 1")
 def reliability(spark, d):
     return rounded(metrics.reliability(X.predictions(spark, d)), "p_mean", "y_mean").select("bin", "p_mean", "y_mean", "n")
@@ -689,7 +694,22 @@ def _decision_bars(spark, d) -> DataFrame:
 SIM = simulate.SimConfig(m_minutes=5, alpha_label=0.5, tp=0.5, sl=0.5, inventory_cap=3, policies=(("max_positions", (5,)),), params=(("tau", 0.6),))
 
 
-@query()
+#: One position at a time: the next entry is the first bar with p >= 0.6 from the bar on in which the last one ended.
+REPLAY = f"""WITH RECURSIVE {TICKS}, c AS (SELECT *, (row_number() OVER (PARTITION BY instrument, segment_id ORDER BY open_time, idx) - 1) // 5 AS chunk FROM ticks),
+    f AS (SELECT *, count(*) OVER (PARTITION BY instrument, segment_id, chunk) AS size, row_number() OVER (PARTITION BY instrument, segment_id, chunk ORDER BY open_time, idx) - 1 AS m FROM c),
+    b AS (SELECT instrument, segment_id, chunk, min(open_time) AS opened, arg_max(price, m) AS close FROM f WHERE size = 5 GROUP BY 1, 2, 3),
+    k AS (SELECT *, row_number() OVER w AS bar, CASE WHEN lag(segment_id) OVER w = segment_id THEN ln(close / lag(close) OVER w) ELSE 0 END AS ret FROM b WINDOW w AS (PARTITION BY instrument ORDER BY opened)),
+    u AS (SELECT f.instrument, bar, m, bar * 5 + m AS place, open_time * 1000000 AS ts, price FROM f JOIN k ON k.instrument = f.instrument AND k.segment_id = f.segment_id AND k.chunk = f.chunk WHERE size = 5),
+    e AS (SELECT k.instrument, k.bar, u.ts AS entry_ts, u.price AS entry, u.place FROM k JOIN u ON u.instrument = k.instrument AND u.bar = k.bar + 1 AND m = 0 WHERE 1 / (1 + exp(-ret / 2)) >= 0.6),
+    x AS (SELECT e.instrument, e.bar, any_value(entry_ts) AS entry_ts, any_value(entry) AS entry, min(u.place) AS ended FROM e LEFT JOIN u ON u.instrument = e.instrument AND u.place > e.place AND (price >= entry * exp(0.5) OR price <= entry * exp(-0.5)) GROUP BY 1, 2),
+    t AS (SELECT x.*, u.ts AS exit_ts, CASE WHEN u.price >= entry * exp(0.5) THEN 'TP' ELSE 'SL' END AS reason, (SELECT min(y.bar) FROM x y WHERE y.instrument = x.instrument AND y.bar >= x.ended // 5) AS following
+      FROM x LEFT JOIN u ON u.instrument = x.instrument AND u.place = ended),
+    p AS (SELECT instrument, min(bar) AS bar, 1 AS id FROM t GROUP BY 1 UNION ALL SELECT t.instrument, following, id + 1 FROM p JOIN t ON t.instrument = p.instrument AND t.bar = p.bar WHERE ended IS NOT NULL AND following IS NOT NULL)
+    SELECT p.instrument, CAST(id AS BIGINT) AS position_id, entry_ts, exit_ts, round(entry, 6) AS entry_price, round(entry * exp(CASE reason WHEN 'TP' THEN 0.5 ELSE -0.5 END), 6) AS exit_price, reason,
+      round(CASE reason WHEN 'TP' THEN 0.5 ELSE -0.5 END - 2 * 1e-4, 6) AS pnl_net FROM p JOIN t ON t.instrument = p.instrument AND t.bar = p.bar WHERE ended IS NOT NULL"""
+
+
+@query(REPLAY)
 def simulate_backtest(spark, d):
     out = simulate.simulate(_decision_bars(spark, d), SIM)
     return rounded(out.where("kind = 'fill'"), "entry_price", "exit_price", "pnl_net").select("instrument", "position_id", "entry_ts", "exit_ts", "entry_price", "exit_price", "reason", "pnl_net")
