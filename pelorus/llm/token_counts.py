@@ -5,8 +5,9 @@ from __future__ import annotations
 import array
 import functools
 import json
+import os
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +21,25 @@ from pelorus.llm.packing import _byte_alphabet
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-#: Prefix states of longer words aren't remembered beyond the word: by prefix they would take memory as its square.
-MEMO_UNITS = 40
-MEMO_STATES = 1_500_000
+#: Compatible pairs of tokens that are remembered.
+MEMO_PAIRS = 1_500_000
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+class States(tuple):
+    """Token count and last token of a word's prefixes that go on, by their length."""
+
+    def __new__(cls):
+        return super().__new__(cls, (array.array("i", [0]), array.array("i", [-1])))
+
+
 class PrefixCounter:
     """Token counts under a word-level BPE vocabulary file of the tokenizers library.
 
     A prefix of a word has one encoding, and its last token is the one that is compatible with the
     last token of the prefix before it: two neighbours are compatible when encoding their joined
-    string gives them back. So a pass over a word finds the count of each of its prefixes, and words
-    with a common prefix share its states. A prefix that ends a word is encoded with the word end on
+    string gives them back. So a pass over a word finds the count of each of its prefixes, and words in
+    their order share the states of the prefix that they have in common. A prefix that ends a word is encoded with the word end on
     its last unit, one that goes on without it; both are kept.
     """
 
@@ -53,20 +60,25 @@ class PrefixCounter:
         self.final = {t[: -len(self.end)]: i for t, i in vocab.items() if t.endswith(self.end)}
         self.longest = max(map(len, vocab))
         self.fits: dict[int, bool] = {}
-        self.states: dict[str, tuple[int, int]] = {}
-        self.counts: list[int] = []
         self.array = np.zeros(0, np.int64)
         self.memo = spans.Memo(self._add, self._clear)
 
     def _clear(self) -> None:
-        self.counts, self.array = [], np.zeros(0, np.int64)
+        self.array = np.zeros(0, np.int64)
 
     def _add(self, new: list[str]) -> None:
-        if len(self.states) > MEMO_STATES:
-            self.states = {}
-        if len(self.fits) > MEMO_STATES:
+        if len(self.fits) > MEMO_PAIRS:
             self.fits = {}
-        self.array = np.concatenate([self.array, np.array([self.count(w) for w in new], np.int64)])
+        made, before, states = np.zeros(len(new), np.int64), "", States()
+        units = [self.units(w) for w in new]
+        for i in sorted(range(len(new)), key=units.__getitem__):
+            u = units[i]
+            if u in self.final:
+                made[i] = 1
+                continue
+            self._extend(states, u, len(os.path.commonprefix((before, u))))
+            made[i], before = self._last(u, len(u), self.final, states)[0], u
+        self.array = np.concatenate([self.array, made])
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the string of tokens a and b is encoded as a and b.
@@ -93,25 +105,23 @@ class PrefixCounter:
             else:  # at equal rank the merge further left comes first
                 before, b = b + 1, self.parts[b][0]
 
-    def _last(self, word: str, i: int, tokens: dict[str, int], counts: Sequence[int], lasts: Sequence[int]) -> tuple[int, int]:
+    def _last(self, word: str, i: int, tokens: dict[str, int], states: States) -> tuple[int, int]:
+        counts, lasts = states
         for j in range(max(0, i - self.longest), i):
             token = tokens.get(word[j:i])
             if token is not None and (not j or self.compatible(lasts[j], token)):
                 return counts[j] + 1, token
         raise ValueError(f"no encoding of {word[:i]!r}")
 
-    def _states(self, word: str) -> tuple[array.array, array.array]:
-        """Token count and last token of the prefixes that go on, by length, for a word in units."""
-        counts, lasts, shared = array.array("i", [0]), array.array("i", [-1]), len(word) <= MEMO_UNITS
-        for i in range(1, len(word)):
-            state = self.states.get(word[:i]) if shared else None
-            if state is None:
-                state = self._last(word, i, self.inner, counts, lasts)
-                if shared:
-                    self.states[word[:i]] = state
-            counts.append(state[0])
-            lasts.append(state[1])
-        return counts, lasts
+    def _extend(self, states: States, word: str, common: int = 0) -> States:
+        """Make `states` those of word, keeping what it has of a common beginning with the word before."""
+        counts, lasts = states
+        del counts[min(common + 1, len(word)) :], lasts[min(common + 1, len(word)) :]
+        for i in range(len(counts), len(word)):
+            count, last = self._last(word, i, self.inner, states)
+            counts.append(count)
+            lasts.append(last)
+        return states
 
     def units(self, word: str) -> str:
         return "".join(map(self.unit.__getitem__, word.encode()))
@@ -121,19 +131,19 @@ class PrefixCounter:
         u = self.units(word)
         if u in self.final:
             return 1
-        return self._last(u, len(u), self.final, *self._states(u))[0]
+        return self._last(u, len(u), self.final, self._extend(States(), u))[0]
 
     def word_prefixes(self, word: str) -> list[int]:
         """Tokens of a text that is the first 1, 2, ... code points of word."""
         out, u = [], self.units(word)
-        states, n = self._states(u), 0
+        states, n = self._extend(States(), u), 0
         for k in range(1, len(word) + 1):
             n += len(word[k - 1].encode())
             if word[0] == "'" and 1 < k < len(word):  # a contraction cut short is an apostrophe and letters
                 if len(cut := CUT.findall(word[:k])) > 1:
                     out.append(sum(map(self.count, cut)))
                     continue
-            out.append(self._last(u, n, self.final, *states)[0])
+            out.append(self._last(u, n, self.final, states)[0])
         return out
 
     def normalise(self, text: str) -> str:
