@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import json
 import math
 import random
 import re
@@ -42,7 +43,10 @@ NEAR_GOOD = {"token", "secret", "password", "passwd", "pwd", "key", "apikey", "a
 NEAR_BAD = {"example", "sample", "commit", "sha", "sha1", "sha256", "md5", "uuid", "guid", "id", "checksum", "hash", "digest", "version", "isbn", "etag", "order", "invoice", "placeholder", "dummy", "revision", "file", "integrity", "color", "class", "url"}
 PATH_BAD = {"test", "tests", "example", "examples", "doc", "docs", "fixture", "fixtures", "sample", "samples", "spec", "mock", "vendor", "dist", "lock"}
 PATH_GOOD = {"env", "config", "conf", "settings", "secrets", "credentials", "deploy", "yaml", "yml", "ini", "properties", "tfvars"}
-#: A small dictionary of words that names and placeholders are made of.
+#: The dictionary is the whole words of this vocabulary, of LEAST_WORD letters or more.
+VOCABULARY = "word_bpe_49k.json"
+LEAST_WORD = 4
+#: Words that the made-up findings' names and placeholders are made of.
 WORDS = (
     "about access again alpha angle answer array base best block body bound build cache camera case change child class client close code common connect "
     "context copy count custom date default demo detail document down edit empty engine example false file final first format from game get graph hash "
@@ -53,9 +57,40 @@ WORDS = (
 ).split()
 
 
+@functools.lru_cache(2)
+def dictionary(path: str | None = None) -> frozenset[str]:
+    """Words of a to z in a public vocabulary file (end-of-word tokens), and those of WORDS."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(VOCABULARY)
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model["end_of_word_suffix"]
+    words = (t.removesuffix(end) for t in model["vocab"] if t.endswith(end))
+    return frozenset(w for w in (*words, *WORDS) if len(w) >= LEAST_WORD and w.isascii() and w.isalpha())
+
+
+def _covered(low: str) -> list[str]:
+    """Words of the dictionary in a text, the longest at each place, one after the other."""
+    known, longest = dictionary(), _longest()
+    found: list[str] = []
+    for m in re.finditer(r"[a-z]{%d,}" % LEAST_WORD, low):
+        at, end = m.start(), m.end()
+        while at <= end - LEAST_WORD:
+            for size in range(min(longest, end - at), LEAST_WORD - 1, -1):
+                if low[at : at + size] in known:
+                    found.append(low[at : at + size])
+                    at += size
+                    break
+            else:
+                at += 1
+    return found
+
+
 @functools.cache
-def _dictionary() -> re.Pattern:
-    return re.compile("|".join(sorted((w for w in WORDS if len(w) > 2), key=lambda w: (-len(w), w))))
+def _longest() -> int:
+    return max(map(len, dictionary()))
 
 
 def _kind(c: str) -> str:
@@ -67,7 +102,7 @@ def _transitions() -> dict[str, float]:
     """Log probabilities of pairs of characters (lower case; digits and other characters as one each) in words."""
     pair: dict[str, float] = {}
     first: dict[str, float] = {}
-    for w in WORDS:
+    for w in dictionary():
         s = f"-{w}-"
         for a, b in zip(s, s[1:]):
             pair[a + b] = pair.get(a + b, 0) + 1
@@ -90,7 +125,7 @@ def features(value: str, rule: int, before: str, after: str, path: str) -> list[
     kinds = "".join(map(_kind, low))
     table_ = _transitions()
     steps = [table_.get(kinds[i : i + 2], -6.0) for i in range(n - 1)]
-    known = _dictionary().findall(low)
+    known = _covered(low)
     switches = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(value, value[1:]))
     run = max((len(m[0]) for m in re.finditer(r"(.)\1*", value)), default=0)
     near = re.findall(r"[a-z0-9]+", before.lower())[-4:]
