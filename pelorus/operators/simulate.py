@@ -422,23 +422,40 @@ def frame(rows: list[dict], instrument: str) -> pd.DataFrame:
     return pd.DataFrame({k: pd.array([instrument if k == "instrument" else r.get(k) for r in rows], dtype=kinds[v]) for k, v in OUT.items()})
 
 
-def simulate(bars: DataFrame, cfg: SimConfig = SimConfig(), own: tuple[str, ...] = ()) -> DataFrame:
-    """All outputs of a run over each instrument's bars, instruments side by side.
+def replay(bars: DataFrame, cfg: SimConfig = SimConfig(), keys: tuple[str, ...] = ("instrument",), own: tuple[str, ...] = ()) -> DataFrame:
+    """All outputs of a run over the bars of each value of the keys (instrument last), in order of time, and the other keys.
 
-    Kinds: fill, close, trace, state, audit, rejected, drift. Columns `own` hold an instrument's own
-    values of the strategy's parameters of those names (the same in all of its rows; null: the run's).
+    Bars come to a task sorted, batch by batch, so neither a run's bars nor its outputs are ever held as
+    a whole; runs go side by side. Columns `own` hold a run's own values of the strategy's parameters of
+    those names (the same in all of its rows; null: those of cfg).
     """
+    more = keys[:-1]
+    kinds = dict(bars.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, engine = None, None
+        for part in batches:
+            out: list[dict] = []
+            for row in part.to_dict("records"):
+                key = tuple(row[k] for k in keys)
+                if engine is None or key != now:
+                    if out:
+                        yield frame(out, now[-1]).assign(**dict(zip(more, now)))
+                    values = {k: row[k] for k in own}
+                    params = {**dict(cfg.params), **{k: float(v) for k, v in values.items() if v is not None and math.isfinite(v)}}
+                    now, engine, out = key, Engine(dataclasses.replace(cfg, params=tuple(sorted(params.items())))), []
+                out += engine.step(bar_of(row, cfg))
+            if out:
+                yield frame(out, now[-1]).assign(**dict(zip(more, now)))
+
+    names = dict.fromkeys([*keys, *own, "open_time", "high", "close", "segment_id", "underlying", *cfg.features, cfg.p_column, *(c for c in ("p_offline", "sigma_ve", "regime") if c in bars.columns)])
+    ordered = bars.select(*names).repartition(*keys).sortWithinPartitions(*keys, "open_time")
+    return ordered.mapInPandas(run, SCHEMA + "".join(f", {k} {kinds[k]}" for k in more))
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("open_time")
-        values = {k: part[k].iloc[0] for k in own}
-        params = {**dict(cfg.params), **{k: float(v) for k, v in values.items() if v is not None and math.isfinite(v)}}
-        engine, out = Engine(dataclasses.replace(cfg, params=tuple(sorted(params.items())))), []
-        for row in part.to_dict("records"):
-            out += engine.step(bar_of(row, cfg))
-        return frame(out, key[0])
 
-    return bars.groupBy("instrument").applyInPandas(run, SCHEMA)
+def simulate(bars: DataFrame, cfg: SimConfig = SimConfig(), own: tuple[str, ...] = ()) -> DataFrame:
+    """All outputs of a run over each instrument's bars (see replay). Kinds: fill, close, trace, state, audit, rejected, drift."""
+    return replay(bars, cfg, own=own)
 
 
 def fills(outputs: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ import datetime
 import json
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,13 +127,7 @@ def cross_validate(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame |
     cfg = spec.sim(names)
     near = numbered.join(F.broadcast(span), (F.col("__row") >= F.col("first")) & (F.col("__row") < F.col("behind")))  # at most C(n_folds, n_test) rows
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        engine, out = simulate.Engine(cfg), []
-        for r in part.sort_values("open_time").to_dict("records"):
-            out += engine.step(simulate.bar_of(r, cfg))
-        return simulate.frame(out, key[1]).assign(split=key[0])
-
-    done = near.groupBy("split", "instrument").applyInPandas(run, simulate.SCHEMA + ", split int")
+    done = simulate.replay(near, cfg, ("split", "instrument"))
     fills = done.where("kind = 'fill'").selectExpr("split", "position_id AS idx", "entry_ts", "exit_ts", "reason", "pnl_net AS pnl")
     each = metrics.trading(fills, spec.data.m_minutes, ["split"])
     return each, search.fold_summary(each).first().asDict()
