@@ -27,6 +27,8 @@ BLOCK = (WINDOW + 1) // 2
 CHUNK_BYTES = 6_000_000
 PART_KEYS = 2_000_000
 CHUNKS_A_FILE = 20
+#: A chunk sends 2**FAN_BITS rows at most; with more parts than that, its rows meet those of other chunks on the way.
+FAN_BITS = 12
 NO_ID = (1 << 63) - 1
 
 
@@ -72,9 +74,12 @@ def chain(h: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """Distinct runs of BLOCK words of a chunk by key; the key's upper `bits` name the part where they meet."""
+    """Distinct runs of BLOCK words of a chunk by key; the key's upper bits, of bits + 32, name the part where they meet.
 
-    def __init__(self, chunk: Chunk, bits: int):
+    bound: where the runs begin of which the first `fan` bits are 0, 1, ...
+    """
+
+    def __init__(self, chunk: Chunk, bits: int, fan: int):
         self.starts = chunk.starts(BLOCK)
         key = roll(chunk.a, self.starts, BLOCK, 7) >> np.uint64(32 - bits)
         self.key, self.of = np.unique(key, return_inverse=True)
@@ -86,29 +91,83 @@ class Runs:
         first[self.of[::-1]] = doc[::-1]
         self.several = np.zeros(n, bool)
         self.several[self.of[doc != first[self.of]]] = True
-        self.bound = np.searchsorted(self.key >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.bound = np.searchsorted(self.key >> np.uint64(32 + bits - fan), np.arange((1 << fan) + 1, dtype=np.uint64))
 
 
 class Windows:
     """Distinct windows of a chunk around hits, with the least document that has each."""
 
-    def __init__(self, chunk: Chunk, runs: Runs, hit: np.ndarray, bits: int):
+    def __init__(self, chunk: Chunk, runs: Runs, hit: np.ndarray, fan: int):
         near = np.zeros(len(chunk.a) + 1, np.int64)
         near[runs.starts[hit[runs.of]] + 1] = 1
         near = np.cumsum(near)
         starts = chunk.starts(WINDOW)
         self.starts = starts[near[starts + WINDOW - BLOCK + 1] > near[starts]]
         hi, lo = chain(chunk.a, self.starts, WINDOW), chain(chunk.b, self.starts, WINDOW)
-        order = np.lexsort((lo, hi))
-        hi, lo = hi[order], lo[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-        self.of = np.zeros(len(order), np.int64)
-        self.of[order] = np.cumsum(head) - 1
-        self.hi, self.lo = hi[head], lo[head]
         self.own = chunk.ids[chunk.doc[self.starts]]
-        self.least = np.minimum.reduceat(self.own[order], np.flatnonzero(head)) if len(order) else self.own
-        self.bound = np.searchsorted(self.hi >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(self.hi)])
+        self.hi, self.lo, self.least, self.of = least_of_each(hi, lo, self.own)
+        self.bound = _bound(self.hi, fan)
+
+
+def least_of_each(hi: np.ndarray, lo: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows (hi, lo) the distinct ones, sorted, the least of `own` of each, and which of them each is."""
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    head = np.ones(len(order), bool)
+    head[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    of = np.zeros(len(order), np.int64)
+    of[order] = np.cumsum(head) - 1
+    return hi[head], lo[head], np.minimum.reduceat(own[order], np.flatnonzero(head)) if len(order) else own, of
+
+
+def _bound(hi: np.ndarray, bits: int) -> np.ndarray:
+    return np.searchsorted(hi >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
+def _cut(parts: np.ndarray) -> list[tuple[int, slice]]:
+    """Runs of equal values in an ascending array."""
+    head = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else parts.astype(np.int64)
+    return [(int(parts[a]), slice(a, b)) for a, b in zip(head.tolist(), [*head[1:].tolist(), len(parts)])]
+
+
+def _asked_runs(asker: int, key: np.ndarray, anchor: np.ndarray, several: np.ndarray, cut: list[tuple[int, slice]], low: type) -> pa.Table:
+    key = key.astype(low)
+    return pa.table(
+        {
+            "part": pa.array([p for p, _ in cut], pa.int64()),
+            "asker": pa.array([asker] * len(cut), pa.int64()),
+            "keys": pa.array([key[s].tobytes() for _, s in cut], pa.binary()),
+            "anchor": pa.array([_bits(anchor[s]) for _, s in cut], pa.binary()),
+            "several": pa.array([_bits(several[s]) for _, s in cut], pa.binary()),
+        }
+    )
+
+
+def _asked_windows(asker: int, hi: np.ndarray, lo: np.ndarray, least: np.ndarray, cut: list[tuple[int, slice]]) -> pa.Table:
+    columns = [pa.array([x[s].tobytes() for _, s in cut], pa.binary()) for x in (hi, lo, least)]
+    return pa.table([pa.array([p for p, _ in cut], pa.int64()), pa.array([asker] * len(cut), pa.int64()), *columns], schema=WINDOWS)
+
+
+class RunAsks:
+    """The runs that askers sent to one place: all of them end to end, and the distinct ones."""
+
+    def __init__(self, group: pa.Table, low: type):
+        keys = [np.frombuffer(b, low) for b in group.column("keys").to_pylist()]
+        self.sizes = [len(k) for k in keys]
+        anchor, several = (np.concatenate([_flags(b, n) for b, n in zip(group.column(c).to_pylist(), self.sizes)]) for c in ("anchor", "several"))
+        self.key, self.of, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        self.anchor, self.several = np.zeros(len(self.key), bool), count > 1
+        self.anchor[self.of[anchor]] = True
+        self.several[self.of[several]] = True
+
+
+class WindowAsks:
+    """The same of windows, with the least document of each."""
+
+    def __init__(self, group: pa.Table):
+        hi, lo, self.own = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("hi", np.uint64), ("lo", np.uint64), ("least", np.int64)))
+        self.sizes = [len(b) // 8 for b in group.column("hi").to_pylist()]
+        self.hi, self.lo, self.least, self.of = least_of_each(hi, lo, self.own)
 
 
 def _bits(flags: np.ndarray) -> bytes:
@@ -128,17 +187,26 @@ def _told(answers: pa.Table, kind: int, bound: np.ndarray) -> np.ndarray:
     return out
 
 
+def _told_by(answers: pa.Table, parts: np.ndarray) -> np.ndarray:
+    """The answers for distinct keys in ascending order, of which each has a part."""
+    out, at = np.zeros(len(parts), bool), dict(_cut(parts))
+    for part, blob in zip(answers.column("part").to_pylist(), answers.column("flags").to_pylist()):
+        out[at[part]] = _flags(blob, at[part].stop - at[part].start)
+    return out
+
+
 def _answer(group: pa.Table, flags: np.ndarray, sizes: list[int], kind: int) -> pa.Table:
-    """One row for each chunk that asked and has a true flag."""
-    part, rows, at = group.column("part")[0].as_py(), [], 0
-    for chunk, n in zip(group.column("chunk").to_pylist(), sizes):
+    """One row for each asker's row that has a true flag."""
+    rows, at = [], 0
+    for asker, part, n in zip(group.column("asker").to_pylist(), group.column("part").to_pylist(), sizes):
         if flags[at : at + n].any():
-            rows.append((chunk, _bits(flags[at : at + n])))
+            rows.append((asker, part, _bits(flags[at : at + n])))
         at += n
-    return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int32()), "part": pa.array([part] * len(rows), pa.int32()), "kind": pa.array([kind] * len(rows), pa.int32()), "flags": pa.array([b for _, b in rows], pa.binary())})
+    return pa.table({"asker": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([r[1] for r in rows], pa.int64()), "kind": pa.array([kind] * len(rows), pa.int32()), "flags": pa.array([r[2] for r in rows], pa.binary())})
 
 
-ANSWER = "chunk int, part int, kind int, flags binary"
+ANSWER = "asker long, part long, kind int, flags binary"
+RUNS = "part long, asker long, keys binary, anchor binary, several binary"
 
 
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -153,73 +221,74 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Documents are dealt to chunks, which are written once, in files by chunk, so that the three passes
     over them need no shuffle of texts; rows that repeat go to a chunk for each input partition. A chunk
     asks about each distinct run or window once, so the rows that meet for one of them are as many as
-    chunks, however often it occurs, and a chunk sends no more rows than it has distinct runs. Nothing
-    is capped; a false hit of a run's short key only adds windows to compare.
+    chunks, however often it occurs. It sends 2**FAN_BITS rows at most: with more parts than that, the
+    rows of many chunks for a range of parts are merged first, and go on from there. Nothing is capped;
+    a false hit of a run's short key only adds windows to compare.
     """
     plain = texts(docs)
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0]
     key = secrets.randbits(60)
     chunks = max(1, math.ceil((size or 0) / CHUNK_BYTES))
     bits = max(3, math.ceil(math.log2(max(1, (size or 0) / 6 / PART_KEYS))))
-    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int"))
+    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("long"))
     files = min(chunks, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chunks / CHUNKS_A_FILE)))
     plain = scratch.bucketed(dealt, "chunks", "chunk", files)
 
+    fan = min(bits, FAN_BITS)
+    low = np.uint64 if fan < bits else np.uint32
+    near = max(1, PART_KEYS * (6 << fan) // CHUNK_BYTES)  # chunks whose rows of a first part have as many runs as a part
+
     def ask_runs(group: pa.Table) -> pa.Table:
-        runs = Runs(Chunk(group, key, False), bits)
-        cut = [(p, slice(a, b)) for p, (a, b) in enumerate(zip(runs.bound[:-1].tolist(), runs.bound[1:].tolist())) if a < b]
-        low = runs.key.astype(np.uint32)
-        return pa.table(
-            {
-                "part": pa.array([p for p, _ in cut], pa.int32()),
-                "chunk": pa.array([group.column("chunk")[0].as_py()] * len(cut), pa.int32()),
-                "keys": pa.array([low[s].tobytes() for _, s in cut], pa.binary()),
-                "anchor": pa.array([_bits(runs.anchor[s]) for _, s in cut], pa.binary()),
-                "several": pa.array([_bits(runs.several[s]) for _, s in cut], pa.binary()),
-            }
-        )
+        runs = Runs(Chunk(group, key, False), bits, fan)
+        return _asked_runs(group.column("chunk")[0].as_py(), runs.key, runs.anchor, runs.several, _cut(runs.key >> np.uint64(32 + bits - fan)), low)
+
+    def pass_runs(group: pa.Table) -> pa.Table:
+        asks = RunAsks(group, np.uint64)
+        return _asked_runs(group.column("via")[0].as_py(), asks.key, asks.anchor, asks.several, _cut(asks.key >> np.uint64(32)), np.uint32)
 
     def meet_runs(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(b, np.uint32) for b in group.column("keys").to_pylist()]
-        sizes = [len(k) for k in keys]
-        anchor, several = (np.concatenate([_flags(b, n) for b, n in zip(group.column(c).to_pylist(), sizes)]) for c in ("anchor", "several"))
-        key = np.concatenate(keys)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        length = np.diff(np.append(head, len(key)))
-        hit = np.logical_or.reduceat(anchor[order], head) & (np.logical_or.reduceat(several[order], head) | (length > 1))
-        flags = np.zeros(len(key), bool)
-        flags[order] = np.repeat(hit, length)
-        return _answer(group, flags, sizes, 0)
+        asks = RunAsks(group, np.uint32)
+        return _answer(group, (asks.anchor & asks.several)[asks.of], asks.sizes, 0)
+
+    def return_runs(group: pa.Table, answers: pa.Table) -> pa.Table:
+        if not answers.num_rows or not group.num_rows:
+            return pa.table({"asker": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "flags": pa.array([], pa.binary())})
+        asks = RunAsks(group, np.uint64)
+        hit = _told_by(answers, asks.key >> np.uint64(32))
+        return _answer(group, hit[asks.of], asks.sizes, 0)
 
     def ask_windows(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not group.num_rows:
             return WINDOWS.empty_table()
         chunk = Chunk(group, key, True)
-        runs = Runs(chunk, bits)
-        w = Windows(chunk, runs, _told(answers, 0, runs.bound), bits)
-        cut = [(p, slice(a, b)) for p, (a, b) in enumerate(zip(w.bound[:-1].tolist(), w.bound[1:].tolist())) if a < b]
-        return pa.table(
-            [
-                pa.array([p for p, _ in cut], pa.int32()),
-                pa.array([group.column("chunk")[0].as_py()] * len(cut), pa.int32()),
-                *(pa.array([x[s].tobytes() for _, s in cut], pa.binary()) for x in (w.hi, w.lo, w.least)),
-            ],
-            schema=WINDOWS,
-        )
+        runs = Runs(chunk, bits, fan)
+        w = Windows(chunk, runs, _told(answers, 0, runs.bound), fan)
+        return _asked_windows(group.column("chunk")[0].as_py(), w.hi, w.lo, w.least, _cut(w.hi >> np.uint64(64 - fan)))
+
+    def pass_windows(group: pa.Table) -> pa.Table:
+        asks = WindowAsks(group)
+        return _asked_windows(group.column("via")[0].as_py(), asks.hi, asks.lo, asks.least, _cut(asks.hi >> np.uint64(64 - bits)))
 
     def meet_windows(group: pa.Table) -> pa.Table:
-        hi, lo, least = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("hi", np.uint64), ("lo", np.uint64), ("least", np.int64)))
-        sizes = [len(b) // 8 for b in group.column("hi").to_pylist()]
-        order = np.lexsort((lo, hi))
-        head = np.ones(len(order), bool)
-        head[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
-        head = np.flatnonzero(head)
-        first = np.minimum.reduceat(least[order], head)
-        flags = np.zeros(len(order), bool)
-        flags[order] = np.repeat(first, np.diff(np.append(head, len(order)))) < least[order]
-        return _answer(group, flags, sizes, 1)
+        asks = WindowAsks(group)
+        return _answer(group, asks.least[asks.of] < asks.own, asks.sizes, 1)
+
+    def return_windows(group: pa.Table, answers: pa.Table) -> pa.Table:
+        asks = WindowAsks(group)
+        flags = asks.least[asks.of] < asks.own  # an earlier document in the same group of chunks, or one that all of it follows
+        if answers.num_rows and group.num_rows:
+            flags |= _told_by(answers, asks.hi >> np.uint64(64 - bits))[asks.of]
+        return _answer(group, flags, asks.sizes, 1)
+
+    def meeting(asked: DataFrame, schema: str, meet, hand_on, hand_back, name: str) -> DataFrame:
+        """Answers to what chunks asked; beyond 2**FAN_BITS parts by way of groups of chunks, so that rows don't get small."""
+        if fan == bits:
+            return scratch.settle(asked.groupBy("part").applyInArrow(meet, ANSWER), name)
+        via = F.shiftleft(F.col("part"), 32).bitwiseOR(F.floor(F.col("asker") / near).cast("long"))
+        asked = scratch.settle(asked.withColumn("via", via), f"{name}-asked")
+        on = asked.groupBy("via").applyInArrow(hand_on, schema)
+        met = scratch.settle(on.groupBy("part").applyInArrow(meet, ANSWER), f"{name}-met")
+        return scratch.settle(asked.groupBy("via").cogroup(met.groupBy("asker")).applyInArrow(hand_back, ANSWER), name)
 
     def cut_out(group: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(group, key, bool(answers.num_rows)) if group.num_rows else None
@@ -227,8 +296,8 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
             return RESULT.empty_table()
         gone = np.zeros(len(chunk.a), bool)
         if answers.num_rows:
-            runs = Runs(chunk, bits)
-            w = Windows(chunk, runs, _told(answers, 0, runs.bound), bits)
+            runs = Runs(chunk, bits, fan)
+            w = Windows(chunk, runs, _told(answers, 0, runs.bound), fan)
             late = _told(answers, 1, w.bound)[w.of] | (w.own > w.least[w.of])
             step = np.zeros(len(gone) + 1, np.int64)
             np.add.at(step, w.starts[late], 1)
@@ -244,14 +313,15 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
             kept.append(b" ".join([x for x, g in zip(words, own.tolist()) if not g] if removed[-1] else words).decode())
         return pa.table([group.column("doc_id").combine_chunks(), pa.array(chunk.counts), pa.array(removed, pa.int64()), pa.array(found, RESULT.field("spans").type), pa.array(kept, pa.string())], schema=RESULT)
 
-    asked = plain.groupBy("chunk").applyInArrow(ask_runs, "part int, chunk int, keys binary, anchor binary, several binary")
-    hits = scratch.settle(asked.groupBy("part").applyInArrow(meet_runs, ANSWER), "hits")
-    asked = plain.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(ask_windows, "part int, chunk int, hi binary, lo binary, least binary")
-    late = scratch.settle(asked.groupBy("part").applyInArrow(meet_windows, ANSWER), "late")
-    return plain.groupBy("chunk").cogroup(hits.union(late).groupBy("chunk")).applyInArrow(cut_out, "doc_id long, n_words long, n_removed long, spans array<struct<first: long, behind: long>>, kept string")
+    asked = plain.groupBy("chunk").applyInArrow(ask_runs, RUNS)
+    hits = meeting(asked, RUNS, meet_runs, pass_runs, return_runs, "hits")
+    windows = "part long, asker long, hi binary, lo binary, least binary"
+    asked = plain.groupBy("chunk").cogroup(hits.groupBy("asker")).applyInArrow(ask_windows, windows)
+    late = meeting(asked, windows, meet_windows, pass_windows, return_windows, "late")
+    return plain.groupBy("chunk").cogroup(hits.union(late).groupBy("asker")).applyInArrow(cut_out, "doc_id long, n_words long, n_removed long, spans array<struct<first: long, behind: long>>, kept string")
 
 
-WINDOWS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("hi", pa.binary()), ("lo", pa.binary()), ("least", pa.binary())])
+WINDOWS = pa.schema([("part", pa.int64()), ("asker", pa.int64()), ("hi", pa.binary()), ("lo", pa.binary()), ("least", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))), ("kept", pa.string())])
 
 

@@ -1015,9 +1015,12 @@ def test_pieces_round_trip(spark, odd, docs):
 # 10 substrings
 
 
-@pytest.mark.parametrize("which", ["docs", "odd", "made"])
-def test_repeats(spark, request, which, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 60_000)
+@pytest.mark.parametrize("which, levels", [("docs", 1), ("odd", 1), ("made", 1), ("docs", 2), ("odd", 2), ("made", 2)])
+def test_repeats(spark, request, which, levels, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 60_000 if which == "docs" else 300)
+    if levels == 2:  # by way of groups of some chunks
+        monkeypatch.setattr(substring_dedup, "FAN_BITS", 2)
+        monkeypatch.setattr(substring_dedup, "PART_KEYS", 5000 if which == "docs" else 20)
     if which == "made":
         rng = random.Random(7)
         run = " ".join(f"r{i}" for i in range(13))
