@@ -44,7 +44,7 @@ NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTES = re.compile(r"(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg", "math"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg"}
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
