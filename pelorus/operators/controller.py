@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,17 +35,59 @@ def step(cfg: ControllerConfig, state: Column, x: Column) -> Column:
     return F.struct(F.when(paused, state["tau"]).otherwise(tau).alias("tau"), r_hat.alias("r_hat"), r_star.alias("r_star"), paused.alias("paused"))
 
 
-def fold(df: DataFrame, cfg: ControllerConfig = ControllerConfig(), by: str = "instrument", order: str = "bar") -> DataFrame:
+def fold_array(df: DataFrame, cfg: ControllerConfig = ControllerConfig(), by: str = "instrument", order: str = "bar") -> DataFrame:
     """Final state of each series of (bar, entered, label): an exact fold over its rows in order, in the JVM.
 
-    A series' rows meet in one array, so this is for series of up to some million bars; the streaming
-    processor has no such bound.
+    A series' rows meet in one array, so this is for series of up to some million bars.
     """
     rows = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, "entered", "label"))).alias("rows"))
     start = F.struct(F.lit(cfg.tau0).alias("tau"), F.lit(cfg.r0).alias("r_hat"), F.lit(cfg.r0).alias("r_star"), F.lit(False).alias("paused"))
     return rows.select(by, F.aggregate("rows", start, lambda s, x: step(cfg, s, x)).alias("s")).select(by, "s.*")
 
 
+@dataclasses.dataclass
+class State:
+    """The controller between two bars; the same step as `step`, in Python."""
+
+    tau: float
+    r_hat: float
+    r_star: float
+    paused: bool = False
+
+    def step(self, c: ControllerConfig, entered: float, label: float | None) -> None:
+        self.r_hat = (1 - c.alpha) * self.r_hat + c.alpha * entered
+        if label is not None:
+            self.r_star = (1 - c.alpha) * self.r_star + c.alpha * label
+            self.paused = not self.r_star > c.r_resume if self.paused else self.r_star < c.r_min
+        if not self.paused:
+            self.tau = min(c.tau_ceil, max(c.tau_floor, self.tau + max(-c.dtau_max, min(c.dtau_max, c.gamma * (self.r_hat - self.r_star)))))
+
+
+def fold(df: DataFrame, cfg: ControllerConfig = ControllerConfig(), by: str = "instrument", order: str = "bar") -> DataFrame:
+    """The same for series of any length: rows come to a task sorted, batch by batch, and only the state is held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, done = None, None, []
+        last = lambda: (now, state.tau, state.r_hat, state.r_star, state.paused)
+        for part in batches:
+            for key, entered, label in zip(part[by].tolist(), part["entered"].tolist(), part["label"].tolist()):
+                if state is None or key != now:
+                    if state is not None:
+                        done.append(last())
+                    now, state = key, State(cfg.tau0, cfg.r0, cfg.r0)
+                state.step(cfg, float(entered), None if label is None or label != label else float(label))
+            if len(done) > 10_000:
+                yield pd.DataFrame(done, columns=[by, "tau", "r_hat", "r_star", "paused"])
+                done = []
+        if state is not None:
+            done.append(last())
+        yield pd.DataFrame(done, columns=[by, "tau", "r_hat", "r_star", "paused"])
+
+    rows = df.select(by, order, F.col("entered").cast("double").alias("entered"), F.col("label").cast("double").alias("label"))
+    ordered = rows.repartition(by).sortWithinPartitions(by, order)
+    return ordered.mapInPandas(run, f"{by} {dict(df.dtypes)[by]}, tau double, r_hat double, r_star double, paused boolean")
+
+
 def should_enter(p: Column, sigma: Column, tau: Column, paused: Column, sigma_max: Column) -> Column:
     return ~paused & (sigma.isNull() | (sigma <= sigma_max)) & (p >= tau)
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from pelorus.operators.broker import Costs
-from pelorus.operators.controller import ControllerConfig
+from pelorus.operators.controller import ControllerConfig, State
 from pelorus.operators.online import AdaptiveForest
 
 INF = math.inf
@@ -132,17 +132,16 @@ class CompositeAdaptive:
 
     def __init__(self, t_max: int = 4, signal: str = "p", **controller):
         self.cfg, self.t_max, self.signal = ControllerConfig(**controller), t_max, signal
-        self.tau, self.r_hat, self.r_star, self.paused = self.cfg.tau0, self.cfg.r0, self.cfg.r0, False
+        self.state = State(self.cfg.tau0, self.cfg.r0, self.cfg.r0)
         self.entered, self.label = False, None
 
+    tau = property(lambda self: self.state.tau)
+    r_hat = property(lambda self: self.state.r_hat)
+    r_star = property(lambda self: self.state.r_star)
+    paused = property(lambda self: self.state.paused)
+
     def observe(self, entered: bool, label: int | None) -> None:
-        c = self.cfg
-        self.r_hat = (1 - c.alpha) * self.r_hat + c.alpha * entered
-        if label is not None:
-            self.r_star = (1 - c.alpha) * self.r_star + c.alpha * label
-            self.paused = not self.r_star > c.r_resume if self.paused else self.r_star < c.r_min
-        if not self.paused:
-            self.tau = min(c.tau_ceil, max(c.tau_floor, self.tau + max(-c.dtau_max, min(c.dtau_max, c.gamma * (self.r_hat - self.r_star)))))
+        self.state.step(self.cfg, float(entered), label)
 
     def decide(self, bar, broker):
         self.observe(self.entered, self.label)

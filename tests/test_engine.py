@@ -107,11 +107,14 @@ def test_labels_stop_at_segments():
 def test_controller_fold_is_the_engines(spark):
     rng = np.random.default_rng(0)
     rows = [("a", i, int(rng.random() < 0.5), None if rng.random() < 0.3 else int(rng.random() < 0.4)) for i in range(80)]
-    got = controller.fold(spark.createDataFrame(rows, "instrument string, bar long, entered int, label int")).first()
+    df = spark.createDataFrame([*rows, ("b", 1, 1, 1)], "instrument string, bar long, entered int, label int").repartition(3)
     s = simulate.CompositeAdaptive()
     for _, _, entered, label in rows:
         s.observe(entered, label)
-    assert math.isclose(got.tau, s.tau) and math.isclose(got.r_star, s.r_star) and got.paused == s.paused
+    for fold in (controller.fold, controller.fold_array):
+        got = {r.instrument: r for r in fold(df).collect()}
+        assert set(got) == {"a", "b"} and math.isclose(got["a"].tau, s.tau) and math.isclose(got["a"].r_star, s.r_star) and got["a"].paused == s.paused
+    assert controller.fold(df.limit(0)).count() == 0
 
 
 def test_adwin_and_forest():
