@@ -1,5 +1,6 @@
 import json
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -304,6 +305,67 @@ def test_every_tick_is_an_entry(spark, data):
     assert {r.instrument: r.n_open for r in book} == {k: sum(kind[i] == k for i, _ in unreal) for k in {kind[i] for i, _ in unreal}}
 
 
+def plain_adaptive(bars, t_max=4, tau=0.55, cap=3, barrier=0.5, cost=2e-4):
+    """The adaptive strategy over one instrument's bars, by hand: after each bar tau, r_hat, r_star, paused, open positions, equity."""
+    r_hat = r_star = 0.5
+    paused, entered, pending, realized, before = False, False, 0, 0.0, None
+    held, out = [], []
+    for b in bars:
+        y = None
+        if before is not None and before["segment_id"] == b["segment_id"]:
+            y = int(math.log(b["high"] / before["close"]) >= 0.5)
+        prices = [m["close"] for m in b["underlying"]]
+        for _ in range(pending):
+            held.append({"entry": prices[0], "age": -1})
+        pending = 0
+        for pos in list(held):
+            if pos not in held:
+                continue
+            for price in prices[1:] if pos["age"] < 0 else prices:
+                move = math.log(price / pos["entry"])
+                if price >= pos["entry"] * math.exp(barrier) or price <= pos["entry"] * math.exp(-barrier):
+                    held.remove(pos)
+                    realized += (barrier if move > 0 else -barrier) - cost
+                    if move > 0:  # the others that would win go too, at the target's price
+                        at = pos["entry"] * math.exp(barrier)
+                        for other in [q for q in held if math.log(at / q["entry"]) - cost > 0.1 * cost / 2]:
+                            held.remove(other)
+                            realized += math.log(at / other["entry"]) - cost
+                    break
+        for pos in held:
+            pos["age"] += 1
+        r_hat = 0.95 * r_hat + 0.05 * entered
+        if y is not None:
+            r_star = 0.95 * r_star + 0.05 * y
+            paused = not r_star > 0.5 if paused else r_star < 0.4
+        if not paused:
+            tau = min(0.95, max(0.05, tau + max(-0.01, min(0.01, 0.02 * (r_hat - r_star)))))
+        for pos in [q for q in held if q["age"] >= t_max]:
+            held.remove(pos)
+            realized += math.log(b["close"] / pos["entry"]) - cost
+        entered = not paused and b["p"] >= tau
+        if entered and len(held) < min(cap, 5):
+            pending = 1
+        before = b
+        out.append((b["open_time"] * 1_000_000, tau, r_hat, r_star, paused, len(held), realized + sum(math.log(b["close"] / q["entry"]) for q in held)))
+    return out
+
+
+def test_adaptive_backtest_is_brute_force(spark, data):
+    from pelorus.plans import queries
+
+    folder = f"{data}/../sf0.01" if os.path.exists(f"{data}/../sf0.01") else data
+    rows = [r.asDict(recursive=True) for r in queries._decision_bars(spark, folder).select("instrument", "open_time", "high", "close", "segment_id", "underlying", "p").collect()]
+    got = sorted(queries.QUERIES["adaptive_backtest"](spark, folder).collect(), key=lambda r: (r.instrument, r.ts))
+    want = []
+    for name in sorted({r["instrument"] for r in rows}):
+        want += [(name, *x) for x in plain_adaptive(sorted((r for r in rows if r["instrument"] == name), key=lambda r: r["open_time"]))]
+    assert len(got) == len(want) > 0 and (len(got) < 1000 or {r.n_open for r in got} >= {0, 1})
+    for r, (name, ts, tau, r_hat, r_star, paused, n_open, equity) in zip(got, want):
+        assert (r.instrument, r.ts, r.paused, r.n_open) == (name, ts, paused, n_open)
+        assert all(math.isclose(a, b, abs_tol=2e-6) for a, b in ((r.tau, tau), (r.r_hat, r_hat), (r.r_star, r_star), (r.equity, equity)))
+
+
 def test_folds(spark):
     rows = search.purged_folds(spark, 100, 5, 2, 1, 3).collect()
     assert len({r.split for r in rows}) == 10
