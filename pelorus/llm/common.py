@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the word and normalisation rules of the operators use it.
 SPACES = r"[\x20\x09-\x0D]"
-#: Salts over which the rows of one key are spread before their partial results meet.
+#: Salts over which the rows of one key are spread before their partial results meet: as many, or a quarter of the shuffle partitions.
 SALTS = 64
 #: Shuffle files of a finished write are of no more use; this setting has Spark remove them at once.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -39,8 +39,9 @@ def least_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
 
 
-def salt(*cols: str | Column, salts: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
+def salt(*cols: str | Column) -> Column:
+    parts = int(SparkSession.active().conf.get("spark.sql.shuffle.partitions"))
+    return F.pmod(F.xxhash64(*cols), F.lit(max(SALTS, parts // 4))).cast("int")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,9 +109,9 @@ class Scratch:
 def totals(rows: DataFrame, key: str, by: str | Column, *aggs: tuple[str, Column, Column]) -> DataFrame:
     """Aggregates of each key, one row per key and salt that occurs.
 
-    aggs: (name, aggregate of rows, aggregate of those partial results). Rows of a key meet in SALTS
-    groups first, so no task gets all rows of a hot key, and `rows` joins the result on key and salt
-    with a hot key's rows spread over SALTS tasks. Rows need a column `salt` = salt(by).
+    aggs: (name, aggregate of rows, aggregate of those partial results). Rows of a key meet by salt
+    first, so no task gets all rows of a hot key, and `rows` joins the result on key and salt
+    with a hot key's rows spread over as many tasks as there are salts. Rows need a column `salt` = salt(by).
     """
     part = rows.groupBy(key, "salt").agg(*(first.alias(name) for name, first, _ in aggs))
     whole = part.groupBy(key).agg(*(then.alias(name) for name, _, then in aggs), F.collect_list("salt").alias("salts"))

@@ -686,7 +686,7 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     plain = pages.select("page_id", "url", host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    parts = plain.rdd.getNumPartitions()
+    parts = plain.rdd.getNumPartitions()  # known from the plan of a scan
     plain = plain.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(max(LEAST_SALTS, parts // 4))))
     kinds = dict(plain.dtypes)
 

@@ -206,7 +206,7 @@ def near_links(fps: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> Da
 
 def near_groups(rows: DataFrame, scratch: Scratch, least: Column, distance: int = DISTANCE, links: DataFrame | None = None) -> DataFrame:
     """rows (with fp) and `least`: the least value of the column `least` over all rows that links of at most `distance` bits reach, or those given."""
-    rows = scratch.settle(rows.withColumn("least", least).withColumn("salt", salt("least")), "rows")
+    rows = scratch.settle(rows.withColumn("least", least).withColumn("salt", salt("least", F.spark_partition_id())), "rows")
     nodes = totals(rows, "fp", "least", ("own", F.min("least"), F.min("own")))
     nodes = scratch.settle(nodes, "nodes")
     each = nodes.groupBy("fp").agg(F.first("own").alias("own"))
