@@ -391,7 +391,7 @@ def _spare(own: Node, out: list[Node], joined: list[tuple[Node, Node]], parent:
         out[-1].rep = True
         joined.append((out[-1], own))
         return
-    if any(k.sig == own.sig and _alike(k, own) for k in out):
+    if not parent.group and (len(out) >= KIDS or any(k.sig == own.sig and _alike(k, own) for k in out)):
         parent.group = True
     own.opt = True
     out.append(own)
