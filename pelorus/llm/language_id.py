@@ -25,6 +25,7 @@ MOST_WEIGHTS = 1 << 23
 #: Numbers in the blocks' transfer matrices that are held at a time.
 MOST_MOVES = 1 << 23
 LEXICON = 2000
+MEMO_WORDS = 300_000
 NGRAMS = (1, 2, 3, 4)
 BLOCK = 64
 UNKNOWN = "und"
@@ -286,7 +287,7 @@ class Labeller:
     def __init__(self, model: Crf):
         self.model = model
         self.clear()
-        self.memo = spans.Memo(self.add, self.clear, min(spans.MEMO_WORDS, 4 * MOST_MOVES // max(1, len(model.langs))))
+        self.memo = spans.Memo(self.add, self.clear, min(MEMO_WORDS, 4 * MOST_MOVES // max(1, len(model.langs))))
 
     def clear(self) -> None:
         self.scores = np.zeros((0, len(self.model.langs)), np.float32)
@@ -317,7 +318,7 @@ def identify(docs: DataFrame, model: Crf, segments: bool = False) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
-        for part in parts:
+        for part in spans.few(parts):
             ids, texts = part.column(0), part.column(1).to_pylist()
             for a, b in spans.batches(texts):
                 pred, score, runs = [UNKNOWN] * (b - a), np.zeros(b - a), [[] for _ in range(b - a)]
@@ -363,7 +364,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, column = Labeller(model), names.index("text")
-        for part in parts:
+        for part in spans.few(parts):
             texts = [t or "" for t in part.column(column).to_pylist()]
             good = np.zeros(len(texts), bool)
             for a, b in spans.batches(texts):

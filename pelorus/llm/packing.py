@@ -141,7 +141,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None) ->
         enc = byte_encoder(path)
         base, made = TaskContext.get().partitionId() * PER_PARTITION, 0
         pool: list[tuple] = []
-        for part in parts:
+        for part in spans.few(parts):
             ids_of, all_texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for a, b in spans.batches(all_texts):
                 ids, bounds = enc.encode(all_texts[a:b])

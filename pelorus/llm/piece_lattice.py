@@ -19,6 +19,8 @@ from pelorus.llm.common import table, texts
 
 MODEL = "piece_bpe_32k.model"
 BEST = 4
+#: A lattice costs more than other operators' words.
+MEMO_WORDS = 900_000
 MARK = "▁"
 #: Below the least score of a piece, for a code point without one (it becomes bytes).
 UNKNOWN_PENALTY = 10.0
@@ -171,7 +173,7 @@ class Encoder:
         self.pieces = pieces(path)
         self.ids = spans.Ragged()
         self.clear()
-        self.memo = spans.Memo(self.add, self.clear)
+        self.memo = spans.Memo(self.add, self.clear, MEMO_WORDS)
 
     def clear(self) -> None:
         self.ids.clear()
@@ -245,7 +247,7 @@ def encode(docs: DataFrame, model: str | None = None, best: int = BEST) -> DataF
 def _encoded(path: str, best: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for part in parts:
+        for part in spans.few(parts):
             all_texts = part.column(1).to_pylist()
             for a, b in spans.batches(all_texts):
                 found = list(enc.encode([enc.pieces.normalise(t) for t in all_texts[a:b]], best))

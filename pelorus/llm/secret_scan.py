@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pelorus.llm import spans
 from pelorus.llm.common import table
 
 THRESHOLD = 0.5
@@ -329,19 +330,17 @@ def scan(docs: DataFrame, forest: Forest | None = None, path: str | None = "sour
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for at in range(0, part.num_rows, 1000):
-                some = part.slice(at, 1000)
-                rows, out = [], []
-                for text, place in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
-                    found = scan_text(text, place, forest)
-                    rows.append([{"start": a, "end": b, "rule": RULES[rule], "score": s, "secret": s >= threshold} for a, b, rule, s in found])
-                    if redact and found:
-                        for a, b, _, s in reversed(found):
-                            if s >= threshold:
-                                text = text[:a] + REDACTED + text[b:]
-                    out.append(text)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, FOUND), pa.array(out, pa.string())], ["doc_id", "findings", "text"])
+        for some in spans.few(parts):
+            rows, out = [], []
+            for text, place in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
+                found = scan_text(text, place, forest)
+                rows.append([{"start": a, "end": b, "rule": RULES[rule], "score": s, "secret": s >= threshold} for a, b, rule, s in found])
+                if redact and found:
+                    for a, b, _, s in reversed(found):
+                        if s >= threshold:
+                            text = text[:a] + REDACTED + text[b:]
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, FOUND), pa.array(out, pa.string())], ["doc_id", "findings", "text"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), where.alias("path"))
     return plain.mapInArrow(run, "doc_id long, findings array<struct<start: long, end: long, rule: string, score: double, secret: boolean>>, text string")
@@ -370,7 +369,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     length_at = names.index("n_chars") if "n_chars" in names else -1
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in spans.few(parts):
             texts = part.column(text_at).to_pylist()
             paths = part.column(path_at).to_pylist() if path_at >= 0 else [""] * len(texts)
             length = part.column(length_at).to_pylist() if length_at >= 0 else []

@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: tuple[str, ...]
     """The key columns (long) and fp, the fingerprint as a signed long; a null text counts as empty."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in spans.few(parts):
             fp = np.array([simhash(t, shingle) for t in part.column(len(keys)).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array(fp)], [*keys, "fp"])
 

@@ -12,15 +12,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 
-#: Code points handled at a time; a longer text is handled alone.
-BATCH_CHARS = 2_000_000
+#: Code points handled at a time; a longer text is handled alone. Rows that are made Python objects at a time.
+BATCH_CHARS = 1_000_000
+BATCH_ROWS = 500
 #: Code points of the spans that are hashed and compared at a time; a longer span is handled alone.
 SLICE_CHARS = 1_000_000
-#: Distinct words a worker remembers, and their code points; with more it starts afresh at the next batch.
-MEMO_WORDS = 900_000
-MEMO_CHARS = 12_000_000
+#: Distinct words a worker remembers, and their code points for each; with more it starts afresh at the next batch.
+MEMO_WORDS = 500_000
+MEMO_CHARS = 14
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 ASCII_SPACE = np.array([32, 9, 10, 11, 12, 13])
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -66,6 +68,13 @@ def first_factors(seed: int) -> np.ndarray:
     return factors(np.arange(1 << 12), seed)
 
 
+def few(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, BATCH_ROWS at a time: as Python objects they take more memory than in Arrow."""
+    for part in parts:
+        for at in range(0, part.num_rows, BATCH_ROWS):
+            yield part.slice(at, BATCH_ROWS)
+
+
 def batches(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about `limit` code points, or one longer text."""
     start = size = 0
@@ -261,7 +270,7 @@ class Memo:
 
     def rows(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of each span of `text` (whose code points are cp, and none of which is empty): the row of its word."""
-        if len(self.letters.size) > self.limit or self.letters.used > MEMO_CHARS:
+        if len(self.letters.size) > self.limit or self.letters.used > MEMO_CHARS * self.limit:
             self._forget()
             self.clear()
         out = np.zeros(len(start), np.int64)

@@ -213,7 +213,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, prefixes: bool =
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
-        for part in parts:
+        for part in spans.few(parts):
             ids, all_texts = part.column(0), part.column(1).to_pylist()
             for a, b in spans.batches(all_texts):
                 end, total, (bounds, offset, extra) = counter.batch(all_texts[a:b])
