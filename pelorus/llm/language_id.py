@@ -177,6 +177,7 @@ def fit(chains: list[tuple[list[str], str]], epochs: int = 6, batch: int = 256,
         for w, n in sorted(seen[lang].items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             if n > 1:
                 lexicon.setdefault(w, []).append(number[lang])
+    seen.clear()
     labels = len(langs)
     hashed = FEATURES
     while hashed * labels > MOST_WEIGHTS and hashed > 1 << 10:
@@ -186,23 +187,26 @@ def fit(chains: list[tuple[list[str], str]], epochs: int = 6, batch: int = 256,
         return model
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(chains))
-    rows: list[tuple[list[str], list[int]]] = [(chains[i][0], [number[chains[i][1]]] * len(chains[i][0])) for i in order]
+    known: dict[str, int] = {}
+    ids_of = [np.array([known.setdefault(w, len(known)) for w in chains[i][0]], np.int32) for i in order]
+    rows = [(w, np.full(len(w), number[chains[i][1]], np.int32)) for i, w in zip(order, ids_of)]
     for i in range(0, len(rows) - 1, 4):
         (a, x), (b, y) = rows[i], rows[i + 1]
         p, q = len(a) // 2, len(b) // 2
-        rows[i], rows[i + 1] = (a[:p] + b[q:], x[:p] + y[q:]), (b[:q] + a[p:], y[:q] + x[p:])
-    rows = [r for r in rows if r[0]]
-    made = []
-    for words, y in rows:
-        ids, size = model.features(words)
-        made.append((ids.astype(np.int32), size, np.array(y)))
+        rows[i], rows[i + 1] = tuple(map(np.concatenate, ((a[:p], b[q:]), (x[:p], y[q:])))), tuple(map(np.concatenate, ((b[:q], a[p:]), (y[:q], x[p:]))))
+    rows = [r for r in rows if len(r[0])]
+    features, distinct = spans.Ragged(np.int32), list(known)
+    for at in range(0, len(distinct), 5000):  # of each distinct word, once
+        ids, size = model.features(distinct[at : at + 5000])
+        features.append(ids.astype(np.int32), size)
+    del known, distinct, ids_of
     params = [model.weights, model.transitions]
     mean, square, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
-        for at in range(0, len(made), batch):
-            part = made[at : at + batch]
-            ids, size = np.concatenate([m[0] for m in part]), np.concatenate([m[1] for m in part])
-            y, sizes = np.concatenate([m[2] for m in part]), np.array([len(m[1]) for m in part])
+        for at in range(0, len(rows), batch):
+            part = rows[at : at + batch]
+            words, y, sizes = np.concatenate([r[0] for r in part]), np.concatenate([r[1] for r in part]), np.array([len(r[0]) for r in part])
+            ids, size = features.gather(words), features.size[words]
             scores = np.add.reduceat(model.weights[ids], np.cumsum(size) - size, axis=0)
             wrong, moved = _gradient(model.transitions, scores, sizes, y)
             of_feature = np.repeat(wrong, size, axis=0)
@@ -278,7 +282,9 @@ def sample_chains(docs: DataFrame) -> list[tuple[list[str], str]]:
                 rows += [("", lang)] * (not len(start))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["words", "lang"])
 
-    return [(r.words.split(" ") if r.words else [], r.lang) for r in chosen.select("text", "lang").mapInArrow(cut, "words string, lang string").collect()]
+    known: dict[str, str] = {}  # equal words are one object
+    rows = chosen.select("text", "lang").mapInArrow(cut, "words string, lang string").collect()
+    return [([known.setdefault(w, w) for w in r.words.split(" ")] if r.words else [], r.lang) for r in rows]
 
 
 class Labeller:
