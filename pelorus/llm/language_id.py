@@ -68,7 +68,7 @@ class Crf:
         size = np.diff(starts)
         owner = np.repeat(np.arange(len(low)), size)
         left = np.arange(len(cp)) - starts[owner]
-        value = spans.char_values(5)[cp]
+        value = spans.char_values()[cp]
         ids, of = [], []
         rolled = np.zeros(len(cp), np.uint64)
         for n in range(1, max(NGRAMS) + 1):
@@ -298,6 +298,12 @@ class Labeller:
     def clear(self) -> None:
         self.scores = np.zeros((0, len(self.model.langs)), np.float32)
 
+    def close(self) -> None:
+        """Forget all words, at the end of a task."""
+        self.memo.forget()
+        self.clear()
+        spans.release()
+
     def add(self, words: list[str]) -> None:
         self.scores = np.concatenate([self.scores, self.model.emissions(words)])
 
@@ -346,6 +352,7 @@ def identify(docs: DataFrame, model: Crf, segments: bool = False) -> DataFrame:
                             runs[i] = [{"lang": model.langs[best[x]], "start": int(start[x]), "end": int(end[y - 1])} for x, y in zip(cut, [*cut[1:], e])]
                 cols = [ids.slice(a, b - a), pa.array(pred, pa.string()), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(runs, run_type)] * segments, ["doc_id", "lang_pred", "score", "segments"][: 3 + segments])
+        labeller.close()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
@@ -380,5 +387,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     mass = np.add.reduceat(post * (end - start)[:, None], first[has], axis=0)
                     good[a + has] = mass.max(axis=1) >= LEAST_SCORE * mass.sum(axis=1)
             yield part.filter(pa.array(good))
+        labeller.close()
 
     return docs.mapInArrow(keep, docs.schema)

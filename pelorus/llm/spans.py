@@ -7,6 +7,8 @@ of a batch once, not each occurrence, and words with one hash aren't taken for e
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
@@ -53,9 +55,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(4)
-def char_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 0x110001, dtype=np.uint64) * BASE + mix(np.array([seed], np.uint64)))
+@functools.cache
+def char_values() -> np.ndarray:
+    return mix(np.arange(1, 0x110001, dtype=np.uint64) * BASE)
 
 
 def factors(place: np.ndarray, seed: int) -> np.ndarray:
@@ -69,10 +71,17 @@ def first_factors(seed: int) -> np.ndarray:
 
 
 def few(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, BATCH_ROWS at a time: as Python objects they take more memory than in Arrow."""
+    """The same rows, BATCH_ROWS at a time: as Python objects they take more memory than in Arrow. After the last, memory is released."""
     for part in parts:
         for at in range(0, part.num_rows, BATCH_ROWS):
             yield part.slice(at, BATCH_ROWS)
+    release()
+
+
+def release() -> None:
+    """Give memory that isn't in use back to the system, where the C library can: the worker goes on to other stages."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def batches(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
@@ -115,11 +124,11 @@ def inside(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span (which must not be empty): the sum of its letters' values times the factors of their places.
 
-    Values and factors follow from the seed alone and have no structure, so two spans that weren't made
-    for the seed have one hash with a probability of about 2**-60.
+    Factors follow from the seed alone and have no structure, so two spans that weren't made for the seed
+    have one hash with a probability of about 2**-60.
     """
     out = np.zeros(len(start), np.uint64)
-    values, near = char_values(seed), first_factors(seed)
+    values, near = char_values(), first_factors(seed)
     for s in slices(start, end):
         place, within, first = inside(start[s], end[s])
         by = near[within] if (end[s] - start[s]).max() <= len(near) else factors(within, seed)
@@ -261,9 +270,9 @@ class Memo:
 
     def __init__(self, add: Callable[[list[str]], None], clear: Callable[[], None], limit: int = MEMO_WORDS):
         self.add, self.clear, self.limit = add, clear, limit
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.index = Slots()
         self.other: dict[str, int] = {}
         self.letters = Ragged()
@@ -271,7 +280,7 @@ class Memo:
     def rows(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of each span of `text` (whose code points are cp, and none of which is empty): the row of its word."""
         if len(self.letters.size) > self.limit or self.letters.used > MEMO_CHARS * self.limit:
-            self._forget()
+            self.forget()
             self.clear()
         out = np.zeros(len(start), np.int64)
         for s in slices(start, end):
