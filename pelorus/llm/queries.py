@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelorus.llm import exact_dedup, fingerprints, html_extract, language_id, packing, piece_lattice, secret_scan, simhash, substring_dedup, token_counts
+from pelorus.llm import exact_dedup, fingerprints, html_extract, language_id, packing, piece_lattice, secret_scan, sessions, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_piece_nbest": piece_lattice.op9_piece_nbest,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_gap_sessions": sessions.op11_gap_sessions,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op11_gap_sessions": sessions.OP11_SQL,
 }
