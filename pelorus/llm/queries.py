@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelorus.llm import exact_dedup, fingerprints, html_extract, language_id, packing, piece_lattice, secret_scan, sessions, simhash, substring_dedup, token_counts
+from pelorus.llm import exact_dedup, fingerprints, html_extract, language_id, linear_grouping, packing, periodic_runs, piece_lattice, secret_scan, sessions, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_piece_nbest": piece_lattice.op9_piece_nbest,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_gap_sessions": sessions.op11_gap_sessions,
+    "op12_fewest_sequences": linear_grouping.op12_fewest_sequences,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLE_SQL = {
