@@ -1,23 +1,23 @@
 """Gap sessionisation: an automaton over each client's events in order of time, as a Python UDTF.
 
-A client can have a third of all events, so a client's line of time is cut before the automaton runs: into
-hours, each of which belongs to the session that began in it. Where an hour's first session begins follows
-from the session that is open at its start; that one is found by aggregates of hours, and by doubling where
-hours have no pause and no final event. The automaton then takes PARTITION BY client, piece.
+The automaton takes TABLE PARTITION BY client ORDER BY ts, in batches of rows. A client can have a third of all
+events, so the line of time of a client with many is cut before: into hours, each of which takes the
+sessions that begin in it. Where an hour's first session begins follows from the session that is open at its
+start; that one is found by aggregates of hours, and by doubling where hours have no pause and no final event.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import Scratch, shuffles_removed, table
+from pelorus.llm.common import Scratch, table
 
 MINUTE = 60_000_000
 GAP, LENGTH, LATENESS = 10 * MINUTE, 40 * MINUTE, 360 * MINUTE
@@ -27,7 +27,12 @@ SLOT = 60 * MINUTE
 #: Slots that one window of the search for a slot's last piece holds.
 BLOCK = 64
 #: Codes of the automaton's rows; within a time they sort in this order.
-CLICK, LATE, TOO_LONG, NO_MORE = 0, 1, 2, 3
+CLICK, LATE, TOO_LONG, PAUSE = 0, 1, 2, 3
+#: A client with more than one in so many rows is cut into pieces.
+HEAVY_SHARE = 512
+#: Sessions that the automaton holds before it hands them on.
+EMIT = 10_000
+FED = "client_id us code click_id final cents".split()
 SCHEMA = "client_id long, session_id long, start_us long, end_us long, n_clicks long, n_late long, value_cents long, closed_by string, path_sha256 string"
 
 
@@ -38,24 +43,24 @@ def micros(name: str) -> Column:
     return whole * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
 
 
-def events(clicks: DataFrame, slot_us: int = SLOT, lateness_us: int = LATENESS) -> DataFrame:
-    """client_id, slot, us, late, click_id, final, cents: one row for each click_id that has a client and a ts.
+def events(clicks: DataFrame, lateness_us: int = LATENESS) -> DataFrame:
+    """client_id, us, late, click_id, final, cents: one row for each click_id that has a client and a ts.
 
     Rows without a click_id can't be told apart and are left out. Of rows of one click_id that differ, the
     least in (us, client_id, arrived_at, kind, value) counts. A null arrived_at isn't late; a null kind or value isn't
-    final; a value that isn't a number is worth nothing.
+    final; NaN counts as null, and null is worth nothing.
     """
-    value = F.col("value").cast("double")
+    value = F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double"))
     rows = clicks.where("click_id IS NOT NULL AND ts IS NOT NULL AND client_id IS NOT NULL").select(
         F.col("click_id").cast("long").alias("click_id"), F.col("client_id").cast("long").alias("client_id"), micros("ts").alias("us"),
         F.when(F.col("arrived_at").isNotNull(), micros("arrived_at")).alias("arrived"),
         F.coalesce((F.col("kind") == FINAL_KIND) & (value >= FINAL_VALUE), F.lit(False)).alias("final"),
-        F.when(value.isNull() | F.isnan(value), 0).otherwise(F.floor(value * 100 + 0.5)).alias("cents"),
+        F.when(value.isNull(), 0).otherwise(F.floor(value * 100 + 0.5)).alias("cents"),
     )
     least = Window.partitionBy("click_id").orderBy("us", "client_id", "arrived", "final", "cents")
     rows = rows.withColumn("nth", F.row_number().over(least)).where("nth = 1")
     late = F.coalesce(F.col("arrived") - F.col("us") > lateness_us, F.lit(False))
-    return rows.select("client_id", ((F.col("us") - F.pmod("us", F.lit(slot_us))) / slot_us).cast("long").alias("slot"), "us", late.alias("late"), "click_id", "final", "cents")
+    return rows.select("client_id", "us", late.alias("late"), "click_id", "final", "cents")
 
 
 def _chase(frame: pd.DataFrame, length_us: int) -> pd.DataFrame:
@@ -113,30 +118,34 @@ def piece_before(slots: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 class Automaton:
-    """Takes one piece's rows by time: clicks, late clicks after clicks of their time, and at the end what follows the piece."""
+    """Takes a client's rows, or one piece's, by time: clicks, late clicks after clicks of their time, and what follows a piece."""
 
     gap_us, length_us = GAP, LENGTH
 
     def __init__(self):
         self.first = self.last = None
         self.final = False
-
-    def eval(self, row) -> Iterator[tuple]:
-        client, _, us, code, click, final, cents = row
-        if code == LATE:
-            self.late += 1
+        self.made: list[tuple] = []
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        for row in zip(*(rows.column(c).to_pylist() for c in FED)):
+            self.advance(*row)
+        if len(self.made) >= EMIT:
+            yield self.emit()
+
+    def advance(self, client: int, us: int, code: int, click: int, final: bool, cents: int) -> None:
+        if code:
+            if self.first is not None:
+                if code == LATE:
+                    self.late += 1
+                else:
+                    self.close("length" if code == TOO_LONG else "gap")
             return
         if self.first is not None:
-            if code >= TOO_LONG:
-                yield self.close("length" if code == TOO_LONG else "none")
-                self.first = None
-                return
             if self.final or us - self.last >= self.gap_us:
-                yield self.close("gap")
-                self.first = None
+                self.close("gap")
             elif us - self.first > self.length_us:
-                yield self.close("length")
-                self.first = None
+                self.close("length")
         if self.first is None:
             self.client, self.session, self.first = client, click, us
             self.clicks = self.late = self.cents = 0
@@ -147,27 +156,26 @@ class Automaton:
         self.clicks += 1
         self.cents += cents
 
-    def terminate(self) -> Iterator[tuple]:
-        if self.first is not None:
-            yield self.close("gap")
+    def close(self, by: str) -> None:
+        by = "end" if self.final else by
+        self.made.append((self.client, self.session, self.first, self.last, self.clicks, self.late, self.cents, by, self.path.hexdigest()))
+        self.first = None
 
-    def close(self, by: str) -> tuple:
-        return self.client, self.session, self.first, self.last, self.clicks, self.late, self.cents, "end" if self.final else by, self.path.hexdigest()
+    def emit(self) -> pa.Table:
+        made, self.made = self.made, []
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        return pa.table([pa.array(c, pa.int64() if k < 7 else pa.string()) for k, c in enumerate(zip(*made))], names)
 
+    def terminate(self) -> Iterator[pa.Table]:
+        if self.first is not None:
+            self.close("none")
+        if self.made:
+            yield self.emit()
 
-def sessions(clicks: DataFrame, scratch: Scratch, gap_us: int = GAP, length_us: int = LENGTH, lateness_us: int = LATENESS) -> DataFrame:
-    """Sessions of each client's clicks (click_id, ts, arrived_at, client_id, kind, value).
 
-    Times are compared in microseconds. A click that arrives more than lateness_us after its ts is late and
-    is counted by the session that it falls into, or by none before the client's first. The others, by ts and
-    click_id, continue the session unless the one before is final (`end`) or gap_us or more earlier (`gap`), or the
-    session's first is more than length_us earlier (`length`). Repeated rows count once; see `events` for nulls and
-    for copies that differ. An empty table, or a client with late clicks alone, gives no sessions. Other columns don't matter.
-    """
-    spark = clicks.sparkSession
-    slot_us = max(SLOT, gap_us + length_us)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = bucketed(events(clicks, slot_us, lateness_us), scratch, buckets)
+def pieces_of(rows: DataFrame, scratch: Scratch, slot_us: int, gap_us: int, length_us: int) -> DataFrame:
+    """The automaton's rows for clients with many events, cut where a slot's first session begins."""
+    rows = scratch.settle(rows.withColumn("slot", ((F.col("us") - F.pmod("us", F.lit(slot_us))) / slot_us).cast("long")), "heavy")
     timely = rows.where("NOT late").drop("late")
     order = Window.partitionBy("client_id", "slot").orderBy("us", "click_id")
 
@@ -199,26 +207,40 @@ def sessions(clicks: DataFrame, scratch: Scratch, gap_us: int = GAP, length_us:
     none = [F.lit(False).alias("final"), F.lit(0).cast("long").alias("cents")]
     as_late = lambda df, piece: df.select("client_id", piece, "us", F.lit(LATE).alias("code"), "click_id", *none)
     before = piece_before(asked.select("client_id", "slot").distinct(), pieces)
-    last = pieces.groupBy("client_id").agg(F.max("slot").alias("piece"), F.max("us").alias("us"))
-    feed = (
+    last = pieces.groupBy("client_id").agg(F.max("slot").alias("slot")).withColumn("last", F.lit(True))
+    cut_short = pieces.where("NOT sure").select("client_id", (F.col("slot") - 1).alias("slot"), F.col("us").alias("next_us"))
+    follows = pieces.select("client_id", "slot").join(last, ["client_id", "slot"], "left_anti").join(cut_short, ["client_id", "slot"], "left")
+    follows = follows.select("client_id", "slot", F.coalesce("next_us", F.lit((1 << 63) - 1)), F.when(F.col("next_us").isNull(), PAUSE).otherwise(TOO_LONG), F.lit(0).cast("long"), *none)
+    return (
         dealt.select("client_id", "piece", "us", "code", "click_id", "final", "cents")
         .union(as_late(late.where(inside), F.col("slot").alias("piece")))
         .union(as_late(asked.join(before, ["client_id", "slot"]), F.col("piece")))
-        .union(pieces.where("NOT sure").select("client_id", F.col("slot") - 1, "us", F.lit(TOO_LONG), F.lit(0).cast("long"), *none))
-        .union(last.select("client_id", "piece", F.lit((1 << 63) - 1), F.lit(NO_MORE), F.lit(0).cast("long"), *none))
+        .union(follows)
     )
-    made = F.udtf(type("Sessions", (Automaton,), {"gap_us": gap_us, "length_us": length_us}), returnType=SCHEMA)
-    return made(feed.asTable().partitionBy("client_id", "piece").orderBy("us", "code", "click_id"))
 
 
-def bucketed(rows: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
-    """rows as a table bucketed by client_id and slot: what follows groups by them without a shuffle."""
-    spark, known = rows.sparkSession, f"pelorus_{uuid.uuid4().hex}"
-    with shuffles_removed(spark):
-        rows.repartition(buckets, "client_id", "slot").write.bucketBy(buckets, "client_id", "slot").option("path", f"{scratch.root}/rows").saveAsTable(known)
-    made = spark.table(known)
-    spark.sql(f"DROP TABLE {known}")
-    return made
+def sessions(clicks: DataFrame, scratch: Scratch, gap_us: int = GAP, length_us: int = LENGTH, lateness_us: int = LATENESS, heavy_share: int = HEAVY_SHARE) -> DataFrame:
+    """Sessions of each client's clicks (click_id, ts, arrived_at, client_id, kind, value).
+
+    Times are compared in microseconds. A click that arrives more than lateness_us after its ts is late and
+    is counted by the session that it falls into, or by none before the client's first. The others, by ts and
+    click_id, continue the session unless the one before is final (`end`) or gap_us or more earlier (`gap`), or the
+    session's first is more than length_us earlier (`length`). Repeated rows count once; see `events` for nulls and
+    for copies that differ. An empty table, or a client with late clicks alone, gives no sessions. Other columns don't matter.
+
+    A client with more than 1 / heavy_share of all rows (there are fewer than heavy_share of these, so their list
+    is broadcast) is dealt out by pieces, any other is one partition of the automaton's table.
+    """
+    rows = scratch.settle(events(clicks, lateness_us), "rows")
+    counts = scratch.settle(rows.groupBy("client_id").agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(counts.where(F.col("n") * heavy_share > total).select("client_id"))
+    light = rows.join(heavy, "client_id", "left_anti")
+    feed = light.select("client_id", F.lit(None).cast("long").alias("piece"), "us", F.when(F.col("late"), LATE).otherwise(CLICK).alias("code"), "click_id", "final", "cents")
+    feed = feed.union(pieces_of(rows.join(heavy, "client_id", "left_semi"), scratch, max(SLOT, gap_us + length_us), gap_us, length_us))
+    made = F.arrow_udtf(type("Sessions", (Automaton,), {"gap_us": gap_us, "length_us": length_us}), returnType=SCHEMA)
+    keyed = feed.select(F.concat_ws("/", "client_id", "piece").alias("part"), *FED)
+    return made(keyed.asTable().partitionBy("part").orderBy("us", "code", "click_id"))
 
 
 def op11_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +251,8 @@ def op11_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = """
 WITH RECURSIVE x AS (
   SELECT click_id, client_id, epoch_us(ts) AS us, coalesce(epoch_us(arrived_at) - epoch_us(ts) > 21600000000, false) AS late,
-    coalesce(kind = 'error' AND value >= 60, false) AS final, coalesce(CAST(floor(value * 100 + 0.5) AS BIGINT), 0) AS cents
+    coalesce(kind = 'error' AND value >= 60 AND NOT isnan(value), false) AS final,
+    CASE WHEN value IS NULL OR isnan(value) THEN 0 ELSE CAST(floor(value * 100 + 0.5) AS BIGINT) END AS cents
   FROM clicks WHERE click_id IS NOT NULL AND ts IS NOT NULL AND client_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY ts, client_id, arrived_at NULLS FIRST, kind NULLS FIRST, value NULLS FIRST) = 1
 ), t AS (
