@@ -75,7 +75,7 @@ def _chase(frame: pd.DataFrame, length_us: int) -> pd.DataFrame:
     return pd.DataFrame({"client_id": frame.client_id.iloc[0], "slot": frame.slot.iloc[0], "first": start, "then": open_now})
 
 
-def entries(marked: DataFrame, scratch: Scratch, length_us: int) -> DataFrame:
+def entries(lined: DataFrame, links: DataFrame, scratch: Scratch, gap_us: int, length_us: int) -> DataFrame:
     """client_id, slot, entry: the first time of the session open at the start of each slot that continues the one before it.
 
     Within a slot all follows from its last sure start. Slots without one map the session open at their start to
@@ -83,7 +83,9 @@ def entries(marked: DataFrame, scratch: Scratch, length_us: int) -> DataFrame:
     log2(n) rounds.
     """
     on = F.lit(length_us)
-    open_slots = marked.where("continued").groupBy("client_id", "slot").agg(F.sort_array(F.collect_list("us")).alias("times"), F.max(F.when(F.col("sure"), F.col("us"))).alias("sure_us"))
+    inner = F.col("before").isNotNull() & (F.col("was_final") | (F.col("us") - F.col("before") >= gap_us))
+    slots = lined.groupBy("client_id", "slot").agg(F.sort_array(F.collect_list("us")).alias("times"), F.max(F.when(inner, F.col("us"))).alias("sure_us"))
+    open_slots = slots.join(links.where("continued"), ["client_id", "slot"]).withColumn("sure_us", F.coalesce("sure_us", F.when(F.col("linked").isNull(), F.get("times", F.lit(0)))))
     last = F.aggregate(F.filter("times", lambda x: x > F.col("sure_us")), F.col("sure_us"), lambda first, x: F.when(x > first + on, x).otherwise(first))
     slots = scratch.settle(open_slots.select("client_id", "slot", "times", F.when(F.col("sure_us").isNotNull(), last).alias("then")), "open")
     known = slots.where("then IS NOT NULL").select("client_id", "slot", "then")
@@ -188,12 +190,15 @@ def pieces_of(rows: DataFrame, scratch: Scratch, slot_us: int, gap_us: int, leng
     linked = scratch.settle(linked, "linked")
     links = linked.withColumn("linked", F.lit(True)).join(linked.select("client_id", (F.col("slot") - 1).alias("slot"), F.lit(True).alias("continued")), ["client_id", "slot"], "full")
 
+    entry = entries(lined, links, scratch, gap_us, length_us)
+    # what is known of a slot goes along as its first row
+    notes = linked.join(entry, ["client_id", "slot"], "left").select("client_id", "slot", F.lit(-(1 << 63)).alias("us"), F.lit(0).cast("long").alias("click_id"), F.lit(True).alias("note"), "entry")
+    noted = timely.unionByName(notes, allowMissingColumns=True)
+    of_slot = Window.partitionBy("client_id", "slot")
+    noted = noted.withColumns({"before": F.when(F.lag("note").over(order).isNull(), F.lag("us").over(order)), "was_final": F.lag("final").over(order), "linked": F.max("note").over(of_slot), "entry": F.max("entry").over(of_slot)})
     sure = F.when(F.col("before").isNull(), F.col("linked").isNull()).otherwise(F.col("was_final") | (F.col("us") - F.col("before") >= gap_us))
-    marked = lined.join(links, ["client_id", "slot"], "left").withColumn("sure", sure)
-    entry = entries(marked, scratch, length_us)
-
-    starts = F.col("sure") | F.coalesce(F.col("us") > F.col("entry") + length_us, F.lit(False))
-    dealt = marked.join(entry, ["client_id", "slot"], "left").withColumn("starts", starts)
+    marked = noted.where("note IS NULL").withColumn("sure", sure)
+    dealt = marked.withColumn("starts", F.col("sure") | F.coalesce(F.col("us") > F.col("entry") + length_us, F.lit(False)))
     begun = F.max("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))
     dealt = dealt.withColumn("begun", begun).withColumn("cut", F.col("begun") & ~F.coalesce(F.lag("begun").over(order), F.lit(False)))
     dealt = dealt.select("client_id", (F.col("slot") - F.when(F.col("begun"), 0).otherwise(1)).alias("piece"), "us", F.lit(CLICK).alias("code"), "click_id", "final", "cents", "slot", "cut", "sure")
@@ -228,16 +233,15 @@ def sessions(clicks: DataFrame, scratch: Scratch, gap_us: int = GAP, length_us:
     session's first is more than length_us earlier (`length`). Repeated rows count once; see `events` for nulls and
     for copies that differ. An empty table, or a client with late clicks alone, gives no sessions. Other columns don't matter.
 
-    A client with more than 1 / heavy_share of all rows (there are fewer than heavy_share of these, so their list
-    is broadcast) is dealt out by pieces, any other is one partition of the automaton's table.
+    A client with more than 1 / heavy_share of all rows (there are fewer than heavy_share of these, and the driver
+    gets their ids) is dealt out by pieces, any other is one partition of the automaton's table.
     """
     rows = scratch.settle(events(clicks, lateness_us), "rows")
     counts = scratch.settle(rows.groupBy("client_id").agg(F.count("*").alias("n")), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = F.broadcast(counts.where(F.col("n") * heavy_share > total).select("client_id"))
-    light = rows.join(heavy, "client_id", "left_anti")
-    feed = light.select("client_id", F.lit(None).cast("long").alias("piece"), "us", F.when(F.col("late"), LATE).otherwise(CLICK).alias("code"), "click_id", "final", "cents")
-    feed = feed.union(pieces_of(rows.join(heavy, "client_id", "left_semi"), scratch, max(SLOT, gap_us + length_us), gap_us, length_us))
+    heavy = F.col("client_id").isin([r.client_id for r in counts.where(F.col("n") * heavy_share > total).collect()])
+    feed = rows.where(~heavy).select("client_id", F.lit(None).cast("long").alias("piece"), "us", F.when(F.col("late"), LATE).otherwise(CLICK).alias("code"), "click_id", "final", "cents")
+    feed = feed.union(pieces_of(rows.where(heavy), scratch, max(SLOT, gap_us + length_us), gap_us, length_us))
     made = F.arrow_udtf(type("Sessions", (Automaton,), {"gap_us": gap_us, "length_us": length_us}), returnType=SCHEMA)
     keyed = feed.select(F.concat_ws("/", "client_id", "piece").alias("part"), *FED)
     return made(keyed.asTable().partitionBy("part").orderBy("us", "code", "click_id"))

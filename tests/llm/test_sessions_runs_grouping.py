@@ -143,7 +143,7 @@ def test_plan_does_not_grow_with_counts():
     counts = dict(collections.Counter(r.randrange(1, 2049) for _ in range(5000)))
     small, large = (linear_grouping.plan({k: v * m for k, v in counts.items()}) for m in (1, 10**9))
     assert len(large) < 4 * len(small) and sum(x.length * x.count for x in large) == 10**9 * sum(k * v for k, v in counts.items())
-    assert max(x.sequence + x.count for x in large) <= 1.002 * sum(k * v for k, v in counts.items()) * 10**9 / 2048
+    assert max(x.sequence + x.count for x in large) <= 1.01 * sum(k * v for k, v in counts.items()) * 10**9 / 2048
 
 
 def test_linear_program_is_optimal():
