@@ -44,6 +44,11 @@ def cuts(df: DataFrame, columns: Sequence[str], n: int = 128) -> list[list[float
     return [sorted(set(x or [])) for x in row]
 
 
+def bucket_count(df: DataFrame) -> int:
+    """So many buckets that each has about CHUNK rows, and 8 at least."""
+    return max(8, -(-df.count() // CHUNK))
+
+
 def place(value: Column, bounds: Sequence[float]) -> Column:
     """Twice the number of bounds below value, one more if it is a bound: odd buckets hold a single value."""
     if not bounds:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pelorus.functions import resampling
 from pelorus.functions.metrics import running
 
 
@@ -40,8 +41,17 @@ def block_length(x: np.ndarray, max_lag: int | None = None) -> int:
     n = len(x)
     if n < 8:
         raise ValueError(f"a block length needs 8 values or more, not {n}")
-    most = max(1, max_lag or min(n // 4, max(8, math.ceil(8 * math.log10(n)))))
-    cov = autocovariance(x, most)
+    return block_of_covariance(autocovariance(x, max_lag or most_lags(n)), n)
+
+
+def most_lags(n: int) -> int:
+    return max(1, min(n // 4, max(8, math.ceil(8 * math.log10(n)))))
+
+
+def block_of_covariance(cov: np.ndarray, n: int) -> int:
+    """The length from autocovariances of lags 0, 1, ... (those beyond most_lags(n) don't count) and the number of values."""
+    cov = cov[: most_lags(n) + 1]
+    most = len(cov) - 1
     plain = max(1, math.ceil(n ** (1 / 3)))
     if cov[0] <= 0:
         return plain
@@ -164,22 +174,13 @@ def calibration_intervals(trace: DataFrame, by: str, order: str, block: int = 20
     return {name: [float(q) for q in np.quantile(v, [tail, 1 - tail])] for name, v in found.items() if v}
 
 
-def grouped_bootstrap(df: DataFrame, by: str, value: str, order: str, metric: Callable[[np.ndarray], float], n: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """Bootstrap interval of a metric for each group, groups side by side; groups of fewer than 8 rows have no interval."""
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values(order)[value].to_numpy(float)
-        if len(x) < 8:
-            return pd.DataFrame({by: [key[0]], "point": [metric(x)], "lo": [np.nan], "hi": [np.nan]})
-        length = block_length(x)
-        got = np.array([metric(x[stationary_indices(len(x), length, np.random.default_rng([seed, b]))]) for b in range(n)])
-        got = got[np.isfinite(got)]
-        tail = (1 - confidence) / 2
-        lo, hi = np.quantile(got, [tail, 1 - tail]) if len(got) else (np.nan, np.nan)
-        return pd.DataFrame({by: [key[0]], "point": [metric(x)], "lo": [lo], "hi": [hi]})
+def grouped_bootstrap(df: DataFrame, by: str, value: str, order: str, metric: str, n: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """point, lo, hi of a metric (mean, sharpe, sortino, max_drawdown) of each group by n stationary resamples, over many tasks (see `resampling`).
 
-    kind = dict(df.dtypes)[by]
-    return df.select(by, value, order).groupBy(by).applyInPandas(run, f"{by} {kind}, point double, lo double, hi double")
+    Groups of fewer than 8 rows have no interval; a null group is one like others.
+    """
+    made = resampling.samples(df, by, value, order, metric, n, seed)
+    return resampling.named(resampling.intervals(made, confidence), by, "point", "lo", "hi")
 
 
 def stratified_pr_auc(y: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> float:
@@ -239,10 +240,11 @@ def uniqueness(trades: DataFrame, width: int = 64) -> DataFrame:
     return out.select("trade_id", ((F.col("s_b") - F.col("s_a")) / (F.col("b") - F.col("a"))).alias("uniqueness"))
 
 
-def sequential_indices(weight: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """Draws with probability in proportion to average uniqueness."""
-    total = weight.sum()
-    return rng.choice(len(weight), n, p=weight / total if total > 0 else None)
+def sequential_bootstrap(trades: DataFrame, by: str, value: str, metric: str, n: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """point, lo, hi of a metric of each group's trades (trade_id, n_open, n_close), drawn in proportion to their average uniqueness."""
+    weighed = trades.join(uniqueness(trades), "trade_id", "left")
+    made = resampling.weighted_samples(weighed, by, value, "uniqueness", "trade_id", metric, n, seed)
+    return resampling.named(resampling.intervals(made, confidence), by, "point", "lo", "hi")
 
 
 def cscv_pbo(returns: DataFrame, n_chunks: int = 16, eps: float = 1e-12) -> DataFrame:

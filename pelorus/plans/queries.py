@@ -6,11 +6,10 @@ import dataclasses
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pelorus.functions import kernels, metrics, scalars, stats
+from pelorus.functions import kernels, metrics, resampling, scalars, stats
 from pelorus.operators import bars as B
 from pelorus.operators import broker, controller, features, labels, offline, regime, simulate
 from pelorus.plans import search
@@ -655,10 +654,22 @@ def autocovariance(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    out = stats.grouped_bootstrap(X.trades(spark, d), "series", "pnl", "idx", stats.sharpe, SHARPE_RESAMPLES)
+    out = stats.grouped_bootstrap(X.trades(spark, d), "series", "pnl", "idx", "sharpe", SHARPE_RESAMPLES)
     return rounded(out, "point", "lo", "hi")
 
 
+@query()
+def drawdown_ci(spark, d):
+    out = stats.grouped_bootstrap(X.trades(spark, d), "series", "pnl", "idx", "max_drawdown", RESAMPLES)
+    return rounded(out, "point", "lo", "hi")
+
+
+@query()
+def sequential_ci(spark, d):
+    iv = X.intervals(spark, d).join(X.trades(spark, d).select(F.col("idx").alias("trade_id"), "series", "pnl"), "trade_id")
+    return rounded(stats.sequential_bootstrap(iv, "series", "pnl", "sharpe", RESAMPLES), "point", "lo", "hi")
+
+
 @query(
     """SELECT l_suppkey AS supplier, count(*) AS n, round(avg(l_extendedprice / l_quantity), 8) AS mean_price, round(max(l_extendedprice / l_quantity), 8) AS high, round(min(l_extendedprice / l_quantity), 8) AS low,
     round(arg_max(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_partkey)), 8) AS last_price FROM lineitem GROUP BY 1"""
@@ -797,15 +808,10 @@ def precision_at_gate(spark, d):
 @query()
 def brier_intervals(spark, d):
     p = X.predictions(spark, d).withColumn("se", metrics.squared_error())
-    return rounded(stats.grouped_bootstrap(p, "regime", "se", "idx", np.mean, RESAMPLES), "point", "lo", "hi")
+    return rounded(stats.grouped_bootstrap(p, "regime", "se", "idx", "mean", RESAMPLES), "point", "lo", "hi")
 
 
 @query()
 def pr_auc_intervals(spark, d):
-    def resample(key, part):
-        y, p = part["y"].to_numpy(), part["p"].to_numpy()
-        got = [stats.stratified_pr_auc(y, p, np.random.default_rng([42, b])) for b in range(RESAMPLES)] if 0 < y.sum() < len(y) else [np.nan]
-        lo, hi = np.quantile(got, [0.025, 0.975])
-        return pd.DataFrame({"regime": [key[0]], "lo": [lo], "hi": [hi]})
-
-    return rounded(X.predictions(spark, d).groupBy("regime").applyInPandas(resample, "regime int, lo double, hi double"), "lo", "hi")
+    made = resampling.pr_auc_samples(X.predictions(spark, d), "regime", RESAMPLES)
+    return rounded(resampling.named(resampling.intervals(made), "regime", "point", "lo", "hi"), "point", "lo", "hi")

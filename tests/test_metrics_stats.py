@@ -213,16 +213,21 @@ def test_sharpe_interval(spark):
 
 
 def test_intervals_are_of_all_resamples(spark, data):
-    from pelorus.functions import metrics
+    from pelorus.functions import metrics, resampling
     from pelorus.plans import queries
     from pelorus.sources import fixtures
 
-    p = fixtures.predictions(spark, data).withColumn("se", metrics.squared_error())
-    for name, rows, key, value, stat, n in (("bootstrap_ci", fixtures.trades(spark, data), "series", "pnl", stats.sharpe, 5000), ("brier_intervals", p, "regime", "se", np.mean, 1000)):
-        want = {r[key]: r.lo for r in stats.grouped_bootstrap(rows, key, value, "idx", stat, n).collect()}
-        got = {r[key]: r.lo for r in queries.QUERIES[name](spark, data).collect()}
-        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-6) for k in want)
+    p = fixtures.predictions(spark, data).withColumn("se", metrics.squared_error()).toPandas()
+    t = fixtures.trades(spark, data).toPandas()
+    for name, rows, key, value, stat, n in (("bootstrap_ci", t, "series", "pnl", stats.sharpe, 5000), ("drawdown_ci", t, "series", "pnl", stats.max_drawdown, 1000), ("brier_intervals", p, "regime", "se", np.mean, 1000)):
+        got = {r[key]: (r.point, r.lo, r.hi) for r in queries.QUERIES[name](spark, data).collect()}
+        assert got.keys() == set(rows[key])
+        for k, part in rows.groupby(key):
+            x = part.sort_values("idx")[value].to_numpy()
+            if len(x) >= 8:
+                draws = [stat(x[resampling.indices(len(x), stats.block_length(x), 42, b)]) for b in range(n)]
+                assert np.allclose(got[k], [stat(x), *np.quantile(draws, [0.025, 0.975])], atol=2e-6)
     got = {r.regime: (r.lo, r.hi) for r in queries.QUERIES["pr_auc_intervals"](spark, data).collect()}
-    part = p.where("regime = 1").toPandas()
+    part = p[p.regime == 1]
     draws = [stats.stratified_pr_auc(part["y"].to_numpy(), part["p"].to_numpy(), np.random.default_rng([42, b])) for b in range(1000)]
     assert np.allclose(got[1], np.quantile(draws, [0.025, 0.975]), atol=0.01)
