@@ -1,53 +1,72 @@
-"""The offline model: gradient-boosted trees over several seeds, frozen and scored as one ensemble."""
+"""The offline model: gradient-boosted symmetric trees over several seeds, frozen and scored as one ensemble."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import dataclasses
+import json
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.pipeline import Pipeline
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pelorus.operators import boosting
+from pelorus.operators.boosting import Params, Tree
 
-def fit(train: DataFrame, names: Sequence[str], seeds: Sequence[int] = (42, 43, 44), weight: str | None = None, validation: str | None = None, iterations: int = 20, depth: int = 4, rate: float = 0.1) -> list[PipelineModel]:
-    """One model for each seed, on rows with a label. validation: a boolean column of rows to stop early by."""
-    rows = train.where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("double"))
-    out = []
-    for seed in seeds:
-        gbt = GBTClassifier(featuresCol="__x", labelCol="label", maxIter=iterations, maxDepth=depth, stepSize=rate, seed=seed, subsamplingRate=0.8)
-        if weight:
-            gbt = gbt.setWeightCol(weight)
-        if validation:
-            gbt = gbt.setValidationIndicatorCol(validation)
-        fill = [f"__f_{n}" for n in names]
-        stages = [Imputer(inputCols=list(names), outputCols=fill, strategy="median"), VectorAssembler(inputCols=fill, outputCol="__x"), gbt]
-        out.append(Pipeline(stages=stages).fit(rows))
-    return out
 
+@dataclasses.dataclass
+class Member:
+    """One seed's model: columns, their borders, the first score, trees."""
+
+    names: list[str]
+    borders: list[list[float]]
+    base: float
+    trees: list[Tree]
+
+
+def fit(train: DataFrame, names: Sequence[str], seeds: Sequence[int] = (42, 43, 44), weight: str | None = None, validation: str | None = None, params: Params = Params(), rows: int | None = None) -> list[Member]:
+    """One model for each seed, on rows with a label. validation: a boolean column of rows to stop early by, which then aren't learned from.
+
+    Nulls and NaN are a bin of their own, below all values. Rows beyond `rows` (boosting.ROWS) are fitted in blocks.
+    """
+    cuts, base, trees = boosting.fit(train, names, seeds, weight, validation, params, rows)
+    return [Member(list(names), cuts, base, trees[s]) for s in seeds]
 
-def score(df: DataFrame, models: Sequence[PipelineModel]) -> DataFrame:
+
+def score(df: DataFrame, models: Sequence[Member]) -> DataFrame:
     """p_offline: mean over the members; sigma_ve: their population standard deviation, 0 for one member."""
-    keep = df.columns
-    for i, model in enumerate(models):
-        df = model.transform(df).withColumn(f"__p{i}", vector_to_array("probability")[1])
-        df = df.select(*keep, *(f"__p{k}" for k in range(i + 1)))
-    ps = [F.col(f"__p{i}") for i in range(len(models))]
-    mean = sum(ps[1:], ps[0]) / len(ps)
-    spread = F.sqrt(sum(((p - mean) * (p - mean) for p in ps[1:]), (ps[0] - mean) * (ps[0] - mean)) / len(ps))
-    return df.select(*keep, mean.alias("p_offline"), spread.alias("sigma_ve"))
+    names = sorted({n for m in models for n in m.names})
+    at = {n: i for i, n in enumerate(names)}
+    sent = df.sparkSession.sparkContext.broadcast(list(models))  # a model's size follows from its parameters
+    out = T.StructType([*df.schema.fields, T.StructField("p_offline", T.DoubleType()), T.StructField("sigma_ve", T.DoubleType())])
+    inputs = df.withColumn("__x", F.array(*(F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")) for n in names)))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            x = part.column(part.num_columns - 1)
+            values = x.values.to_numpy(zero_copy_only=False).astype(float)[x.offset * len(names) : (x.offset + len(x)) * len(names)].reshape(-1, len(names)).T
+            ps = np.array([boosting.sigmoid(boosting.margins([values[at[n]] for n in m.names], m.borders, m.base, m.trees)) for m in sent.value]).reshape(len(sent.value), -1)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ps.mean(axis=0)), pa.array(ps.std(axis=0))], [f.name for f in out.fields])
+
+    return inputs.mapInArrow(run, out)
 
 
-def save(models: Sequence[PipelineModel], path: str) -> None:
-    for i, m in enumerate(models):
-        m.write().overwrite().save(f"{path}/member{i}")
+def save(models: Sequence[Member], path: str) -> None:
+    """A file of JSON for each member, through Spark's file systems."""
+    spark = SparkSession.active()
+    rows = [(i, json.dumps(dataclasses.asdict(m))) for i, m in enumerate(models)]
+    for i, text in rows:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/member{i}")
 
 
-def load(spark: SparkSession, path: str, n: int) -> list[PipelineModel]:
-    return [PipelineModel.load(f"{path}/member{i}") for i in range(n)]
+def load(spark: SparkSession, path: str, n: int) -> list[Member]:
+    out = []
+    for i in range(n):
+        got = json.loads(spark.read.text(f"{path}/member{i}").first().value)
+        out.append(Member(got["names"], got["borders"], got["base"], [Tree(**t) for t in got["trees"]]))
+    return out
 
 
 def evaluate(df: DataFrame, label: str = "label", p: str = "p_offline") -> DataFrame:

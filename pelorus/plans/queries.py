@@ -743,8 +743,9 @@ def online_forest_trace(spark, d):
 @query()
 def offline_model(spark, d):
     df = labels.chronological_split(labels.labels(_decision_bars(spark, d)))
-    names = ["return", "parkinson_vol", "close_position", "log_volume", "imbalance"]
-    models = offline.fit(df.where("is_train"), names)
+    names = ["return", "parkinson_vol", "close_position", "log_volume", "imbalance", "vol8", "ret4"]
+    train = labels.chronological_split(df.where("is_train").drop("is_train")).withColumn("validation", ~F.col("is_train"))
+    models = offline.fit(train, names, validation="validation")
     return offline.evaluate(offline.score(df.where("NOT is_train"), models))
 
 

@@ -251,16 +251,6 @@ def test_streaming_bars_and_dedup(spark, tmp_path):
     assert got and all(got[t].close == want[t].close and got[t].n == want[t].n for t in got)
 
 
-def test_offline_ensemble(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=400)
-    df = spark.createDataFrame(pd.DataFrame({"x": x, "label": (x + rng.normal(size=400) * 0.3 > 0).astype(int)}))
-    models = offline.fit(df, ["x"], (1, 2), iterations=3, depth=2)
-    scored = offline.score(df, models)
-    got = offline.evaluate(scored).first()
-    assert got.brier < 0.15 and scored.where("sigma_ve < 0").count() == 0
-
-
 def test_relational_first_touch_agrees(spark):
     df = spark.createDataFrame([("a", i, 100.0 + d, 100.0 + d) for i, d in enumerate([0, 0.1, 0.6, -0.6, 0])], "instrument string, open_time long, high double, low double")
     e = spark.createDataFrame([(1, "a", 0, 100.0, 1, 0.005, 0.005), (2, "a", 0, 100.0, -1, 0.005, 0.005), (3, "a", 4, 100.0, 1, 0.005, 0.005)], "entry_id long, instrument string, ts long, price double, side int, tp double, sl double")
