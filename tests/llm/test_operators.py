@@ -968,6 +968,25 @@ def test_candidates_of_large_groups_are_few(spark, monkeypatch):
         assert sizes == [600]
 
 
+@pytest.mark.parametrize("template, families", [(130, 700), (120, 300)])
+def test_pairs_in_families_are_found(spark, template, families):
+    """Texts that share a template (others at 0.59 and 0.68) fill the variants' groups; each has a copy at 0.88, which is still found."""
+    r, rows = random.Random(template), []
+    for i in range(families):
+        words = [f"t{k}" for k in range(template)] + [f"q{r.randrange(10**9)}" for _ in range(160 - template)]
+        other = list(words)
+        for at in r.sample(range(160), 2):
+            other[at] = f"z{r.randrange(10**9)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    shared = word_shingles(rows[0][1]) & word_shingles(rows[2][1])
+    assert len(shared) / len(word_shingles(rows[0][1]) | word_shingles(rows[2][1])) > 0.55
+    near = [len(a & b) / len(a | b) for a, b in ((word_shingles(rows[2 * i][1]), word_shingles(rows[2 * i + 1][1])) for i in range(families))]
+    kept = {x.doc_id for x in simhash_similar.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    pairs = [i for i in range(families) if near[i] >= 0.8]
+    assert len(pairs) > 0.9 * families and sum(2 * i + 1 not in kept for i in pairs) >= 0.97 * len(pairs)
+    assert all(2 * i in kept for i in range(families))
+
+
 def test_bits_are_counted():
     v = np.random.default_rng(0).integers(0, 1 << 63, (1000, 3)).astype(np.uint64)
     assert (simhash_similar.bit_counts(v) == np.unpackbits(v.view(np.uint8).reshape(1000, -1), axis=1, bitorder="little").sum(axis=0).reshape(3, 64)).all()
