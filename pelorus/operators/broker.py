@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclasses.dataclass(frozen=True)
@@ -28,22 +31,65 @@ def latency_fill(bars: DataFrame, latency: int = 1) -> DataFrame:
     return bars.withColumn("fill_price", at["close"])
 
 
-def first_touch(entries: DataFrame, minutes: DataFrame, horizon_ms: int, tie: str = "pessimistic", costs: Costs = Costs(), bucket_ms: int | None = None) -> DataFrame:
+class Extrema:
+    """Greatest highs and least lows of all stretches of 1, 2, 4, ... rows, by which the first row that reaches a barrier is found."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray):
+        self.tables = [(high, low)]
+        while 2 << len(self.tables) - 1 <= len(high):
+            step, (top, bottom) = 1 << len(self.tables) - 1, self.tables[-1]
+            self.tables.append((np.maximum(top[:-step], top[step:]), np.minimum(bottom[:-step], bottom[step:])))
+
+    def first(self, start: np.ndarray, end: np.ndarray, above: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Of each entry the first row from start on with a high >= above or a low <= below; end if there is none before it."""
+        at = start.copy()
+        for k in range(len(self.tables) - 1, -1, -1):
+            top, bottom = self.tables[k]
+            whole = at + (1 << k) <= end
+            spot = np.where(whole, at, 0)
+            at += np.where(whole & ~(top[spot] >= above) & ~(bottom[spot] <= below), 1 << k, 0)
+        return at
+
+
+def _touches(entries: pa.Table, minutes: pa.Table, horizon_ms: int) -> pa.Table:
+    """entries with the time, high and low of the first minute that reaches a barrier, of one instrument and chunk of time."""
+    numbers = lambda table, c: table.column(c).to_numpy().astype(float)  # noqa: E731  null: NaN, which reaches nothing
+    order = np.lexsort((minutes.column("m_idx").to_numpy(), minutes.column("m_time").to_numpy()))
+    minutes = minutes.take(pa.array(order))
+    time, high, low = minutes.column("m_time").to_numpy(), numbers(minutes, "m_high"), numbers(minutes, "m_low")
+    ts, tp, sl, up = entries.column("ts").to_numpy(), numbers(entries, "tp_price"), numbers(entries, "sl_price"), numbers(entries, "side") > 0
+    start, end = np.searchsorted(time, ts, "right"), np.searchsorted(time, ts + horizon_ms, "right")
+    found = end
+    if len(time):
+        extrema = Extrema(np.where(np.isnan(high), -np.inf, high), np.where(np.isnan(low), np.inf, low))
+        found = extrema.first(start, end, np.where(up, tp, sl), np.where(up, sl, tp))
+    hit = pa.array(np.where(found < end, found, -1), mask=found >= end)
+    columns = [minutes.column(c).take(hit) for c in ("m_time", "m_high", "m_low")]
+    return pa.table([*entries.drop_columns(["chunk"]).columns, *columns], names=[*(c for c in entries.column_names if c != "chunk"), "m_time", "m_high", "m_low"])
+
+
+def first_touch(entries: DataFrame, minutes: DataFrame, horizon_ms: int, tie: str = "pessimistic", costs: Costs = Costs(), chunk_ms: int | None = None) -> DataFrame:
     """The first minute within the horizon at which an entry's target or stop is reached.
 
     entries: entry_id, instrument, ts, price, side (1, -1), tp, sl (log returns); minutes: instrument,
-    open_time, high, low (and idx to order equal times). Both sides are keyed by instrument and time block,
-    an entry joins only the blocks of its horizon, so the join is by equality. Result: a row for each
-    entry: reason (TP, SL or OPEN), exit_time, exit_price, pnl_gross, pnl_net.
+    open_time, high, low (and idx to order equal times). Result: a row for each entry: reason (TP, SL or OPEN),
+    exit_time, exit_price, pnl_gross, pnl_net. Nulls reach nothing, and an entry without instrument or ts stays OPEN.
+
+    Entries and minutes meet by instrument and chunk of time (four horizons; a minute goes to the chunks whose entries it
+    is in the horizon of, two at most), and an entry finds its minute in a hierarchy of extrema of the chunk's
+    minutes. So rows grow with entries and minutes, and a longer horizon adds a step for each time it doubles.
     """
-    size = bucket_ms or horizon_ms
-    m = minutes.select("instrument", F.col("open_time").alias("m_time"), F.col("high").alias("m_high"), F.col("low").alias("m_low"), (F.col("idx") if "idx" in minutes.columns else F.lit(0)).alias("m_idx"))
-    m = m.withColumn("block", F.floor(F.col("m_time") / size))
+    size = chunk_ms or 4 * horizon_ms
+    m = minutes.where("instrument IS NOT NULL AND open_time IS NOT NULL")
+    m = m.select("instrument", F.col("open_time").cast("long").alias("m_time"), F.col("high").cast("double").alias("m_high"), F.col("low").cast("double").alias("m_low"), (F.col("idx").cast("long") if "idx" in m.columns else F.lit(0).cast("long")).alias("m_idx"))
+    m = m.withColumn("chunk", F.explode(F.sequence(F.floor((F.col("m_time") - horizon_ms) / size), F.floor((F.col("m_time") - 1) / size))))
     up = F.col("side") > 0
-    e = entries.withColumns({"tp_price": F.when(up, F.col("price") * F.exp("tp")).otherwise(F.col("price") * F.exp(-F.col("tp"))), "sl_price": F.when(up, F.col("price") * F.exp(-F.col("sl"))).otherwise(F.col("price") * F.exp("sl"))})
-    blocks = F.sequence(F.floor(F.col("ts") / size), F.floor((F.col("ts") + horizon_ms) / size))
-    near = e.withColumn("block", F.explode(blocks)).join(m, ["instrument", "block"])
-    near = near.where((F.col("m_time") > F.col("ts")) & (F.col("m_time") <= F.col("ts") + horizon_ms))
+    e = entries.select("entry_id", "instrument", F.col("ts").cast("long").alias("ts"), "price", "side", "tp", "sl")
+    e = e.withColumns({"tp_price": F.when(up, F.col("price") * F.exp("tp")).otherwise(F.col("price") * F.exp(-F.col("tp"))), "sl_price": F.when(up, F.col("price") * F.exp(-F.col("sl"))).otherwise(F.col("price") * F.exp("sl"))}).drop("tp", "sl")
+    timed = e.where("ts IS NOT NULL").withColumn("chunk", F.floor(F.col("ts") / size))
+    schema = T.StructType([*e.schema.fields, T.StructField("m_time", T.LongType()), T.StructField("m_high", T.DoubleType()), T.StructField("m_low", T.DoubleType())])
+    near = timed.groupBy("instrument", "chunk").cogroup(m.groupBy("instrument", "chunk")).applyInArrow(lambda x, y: _touches(x, y, horizon_ms), schema)
+    near = near.unionByName(e.where("ts IS NULL"), allowMissingColumns=True)
     tp = F.when(up, F.col("m_high") >= F.col("tp_price")).otherwise(F.col("m_low") <= F.col("tp_price"))
     sl = F.when(up, F.col("m_low") <= F.col("sl_price")).otherwise(F.col("m_high") >= F.col("sl_price"))
     if tie == "pessimistic":
@@ -52,12 +98,10 @@ def first_touch(entries: DataFrame, minutes: DataFrame, horizon_ms: int, tie: st
         first = F.when(tp, "TP").otherwise("SL")
     else:  # a fair draw from the minute
         first = F.when(tp & sl, F.when(F.pmod(F.xxhash64("entry_id", "m_time"), F.lit(2)) == 0, "SL").otherwise("TP")).when(sl, "SL").otherwise("TP")
-    hits = near.where(tp | sl).groupBy("entry_id").agg(F.min(F.struct("m_time", "m_idx", first.alias("reason"))).alias("hit"))
-    out = e.join(hits, "entry_id", "left")
-    reason = F.coalesce(F.col("hit.reason"), F.lit("OPEN"))
+    reason = F.when(F.col("m_time").isNull(), "OPEN").otherwise(first)
     exit_price = F.when(reason == "TP", F.col("tp_price")).when(reason == "SL", F.col("sl_price"))
     gross = F.col("side") * F.log(exit_price / F.col("price"))
-    return out.select("entry_id", "instrument", "ts", "price", "side", reason.alias("reason"), F.col("hit.m_time").alias("exit_time"), exit_price.alias("exit_price"), gross.alias("pnl_gross"), (gross - costs.round_trip()).alias("pnl_net"))
+    return near.select("entry_id", "instrument", "ts", "price", "side", reason.alias("reason"), F.col("m_time").alias("exit_time"), exit_price.alias("exit_price"), gross.alias("pnl_gross"), (gross - costs.round_trip()).alias("pnl_net"))
 
 
 def first_touch_in(underlying: str, entry: Column, tp: float, sl: float, side: int = 1) -> Column:
