@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pelorus.functions import kernels
+from pelorus.operators import incremental
 
 
 def by_time():
@@ -142,6 +143,9 @@ STATS: dict[str, Callable] = {
 }
 
 
+BUILT_IN = dict(STATS)
+#: Rolling statistics that are made in one pass over Arrow batches, where there are so many; fewer are window functions.
+MANY = 32
 #: Kernels over the last values of a column, across segments.
 KERNELS: dict[str, kernels.Kernel] = {"hurst": kernels.hurst, "sample_entropy": kernels.sample_entropy}
 
@@ -194,12 +198,17 @@ def default_catalog(with_kernels: bool = False) -> list[FeatureSpec]:
 
 
 def build(df: DataFrame, specs: Iterable[FeatureSpec]) -> DataFrame:
-    """All features in one projection, so equal windows are sorted once; names must differ."""
+    """All features; names must differ. A few are window functions, in one projection; MANY or more go through one pass (see `incremental`)."""
     specs = list(specs)
     names = [s.name for s in specs]
     if len(set(names)) < len(names):
         raise ValueError(f"features with one name: {sorted({n for n in names if names.count(n) > 1})}")
-    out = with_runs(df).select("*", *(feature(s) for s in specs if s.stat not in KERNELS)).drop("seg_run")
+    rolled = [s for s in specs if s.stat in incremental.STATS and STATS[s.stat] is BUILT_IN[s.stat]]
+    rolled = rolled if len(rolled) >= MANY else []
+    out = with_runs(df)
+    if rolled:
+        out = incremental.rolling_features(out, [(s.name, s.source, s.stat, s.window, s.lag) for s in rolled])
+    out = out.select("*", *(feature(s) for s in specs if s.stat not in KERNELS and s not in rolled)).drop("seg_run")
     for s in specs:
         if s.stat in KERNELS:
             out = kernels.bounded_batch(out, s.name, KERNELS[s.stat], s.source, s.window, s.lag)
