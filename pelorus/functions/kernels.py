@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pelorus.functions.metrics import join_by
+
 Kernel = Callable[[np.ndarray], float]
 #: Windows that a kernel takes at a time, and rows of an instrument that one task has.
 AT_ONCE = 512
@@ -97,7 +99,7 @@ def bounded_batch(df: DataFrame, name: str, kernel: Kernel, source: str, window:
     chunks of one instrument run in many tasks. An error, NaN or infinity in the kernel is null.
     """
     src = F.col(source)
-    own = Window.partitionBy("instrument", src.isNotNull()).orderBy("open_time")
+    own = Window.partitionBy("instrument", src.isNotNull()).orderBy("open_time", F.xxhash64(*df.columns))  # rows of one time are numbered alike each time
     reach = lag + window - 1
     length = max(CHUNK, 4 * reach)
     at = df.withColumn("__nth", F.row_number().over(own) - 1).withColumn("__chunk", F.when(src.isNotNull(), F.floor(F.col("__nth") / length)))
@@ -122,7 +124,7 @@ def bounded_batch(df: DataFrame, name: str, kernel: Kernel, source: str, window:
     kind = dict(df.dtypes)["instrument"]
     made = values.union(late).groupBy("instrument", "__chunk").applyInPandas(run, f"instrument {kind}, __nth int, `{name}` double")
     missing = at.where(src.isNull()).withColumn(name, F.lit(None).cast("double")).drop("__nth", "__chunk")
-    known = at.where(src.isNotNull()).join(made, ["instrument", "__nth"]).drop("__nth", "__chunk")
+    known = join_by(at.where(src.isNotNull()), made, ["instrument", "__nth"]).drop("__nth", "__chunk")
     return known.select(*df.columns, name).union(missing.select(*df.columns, name))
 
 

@@ -38,15 +38,23 @@ def log_loss(clip: float = 1e-7) -> Column:
     return F.avg(-F.col("y") * F.log(p) - (1 - F.col("y")) * F.log(1 - p))
 
 
-def cuts(df: DataFrame, columns: Sequence[str], n: int = 128) -> list[list[float]]:
-    """About n - 1 approximate quantiles of each column, ascending: bounds of buckets of about equal size."""
-    row = df.agg(*(F.percentile_approx(c, [k / n for k in range(1, n)], 100 * n) for c in columns)).first()
+def cuts(df: DataFrame, columns: Sequence[str], n: int | None = None) -> list[list[float]]:
+    """About n - 1 approximate quantiles of each column, ascending: bounds of buckets of about equal size.
+
+    Without n there are 128 buckets, or as many as hold about CHUNK rows each.
+    """
+    most = n or 128
+    count, *row = df.agg(F.count("*"), *(F.percentile_approx(c, [k / most for k in range(1, most)], 100 * most) for c in columns)).first()
+    if n is None and count > 4 * most * CHUNK:
+        return cuts(df, columns, -(-count // CHUNK))
     return [sorted(set(x or [])) for x in row]
 
 
-def bucket_count(df: DataFrame) -> int:
-    """So many buckets that each has about CHUNK rows, and 8 at least."""
-    return max(8, -(-df.count() // CHUNK))
+def join_by(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join by columns of the same names in which a null key meets null keys."""
+    named = right.select(*(F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns))
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*(f"__r_{k}" for k in keys))
 
 
 def place(value: Column, bounds: Sequence[float]) -> Column:
@@ -78,7 +86,7 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[
     sizes = counted.groupBy(*keys).agg((F.sum("__n") - 1).alias("__last"))
     at = lambda k: F.max(F.when((F.col("__below") <= k) & (k < F.col("__below") + F.col("__n")), F.col("__v")))
     place_of = [F.col("__last") * F.lit(float(s)) for s in shares]
-    found = ranked.join(sizes, keys).groupBy(*keys, "__last").agg(*(at(f(x)).alias(f"__{side}{i}") for i, x in enumerate(place_of) for side, f in (("lo", F.floor), ("hi", F.ceil))))
+    found = join_by(ranked, sizes, keys).groupBy(*keys, "__last").agg(*(at(f(x)).alias(f"__{side}{i}") for i, x in enumerate(place_of) for side, f in (("lo", F.floor), ("hi", F.ceil))))
     made = [F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (x - F.floor(x)) for i, x in enumerate(place_of)]
     out = found.select(*keys, F.array(*made).alias("quantiles"))
     return out if by else out.drop(ANY)
@@ -88,7 +96,7 @@ def with_bins(df: DataFrame, n_bins: int = 10, by: Sequence[str] = ()) -> DataFr
     """bin: how many inner quantile edges of p (within the group) are at most p; equal p share a bin."""
     df, by = _grouped(df, by)
     edges = quantiles(df, "p", [k / n_bins for k in range(1, n_bins)], by).withColumnRenamed("quantiles", "__edges")
-    return df.join(edges, by).withColumn("bin", F.size(F.filter("__edges", lambda e: e <= F.col("p")))).drop("__edges")
+    return join_by(df, edges, by).withColumn("bin", F.size(F.filter("__edges", lambda e: e <= F.col("p")))).drop("__edges")
 
 
 def histogram_bin(p: str, n: int = 20) -> Column:
@@ -137,7 +145,7 @@ def running(df: DataFrame, by: Sequence[str], order: str, values: dict[str, str]
     outer = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*by, "__bucket").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in values.items()))
     totals = totals.select(*by, "__bucket", *(F.coalesce(F.sum(f"__t_{n}").over(outer), F.lit(0)).alias(f"__b_{n}") for n in values))
-    df = df.join(totals, [*by, "__bucket"])
+    df = join_by(df, totals, [*by, "__bucket"])
     out = df.withColumns({n: F.coalesce(F.sum(c).over(inner), F.lit(0)) + F.col(f"__b_{n}") for n, c in values.items()})
     return out.drop("__bucket", *(f"__b_{n}" for n in values))
 
@@ -169,11 +177,11 @@ def delong(df: DataFrame, confidence: float = 0.95, by: Sequence[str] = ()) -> D
     df, keys = _grouped(df, by)
     of_p, bucket = bucketed(df)
     tied = running(df.groupBy(*keys, "p").agg(F.count("*").alias("__n")), keys, "p", {"__below": "__n"}, of_p)
-    rows = df.join(tied, [*keys, "p"]).withColumn("__mid", F.col("__below") + (F.col("__n") + 1) / 2)
+    rows = join_by(df, tied, [*keys, "p"]).withColumn("__mid", F.col("__below") + (F.col("__n") + 1) / 2)
     rows = rows.withColumns({"__order": F.struct("p", "idx"), "__one": F.lit(1)})
     rows = running(rows, [*keys, "y"], "__order", {"__before": "__one"}, bucket)
     sizes = df.groupBy(*keys).agg(F.sum("y").alias("__np"), F.sum(1 - F.col("y")).alias("__nn"))
-    rows = rows.join(sizes, keys).withColumn("__place", F.col("__mid") - F.col("__before") - 1)
+    rows = join_by(rows, sizes, keys).withColumn("__place", F.col("__mid") - F.col("__before") - 1)
     share = F.when(F.col("y") == 1, F.col("__place") / F.col("__nn")).otherwise(1 - F.col("__place") / F.col("__np"))
     out = rows.withColumn("__v", share).groupBy(*keys).agg(
         F.sum(F.when(F.col("y") == 1, F.col("__mid"))).alias("__ranks"), F.first("__np").alias("n_pos"), F.first("__nn").alias("n_neg"),
@@ -209,7 +217,7 @@ def rolling_brier(df: DataFrame, window: int = 1000, by: Sequence[str] = ()) ->
     late = rows.where(F.col("__at") % length > length - window).withColumns({"__chunk": F.col("__chunk") + 1, "__own": F.lit(False)})
     near = Window.partitionBy(*keys, "__chunk").orderBy("idx").rowsBetween(-(window - 1), 0)
     rows = rows.union(late).withColumn("rolling_brier", F.when(F.col("__at") >= window - 1, F.avg(squared_error()).over(near))).where("__own")
-    out = rows.join(base, keys).select(*names, "rolling_brier", "baseline")
+    out = join_by(rows, base, keys).select(*names, "rolling_brier", "baseline")
     return out if by else out.drop(ANY)
 
 

@@ -188,7 +188,7 @@ def positions(df: DataFrame, by: str, value: str, order: str | Sequence[str], *m
     order = [order] if isinstance(order, str) else list(order)
     rows = df.where(F.col(value).isNotNull()).select(keyed(df, by), *(F.col(c).alias(f"__o{i}" if i else "__o") for i, c in enumerate(order)), F.col(value).cast("double").alias("x"), *more)
     rows = rows.withColumn("__one", F.lit(1)).withColumn("__order", F.struct("__o", *(f"__o{i}" for i in range(1, len(order))), "x"))
-    bounds = metrics.cuts(rows, ["__o"], metrics.bucket_count(rows))[0]
+    bounds = metrics.cuts(rows, ["__o"])[0]
     return metrics.running(rows, ["key"], "__order", {"at": "__one"}, metrics.place(F.col("__o"), bounds)).select("key", F.col("at").cast("long").alias("at"), "x", *more)
 
 
@@ -438,7 +438,7 @@ def pr_auc_samples(df: DataFrame, by: str, n: int = 1000, seed: int = 42) -> Dat
     """
     counted, _ = metrics._tied(df.where("p IS NOT NULL AND y IS NOT NULL").withColumn("key", keyed(df, by)), ["key"])
     counted = counted.withColumn("__one", F.lit(1))
-    ranked = metrics.running(counted, ["key"], "p", {"at": "__one"}, metrics.place(F.col("p"), metrics.cuts(counted, ["p"], metrics.bucket_count(counted))[0]))
+    ranked = metrics.running(counted, ["key"], "p", {"at": "__one"}, metrics.place(F.col("p"), metrics.cuts(counted, ["p"])[0]))
     cells = ranked.groupBy("key", F.floor(F.col("at") / LEVELS).cast("int").alias("bucket")).agg(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("p"), "pos", "neg"))).alias("v"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     whole = cells.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("bucket", "pos", "neg"))).alias("all")).where("exists(all, b -> b.pos > 0) AND exists(all, b -> b.neg > 0)")
     kind = whole.schema["key"].dataType.simpleString()

@@ -247,19 +247,22 @@ def sequential_bootstrap(trades: DataFrame, by: str, value: str, metric: str, n:
     return resampling.named(resampling.intervals(made, confidence), by, "point", "lo", "hi")
 
 
-def cscv_pbo(returns: DataFrame, n_chunks: int = 16, eps: float = 1e-12) -> DataFrame:
+def cscv_pbo(returns: DataFrame, n_chunks: int = 16, eps: float = 1e-12, periods: int | None = None) -> DataFrame:
     """Probability of backtest overfitting from returns (strategy, period from 0, r): a row for each split of the chunks.
 
     Per strategy and chunk only n, sum and sum of squares are kept; all C(S, S/2) in-sample sets join
-    those. Columns: combo, best (first strategy with the best in-sample Sharpe), rank (of it out of sample), logit.
+    those. With `periods` given, a period without a row counts as a return of 0. Columns: combo, best (first strategy with the best in-sample Sharpe), rank (of it out of sample), logit.
     """
     spark = returns.sparkSession
-    n = returns.agg(F.max("period")).first()[0]
-    size = (0 if n is None else n + 1) // n_chunks
+    n = periods or returns.agg(F.max("period") + 1).first()[0] or 0
+    size = n // n_chunks
     if not size:
         raise ValueError("fewer periods than chunks")
     chunked = returns.where(F.col("period") < size * n_chunks).withColumn("chunk", F.floor(F.col("period") / size).cast("int"))
     stats = chunked.groupBy("strategy", "chunk").agg(F.count("*").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
+    if periods is not None:  # sums of the periods that have rows, over all periods of each chunk
+        grid = returns.select("strategy").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+        stats = grid.join(stats, ["strategy", "chunk"], "left").select("strategy", "chunk", F.lit(size).alias("n"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("q", F.lit(0.0)).alias("q"))
     sets = list(itertools.combinations(range(n_chunks), n_chunks // 2))
     rows = spark.createDataFrame([(i, c, c in set(chosen)) for i, chosen in enumerate(sets) for c in range(n_chunks)], "combo int, chunk int, inside boolean")
     both = rows.join(stats, "chunk").groupBy("combo", "strategy", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))

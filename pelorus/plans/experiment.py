@@ -109,8 +109,7 @@ def overfit(fills: DataFrame, by: str, period_ns: int, n_chunks: int = 16) -> di
     if at.first is None or (at.last - at.first) // period_ns + 1 < n_chunks:
         return {}
     each = fills.groupBy(F.col(by).alias("strategy"), F.floor((F.col("exit_ts") - at.first) / period_ns).alias("period")).agg(F.sum("pnl").alias("r"))
-    grid = fills.sparkSession.range((at.last - at.first) // period_ns + 1).select(F.col("id").alias("period")).join(fills.select(F.col(by).alias("strategy")).distinct())
-    return stats.pbo(stats.cscv_pbo(grid.join(each, ["strategy", "period"], "left").fillna(0.0, ["r"]), n_chunks)).first().asDict()
+    return stats.pbo(stats.cscv_pbo(each, n_chunks, periods=(at.last - at.first) // period_ns + 1)).first().asDict()
 
 
 def cross_validate(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame | None = None) -> tuple[DataFrame, dict]:
@@ -125,7 +124,11 @@ def cross_validate(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame |
     folds = search.purged_folds(spark, n, spec.cv.n_folds, spec.cv.n_test, spec.cv.purge, spec.cv.embargo).where("kind = 'test'")
     span = folds.groupBy("split").agg(F.min("first").alias("first"), F.max("behind").alias("behind"))
     cfg = spec.sim(names)
-    near = numbered.join(F.broadcast(span), (F.col("__row") >= F.col("first")) & (F.col("__row") < F.col("behind")))  # at most C(n_folds, n_test) rows
+    # spans begin and end at a few rows, by which rows and spans are cut into the same blocks
+    edges = F.array(*(F.lit(int(x)) for x in sorted({x for r in span.collect() for x in (r["first"], r.behind)})))
+    block = lambda x: F.size(F.filter(edges, lambda e: e <= x))
+    blocks = span.where("first < behind").select("split", "first", "behind", F.explode(F.sequence(block(F.col("first")), block(F.col("behind") - 1))).alias("__block"))
+    near = numbered.withColumn("__block", block(F.col("__row"))).join(F.broadcast(blocks), "__block").drop("__block")  # at most C(n_folds, n_test) * 2 n_folds of them
 
     done = simulate.replay(near, cfg, ("split", "instrument"))
     fills = done.where("kind = 'fill'").selectExpr("split", "position_id AS idx", "entry_ts", "exit_ts", "reason", "pnl_net AS pnl")

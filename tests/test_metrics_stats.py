@@ -231,3 +231,34 @@ def test_intervals_are_of_all_resamples(spark, data):
     part = p[p.regime == 1]
     draws = [stats.stratified_pr_auc(part["y"].to_numpy(), part["p"].to_numpy(), np.random.default_rng([42, b])) for b in range(1000)]
     assert np.allclose(got[1], np.quantile(draws, [0.025, 0.975]), atol=0.01)
+
+
+def test_null_groups_keep_their_rows(spark):
+    """A null key is a group like others in bins, quantiles, ranks and running sums."""
+    from pelorus.functions import metrics
+
+    rows = [(i, i % 2, i / 40, None if i % 4 < 2 else 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "idx long, y int, p double, regime int")
+    for got in (metrics.ece(df, 4, ["regime"]), metrics.roc_auc(df, ["regime"]), metrics.quantiles(df, "p", [0.5], ["regime"])):
+        assert {r.regime for r in got.collect()} == {None, 1}
+    alone = {None: metrics.ece(df.where("regime IS NULL"), 4).first().ece, 1: metrics.ece(df.where("regime = 1"), 4).first().ece}
+    assert all(math.isclose(r.ece, alone[r.regime]) for r in metrics.ece(df, 4, ["regime"]).collect())
+    summed = metrics.running(df, ["regime"], "idx", {"before": "y"}, F.floor(F.col("idx") / 7))
+    assert summed.count() == 40 and summed.where("regime IS NULL").agg(F.max("before")).first()[0] == 9
+
+
+def test_buckets_grow_with_rows(spark, monkeypatch):
+    from pelorus.functions import metrics
+
+    df = spark.range(5000).withColumn("x", F.col("id").cast("double"))
+    assert len(metrics.cuts(df, ["x"])[0]) == 127
+    monkeypatch.setattr(metrics, "CHUNK", 5)
+    assert len(metrics.cuts(df, ["x"])[0]) > 900
+
+
+def test_periods_without_rows_count_as_zero(spark):
+    rng = np.random.default_rng(9)
+    dense = [(s, t, float(rng.normal()) if rng.random() < 0.3 else 0.0) for s in range(3) for t in range(64)]
+    full = spark.createDataFrame(dense, "strategy int, period long, r double")
+    key = lambda df: sorted((r.combo, r.best, r["rank"]) for r in df.collect())
+    assert key(stats.cscv_pbo(full.where("r <> 0"), 4, periods=64)) == key(stats.cscv_pbo(full, 4))
