@@ -222,43 +222,56 @@ def rolling_brier(df: DataFrame, window: int = 1000, by: Sequence[str] = ()) ->
 
 
 def crossings(df: DataFrame, value: str, threshold: Column, by: Sequence[str] = ()) -> DataFrame:
-    """How often the value rises from at most the threshold (or from null) to above it, by idx."""
+    """How often the value rises from at most the threshold (or from null) to above it, by idx.
+
+    Rises are counted within buckets of idx, and at buckets' heads from the last row of the bucket before.
+    """
     df, keys = _grouped(df, by)
-    w = Window.partitionBy(*keys).orderBy("idx")
-    above = F.coalesce(F.col(value) > threshold, F.lit(False))
-    df = df.withColumn("__above", above)
-    up = F.col("__above") & ~F.coalesce(F.lag("__above").over(w), F.lit(False))
-    out = df.withColumn("__up", up).groupBy(*keys).agg(F.count_if("__up").alias("crossings"))
+    df = df.withColumns({"__above": F.coalesce(F.col(value) > threshold, F.lit(False)), "__bucket": place(F.col("idx"), cuts(df, ["idx"])[0])})
+    before = F.lag("__above").over(Window.partitionBy(*keys, "__bucket").orderBy("idx"))
+    parts = df.withColumn("__up", F.col("__above") & ~before).groupBy(*keys, "__bucket").agg(F.count_if("__up").alias("__n"), F.min_by("__above", "idx").alias("__first"), F.max_by("__above", "idx").alias("__last"))
+    head = F.col("__first") & ~F.coalesce(F.lag("__last").over(Window.partitionBy(*keys).orderBy("__bucket")), F.lit(False))
+    out = parts.withColumn("__head", head.cast("long")).groupBy(*keys).agg((F.sum("__n") + F.sum("__head")).alias("crossings"))
     return out if by else out.drop(ANY)
 
 
 def spans(df: DataFrame, flag: str, by: Sequence[str] = ()) -> DataFrame:
     """Runs of a true flag by idx: start, end (exclusive, in row numbers from 0)."""
     df, keys = _grouped(df, by)
-    w = Window.partitionBy(*keys).orderBy("idx")
-    df = df.withColumn("__at", F.row_number().over(w) - 1).where(flag)
-    df = df.withColumn("__island", F.col("__at") - F.row_number().over(Window.partitionBy(*keys).orderBy("__at")))
-    out = df.groupBy(*keys, "__island").agg(F.min("__at").cast("long").alias("start"), (F.max("__at") + 1).cast("long").alias("end")).drop("__island")
+    df = df.withColumns({"__one": F.lit(1), "__set": F.coalesce(F.col(flag), F.lit(False)).cast("int")})
+    rows = running(df, keys, "idx", {"__at": "__one", "__nth": "__set"}, place(F.col("idx"), cuts(df, ["idx"])[0])).where("__set = 1")
+    out = rows.groupBy(*keys, (F.col("__at") - F.col("__nth")).alias("__island")).agg(F.min("__at").cast("long").alias("start"), (F.max("__at") + 1).cast("long").alias("end")).drop("__island")
     return out if by else out.drop(ANY)
 
 
 def equity(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Cumulative pnl by (exit_ts, idx), its high-water mark and the drawdown."""
+    """Cumulative pnl by (exit_ts, idx), its high-water mark and the drawdown.
+
+    Paths run within buckets of exit_ts; what a bucket adds is its sum and its highest point, so one series spreads over many tasks.
+    """
     df, keys = _grouped(df, by)
-    w = Window.partitionBy(*keys).orderBy("exit_ts", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("equity", F.sum("pnl").over(w))
-    df = df.withColumn("high_water", F.max("equity").over(w)).withColumn("drawdown", F.col("high_water") - F.col("equity"))
+    names = df.columns
+    df = df.withColumn("__bucket", place(F.col("exit_ts"), cuts(df, ["exit_ts"])[0]))
+    w = Window.partitionBy(*keys, "__bucket").orderBy("exit_ts", "idx").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__s", F.sum("pnl").over(w)).withColumn("__m", F.max("__s").over(w))
+    past = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy(*keys, "__bucket").agg(F.sum("pnl").alias("__sum"), F.max("__m").alias("__top"))
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__sum").over(past), F.lit(0.0)))
+    parts = parts.withColumn("__high", F.max(F.col("__before") + F.col("__top")).over(past)).drop("__sum", "__top")
+    df = join_by(df, parts, [*keys, "__bucket"]).withColumn("equity", F.col("__before") + F.col("__s"))
+    df = df.withColumn("high_water", F.greatest("__high", F.col("__before") + F.col("__m"))).withColumn("drawdown", F.col("high_water") - F.col("equity"))
+    df = df.select(*names, "equity", "high_water", "drawdown")
     return df if by else df.drop(ANY)
 
 
 def cdar(df: DataFrame, tail: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
-    """max_drawdown (as a loss, <= 0) and the mean of the worst max(1, int(tail n)) drawdowns, negative."""
+    """max_drawdown (as a loss, <= 0) and the mean of the worst max(1, int(tail n)) drawdowns, negative. Drawdowns are ranked by their counts, in buckets."""
     df, keys = _grouped(df, by)
-    curve = equity(df, keys)
-    worst = Window.partitionBy(*keys).orderBy(F.desc("drawdown"), "idx")
-    curve = curve.withColumns({"__nth": F.row_number().over(worst), "__n": F.count("*").over(Window.partitionBy(*keys))})
-    taken = F.col("__nth") <= F.greatest(F.lit(1), F.floor(F.col("__n") * tail))
-    out = curve.groupBy(*keys).agg((-F.max("drawdown")).alias("max_drawdown"), (-F.avg(F.when(taken, F.col("drawdown")))).alias("cdar"))
+    counted = equity(df, keys).groupBy(*keys, (-F.col("drawdown")).alias("__d")).agg(F.count("*").alias("__n"))
+    ranked = running(counted, keys, "__d", {"__before": "__n"}, place(F.col("__d"), cuts(counted, ["__d"])[0]))
+    sizes = counted.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.sum("__n") * tail)).alias("__k"), F.min("__d").alias("max_drawdown"))
+    taken = F.greatest(F.lit(0), F.least(F.col("__n"), F.col("__k") - F.col("__before")))
+    out = join_by(ranked, sizes, keys).groupBy(*keys, "max_drawdown").agg((F.sum(taken * F.col("__d")) / F.sum(taken)).alias("cdar"))
     return out if by else out.drop(ANY)
 
 

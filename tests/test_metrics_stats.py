@@ -262,3 +262,33 @@ def test_periods_without_rows_count_as_zero(spark):
     full = spark.createDataFrame(dense, "strategy int, period long, r double")
     key = lambda df: sorted((r.combo, r.best, r["rank"]) for r in df.collect())
     assert key(stats.cscv_pbo(full.where("r <> 0"), 4, periods=64)) == key(stats.cscv_pbo(full, 4))
+
+
+@pytest.mark.parametrize("bucket_rows", [None, 3])
+def test_paths_in_buckets_are_plain_loops(spark, monkeypatch, bucket_rows):
+    """Equity, drawdowns, CDaR, crossings and runs of a flag by buckets of a series, with ties of time, a null key and a key of one row."""
+    if bucket_rows:
+        cuts = metrics.cuts
+        monkeypatch.setattr(metrics, "cuts", lambda df, columns, n=None: cuts(df, columns, 40))
+    rng = np.random.default_rng(11)
+    rows = [(k, i, int(i // 3), float(rng.normal()), bool(rng.random() < 0.4)) for k, n in (("a", 200), (None, 37), ("b", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "series string, idx long, exit_ts long, pnl double, flag boolean").repartition(4)
+    worst, ups, runs = {}, {}, []
+    for k in ("a", None, "b"):
+        own = [r for r in rows if r[0] == k]
+        level = np.cumsum([r[3] for r in own])
+        down = np.maximum.accumulate(level) - level
+        got = metrics.equity(df, ["series"]).where(F.col("series").eqNullSafe(F.lit(k))).orderBy("idx").collect()
+        assert np.allclose([(r.equity, r.drawdown) for r in got], np.stack([level, down], axis=1), atol=1e-9)
+        m = max(1, int(len(own) * 0.05))
+        worst[k] = (-down.max(), -np.sort(down)[::-1][:m].mean())
+        above = [r[3] > 0.2 for r in own]
+        ups[k] = sum(a and not (i and above[i - 1]) for i, a in enumerate(above))
+        for flag, part in itertools.groupby(enumerate(r[4] for r in own), key=lambda x: x[1]):
+            part = list(part)
+            if flag:
+                runs.append((k or "", part[0][0], part[-1][0] + 1))
+    for r in metrics.cdar(df, by=["series"]).collect():
+        assert np.allclose(worst[r.series], (r.max_drawdown, r.cdar), atol=1e-9)
+    assert {r.series: r.crossings for r in metrics.crossings(df, "pnl", F.lit(0.2), ["series"]).collect()} == ups
+    assert sorted((r.series or "", r.start, r.end) for r in metrics.spans(df, "flag", ["series"]).collect()) == sorted(runs)
