@@ -806,6 +806,31 @@ def precision_at_gate(spark, d):
     return hit.groupBy("regime").agg(F.count("*").alias("n"), F.sum("y").alias("hits"), r(F.avg("y")).alias("precision"))
 
 
+@query(
+    """SELECT event_id AS idx, value > 0 AS is_price, value >= 0 AS is_quantity, value / 100 BETWEEN 0 AND 1 AS is_probability, round(CASE WHEN value > 0 THEN ln((value + 1) / value) END, 8) + 0.0 AS log_return,
+    round(value * 1e-4, 8) + 0.0 AS from_bps, round(value / 1000 * 1e4, 8) + 0.0 AS to_bps, round(ln(1 + abs(value) / 100), 8) + 0.0 AS from_pct, round(exp(value / 1000) - 1, 8) + 0.0 AS to_pct,
+    (epoch_us(ts) // 1000) * 1000000 AS at_ns, (epoch_us(ts) // 1000) AS at_ms, ((epoch_us(ts) // 1000) * 1000000) >= 1704067200000000000 AND ((epoch_us(ts) // 1000) * 1000000) < 1704067200000000000 + 90 * 86400000000000 AS in_window FROM events"""
+)
+def typed_scalars(spark, d):
+    e, v = X.table(spark, d, "events"), F.col("value")
+    at = scalars.timestamp_ns(scalars.epoch_ms(F.col("ts")))
+    start = 1_704_067_200_000_000_000
+    return e.select(
+        F.col("event_id").alias("idx"), scalars.is_price(v).alias("is_price"), scalars.is_quantity(v).alias("is_quantity"), scalars.is_probability(v / 100).alias("is_probability"),
+        r(F.when(v > 0, scalars.log_return_to(v, v + 1)), 8).alias("log_return"), r(scalars.from_bps(v), 8).alias("from_bps"), r(scalars.to_bps(v / 1000), 8).alias("to_bps"), r(scalars.from_pct(F.abs(v) / 100), 8).alias("from_pct"),
+        r(scalars.to_pct(v / 1000), 8).alias("to_pct"), at.alias("at_ns"), scalars.ns_to_ms(at).alias("at_ms"), scalars.in_window(at, F.lit(start), F.lit(start + scalars.duration_ns(90, "days"))).alias("in_window"))
+
+
+@query(
+    f"""WITH {TRADES}, f AS (SELECT idx % 45 AS split, count(*) AS n, avg(pnl) AS m, stddev_samp(pnl) AS sd, avg(greatest(1, (exit_ts - entry_ts) / 60e9)) AS hold FROM trades GROUP BY 1),
+    s AS (SELECT n, CASE WHEN sd > 1e-10 THEN m / sd * sqrt(525600.0 / 20 / hold) END AS sharpe FROM f)
+    SELECT count(*) AS n_folds, round(avg(sharpe), 6) + 0.0 AS mean_sharpe, CAST(sum(n) AS BIGINT) AS n_trades, round(quantile_cont(sharpe, 0.05), 6) + 0.0 AS p05, round(quantile_cont(sharpe, 0.5), 6) + 0.0 AS p50, round(quantile_cont(sharpe, 0.95), 6) + 0.0 AS p95 FROM s"""
+)
+def fold_summary(spark, d):
+    each = metrics.trading(X.trades(spark, d).withColumn("split", F.col("idx") % 45), 20, ["split"])
+    return rounded(search.fold_summary(each), "mean_sharpe", "p05", "p50", "p95")
+
+
 @query()
 def brier_intervals(spark, d):
     p = X.predictions(spark, d).withColumn("se", metrics.squared_error())
