@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -250,8 +251,8 @@ def sequential_bootstrap(trades: DataFrame, by: str, value: str, metric: str, n:
 def cscv_pbo(returns: DataFrame, n_chunks: int = 16, eps: float = 1e-12, periods: int | None = None) -> DataFrame:
     """Probability of backtest overfitting from returns (strategy, period from 0, r): a row for each split of the chunks.
 
-    Per strategy and chunk only n, sum and sum of squares are kept; all C(S, S/2) in-sample sets join
-    those. With `periods` given, a period without a row counts as a return of 0. Columns: combo, best (first strategy with the best in-sample Sharpe), rank (of it out of sample), logit.
+    Per strategy and chunk only n, sum and sum of squares are kept; a task takes its strategies' products with the
+    matrix of all C(S, S/2) in-sample sets, and hands on a row for each set: first the best, then how many are below it. With `periods` given, a period without a row counts as a return of 0. Columns: combo, best (first strategy with the best in-sample Sharpe), rank (of it out of sample), logit.
     """
     spark = returns.sparkSession
     n = periods or returns.agg(F.max("period") + 1).first()[0] or 0
@@ -263,18 +264,55 @@ def cscv_pbo(returns: DataFrame, n_chunks: int = 16, eps: float = 1e-12, periods
     if periods is not None:  # sums of the periods that have rows, over all periods of each chunk
         grid = returns.select("strategy").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
         stats = grid.join(stats, ["strategy", "chunk"], "left").select("strategy", "chunk", F.lit(size).alias("n"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("q", F.lit(0.0)).alias("q"))
-    sets = list(itertools.combinations(range(n_chunks), n_chunks // 2))
-    rows = spark.createDataFrame([(i, c, c in set(chosen)) for i, chosen in enumerate(sets) for c in range(n_chunks)], "combo int, chunk int, inside boolean")
-    both = rows.join(stats, "chunk").groupBy("combo", "strategy", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    mean = F.col("s") / F.col("n")
-    sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1)))
-    both = both.withColumn("sharpe", mean / F.greatest(sd, F.lit(eps)))
-    each = both.groupBy("combo", "strategy").agg(F.max(F.when(F.col("inside"), F.col("sharpe"))).alias("is_sharpe"), F.max(F.when(~F.col("inside"), F.col("sharpe"))).alias("oos_sharpe"))
-    best = each.groupBy("combo").agg(F.max(F.struct("is_sharpe", (-F.col("strategy")).alias("first"), "oos_sharpe")).alias("b"), F.count("*").alias("n_strategies"))
-    best = best.select("combo", (-F.col("b.first")).alias("best"), F.col("b.oos_sharpe").alias("oos_best"), "n_strategies")
-    ranked = each.join(best, "combo").groupBy("combo", "best", "n_strategies").agg((F.count_if(F.col("oos_sharpe") < F.col("oos_best")) + 1).alias("rank"))
-    omega = (F.col("rank") - 0.5) / F.col("n_strategies")
-    return ranked.select("combo", "best", "rank", F.log(omega / (1 - omega)).alias("logit"))
+    chosen = np.array([np.isin(np.arange(n_chunks), c) for c in itertools.combinations(range(n_chunks), n_chunks // 2)])
+    at = lambda c: F.array(*(F.coalesce(F.sum(F.when(F.col("chunk") == k, F.col(c).cast("double"))), F.lit(0.0)) for k in range(n_chunks))).alias(c)
+    kind = dict(returns.dtypes)["strategy"]
+    each = stats.groupBy(F.col("strategy").cast("long").alias("strategy")).agg(at("n"), at("s"), at("q")).persist()
+
+    def first_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best in-sample strategy of each set among a task's strategies."""
+        top = None
+        for strategy, inside, outside in _sharpes(parts, chosen, eps):
+            if top is None:
+                top = [inside, np.full(len(chosen), strategy), outside]
+            better = (inside > top[0]) | (inside == top[0]) & (strategy < top[1])
+            top = [np.where(better, new, old) for new, old in zip((inside, strategy, outside), top)]
+        if top is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chosen), dtype=np.int32)), *map(pa.array, top)], ["combo", "inside", "strategy", "outside"])
+
+    tops = each.mapInArrow(first_of, "combo int, inside double, strategy long, outside double")
+    tops = tops.groupBy("combo").agg(F.max(F.struct("inside", (-F.col("strategy")).alias("first"), "outside")).alias("b"))
+    found = tops.select("combo", (-F.col("b.first")).alias("best"), F.col("b.outside").alias("outside")).orderBy("combo").collect()  # a row for each set of chunks
+    best, limit = np.array([r.best for r in found], np.int64), np.array([r.outside for r in found])
+
+    def below(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many of a task's strategies are worse out of sample than the best in-sample one of each set."""
+        total, n = np.zeros(len(chosen), np.int64), 0
+        for strategy, _, outside in _sharpes(parts, chosen, eps):
+            total += (outside < limit) & (strategy != best)
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chosen), dtype=np.int32)), pa.array(best), pa.array(total), pa.array(np.full(len(chosen), n))], ["combo", "best", "below", "n"])
+
+    if not len(found):
+        return spark.createDataFrame([], f"combo int, best {kind}, rank long, logit double")
+    counted = each.mapInArrow(below, "combo int, best long, below long, n long").groupBy("combo", "best").agg((F.sum("below") + 1).alias("rank"), F.sum("n").alias("n"))
+    omega = (F.col("rank") - 0.5) / F.col("n")
+    return counted.select("combo", F.col("best").cast(kind).alias("best"), "rank", F.log(omega / (1 - omega)).alias("logit"))
+
+
+def _sharpes(parts: Iterator[pa.RecordBatch], chosen: np.ndarray, eps: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each strategy (n, s, q of its chunks) the Sharpe ratios within and outside of each set of chunks; -inf without rows."""
+    sides = chosen.astype(float), (~chosen).astype(float)
+    for part in parts:
+        for r in range(part.num_rows):
+            sums = [part.column(c)[r].values.to_numpy() for c in ("n", "s", "q")]
+            out = []
+            for side in sides:
+                n, s, q = (side @ x for x in sums)
+                mean = s / np.maximum(n, 1)
+                sd = np.sqrt(np.maximum(0, (q - n * mean * mean) / np.maximum(n - 1, 1)))
+                out.append(np.where(n > 0, mean / np.maximum(sd, eps), -np.inf))
+            yield part.column("strategy")[r].as_py(), *out
 
 
 def pbo(splits: DataFrame) -> DataFrame:

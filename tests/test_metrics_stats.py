@@ -292,3 +292,25 @@ def test_paths_in_buckets_are_plain_loops(spark, monkeypatch, bucket_rows):
         assert np.allclose(worst[r.series], (r.max_drawdown, r.cdar), atol=1e-9)
     assert {r.series: r.crossings for r in metrics.crossings(df, "pnl", F.lit(0.2), ["series"]).collect()} == ups
     assert sorted((r.series or "", r.start, r.end) for r in metrics.spans(df, "flag", ["series"]).collect()) == sorted(runs)
+
+
+def test_cscv_of_many_strategies_is_a_plain_loop(spark):
+    """Ranks and best strategies of all sets, with ties, a strategy without rows in some chunks, and strategies over several tasks."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 48))
+    x[7] = x[3]
+    rows = [(s, t, float(x[s, t])) for s in range(40) for t in range(48) if not (s == 5 and t < 24)]
+    df = spark.createDataFrame(rows, "strategy int, period long, r double").repartition(3)
+    got = {r.combo: (r.best, r["rank"], r.logit) for r in stats.cscv_pbo(df, 6).collect()}
+    sets = list(itertools.combinations(range(6), 3))
+    assert len(got) == len(sets)
+    for k, chosen in enumerate(sets):
+        def sharpe(s, inside):
+            v = [x[s, t] for t in range(48) if ((t // 8) in chosen) == inside and not (s == 5 and t < 24)]
+            return np.mean(v) / max(np.std(v, ddof=1), 1e-12) if v else -np.inf
+
+        inside, outside = [sharpe(s, True) for s in range(40)], [sharpe(s, False) for s in range(40)]
+        best = int(np.argmax(np.round(inside, 12)))
+        rank = 1 + sum(o < outside[best] - 1e-12 for o in outside)
+        assert got[k][:2] == (best, rank)
+        assert math.isclose(got[k][2], math.log((rank - 0.5) / 40 / (1 - (rank - 0.5) / 40)))
