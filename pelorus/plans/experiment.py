@@ -100,7 +100,16 @@ def battery(tables: dict[str, DataFrame], m_minutes: int, n_resamples: int = 500
     drift = row(rolled.agg(F.max("rolling_brier").alias("worst_rolling_brier"), F.avg("baseline").alias("baseline")))
     drift |= row(metrics.crossings(rolled, "rolling_brier", 1.15 * F.col("baseline"), ["instrument"]).agg(F.coalesce(F.sum("crossings"), F.lit(0)).alias("crossings")))
     drift |= row(tables["drift"].agg(F.coalesce(F.sum(F.when(F.col("reason") == "drift", F.col("n_actions"))), F.lit(0)).alias("tree_drifts"), F.coalesce(F.sum(F.when(F.col("reason") == "warning", F.col("n_actions"))), F.lit(0)).alias("tree_warnings")))
-    return {"calibration": calibration, "trading": trading, "controller": last, "drift": drift}
+    return shortened({"calibration": calibration, "trading": trading, "controller": last, "drift": drift})
+
+
+def shortened(x):
+    """Numbers to 12 digits: the order in which tasks' sums meet shows in the last ones, and a rebuilt report is to be the same."""
+    if isinstance(x, dict):
+        return {k: shortened(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return type(x)(shortened(v) for v in x)
+    return float(f"{x:.12g}") if isinstance(x, float) else x
 
 
 def overfit(fills: DataFrame, by: str, period_ns: int, n_chunks: int = 16) -> dict:
