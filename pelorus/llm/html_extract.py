@@ -61,7 +61,7 @@ ENDS = {
 }
 SCOPES = {"html", "body", "article", "main", "section", "div", "td", "th", "table", "aside", "nav", "header", "footer", "form", "blockquote"}
 LISTS = {"ul", "ol", "dl", "tr", "tbody"}
-DROPPED_TAGS = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "object", "canvas", "audio", "video"}
+DROPPED_TAGS = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "object", "canvas", "audio", "video", "label"}
 DROPPED_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation navi breadcrumb breadcrumbs "
     "sidebar side rail aside footer foot masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
@@ -71,6 +71,9 @@ DROPPED_WORDS = set(
 COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus"}
 #: Of the dropped words those that also name parts of a text: in the main element they need the wrapper's word.
 PLAIN_WORDS = {"side", "rail", "foot", "discussion"}
+#: And those that drop a paragraph, heading or quotation only with it (of "search": any element of running text).
+PLAIN_IN_TEXT = {"search", "related", "social"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LAYOUT_WORDS = {"has", "no", "with", "without"}
 OWN_HEADER = {"article", "post", "entry", "content", "story"}
 #: Elements of running text: a word of their id names an anchor, not a kind of element.
@@ -120,7 +123,7 @@ def _named(attributes: str) -> tuple[int, frozenset[str], str]:
 
 
 def parse(page: str) -> Node:
-    """The nodes of a page. Inline elements without class or id leave only their text; missing end tags are implied.
+    """The nodes of a page. Inline elements without class or id leave only their text, unless their tag is dropped; missing end tags are implied.
 
     One pass over the page: a tag that doesn't end within its quotes ends at the next `>`.
     """
@@ -203,7 +206,7 @@ def parse(page: str) -> Node:
         says, words, kind = _named(more) if "=" in more else (NO_NAME, frozenset(), "")
         linked += tag == "a"
         opened[tag] += 1
-        if tag in BLOCKS or words:
+        if tag in BLOCKS or tag in DROPPED_TAGS or words:
             own = Node(tag, f"{tag}.{kind}" if kind else tag, says, words)
             stack[-1][1].items.append(own)
             stack[-1][1].kids.append(own)
@@ -518,7 +521,8 @@ def _dropped(e: Node, inside: bool) -> bool:
     if e.tag in DROPPED_TAGS or e.tag == "header" and not inside:
         return True
     if inside:
-        return e.says == WHOLE and bool(e.words & DROPPED_WORDS - PLAIN_WORDS)
+        plain = PLAIN_IN_TEXT if e.tag in HEADINGS or e.tag in ("p", "blockquote", "pre") else {"search"} if e.tag in TEXT_TAGS else set()
+        return e.says == WHOLE and bool(e.words & DROPPED_WORDS - PLAIN_WORDS - plain)
     if e.words & LAYOUT_WORDS:  # "no-sidebar" and the like say what a page looks like
         return False
     if e.says:
@@ -585,11 +589,38 @@ def _mains(root: Node) -> list[Node]:
     return []
 
 
+def _free_headings(root: Node) -> None:
+    """A heading that is the same in all pages stays if the texts before and after it stay (other such headings aside)."""
+    order: list[tuple[Node, bool, bool]] = []  # elements with text of their own: whether one stays, whether it is such a heading
+    stack = [(root, True)]
+    while stack:
+        e, stays = stack.pop()
+        common = stays and e.tag in HEADINGS and e.flag & (FIXED | LINKED) == FIXED and not _dropped(e, False)
+        stays = stays and (e is root or not _left_out(e, False, False))
+        if e.t:
+            order.append((e, stays, common))
+        stack.extend((k, stays or common) for k in reversed(e.kids))
+    after, free = False, []
+    for e, stays, common in reversed(order):
+        if common:
+            free.append((e, after))
+        else:
+            after = stays
+    before, waiting = False, dict((id(e), ok) for e, ok in free)
+    for e, stays, common in order:
+        if not common:
+            before = stays
+        elif before and waiting[id(e)]:
+            e.flag = 0
+
+
 def text_of(root: Node, rule: Node | None) -> str:
     """The main text of a page: of its main elements, or else of all that isn't dropped and isn't template."""
     if rule is not None:
         _flags(root, rule)
     mains = _mains(root)
+    if not mains:
+        _free_headings(root)
     text = _blocks(mains, True) if mains else _blocks([root], False)
     return text if text or mains else _blocks([root], False, lenient=True)
 

@@ -743,6 +743,28 @@ def test_long_pages_take_time_in_proportion():
         assert time.monotonic() - start < 20 and want in (None, len(got))
 
 
+def test_headings_between_texts_stay():
+    def page(i, title="Results"):
+        return f"<body><div>My site</div><h1>T{i}</h1><p>lead {i} of a story with many words</p><h2>{title}</h2><p>found {i * 7} more of them in the sea</p><h2>Comments</h2><div class=comments>c{i}</div><div>all rights</div></body>"
+
+    assert extract_host([page(i) for i in range(6)]) == [f"T{i}\nlead {i} of a story with many words\nResults\nfound {i * 7} more of them in the sea" for i in range(6)]
+    nested = [f"<body><p>lead {i} of a story with many words</p><div><h2>Results</h2><h3>All</h3><p>found {i} more</p></div><div><h3>Links</h3><ul><li><a href=1>one of them</a></ul></div></body>" for i in range(6)]
+    assert extract_host(nested) == [f"lead {i} of a story with many words\nResults\nAll\nfound {i} more" for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>a</p><button>Share</button><p>b <video>no video</video>c <label>name</label> d</p></article>", "a\nb c d"),
+        ("<article><p>a <canvas>c</canvas><audio>d</audio><object>e</object>b</p></article>", "a b"),
+        ('<article><section class="search"><p>how to look</p></section><p class="related">and more</p><h2 class="social">Of people</h2></article>', "how to look\nand more\nOf people"),
+        ('<article><section class="related"><p>other</p></section><p class="ad">buy</p><p>text</p></article>', "text"),
+    ],
+)
+def test_controls_and_names_in_text(page, want):
+    assert extract(page) == want
+
+
 def test_wrapper_resolves_mismatches():
     of = lambda *pages: html_extract.expression(html_extract.infer(list(pages)).root)
     text = lambda t: hashlib.blake2b(t.encode(), digest_size=8).hexdigest()
