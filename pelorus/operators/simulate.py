@@ -408,6 +408,19 @@ class Engine:
         return out
 
 
+#: What an operator can do to a run, by name; each takes the engine and the command's arguments.
+COMMANDS: dict[str, Callable] = {
+    "flatten": lambda e: [e.broker.dispatch(Action("CLOSE", i), p.open_ts) for i, p in list(e.broker.open.items())],
+    "set_stop": lambda e, position_id, tp=None, sl=None: e.broker.dispatch(Action("MODIFY_STOP", position_id, tp=tp, sl=sl), 0),
+    "kill": lambda e: e.risk.add("kill_switch", True),
+    "unkill": lambda e: e.risk.remove("kill_switch"),
+    "pause": lambda e: setattr(e, "paused", True),
+    "resume": lambda e: setattr(e, "paused", False),
+    "risk_add": lambda e, name, *args: e.risk.add(name, *args),
+    "risk_remove": lambda e, name: e.risk.remove(name),
+}
+
+
 def bar_of(row, cfg: SimConfig) -> dict:
     """A step's input from a row of bars with underlying (open_time ms)."""
     value = lambda k: None if row.get(k) is None or row.get(k) != row.get(k) else row[k]

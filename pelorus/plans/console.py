@@ -12,7 +12,7 @@ import zipfile
 
 import numpy as np
 
-from pelorus.operators.simulate import Action, Engine, SimConfig
+from pelorus.operators.simulate import COMMANDS, Action, Engine, SimConfig
 from pelorus.sources import files
 
 #: What a saved state may be made of.
@@ -36,34 +36,34 @@ class Console:
     def risk_list(self) -> list[str]:
         return list(self.engine.risk.policies)
 
-    def _queue(self, name: str, command) -> None:
+    def _queue(self, name: str, command=None, *args) -> None:
         self.history.append(name)
-        self.engine.commands.append(command)
+        self.engine.commands.append(command or (lambda e: COMMANDS[name](e, *args)))
 
     def flatten(self) -> None:
-        self._queue("flatten", lambda e: [e.broker.dispatch(Action("CLOSE", i), p.open_ts) for i, p in list(e.broker.open.items())])
+        self._queue("flatten")
 
     def set_stop(self, position_id: int, tp: float | None = None, sl: float | None = None) -> None:
-        action = Action("MODIFY_STOP", position_id, tp=tp, sl=sl)
-        self._queue("set_stop", lambda e: e.broker.dispatch(action, 0))
+        Action("MODIFY_STOP", position_id, tp=tp, sl=sl)  # wrong ones fail at once
+        self._queue("set_stop", None, position_id, tp, sl)
 
     def kill(self) -> None:
-        self._queue("kill", lambda e: e.risk.add("kill_switch", True))
+        self._queue("kill")
 
     def unkill(self) -> None:
-        self._queue("unkill", lambda e: e.risk.remove("kill_switch"))
+        self._queue("unkill")
 
     def pause(self) -> None:
-        self._queue("pause", lambda e: setattr(e, "paused", True))
+        self._queue("pause")
 
     def resume(self) -> None:
-        self._queue("resume", lambda e: setattr(e, "paused", False))
+        self._queue("resume")
 
     def risk_add(self, name: str, *args) -> None:
-        self._queue("risk_add", lambda e: e.risk.add(name, *args))
+        self._queue("risk_add", None, name, *args)
 
     def risk_remove(self, name: str) -> None:
-        self._queue("risk_remove", lambda e: e.risk.remove(name))
+        self._queue("risk_remove", None, name)
 
     def save(self, path: str) -> None:
         self._queue("save", lambda e: save_state(e, path))
