@@ -29,23 +29,61 @@ def by_rows(many: Callable[..., np.ndarray]) -> Kernel:
     return one
 
 
+def sliding(kernel: Kernel) -> Callable[[Callable], Callable]:
+    """Give a kernel its form over all windows of a series (values, window), in which neighbouring windows share work."""
+
+    def mark(slide: Callable[..., np.ndarray]) -> Callable[..., np.ndarray]:
+        kernel.slide = slide
+        return slide
+
+    return mark
+
+
+def _scales(n: int) -> np.ndarray:
+    return np.unique(np.exp(np.linspace(np.log(8), np.log(n / 2), 6)).astype(int))
+
+
+def _rescaled(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """R/S of the parts along the last axis (0 where there is none), and whether there is one."""
+    dev = np.cumsum(parts - parts.mean(axis=-1, keepdims=True), axis=-1)
+    r, s = dev.max(axis=-1) - dev.min(axis=-1), parts.std(axis=-1)
+    ok = (r > 0) & (s > 0)
+    return np.where(ok, r, 0.0) / np.where(ok, s, 1.0), ok
+
+
 @by_rows
 def hurst(x: np.ndarray) -> np.ndarray:
     """Rescaled-range exponent: slope of ln(R/S) on ln(scale) over six log-spaced scales from 8 to n/2; NaN below 32 values."""
     n = x.shape[1]
     if n < 32:
         return np.full(len(x), np.nan)
-    logs, found = [], []
-    for m in np.unique(np.exp(np.linspace(np.log(8), np.log(n / 2), 6)).astype(int)):
-        parts = x[:, : n // m * m].reshape(len(x), -1, m)
-        dev = np.cumsum(parts - parts.mean(axis=2, keepdims=True), axis=2)
-        r, s = dev.max(axis=2) - dev.min(axis=2), parts.std(axis=2)
-        ok = (r > 0) & (s > 0)
-        ratio = np.where(ok, r, 0.0) / np.where(ok, s, 1.0)
+    found = []
+    for m in _scales(n):
+        ratio, ok = _rescaled(x[:, : n // m * m].reshape(len(x), -1, m))
         with np.errstate(divide="ignore", invalid="ignore"):
             found.append(np.log(ratio.sum(axis=1) / ok.sum(axis=1)))
-        logs.append(np.log(m))
-    a, b = np.array(logs), np.array(found).T
+    return _slope(np.log(_scales(n)), np.array(found).T)
+
+
+@sliding(hurst)
+def _hurst_slide(x: np.ndarray, window: int) -> np.ndarray:
+    """A part's R/S is the same in every window that has it: it is made once for each place, and a window adds up every m-th."""
+    count = len(x) - window + 1
+    if window < 32:
+        return np.full(count, np.nan)
+    found = []
+    for m in _scales(window):
+        parts = np.lib.stride_tricks.sliding_window_view(x, m)
+        made = [_rescaled(parts[i : i + 16 * AT_ONCE]) for i in range(0, len(parts), 16 * AT_ONCE)]
+        ratio, ok = (np.concatenate(v) for v in zip(*made))
+        at = range(0, window // m * m, m)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found.append(np.log(np.array([ratio[k : k + count] for k in at]).sum(axis=0) / sum(ok[k : k + count].astype(int) for k in at)))
+    return _slope(np.log(_scales(window)), np.array(found).T)
+
+
+def _slope(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Slope of each row of b on a, of the places where it is finite; NaN with fewer than two."""
     has = np.isfinite(b)
     k = has.sum(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -74,6 +112,40 @@ def sample_entropy(x: np.ndarray, m: int = 2, tolerance: float = 0.2) -> np.ndar
         return np.where((r > 0) & (a > 0) & (b > 0), -np.log(a / b), np.nan)
 
 
+@sliding(sample_entropy)
+def _entropy_slide(x: np.ndarray, window: int, m: int = 2, tolerance: float = 0.2) -> np.ndarray:
+    """A pair's distance is the same in every window that has it: it is made once, and a window only counts those within its tolerance.
+
+    Counting goes along the series: the pairs at one place of all windows are consecutive distances.
+    """
+    count, t = len(x) - window + 1, window - m  # templates of a window
+    views = np.lib.stride_tricks.sliding_window_view(x, window)
+    if count < AT_ONCE:
+        return sample_entropy.many(views, m, tolerance)
+    if t <= 1:
+        return np.full(count, np.nan)
+    r = tolerance * np.concatenate([views[i : i + AT_ONCE].std(axis=1) for i in range(0, count, AT_ONCE)])
+    totals = np.zeros((2, count), np.int64)
+    few, hit = np.zeros(count, np.uint8), np.empty(count, bool)
+    for gap in range(1, t):  # templates that start `gap` values apart
+        d = np.abs(x[gap:] - x[:-gap])
+        near = d[: len(d) - m].copy()
+        for k in range(1, m):
+            np.maximum(near, d[k : len(d) - m + k], out=near)
+        for total, far in zip(totals, (near, np.maximum(near, d[m:]))):
+            for at in range(t - gap):
+                np.less_equal(far[at : at + count], r, out=hit)
+                few += hit.view(np.uint8)
+                if at % 255 == 254:  # before the small counters overflow
+                    total += few
+                    few[:] = 0
+            total += few
+            few[:] = 0
+    b, a = totals
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((r > 0) & (a > 0) & (b > 0), -np.log(a / b), np.nan)
+
+
 def kernel_udf(kernel: Kernel) -> Callable[[Column], Column]:
     """array<double> -> double; an error, NaN or infinity in the kernel is null."""
 
@@ -105,7 +177,7 @@ def bounded_batch(df: DataFrame, name: str, kernel: Kernel, source: str, window:
     at = df.withColumn("__nth", F.row_number().over(own) - 1).withColumn("__chunk", F.when(src.isNotNull(), F.floor(F.col("__nth") / length)))
     values = at.where(src.isNotNull()).select("instrument", "__chunk", "__nth", src.cast("double").alias("__x"))
     late = values.where(F.col("__nth") % length >= length - reach).withColumn("__chunk", F.col("__chunk") + 1)
-    many = getattr(kernel, "many", None)
+    many, slide = getattr(kernel, "many", None), getattr(kernel, "slide", None)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("__nth")
@@ -113,7 +185,9 @@ def bounded_batch(df: DataFrame, name: str, kernel: Kernel, source: str, window:
         first = int(key[1]) * length
         rows = np.flatnonzero((nth >= first) & (np.arange(len(nth)) >= reach))
         out = np.full(len(nth), np.nan)
-        if len(rows):
+        if len(rows) and slide is not None:  # a chunk's rows are consecutive
+            out[rows] = slide(x[rows[0] - reach : rows[-1] - reach + window], window)
+        elif len(rows):
             views = np.lib.stride_tricks.sliding_window_view(x, window)
             for i in range(0, len(rows), AT_ONCE):
                 some = rows[i : i + AT_ONCE]

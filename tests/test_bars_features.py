@@ -183,6 +183,35 @@ def test_bounded_batch_over_chunks(spark, monkeypatch):
             assert got[i] is None if w is None or w[0] > 1.5 else math.isclose(got[i], w.sum() + w[-1])
 
 
+def test_sliding_kernels_are_those_of_each_window():
+    rng = np.random.default_rng(3)
+    mixed = np.concatenate([np.zeros(300), rng.normal(size=500), np.ones(200)])
+    for x in (rng.normal(size=1000), np.cumsum(rng.normal(size=1000)), np.round(rng.normal(size=1000)), mixed, rng.normal(size=70)):
+        for w in (2, 3, 8, 33, 64):
+            views = np.lib.stride_tricks.sliding_window_view(x, w)
+            for kernel in (kernels.hurst, kernels.sample_entropy):
+                assert np.allclose(kernel.slide(x, w), kernel.many(views), equal_nan=True, rtol=1e-9)
+    x = np.round(np.random.default_rng(4).normal(size=1200), 1)
+    views = np.lib.stride_tricks.sliding_window_view(x, 600)  # more places than the small counters hold
+    assert np.allclose(kernels.sample_entropy.slide(x, 600), kernels.sample_entropy.many(views), equal_nan=True)
+
+
+def test_sliding_kernels_over_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = [None if i % 17 == 5 else float(v) for i, v in enumerate(rng.normal(size=1500))]
+    df = spark.createDataFrame([(i // 1400 * 7, i, v) for i, v in enumerate(x)], "instrument long, open_time long, x double").repartition(3)
+    monkeypatch.setattr(kernels, "CHUNK", 700)
+    for kernel, plain in ((kernels.hurst, plain_hurst), (kernels.sample_entropy, plain_entropy)):
+        got = {r.open_time: r.k for r in kernels.bounded_batch(df, "k", kernel, "x", 34, 2).collect()}
+        for name in (0, 7):
+            own = [(i, v) for i, v in enumerate(x) if i // 1400 * 7 == name and v is not None]
+            for j in [*range(30, 40), *range(640, 720, 7), len(own) - 1]:
+                if j < len(own):
+                    want = plain(np.array([v for _, v in own[j - 35 : j - 1]])) if j >= 35 else math.nan
+                    assert (got[own[j][0]] is None and not math.isfinite(want)) or math.isclose(got[own[j][0]], want, rel_tol=1e-9)
+    assert len(got) == 1500 and got[5] is None
+
+
 def test_catalog_names_and_kernels(spark):
     names = [s.name for s in features.default_catalog()]
     for known in ("log_quote_volume_rolling_iqr_96", "log_trades_rolling_var_2", "range_hl_lag_5", "buy_ratio_lag_10", "imbalance_rolling_ptp_48", "dow_cos_id", "return_rolling_mean_1"):
