@@ -59,16 +59,35 @@ class Adwin:
 
 
 class _Node:
-    __slots__ = ("feature", "threshold", "left", "right", "count", "mean", "m2", "features", "since", "depth")
+    __slots__ = ("feature", "threshold", "left", "right", "count", "own", "mean", "m2", "features", "since", "depth", "right_by_count", "right_by_bayes")
 
     def __init__(self, features: np.ndarray, depth: int, count: np.ndarray | None = None):
         self.feature, self.features, self.depth, self.since = -1, features, depth, 0.0
         self.count = np.zeros(2) if count is None else count
+        self.own = np.zeros(2)  # of the rows that the means and variances are made of; count has the parent's share too
         self.mean, self.m2 = np.zeros((2, len(features))), np.zeros((2, len(features)))
+        self.right_by_count = self.right_by_bayes = 0.0  # weight of the rows that each way foretold
+
+    def by_count(self) -> float:
+        return float((self.count[1] + 0.5) / (self.count.sum() + 1))
+
+    def by_bayes(self, x: np.ndarray) -> float:
+        """Naive Bayes with a normal density for each class and feature; by counts until both classes have two rows."""
+        if self.own.min() < 2:
+            return self.by_count()
+        var = np.maximum(self.m2 / self.own[:, None], 1e-12)
+        # where both classes have one value, so that a variance is 0, the feature tells nothing
+        tells = (self.m2.max(axis=0) > 0) | (self.mean[0] != self.mean[1])
+        logs = -0.5 * (np.log(var) + (x[self.features] - self.mean) ** 2 / var)
+        odds = math.log((self.count[1] + 0.5) / (self.count[0] + 0.5)) + float((logs[1] - logs[0])[tells].sum())
+        return 1 / (1 + math.exp(-min(max(odds, -30.0), 30.0)))
 
 
 class HoeffdingTree:
-    """Leaves keep each class's mean and variance of a random set of features, and split when Hoeffding's bound allows."""
+    """Leaves keep each class's mean and variance of a random set of features, and split when Hoeffding's bound allows.
+
+    A leaf foretells by naive Bayes where that has been right more often than the class counts.
+    """
 
     def __init__(self, n_features: int, rng: np.random.Generator, grace: int = 50, delta: float = 0.01, tie: float = 0.05, max_depth: int = 12):
         self.n, self.rng, self.grace, self.delta, self.tie, self.max_depth = n_features, rng, grace, delta, tie, max_depth
@@ -84,24 +103,26 @@ class HoeffdingTree:
         return node
 
     def predict(self, x: np.ndarray) -> float:
-        c = self._find(x).count
-        return float((c[1] + 0.5) / (c.sum() + 1))
+        node = self._find(x)
+        return node.by_bayes(x) if node.right_by_bayes > node.right_by_count else node.by_count()
 
     def learn(self, x: np.ndarray, y: int, weight: float) -> None:
         node = self._find(x)
+        node.right_by_count += weight * ((node.by_count() >= 0.5) == bool(y))
+        node.right_by_bayes += weight * ((node.by_bayes(x) >= 0.5) == bool(y))
         node.count[y] += weight
+        node.own[y] += weight
         v = x[node.features]
         d = v - node.mean[y]
-        seen = max(node.count[y], weight)
-        node.mean[y] += d * weight / seen
+        node.mean[y] += d * weight / node.own[y]
         node.m2[y] += weight * d * (v - node.mean[y])
         node.since += weight
-        if node.since >= self.grace and node.count.min() > 0 and node.depth < self.max_depth:
+        if node.since >= self.grace and node.own.min() > 0 and node.depth < self.max_depth:
             node.since = 0.0
             self._split(node)
 
     def _split(self, node: _Node) -> None:
-        c = node.count
+        c = node.own
         sd = np.sqrt(np.maximum(node.m2 / c[:, None], 1e-12))
         lo, hi = (node.mean - 2 * sd).min(axis=0), (node.mean + 2 * sd).max(axis=0)
         cuts = lo + (hi - lo) * np.linspace(0.1, 0.9, 9)[:, None]
@@ -117,7 +138,7 @@ class HoeffdingTree:
             k = int(gain[:, f].argmax())
             node.feature, node.threshold = int(node.features[f]), float(cuts[k, f])
             node.left, node.right = self._leaf(node.depth + 1, below[k, :, f].copy()), self._leaf(node.depth + 1, c - below[k, :, f])
-            node.mean = node.m2 = None
+            node.mean = node.m2 = node.own = None
 
 
 def _entropy(c: np.ndarray) -> np.ndarray:
@@ -132,10 +153,16 @@ class Member:
         self.grow, self.tree = grow, grow()
         self.background: HoeffdingTree | None = None
         self.warning, self.drift = Adwin(WARNING), Adwin(DRIFT)
+        self.right = self.seen = 0
+
+    def vote(self) -> float:
+        """Weight of the tree: its share of right answers since it began; 1 before the first and where none was right."""
+        return self.right / self.seen if self.right else 1.0
 
     def learn(self, x: np.ndarray, y: int, weight: int) -> tuple[int, int]:
         """One row, counted `weight` times; whether there was a warning, and a drift."""
         wrong = float((self.tree.predict(x) >= 0.5) != bool(y))
+        self.right, self.seen = self.right + (not wrong), self.seen + 1
         if weight:
             self.tree.learn(x, y, float(weight))
             if self.background is not None:
@@ -146,12 +173,12 @@ class Member:
         drifted = self.drift.update(wrong)
         if drifted:
             self.tree, self.background = self.background or self.grow(), None
-            self.warning, self.drift = Adwin(WARNING), Adwin(DRIFT)
+            self.warning, self.drift, self.right, self.seen = Adwin(WARNING), Adwin(DRIFT), 0, 0
         return int(warned), int(drifted)
 
 
 class AdaptiveForest:
-    """Predict before learning; one half until the first label. Trees are replaced as their errors drift."""
+    """Predict before learning; one half until the first label. Trees vote by their accuracy and are replaced as their errors drift."""
 
     def __init__(self, names: list[str], n_models: int = 10, lam: float = 6.0, seed: int = 42):
         self.names, self.lam, self.rng, self.seen, self.drifts, self.warnings = names, lam, np.random.default_rng(seed), 0, 0, 0
@@ -167,7 +194,7 @@ class AdaptiveForest:
         if not self.seen:
             return 0.5
         x = self.encode(row)
-        return float(min(1.0, max(0.0, np.mean([m.tree.predict(x) for m in self.members]))))
+        return float(min(1.0, max(0.0, np.average([m.tree.predict(x) for m in self.members], weights=[m.vote() for m in self.members]))))
 
     def learn(self, row: dict, y: int) -> None:
         x = self.encode(row)
