@@ -63,6 +63,7 @@ class CVConfig(Model):
     n_test: int = 2
     purge: int = 1
     embargo: int = 5
+    between: bool = True  # a fold is one run from its first to its last test row, with what lies between its test blocks
 
 
 class GateConfig(Model):

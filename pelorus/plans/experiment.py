@@ -13,7 +13,7 @@ from pelorus.functions import metrics, stats
 from pelorus.operators import bars as B
 from pelorus.operators import controller, features, offline, regime, simulate
 from pelorus.plans import search
-from pelorus.plans.config import ExperimentSpec, ModelConfig
+from pelorus.plans.config import CVConfig, ExperimentSpec, ModelConfig
 from pelorus.plans.pipeline import table_hash
 from pelorus.sources import files, minutes
 
@@ -122,29 +122,38 @@ def overfit(fills: DataFrame, by: str, period_ns: int, n_chunks: int = 16) -> di
 
 
 def cross_validate(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame | None = None) -> tuple[DataFrame, dict]:
-    """Combinatorial purged folds, each a run over the span of its test blocks; folds run side by side.
+    """Combinatorial purged folds: per-fold metrics and their summary.
 
-    Returns per-fold metrics and their summary with the probability of overfitting where folds allow it.
+    A fold is a run from its first to its last test row, or (cv.between false) one of each of its test blocks, so that
+    nothing is traded outside of them. A run up to an earlier row is the beginning of a longer one from the same row:
+    so runs are made once for each start, side by side, and folds take their part of the fills.
     """
     df, names = prepare(spark, spec, rows)
     numbered = df.withColumn("__row", F.row_number().over(features.by_time()) - 1)
     n = numbered.agg(F.max("__row")).first()[0]
-    n = 0 if n is None else n + 1
-    folds = search.purged_folds(spark, n, spec.cv.n_folds, spec.cv.n_test, spec.cv.purge, spec.cv.embargo).where("kind = 'test'")
-    span = folds.groupBy("split").agg(F.min("first").alias("first"), F.max("behind").alias("behind"))
-    cfg = spec.sim(names)
-    # spans begin and end at a few rows, by which rows and spans are cut into the same blocks
-    edges = F.array(*(F.lit(int(x)) for x in sorted({x for r in span.collect() for x in (r["first"], r.behind)})))
-    block = lambda x: F.size(F.filter(edges, lambda e: e <= x))
-    blocks = span.where("first < behind").select("split", "first", "behind", F.explode(F.sequence(block(F.col("first")), block(F.col("behind") - 1))).alias("__block"))
-    near = numbered.withColumn("__block", block(F.col("__row"))).join(F.broadcast(blocks), "__block").drop("__block")  # at most C(n_folds, n_test) * 2 n_folds of them
-
-    done = simulate.replay(near, cfg, ("split", "instrument"))
-    fills = done.where("kind = 'fill'").selectExpr("split", "position_id AS idx", "entry_ts", "exit_ts", "reason", "pnl_net AS pnl")
+    fills = fold_fills(spark, numbered, 0 if n is None else n + 1, spec.cv, spec.sim(names))
     each = metrics.trading(fills, spec.data.m_minutes, ["split"])
     return each, search.fold_summary(each).first().asDict()
 
 
+def fold_fills(spark: SparkSession, numbered: DataFrame, n: int, cv: CvConfig, cfg: simulate.SimConfig) -> DataFrame:
+    """Fills of each fold (split) over bars that have their number in their instrument's run as __row, below n."""
+    folds = search.purged_folds(spark, n, cv.n_folds, cv.n_test, cv.purge, cv.embargo).where("kind = 'test' AND first < behind")
+    pieces = folds.groupBy("split").agg(F.min("first").alias("__start"), F.max("behind").alias("behind")) if cv.between else folds.selectExpr("split", "first AS __start", "behind")
+    runs = pieces.groupBy("__start").agg(F.max("behind").alias("behind"))
+    # runs begin and end at a few rows, by which rows and runs are cut into the same blocks
+    edges = F.array(*(F.lit(int(x)) for x in sorted({x for r in pieces.collect() for x in (r["__start"], r.behind)} or {0})))
+    block = lambda x: F.size(F.filter(edges, lambda e: e <= x))
+    blocks = runs.select("__start", F.explode(F.sequence(block(F.col("__start")), block(F.col("behind") - 1))).alias("__block"))
+    near = numbered.withColumn("__block", block(F.col("__row"))).join(F.broadcast(blocks), "__block").drop("__block")  # at most n_folds ** 2 blocks
+
+    done = simulate.replay(near, cfg, ("__start", "instrument")).where("kind = 'fill'")
+    fills = done.selectExpr("__start", "instrument", "position_id AS idx", "entry_ts", "exit_ts", "reason", "pnl_net AS pnl")
+    ends = numbered.where(F.exists(edges, lambda e: e == F.col("__row"))).select(F.col("instrument").alias("__of"), F.col("__row").alias("__end"), (F.col("open_time") * 1_000_000).alias("__until"))
+    cut = fills.join(F.broadcast(pieces), "__start").join(ends, F.col("instrument").eqNullSafe(F.col("__of")) & (F.col("behind") == F.col("__end")), "left")
+    return cut.where("__until IS NULL OR exit_ts < __until").select("split", "idx", "entry_ts", "exit_ts", "reason", "pnl")
+
+
 def two_pass(spark: SparkSession, spec: ExperimentSpec, rows: DataFrame | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """A first pass that only watches, calibration of each instrument from it, and the run with the adaptive controller.
 
