@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("show").add_argument("out")
     sub.add_parser("rebuild", help="the metrics of a report anew, from its tables").add_argument("out")
     sub.add_parser("list", help="the reports in a folder's folders").add_argument("folder")
-    p = sub.add_parser("archive", help="zip a report away; without one list the archives")
+    p = sub.add_parser("archive", help="move a report to the archives; without one list them")
     p.add_argument("archives")
     p.add_argument("--report")
     p.add_argument("--stamp", default="")

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import io
 import json
-import pathlib
 import pickle
 import platform
-import shutil
 import zipfile
 
 import numpy as np
@@ -128,19 +126,25 @@ def resume(path: str, bars: list[dict], cfg: SimConfig | None = None) -> tuple[E
     return engine, [row for b in bars for row in engine.step(b)]
 
 
-def archive(report: str, archives: str, stamp: str, keep: int = 10) -> pathlib.Path | None:
-    """Zip a report's folder and empty it; the newest `keep` archives by name stay."""
-    base, to = pathlib.Path(report), pathlib.Path(archives)
-    if not base.is_dir() or not any(base.iterdir()):
+def archive(report: str, archives: str, stamp: str, keep: int = 10) -> str | None:
+    """Move a report's folder into the archives and leave it empty; the newest `keep` archives by name stay.
+
+    The move is the file system's own, so tables of any size pass through no machine. None if there is no
+    report; a stamp that is there already is an error. Archives that are zip files count as well.
+    """
+    if not files.names(report) and not files.folders(report):
         return None
-    to.mkdir(parents=True, exist_ok=True)
-    made = pathlib.Path(shutil.make_archive(str(to / stamp), "zip", base))
-    shutil.rmtree(base)
-    base.mkdir()
-    for old in sorted(to.glob("*.zip"))[:-keep]:
-        old.unlink()
+    made = f"{archives}/{stamp}"
+    if stamp in archived(archives):
+        raise FileExistsError(made)
+    files.move(report, made)
+    files.make(report)
+    found = archived(archives)
+    for old in found[: max(0, len(found) - keep)]:
+        files.delete(f"{archives}/{old}")
+        files.delete(f"{archives}/{old}.zip")
     return made
 
 
 def archived(archives: str) -> list[str]:
-    return sorted(p.stem for p in pathlib.Path(archives).glob("*.zip"))
+    return sorted({*files.folders(archives), *(n.removesuffix(".zip") for n in files.names(archives, ".zip"))})

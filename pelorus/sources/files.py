@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pathlib
+import shutil
 
 from pyspark.sql import SparkSession
 
@@ -63,9 +64,31 @@ def folders(folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in at[1].listStatus(at[0]) if s.isDirectory()) if at[1].exists(at[0]) else []
 
 
+def make(folder: str) -> None:
+    at = _at(folder)
+    if at is None:
+        pathlib.Path(folder).mkdir(parents=True, exist_ok=True)
+    else:
+        at[1].mkdirs(at[0])
+
+
+def move(folder: str, to: str) -> None:
+    """Move a folder within its file system; folders above its new place are made."""
+    at, there = _at(folder), _at(to)
+    if at is None:
+        pathlib.Path(to).parent.mkdir(parents=True, exist_ok=True)
+        pathlib.Path(folder).rename(to)
+        return
+    at[1].mkdirs(there[0].getParent())
+    if not at[1].rename(at[0], there[0]):
+        raise OSError(f"{folder} can't be moved to {to}")
+
+
 def delete(path: str) -> None:
+    """Delete a file, or a folder and all in it; nothing if there is none."""
     at = _at(path)
     if at is None:
-        pathlib.Path(path).unlink(missing_ok=True)
+        own = pathlib.Path(path)
+        shutil.rmtree(own) if own.is_dir() else own.unlink(missing_ok=True)
     else:
         at[1].delete(at[0], True)
