@@ -83,8 +83,13 @@ def timestamp_ns(ms: Column) -> Column:
     return ms.cast("long") * NS_PER_MS
 
 
+def floor_div(a: Column, b: int) -> Column:
+    """floor(a / b) of longs, exactly: nanoseconds since 1970 have 61 bits, a double 53."""
+    return F.call_function("div", a - F.pmod(a, F.lit(b)), F.lit(b))
+
+
 def ns_to_ms(ns: Column) -> Column:
-    return F.floor(ns / NS_PER_MS)
+    return floor_div(ns, NS_PER_MS)
 
 
 def duration_ns(value: float, unit: str) -> int:

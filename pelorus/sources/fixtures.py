@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelorus.functions.scalars import epoch_ms
+from pelorus.functions.scalars import epoch_ms, floor_div
 from pelorus.operators.bars import time_bars
 from pelorus.sources.minutes import with_segments
 
@@ -57,8 +57,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trades' day numbers: trade_id, n_open, n_close."""
-    day = F.floor(F.col("entry_ts") / 86_400_000_000_000)
-    return trades(spark, sf_dir).select(F.col("idx").alias("trade_id"), day.alias("n_open"), F.floor(F.col("exit_ts") / 86_400_000_000_000).alias("n_close"))
+    day = lambda c: floor_div(F.col(c), 86_400_000_000_000)
+    return trades(spark, sf_dir).select(F.col("idx").alias("trade_id"), day("entry_ts").alias("n_open"), day("exit_ts").alias("n_close"))
 
 
 def returns(spark: SparkSession, sf_dir: str, strategies: int = 5, every: int = 50) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pelorus.functions import metrics, stats
+from pelorus.functions import metrics, scalars, stats
 
 
 def preds(spark, y, p, regime=None):
@@ -314,3 +314,11 @@ def test_cscv_of_many_strategies_is_a_plain_loop(spark):
         rank = 1 + sum(o < outside[best] - 1e-12 for o in outside)
         assert got[k][:2] == (best, rank)
         assert math.isclose(got[k][2], math.log((rank - 0.5) / 40 / (1 - (rank - 0.5) / 40)))
+
+
+def test_nanoseconds_to_milliseconds_are_exact(spark):
+    """A whole millisecond stays the same one: the nearest double of its nanoseconds can be below it."""
+    ms = [1704067705002, 1704072749466, 1704067415746, 0, -1, -1704067705002]
+    ns = [(m * 10**6 + rest, m) for m in ms for rest in (0, 1, 999_999)] + [(None, None)]
+    got = spark.createDataFrame(ns, "ns long, ms long").withColumn("got", scalars.ns_to_ms(F.col("ns")))
+    assert [r.got for r in got.collect()] == [m for _, m in ns] and dict(got.dtypes)["got"] == "bigint"
