@@ -1,14 +1,19 @@
 """Block bootstrap of series of any length over many tasks, with the result of the in-memory one for the same seed.
 
 A resample's blocks follow from the seed, the resample's number and the number of a chunk of its positions, so any
-task can draw any part of it. Statistics are differences of prefix sums at a block's ends; a path's greatest fall comes from
-summaries (sum, highest, lowest, fall) that merge. A series of up to WHOLE values meets ranges of resamples as one
-array; a longer one stays in buckets of positions, and the blocks are dealt to the buckets that they read.
+task can draw any part of it. A task has a range of resamples of one series, whose buckets of positions it gets one after
+another. It keeps up to WHOLE values as an array, of a longer series in a file of its own, which it maps; and it makes a resample
+chunk by chunk, adding up moments and the summaries (sum, highest, lowest, fall) of a path. So neither memory nor a row
+grows with the series, and what is shuffled is the series once for each range, not the blocks.
 """
 
 from __future__ import annotations
 
+import contextlib
 import math
+import mmap
+import os
+import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,17 +26,16 @@ from pelorus.functions import metrics
 
 #: Positions of a resample that have a generator of their own.
 CHUNK = 1 << 16
-#: Values of a series that one task takes as an array, positions of a bucket, and resamples that go together.
+#: Values of a series that a task keeps in memory, positions of a bucket, least resamples that go together, and most ranges of resamples of a series.
 WHOLE = 1 << 21
 BUCKET = 1 << 14
 TOGETHER = 64
+RANGES = 24
 #: Distinct probabilities of a bucket of the PR curve.
 LEVELS = 1 << 16
 #: The number that stands for the series as it is.
 ORIGINAL = -1
 MOST_LAGS = 256
-PART = np.dtype([("resample", np.int32), ("chunk", np.int32), ("nth", np.int32), ("at", np.int32), ("size", np.int32)])
-PATH = np.dtype([("resample", np.int32), ("nth", np.int64), ("sum", float), ("high", float), ("low", float), ("fall", float)])
 
 
 # Drawing
@@ -82,6 +86,14 @@ def blocks(n: int, block: int, seed: int, resample: int, width: int = CHUNK) ->
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
+def places(n: int, block: int, seed: int, resample: int, chunk: int, width: int = CHUNK) -> np.ndarray:
+    """The places that a chunk of a resample's positions reads, in order."""
+    if block == 1 and resample != ORIGINAL:
+        return heads(n, block, seed, resample, chunk, width)[1]
+    start, size = chunk_blocks(n, block, seed, resample, chunk, width)
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def indices(n: int, block: int, seed: int, resample: int, width: int = CHUNK) -> np.ndarray:
     """The places that a resample reads, in order: circular blocks of geometric length from uniform starts."""
     start, size = blocks(n, block, seed, resample, width)
@@ -160,19 +172,37 @@ class Falls:
         return out
 
 
-def resampled(x: np.ndarray, block: int, seed: int, resamples: list[int], path: bool = False, width: int = CHUNK) -> tuple[float, np.ndarray, np.ndarray]:
-    """In memory: the mean, the sums of `features` of each resample, and the greatest falls."""
-    n, mean = len(x), float(np.mean(x))
-    rows = features(x - mean, mean)
-    before = np.concatenate([np.zeros((len(rows), 1)), np.cumsum(rows, axis=1)], axis=1)
-    sums, fall = np.zeros((len(rows), len(resamples))), np.zeros(len(resamples))
+def resampled(x: np.ndarray, mean: float, block: int, seed: int, resamples: list[int], metric: str, width: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of `features` of each resample that the metric needs, and the greatest falls of its path: chunk by chunk."""
+    n = len(x)
+    sums, fall = np.zeros((5, len(resamples))), np.zeros(len(resamples))
     for k, b in enumerate(resamples):
-        start, size = blocks(n, block, seed, b, width)
-        sums[:, k] = (before[:, start + size] - before[:, start]).sum(axis=1)
-        if path:
-            level = np.cumsum(x[np.repeat(start - np.cumsum(size) + size, size) + np.arange(n)])
-            fall[k] = (np.maximum.accumulate(level) - level).max()
-    return mean, sums, fall
+        path = np.array([0.0, -np.inf, np.inf, 0.0])[:, None]
+        for chunk in range(-(-n // width)):
+            own = np.take(x, places(n, block, seed, b, chunk, width))
+            if metric == "max_drawdown":
+                level = np.cumsum(own)
+                high = np.maximum.accumulate(level)
+                path = merged(path, np.array([level[-1], high[-1], level.min(), (high - level).max()])[:, None])
+            elif metric == "sortino":
+                sums[:, k] += features(own - mean, mean).sum(axis=1)
+            else:
+                own -= mean
+                sums[:2, k] += own.sum(), own @ own
+        fall[k] = path[3, 0]
+    return sums, fall
+
+
+@contextlib.contextmanager
+def room(n: int, whole: int) -> Iterator[np.ndarray]:
+    """An array for n values: beyond `whole` of them a mapped file in a local directory of Spark's, which has no name and goes with it."""
+    if n <= whole:
+        yield np.empty(n)
+        return
+    local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    with tempfile.TemporaryFile(dir=local if os.path.isdir(local) else None) as file:
+        file.truncate(8 * n)
+        yield np.frombuffer(mmap.mmap(file.fileno(), 8 * n), float)
 
 
 # Series as tables
@@ -244,115 +274,43 @@ def samples(df: DataFrame, by: str, value: str, order: str | Sequence[str], metr
     else:
         sizes = sizes.withColumn("block", F.when(F.col("n") >= 8, F.lit(block)))
     sizes = sizes.withColumn("resamples", F.when(F.col("block").isNull(), 0).otherwise(n))
-    limit = F.lit(WHOLE if whole is None else whole)
-    groups = F.explode(F.sequence(F.lit(0), F.floor(F.col("resamples") / TOGETHER).cast("int")))
-    asked = sizes.withColumn("range", groups)
-    path, kind = metric == "max_drawdown", cells.schema["key"].dataType.simpleString()
-    small = _whole(cells, asked.where(F.col("n") <= limit), seed, path, kind)
-    large = _dealt(cells, asked.where(F.col("n") > limit), seed, path, kind)
+    many = F.greatest(F.lit(TOGETHER), F.ceil(F.col("resamples") / RANGES).cast("int"))
+    asked = sizes.withColumn("many", many).withColumn("range", F.explode(F.sequence(F.lit(0), F.floor(F.col("resamples") / F.col("many")).cast("int"))))
+    made = _read(cells, asked, seed, metric, WHOLE if whole is None else whole)
     done = F.pandas_udf(lambda m, mean, sums, fall: pd.Series(finished(metric, m.to_numpy(float), mean.to_numpy(), np.array(sums.tolist(), float).reshape(-1, 5).T, fall.to_numpy())), "double")
-    return small.unionByName(large).select("key", "resample", done("n", "mean", "sums", "fall").alias("value"))
+    return made.select("key", "resample", done("n", "mean", "sums", "fall").alias("value"))
 
 
-def _numbers(range_: int, resamples: int) -> list[int]:
+def _numbers(range_: int, resamples: int, many: int = 0) -> list[int]:
     """The resamples of a range; the original goes with the first."""
-    return [*([ORIGINAL] if range_ == 0 else []), *range(range_ * TOGETHER, min(resamples, (range_ + 1) * TOGETHER))]
-
-
-RESULT = "resample int, n long, mean double, sums array<double>, fall double"
+    many = many or TOGETHER
+    return [*([ORIGINAL] if range_ == 0 else []), *range(range_ * many, min(resamples, (range_ + 1) * many))]
 
 
-def _whole(cells: DataFrame, asked: DataFrame, seed: int, path: bool, kind: str) -> DataFrame:
-    series = cells.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "values"))), lambda c: c["values"])).alias("x"))
-    both, width = asked.repartition("key", "range").join(series, "key"), CHUNK
+def _read(cells: DataFrame, asked: DataFrame, seed: int, metric: str, whole: int) -> DataFrame:
+    """Sums and falls of ranges of resamples: each range's task gets the buckets of its series in order."""
+    spark, width, cell = cells.sparkSession, CHUNK, BUCKET
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    about = ["n", "mean", "block", "resamples", "many"]
+    met = cells.join(asked, "key").repartition(tasks, "key", "range").sortWithinPartitions("key", "range", "bucket")
+    kind = cells.schema["key"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for r in range(part.num_rows):
-                n, block, many, range_ = (part.column(c)[r].as_py() for c in ("n", "block", "resamples", "range"))
-                own = _numbers(range_, many)
-                if own:
-                    mean, sums, fall = resampled(part.column("x")[r].values.to_numpy(), block or 1, seed, own, path, width)
-                    m = len(own)
-                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array([r] * m)), pa.array(own, pa.int32()), pa.array([n] * m, pa.int64()), pa.array([mean] * m), pa.array(sums.T.tolist(), pa.list_(pa.float64())), pa.array(fall)], ["key", "resample", "n", "mean", "sums", "fall"])
-
-    return both.select("key", "n", "block", "resamples", "range", "x").mapInArrow(run, f"key {kind}, {RESULT}")
-
-
-def _dealt(cells: DataFrame, asked: DataFrame, seed: int, path: bool, kind: str) -> DataFrame:
-    """Blocks of ranges of resamples and chunks of positions, dealt to the buckets they read; sums meet by resample, paths by chunk and then by resample."""
-    width, cell = CHUNK, BUCKET
-    drawn = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / width).cast("int")))).repartition("key", "range", "chunk")
-
-    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for r in range(part.num_rows):
-                n, block, many, range_, chunk = (part.column(c)[r].as_py() for c in ("n", "block", "resamples", "range", "chunk"))
-                found = []
-                for b in _numbers(range_, many):
-                    start, size = chunk_blocks(n, block or 1, seed, b, chunk, width)
-                    while (over := start % cell + size > cell).any():  # blocks don't leave their bucket
-                        first = cell - start[over] % cell
-                        spot, rest, on = np.flatnonzero(over) + 1, size[over] - first, start[over] + first
-                        size[over] = first
-                        start, size = np.insert(start, spot, on), np.insert(size, spot, rest)
-                    own = np.zeros(len(start), PART)
-                    own["resample"], own["chunk"], own["nth"], own["at"], own["size"] = b, chunk, np.arange(len(start)), start % cell, size
-                    found.append((start // cell, own))
-                if found:
-                    bucket, own = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                    order = np.argsort(bucket, kind="stable")
-                    cut = np.flatnonzero(np.diff(bucket[order])) + 1
-                    blobs = [own[o].tobytes() for o in np.split(order, cut)]
-                    to = bucket[order][np.concatenate([[0], cut])]
-                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array([r] * len(blobs))), pa.array([range_] * len(blobs), pa.int32()), pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], ["key", "range", "bucket", "blocks"])
-
-    dealt = drawn.select("key", "n", "block", "resamples", "range", "chunk").mapInArrow(draw, f"key {kind}, range int, bucket int, blocks binary")
-    met = dealt.join(cells, ["key", "bucket"]).join(asked.select("key", "n", "mean").distinct(), "key")
-
-    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for r in range(part.num_rows):
-                x, mean = part.column("values")[r].values.to_numpy(), part.column("mean")[r].as_py()
-                own = np.frombuffer(part.column("blocks")[r].as_py(), PART)
-                rows = features(x - mean, mean)
-                before = np.concatenate([np.zeros((len(rows), 1)), np.cumsum(rows, axis=1)], axis=1)
-                at, to = own["at"].astype(np.int64), own["at"].astype(np.int64) + own["size"]
-                resample, inverse = np.unique(own["resample"], return_inverse=True)
-                sums = np.stack([np.bincount(inverse, f, len(resample)) for f in before[:, to] - before[:, at]])
-                chunk, where = np.unique(own["chunk"], return_inverse=True)
-                paths = [b""] * len(chunk)
-                if path:
-                    made = np.zeros(len(own), PATH)
-                    made["resample"], made["nth"] = own["resample"], own["nth"]
-                    made["sum"], made["high"], made["low"], made["fall"] = Falls(x).of(at, own["size"].astype(np.int64))
-                    paths = [made[where == k].tobytes() for k in range(len(chunk))]
-                key = part.column("key").take(pa.array([r]))
-                counted = pa.array([sums.T.reshape(-1).tolist()], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([key, part.column("range").slice(r, 1), pa.array([resample.tolist()], pa.list_(pa.int32())), counted, pa.array([[{"chunk": c, "path": p} for c, p in zip(chunk.tolist(), paths)]], pa.list_(pa.struct([("chunk", pa.int32()), ("path", pa.binary())])))], ["key", "range", "resamples", "sums", "paths"])
-
-    got = met.select("key", "range", "blocks", "values", "mean").mapInArrow(read, f"key {kind}, range int, resamples array<int>, sums array<double>, paths array<struct<chunk int, path binary>>")
-    each = got.select("key", F.posexplode("resamples").alias("i", "resample"), "sums").select("key", "resample", *(F.get("sums", 5 * F.col("i") + k).alias(f"s{k}") for k in range(5)))
-    sums = each.groupBy("key", "resample").agg(F.array(*(F.sum(f"s{k}") for k in range(5))).alias("sums"))
-    sums = sums.join(asked.select("key", "n", "mean").distinct(), "key")
-    if not path:
-        return sums.withColumn("fall", F.lit(0.0)).select("key", "resample", "n", "mean", "sums", "fall")
-
-    def fold(group: pa.Table) -> pa.Table:
-        own = np.frombuffer(b"".join(group.column("path").to_pylist()), PATH)
-        own = own[np.lexsort((own["nth"], own["resample"]))]
-        values, resample = folded(np.stack([own[c] for c in ("sum", "high", "low", "fall")]), own["resample"])
-        m = len(resample)
-        key = group.column("key").combine_chunks().take(pa.array([0] * m))
-        return pa.table([key, pa.array(resample, pa.int32()), pa.array([group.column("chunk")[0].as_py()] * m, pa.int32()), *map(pa.array, values)], names=["key", "resample", "chunk", "s", "high", "low", "fall"])
-
-    chunks = got.select("key", "range", F.explode("paths").alias("p")).select("key", "range", F.col("p.chunk").alias("chunk"), F.col("p.path").alias("path"))
-    chunks = chunks.groupBy("key", "range", "chunk").applyInArrow(fold, f"key {kind}, resample int, chunk int, s double, high double, low double, fall double")
-    zero = F.struct(*(F.lit(v).alias(c) for c, v in (("s", 0.0), ("high", float("-inf")), ("fall", 0.0))))
-    step = lambda a, b: F.struct((a["s"] + b["s"]).alias("s"), F.greatest(a["high"], a["s"] + b["high"]).alias("high"), F.greatest(a["fall"], b["fall"], a["high"] - a["s"] - b["low"]).alias("fall"))
-    ordered = F.sort_array(F.collect_list(F.struct("chunk", "s", "high", "low", "fall")))
-    falls = chunks.groupBy("key", "resample").agg(F.aggregate(ordered, zero, step)["fall"].alias("fall"))
-    return sums.join(falls, ["key", "resample"]).select("key", "resample", "n", "mean", "sums", "fall")
+        with contextlib.ExitStack() as stack:
+            for part in parts:
+                for r in range(part.num_rows):
+                    bucket, n, mean, block, resamples, many = (part.column(c)[r].as_py() for c in ("bucket", *about))
+                    if bucket == 0:
+                        stack.close()
+                        x = stack.enter_context(room(n, whole))
+                    values = part.column("values")[r].values.to_numpy()
+                    x[bucket * cell : bucket * cell + len(values)] = values
+                    if bucket * cell + len(values) == n and (own := _numbers(part.column("range")[r].as_py(), resamples, many)):
+                        sums, fall = resampled(x, mean, block or 1, seed, own, metric, width)
+                        m = len(own)
+                        yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array([r] * m)), pa.array(own, pa.int32()), pa.array([n] * m, pa.int64()), pa.array([mean] * m), pa.array(sums.T.tolist(), pa.list_(pa.float64())), pa.array(fall)], ["key", "resample", "n", "mean", "sums", "fall"])
+
+    return met.select("key", "range", "bucket", "values", *about).mapInArrow(run, f"key {kind}, resample int, n long, mean double, sums array<double>, fall double")
 
 
 def intervals(made: DataFrame, confidence: float = 0.95) -> DataFrame:

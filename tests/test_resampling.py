@@ -1,6 +1,7 @@
 """Resamples over many tasks against those in memory, with the same seeds."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -101,3 +102,18 @@ def test_sequential_bootstrap_draws_by_uniqueness(spark, monkeypatch):
     assert abs(np.mean([x.value for x in even.where("resample >= 0").collect()]) - 2.0) < 0.05
     with pytest.raises(ValueError):
         resampling.weighted_samples(df, "series", "pnl", "n_open", "trade_id", "max_drawdown")
+
+
+def test_a_long_series_takes_no_more_memory_than_a_chunk():
+    """Resamples of a mapped series are made chunk by chunk: no array, of draws or prefix sums, is as long as the series."""
+    n = 2_000_000
+    with resampling.room(n, 100) as x:
+        x[:] = np.random.default_rng(1).normal(size=n)
+        tracemalloc.start()
+        for metric in ("sharpe", "sortino", "max_drawdown"):
+            for block in (1, 20):
+                sums, fall = resampling.resampled(x, float(x.mean()), block, 1, [-1, 0], metric)
+                assert (sums[0, 1] != sums[0, 0]) == (metric != "max_drawdown") and (fall > 0).all() == (metric == "max_drawdown")
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert most < 8 * n
