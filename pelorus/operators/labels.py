@@ -53,17 +53,18 @@ def chronological_split(df: DataFrame, fraction: float = 0.8) -> DataFrame:
     return numbered(df).withColumn("is_train", F.col("nth") <= F.floor(F.col("n") * fraction)).drop("nth", "n")
 
 
-def asymmetric_weights(df: DataFrame, phi: float, w_max: float = 5.0, q_tail: float = 0.001, use_positive: bool = False, m: str = "log_excursion", label: str = "label") -> DataFrame:
+def asymmetric_weights(df: DataFrame, phi: float, w_max: float = 5.0, q_tail: float = 0.001, use_positive: bool = False, m: str = "log_excursion", label: str = "label", flat: float = 1.0) -> DataFrame:
     """weight: near misses among negatives weigh up to w_max, positives 1.
 
     Distance d = max(0, phi - m), cut at its (1 - q_tail) quantile d* among negatives (per instrument);
-    weight exp(min(lambda d, ln w_max)) with lambda = ln(w_max) / d*.
+    weight exp(min(lambda d, ln w_max)) with lambda = ln(w_max) / d*. Where d* is 0 negatives weigh `flat`: 1, or w_max
+    if a distance that reaches d* is to have the most weight there too.
     """
     d = F.greatest(F.lit(0.0), F.lit(phi) - F.col(m))
     df = df.withColumn("__d", d)
     star = quantiles(df.where(F.col(label) == 0), "__d", [1 - q_tail], ["instrument"]).select("instrument", F.col("quantiles")[0].alias("__star"))
     rate = math.log(w_max) / F.col("__star")
-    grown = F.when(F.col("__star") > 0, F.exp(F.least(rate * F.col("__d"), F.lit(math.log(w_max))))).otherwise(1.0)
+    grown = F.when(F.col("__star") > 0, F.exp(F.least(rate * F.col("__d"), F.lit(math.log(w_max))))).otherwise(float(flat))
     positive = F.when(F.col("__star") > 0, F.exp(F.least(rate * F.greatest(F.lit(0.0), F.col(m) - F.lit(phi)), F.lit(math.log(w_max))))).otherwise(1.0) if use_positive else F.lit(1.0)
     return df.join(star, "instrument", "left").withColumn("weight", F.when(F.col(label) == 0, grown).when(F.col(label) == 1, positive)).drop("__d", "__star")
 

@@ -247,3 +247,11 @@ def test_scalars(spark):
     assert (one.i.start, one.i.end, one.o) == (3, 5, False) and math.isclose(one.b, 12.0)
     with pytest.raises(Exception, match="not a price"):
         spark.range(1).select(S.price(F.lit(-1.0))).collect()
+
+
+def test_asymmetric_weights_without_near_misses(spark):
+    """No negative is short of phi, so d* is 0: negatives weigh 1, or what `flat` says (the SQL of asym_weights: 5)."""
+    df = spark.createDataFrame([("a", 0.9, 0), ("a", 0.6, 0), ("a", 2.0, 1), ("a", None, None), ("b", 0.1, 0)], "instrument string, log_excursion double, label int")
+    for flat, more in ((1.0, {}), (5.0, {"flat": 5.0})):
+        got = {(r.instrument, r.log_excursion): r.weight for r in labels.asymmetric_weights(df, 0.5, **more).collect()}
+        assert got["a", 0.9] == got["a", 0.6] == flat and got["a", 2.0] == 1 and got["a", None] is None and math.isclose(got["b", 0.1], 5)
