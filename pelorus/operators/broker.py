@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pelorus.functions import metrics
+
 
 @dataclasses.dataclass(frozen=True)
 class Costs:
@@ -114,9 +116,21 @@ def first_touch_in(underlying: str, entry: Column, tp: float, sl: float, side: i
 
 
 def order_rate(orders: DataFrame, ts_ms: str = "ts", window_ms: int = 60_000, most: int = 10, by: str = "instrument") -> DataFrame:
-    """recent: orders in the last window (this one included), and allowed while they are at most `most`."""
-    w = Window.partitionBy(by).orderBy(ts_ms).rangeBetween(-window_ms, 0)
-    return orders.withColumn("recent", F.count("*").over(w)).withColumn("allowed", F.col("recent") <= most)
+    """recent: orders in the last window (this one included), and allowed while they are at most `most`.
+
+    Orders up to a time less those before its window: both are running sums over distinct times and their windows' starts, in
+    buckets of a window's length, so the work for an order doesn't grow with the orders of its window. Null times are a window.
+    """
+    times = orders.groupBy(by, F.col(ts_ms).alias("__ts")).agg(F.count("*").alias("__n"))
+    end = F.struct(F.col("__ts").alias("at"), F.lit(1).alias("kind"), "__ts", "__n")
+    start = F.struct((F.col("__ts") - window_ms).alias("at"), F.lit(0).alias("kind"), "__ts", F.lit(0).cast("long").alias("__n"))
+    points = times.where("__ts IS NOT NULL").select(by, F.explode(F.array(end, start)).alias("__p")).select(by, "__p.*")
+    points = points.withColumn("__order", F.struct("at", "kind"))
+    sums = metrics.running(points, [by], "__order", {"__before": "__n"}, F.floor(F.col("at") / max(1, window_ms)))
+    signed = F.when(F.col("kind") == 1, F.col("__before") + F.col("__n")).otherwise(-F.col("__before"))
+    found = sums.groupBy(by, "__ts").agg(F.sum(signed).alias("recent"))
+    found = found.union(times.where("__ts IS NULL").select(by, "__ts", "__n")).withColumnRenamed("__ts", ts_ms)
+    return metrics.join_by(orders, found, [by, ts_ms]).withColumn("allowed", F.col("recent") <= most)
 
 
 def gate(p: str = "p", tau: float = 0.5, k: float = 5.0) -> dict[str, Column]:

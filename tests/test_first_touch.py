@@ -57,3 +57,15 @@ def test_rows_read_do_not_grow_with_the_horizon():
             hit = np.flatnonzero((high[start[i] : end[i]] >= above[i]) | (high[start[i] : end[i]] - 0.1 <= below[i]))
             assert got[i] == (start[i] + hit[0] if len(hit) else end[i])
     assert len(extrema.tables) == 14
+
+
+def test_order_rate_by_running_sums(spark):
+    """Ties, null times and a null instrument; no frame of rows of the window, which takes time by the orders in it."""
+    rng = np.random.default_rng(1)
+    rows = [(["a", "b", None][i % 3], i, None if i % 17 == 0 else int(t)) for i, t in enumerate(rng.integers(0, 500, 400))]
+    out = broker.order_rate(spark.createDataFrame(rows, "instrument string, id long, ts long"), "ts", 20, 3)
+    got = {r.id: (r.recent, r.allowed) for r in out.collect()}
+    for g, i, t in rows:
+        n = sum(h == g and (u is None if t is None else u is not None and t - 20 <= u <= t) for h, _, u in rows)
+        assert got[i] == (n, n <= 3)
+    assert "RangeFrame" not in out._jdf.queryExecution().toString()
