@@ -329,42 +329,75 @@ def weighted_samples(df: DataFrame, by: str, value: str, weight: str, order: str
     """key, resample, value: a metric (not a path's) of the original and of n resamples that draw values in proportion to a weight.
 
     With the uniqueness of overlapping trades as weight this is the sequential bootstrap's interval. Rows without a weight weigh
-    nothing; a group without any weight draws evenly. Draws are dealt to buckets by a multinomial that every task draws alike.
+    nothing; a group without any weight draws evenly. Each resample's draws are dealt to buckets by a multinomial, made once for a group;
+    a bucket draws for all resamples, by Walker's alias table of its weights.
     """
     if metric == "max_drawdown":
         raise ValueError("draws of single values have no path")
     rows = positions(df, by, value, order, weight).withColumn("w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
     cells = rows.groupBy("key", F.floor(F.col("at") / BUCKET).cast("int").alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("at", "x", "w"))).alias("v"), F.sum("w").alias("w"), F.sum("x").alias("s"), F.count("*").alias("m"))
     whole = cells.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("bucket", "w", "m"))).alias("all"), (F.sum("s") / F.sum("m")).alias("mean"), F.sum("m").alias("n"))
-    rows = cells.select("key", "bucket", F.col("v.x").alias("x"), F.col("v.w").alias("w")).join(whole.select("key", F.col("all.w").alias("all_w"), F.col("all.m").alias("all_m"), "mean", "n"), "key")
-    rows = rows.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(n // TOGETHER)))).repartition("key", "bucket", "range")
-    kind = rows.schema["key"].dataType.simpleString()
+    kind = cells.schema["key"].dataType.simpleString()
+
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for r in range(part.num_rows):
+                bucket, all_w, all_m = (part.column(c)[r].values.to_numpy() for c in ("bucket", "all_w", "all_m"))
+                size, mean = part.column("n")[r].as_py(), part.column("mean")[r].as_py()
+                even = not all_w.sum()
+                share = all_m / size if even else all_w / all_w.sum()
+                counts = np.random.default_rng([seed, 0]).multinomial(size, share, n)
+                for at in range(0, len(bucket), 512):
+                    own = bucket[at : at + 512]
+                    m = len(own)
+                    dealt = pa.ListArray.from_arrays(np.arange(m + 1, dtype=np.int32) * n, pa.array(np.ascontiguousarray(counts[:, at : at + 512].T).reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array([r] * m, pa.int64())), pa.array(own), pa.array([even] * m), pa.array([size] * m, pa.int64()), pa.array([mean] * m, pa.float64()), dealt], ["key", "bucket", "even", "n", "mean", "counts"])
+
+    dealt = whole.select("key", F.col("all.bucket").alias("bucket"), F.col("all.w").alias("all_w"), F.col("all.m").alias("all_m"), "mean", "n").mapInArrow(deal, f"key {kind}, bucket int, even boolean, n long, mean double, counts array<long>")
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = cells.select("key", "bucket", F.col("v.x").alias("x"), F.col("v.w").alias("w")).join(dealt, ["key", "bucket"]).repartition(tasks, "key", "bucket")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for r in range(part.num_rows):
-                x, w, all_w, all_m = (part.column(c)[r].values.to_numpy() for c in ("x", "w", "all_w", "all_m"))
-                mean, size, bucket, range_ = (part.column(c)[r].as_py() for c in ("mean", "n", "bucket", "range"))
-                if not all_w.sum():
-                    w, all_w = np.ones(len(x)), all_m.astype(float)
-                own = _numbers(range_, n)
-                counts = [drawn_counts(w, bucket, all_w, size, seed, b) for b in own]
-                sums = features(x - mean, mean) @ np.array(counts).T
+                x, w, counts = (part.column(c)[r].values.to_numpy() for c in ("x", "w", "counts"))
+                bucket, even, size, mean = (part.column(c)[r].as_py() for c in ("bucket", "even", "n", "mean"))
+                rng, table = np.random.default_rng([seed, 1 + bucket]), alias_table(np.ones(len(x)) if even or not w.sum() else w)
+                each = features(x - mean, mean).T
+                sums = [each.sum(axis=0), *(np.bincount(alias_draws(table, int(c), rng), minlength=len(x)) @ each for c in counts)]
+                own = [ORIGINAL, *range(n)]
                 m = len(own)
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array([r] * m, pa.int64())), pa.array(own, pa.int32()), pa.array([size] * m, pa.int64()), pa.array([mean] * m, pa.float64()), *map(pa.array, sums)], ["key", "resample", "n", "mean", *(f"s{k}" for k in range(5))])
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array([r] * m, pa.int64())), pa.array(own, pa.int32()), pa.array([size] * m, pa.int64()), pa.array([mean] * m, pa.float64()), *map(pa.array, np.array(sums).T)], ["key", "resample", "n", "mean", *(f"s{k}" for k in range(5))])
 
-    parts = rows.select("key", "bucket", "range", "x", "w", "all_w", "all_m", "mean", "n").mapInArrow(run, f"key {kind}, resample int, n long, mean double, " + ", ".join(f"s{k} double" for k in range(5)))
+    parts = rows.select("key", "bucket", "x", "w", "even", "mean", "n", "counts").mapInArrow(run, f"key {kind}, resample int, n long, mean double, " + ", ".join(f"s{k} double" for k in range(5)))
     each = parts.groupBy("key", "resample", "n", "mean").agg(F.array(*(F.sum(f"s{k}") for k in range(5))).alias("sums"))
     done = F.pandas_udf(lambda m, mean, sums: pd.Series(finished(metric, m.to_numpy(float), mean.to_numpy(), np.array(sums.tolist(), float).reshape(-1, 5).T, np.zeros(len(m)))), "double")
     return each.select("key", "resample", done("n", "mean", "sums").alias("value"))
 
 
-def drawn_counts(w: np.ndarray, bucket: int, all_w: np.ndarray, n: int, seed: int, resample: int) -> np.ndarray:
-    """How often each value of a bucket is drawn by a resample of n draws."""
-    if resample == ORIGINAL:
-        return np.ones(len(w))
-    here = np.random.default_rng([seed, resample, 0]).multinomial(n, all_w / all_w.sum())[bucket]
-    return np.random.default_rng([seed, resample, 1 + bucket]).multinomial(here, w / w.sum()) if here else np.zeros(len(w))
+def alias_table(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Walker's table of weights: cell i is i itself with a probability, else its alias."""
+    n = len(w)
+    p = (w * (n / w.sum())).tolist()
+    chance, other = np.ones(n), np.arange(n)
+    low, high = [i for i in range(n) if p[i] < 1], [i for i in range(n) if p[i] >= 1]
+    while low and high:
+        i, k = low.pop(), high[-1]
+        chance[i], other[i] = p[i], k
+        p[k] -= 1 - p[i]
+        if p[k] < 1:
+            low.append(high.pop())
+    return chance, other
+
+
+def alias_draws(table: tuple[np.ndarray, np.ndarray], many: int, rng: np.random.Generator) -> np.ndarray:
+    """Places drawn in proportion to the table's weights."""
+    chance, other = table
+    place = rng.random(many) * len(chance)
+    at = np.minimum(place.astype(np.int64), len(chance) - 1)
+    place -= at
+    return np.where(place < chance[at], at, other[at])
 
 
 # PR-AUC

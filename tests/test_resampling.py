@@ -117,3 +117,12 @@ def test_a_long_series_takes_no_more_memory_than_a_chunk():
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
     assert most < 8 * n
+
+
+def test_alias_table_draws_by_weight():
+    rng = np.random.default_rng(4)
+    w = np.concatenate([rng.random(500), np.zeros(20), [50.0]])
+    drawn = np.bincount(resampling.alias_draws(resampling.alias_table(w), 1_000_000, rng), minlength=len(w))
+    want = 1_000_000 * w / w.sum()
+    assert len(drawn) == len(w) and not drawn[500:520].any() and (np.abs(drawn - want) <= 6 * np.sqrt(want) + 6).all()
+    assert (resampling.alias_draws(resampling.alias_table(np.ones(3)), 0, rng) == []).all()
