@@ -5,6 +5,9 @@ few bits reaches. So a text has one long fingerprint, and many short ones that a
 every short one has all variants within one bit, and texts that share a variant of the same short
 fingerprint are candidates. Candidates are verified: first by the bits of a part of the long
 fingerprint, then by the similarity of their distinct shingles, exactly.
+
+Of a text with very many candidates the nearest are verified. Texts that lost a candidate by this ("cut") meet
+again in an exact join by their rarest shingles (`rest_links`), so no link between two of them is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pelorus.llm import spans
-from pelorus.llm.common import Scratch
+from pelorus.llm.common import Scratch, components
 from pelorus.llm.simhash import SEED, flips, id_order, kept_rows, label, near_groups, text_hash
 
 SHINGLE = 5
@@ -34,7 +37,7 @@ RADIUS = 1
 FEW, CELL = 8, 16
 EVEN_BITS = 48
 ROUNDS = 8
-#: Of a node's candidates by one short fingerprint those that go on, and of those by all of them those that are verified, besides the one with the least number.
+#: Of a node's candidates by one short fingerprint those that go on, and of those by all of them those that are verified, besides the one with the least number; the others' nodes are left to `rest_links`.
 KEEP, VERIFIED = 2, 12
 #: Share of the pairs at SIMILARITY exactly that may have no variant in common, were the short fingerprints drawn apart.
 MISSED = 0.001
@@ -42,6 +45,8 @@ MISSED = 0.001
 BUCKET_FINGERPRINTS = 1 << 20
 SLICE_VARIANTS = 1 << 20
 PASS_COPIES = 64
+#: Places by which shingles are counted, to tell rare ones from frequent ones, and ranges of places that are summed side by side.
+PLACES, RANGES = 1 << 18, 64
 
 
 def bit_counts(values: np.ndarray) -> np.ndarray:
@@ -168,7 +173,7 @@ def candidates(records: np.ndarray, bucket: int, bits: int, masks: np.ndarray) -
     Of the records with one variant each is compared with the least node, with the one before it, and in groups of up to
     FEW with all others. The members of larger groups are compared, each in the largest that it is in, as `dense_pairs`
     says. Of a node's pairs the KEEP nearest and that with the least node go on. So a group of m has a number of
-    pairs in proportion to m, and none is cut.
+    pairs in proportion to m. A node of a larger group, or of a pair that doesn't go on, is cut: it is paired with itself.
     """
     more = max(0, math.ceil(math.log2(max(1, len(records) * len(masks) / (1 << bits) / SLICE_VARIANTS))))
     records = records[np.argsort(label(records["value"], bits + more), kind="stable")]
@@ -194,6 +199,7 @@ def candidates(records: np.ndarray, bucket: int, bits: int, masks: np.ndarray) -
         for pair in within(at[small], first[small], FEW - 1):
             found.add(*pair)
         many = np.flatnonzero(size > FEW)
+        found.cut[at[many]] = True
         many = many[np.lexsort((first[many], -size[many], at[many]))]
         many = many[np.concatenate([[True], at[many][1:] != at[many][:-1]])[: len(many)]]  # of each record its largest group
         many = many[np.argsort(first[many], kind="stable")]
@@ -210,6 +216,7 @@ class _Nearest:
     def __init__(self, records: np.ndarray):
         self.records, self.new, self.waiting = records, [], 0
         self.kept = np.zeros((2, 0), np.int64)  # x * records + y, differing bits
+        self.cut = np.zeros(len(records), bool)  # records of which a pair may be missing
 
     def add(self, x: np.ndarray, y: np.ndarray) -> None:
         self.new.append(np.minimum(x, y) * len(self.records) + np.maximum(x, y))
@@ -229,11 +236,13 @@ class _Nearest:
         far, x, y = both[1][first], pair // n, pair % n
         keep = nearest(np.concatenate([x, y]), np.concatenate([node[y], node[x]]), np.concatenate([far, far]), KEEP).reshape(2, -1).any(axis=0)
         self.kept = np.stack([pair[keep], far[keep]])
+        self.cut[x[~keep]] = self.cut[y[~keep]] = True
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self._sift()
         a, b = self.records["node"][self.kept[0] // len(self.records)], self.records["node"][self.kept[0] % len(self.records)]
-        return np.minimum(a, b), np.maximum(a, b), self.kept[1]
+        own = np.unique(self.records["node"][self.cut])
+        return np.concatenate([np.minimum(a, b), own]), np.concatenate([np.maximum(a, b), own]), np.concatenate([self.kept[1], np.zeros(len(own), np.int64)])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -256,6 +265,11 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def candidate_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of nodes (fp, long) that share a variant of a short fingerprint and are near by the long one's first words."""
+    return nearest_links(nodes, scratch)[0]
+
+
+def nearest_links(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) as `candidate_links` says, and the nodes (fp) that have further ones: both ends of every pair that was left out."""
     n = nodes.count()
     width, many = shape(n)
     bits = 0
@@ -297,17 +311,17 @@ def candidate_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         made = scratch.settle(dealt.groupBy("bucket").applyInArrow(meet, "a long, b long, far long").distinct(), f"candidates{k}")
         out = made if out is None else out.union(made)
     # each short fingerprint has kept a node's nearest; of all of them again the nearest go on
-    ends = out.distinct().select("a", "b", "far", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("end"))
+    ends = out.where("a <> b").distinct().select("a", "b", "far", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("end"))
     by_far, by_id = Window.partitionBy("end.node").orderBy("far", "end.to"), Window.partitionBy("end.node").orderBy("end.to")
-    kept = ends.withColumns({"n": F.row_number().over(by_far), "m": F.row_number().over(by_id)}).where(f"n <= {VERIFIED} OR m = 1")
-    return scratch.settle(kept.select("a", "b").distinct(), "candidates")
+    ends = scratch.settle(ends.withColumns({"n": F.row_number().over(by_far), "m": F.row_number().over(by_id)}).select("a", "b", "end.node", F.expr(f"n <= {VERIFIED} OR m = 1").alias("stays")), "ends")
+    cut = out.where("a = b").select(F.col("a").alias("fp")).union(ends.where("NOT stays").select("node"))
+    return scratch.settle(ends.where("stays").select("a", "b").distinct(), "candidates"), scratch.settle(cut.distinct(), "cut")
 
 
-def similar_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between nodes (fp, long, shingles) of SIMILARITY or more, verified on all their shingles."""
-    near = candidate_links(nodes, scratch)
+def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes (fp, shingles) whose shingles have SIMILARITY or more."""
     blobs = nodes.select("fp", "shingles")
-    both = near.join(blobs.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+    both = pairs.join(blobs.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(blobs.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +334,72 @@ def similar_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
                 good.append(common >= SIMILARITY * (least + most - common))
             yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return scratch.settle(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar")
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def rarity(nodes: DataFrame) -> np.ndarray:
+    """How many shingles of nodes fall in each place (their last bits): a shingle of a place with one is in no other node."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PLACES, np.int64)
+        for part in spans.few(parts):
+            total += np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint32) & (PLACES - 1), minlength=PLACES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([v.tobytes() for v in np.split(total, RANGES)], pa.binary())], ["nth", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(v, np.int64) for v in group.column("counts").to_pylist()], axis=0)
+        return pa.table({"nth": group.column("nth").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    rows = nodes.select("shingles").mapInArrow(count, "nth int, counts binary").groupBy("nth").applyInArrow(add, "nth int, counts binary").collect()
+    total = np.zeros((RANGES, PLACES // RANGES), np.int64)
+    for r in rows:
+        total[r.nth] = np.frombuffer(r.counts, np.int64)
+    return total.reshape(-1)
+
+
+def rest_links(nodes: DataFrame, cut: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """All links (a, b) between cut nodes that the given links don't reach from each other: exact, nothing is left out.
+
+    Of a set of k shingles, in one order of all shingles, one of the first k - ceil(SIMILARITY * k) + 1 is in every set of
+    SIMILARITY or more to it. Rare shingles come first in that order, so what a template gives to many texts comes last. Sets
+    that share such a shingle are verified if their sizes, and the shingles that follow it, are enough. Sets that links
+    join already needn't meet, and a shingle whose sets are all joined goes. Work: pairs of sets not joined that share a rare shingle.
+    """
+    roots = components(links, scratch, "known").withColumnRenamed("node", "fp")
+    own = scratch.settle(nodes.select("fp", "shingles").join(cut, "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "crowded")
+    if own.isEmpty():
+        return links
+    counts = own.sparkSession.sparkContext.broadcast(rarity(own))  # PLACES numbers, whatever the input
+
+    def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in spans.few(parts):
+            made = [[np.zeros(0, np.int64)] for _ in range(5)]
+            for fp, root, blob in zip(*(c.to_pylist() for c in part.columns)):
+                shingles = np.frombuffer(blob, np.uint32)
+                often, k = counts.value[shingles & (PLACES - 1)], len(shingles)
+                order = np.lexsort((shingles, often))[: k - math.ceil(SIMILARITY * k - 1e-9) + 1]
+                at = np.flatnonzero(often[order] > 1)
+                for to, v in zip(made, (shingles[order[at]].astype(np.int64), fp, root, k, at)):
+                    to.append(np.broadcast_to(np.asarray(v, np.int64), len(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in made], ["shingle", "fp", "root", "k", "at"])
+
+    rows = own.select("fp", "root", "shingles").mapInArrow(prefixes, "shingle long, fp long, root long, k long, at long")
+    rows = scratch.settle(rows, "prefixes")
+    mixed = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
+    rows = rows.join(mixed, "shingle")
+    x, y = (rows.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("fp", "root", "k", "at"))) for side in "xy")
+    enough = f"x_fp < y_fp AND x_root <> y_root AND y_k >= {SIMILARITY} * x_k - 1e-6 AND x_k >= {SIMILARITY} * y_k - 1e-6"
+    enough += f" AND least(x_k - x_at, y_k - y_at) >= {SIMILARITY / (1 + SIMILARITY)} * (x_k + y_k) - 1e-6"
+    pairs = scratch.settle(x.join(y, "shingle").where(enough).select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b")).distinct(), "rest-pairs")
+    more = scratch.settle(verified(pairs, own), "rest")
+    scratch.drop("prefixes", "rest-pairs", "crowded")
+    return links.union(more)
+
+
+def similar_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between nodes (fp, long, shingles) of SIMILARITY or more, verified on all their shingles."""
+    near, cut = nearest_links(nodes, scratch)
+    return rest_links(nodes, cut, scratch.settle(verified(near, nodes), "similar"), scratch)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -328,8 +407,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts of the same words are one group, those without words (null, empty) too. Rows that repeat leave
     one, the least as JSON; a null doc_id comes after all ids; an empty table gives an empty one. Columns
-    can have any names and types. A pair of the least similarity is missed with a probability of about
-    0.01, more similar ones more rarely; no pair of less similarity is linked.
+    can have any names and types. A pair of the least similarity that shares no variant is missed, with a probability of
+    about 0.01, more similar ones more rarely; no pair is missed for the number of a text's candidates or the size of a group.
+    No pair of less similarity is linked.
     """
     scratch = Scratch(spark, "stage-similar")
     rows = scratch.settle(sketches(docs), "sketches")

@@ -1009,6 +1009,25 @@ def test_pairs_in_families_are_found(spark, template, families):
     assert all(2 * i in kept for i in range(families))
 
 
+def test_no_pair_is_lost_in_a_large_group(spark):
+    """1,200 texts of one template, most at 0.68 to each other, and a copy of each: the groups are those of all pairs' comparison."""
+    r, rows = random.Random(3), []
+    for i in range(600):
+        words = [f"t{k}" for k in range(130)] + [f"q{r.randrange(10**9)}" for _ in range(30)]
+        other = list(words)
+        for at in r.sample(range(160), 3):
+            other[at] = f"z{r.randrange(10**9)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    group, pairs = similar_roots(rows)
+    scratch = Scratch(spark, "t8r")
+    nodes = scratch.settle(simhash_similar.sketches(spark.createDataFrame(rows, "doc_id long, text string")).select("fp", "long", "shingles"), "n")
+    cut = nodes.select("fp")
+    none = spark.createDataFrame([], "a long, b long")
+    assert pairs > 300 and simhash_similar.rest_links(nodes, cut, none, scratch).count() == pairs  # without any links before: all of them
+    kept = {x.doc_id for x in simhash_similar.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert kept == set(group.values())
+
+
 def test_bits_are_counted():
     v = np.random.default_rng(0).integers(0, 1 << 63, (1000, 3)).astype(np.uint64)
     assert (simhash_similar.bit_counts(v) == np.unpackbits(v.view(np.uint8).reshape(1000, -1), axis=1, bitorder="little").sum(axis=0).reshape(3, 64)).all()
