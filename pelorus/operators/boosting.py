@@ -2,23 +2,32 @@
 
 A tree asks one question (column, border) for each of its levels, so it has 2**depth leaves. What a level, a leaf or the
 early stop needs to know of the rows are sums over blocks of them: gradients by node and bin, gradients by leaf, losses. Up to
-ROWS rows are one block, and each seed is fitted in a task of its own without any job in between; more rows stay in
-blocks over the cluster, and each question is one job for all seeds.
+BLOCK rows are one block, and each seed is fitted in a task of its own without any job in between. Up to ROWS rows, quantised
+to bytes, are blocks dealt to the processes of a seed's task, one for each core of its executor. More rows stay in
+blocks over the cluster, and each question is one job for all seeds. Blocks are the same in both.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import math
+import mmap
+import multiprocessing
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that one task fits alone, and rows of a block where they are more.
-ROWS, BLOCK = 1 << 20, 1 << 17
+#: Rows of 8 columns that one task fits alone (64 bytes each; of more columns fewer), and rows of a block.
+ROWS, BLOCK = 1 << 23, 1 << 17
+#: Rows that a process works on at a time, in its cache.
+CHUNK = 1 << 14
+#: Width of a bucket of scores, and how many moments of it are summed: the rest of the series is below 1e-12 of a row's weight.
+BUCKET, MOMENTS = 1 / 16, 6
 #: Trees after which blocks are stored with their scores, so that a lost one isn't made from the first tree on.
 STORE = 25
 
@@ -41,10 +50,10 @@ class Tree:
     leaves: list[float]
 
     def leaf(self, bins: np.ndarray) -> np.ndarray:
-        out = np.zeros(bins.shape[1], np.int64)
+        out = np.zeros(bins.shape[1], np.uint8 if len(self.columns) <= 8 else np.int64)
         for k, (c, b) in enumerate(zip(self.columns, self.borders)):
-            out |= (bins[c] > b).astype(np.int64) << k
-        return out
+            out |= (bins[c] > b).astype(out.dtype) << k
+        return out.astype(np.int64)
 
 
 @dataclasses.dataclass
@@ -72,7 +81,11 @@ class Block:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    out = np.negative(x)
+    with np.errstate(over="ignore"):
+        np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 def borders(rows: DataFrame, names: Sequence[str], n: int) -> list[list[float]]:
@@ -124,6 +137,177 @@ def loss(block: Block, seed: int, tree: Tree, nth: int, params: Params) -> np.nd
     return np.array([-(weight * (block.y * np.log(p) + (1 - block.y) * np.log1p(-p))).sum(), weight.sum()])
 
 
+def _derivatives(n: int) -> np.ndarray:
+    """Row k: the coefficients of the sigmoid's k-th derivative, divided by k!, as a polynomial of the sigmoid."""
+    out, one = np.zeros((n, n + 1)), np.polynomial.Polynomial([0, 1])
+    for k in range(n):
+        out[k, : len(one.coef)] = one.coef / math.factorial(k)
+        one = one.deriv() * np.polynomial.Polynomial([0, 1, -1])
+    return out
+
+
+class Part:
+    """A process's blocks and what it keeps of them between questions, which it answers as the functions above do.
+
+    Of a node's two halves only the one with fewer rows (of each 64th) is summed; the other is the rest. Leaves ask ten times about
+    the same rows, so their scores are summed once: moments of the scores in buckets, by leaf, which give a sum of gradients
+    at any value of the leaf by the sigmoid's series about each bucket's middle.
+    """
+
+    def __init__(self, blocks: Sequence[Block], seed: int, params: Params):
+        self.seed, self.params, self.width = seed, params, params.borders + 2
+        self.masks = [(b.number, b.train) for b in blocks]
+        own = lambda of, rows: np.concatenate([of(b)[..., b.train if rows else ~b.train] for b in blocks], axis=-1)
+        bins = own(lambda b: b.bins, True)
+        self.columns, self.wide = len(bins), bins.dtype
+        each = 8 // bins.itemsize
+        rows = np.zeros((bins.shape[1], -(-max(1, len(bins)) // each) * each), bins.dtype)
+        rows[:, : len(bins)] = bins.T
+        self.words = rows.view(np.uint64)
+        self.y, self.w, self.score = (own(of, True) for of in (lambda b: b.y, lambda b: b.w, lambda b: b.score[seed]))
+        self.other = Block(0, own(lambda b: b.bins, False), *(own(of, False) for of in (lambda b: b.y, lambda b: b.w, lambda b: b.train)), {seed: own(lambda b: b.score[seed], False)})
+        self.node, self.drawn = np.zeros(len(self.y), np.int64), np.zeros(len(self.y), complex)
+        self.level = self.cells = None
+        self.chunks = [(a, min(a + CHUNK, len(self.y))) for a in range(0, len(self.y), CHUNK)]
+
+    def _bins(self, a: int, b: int) -> np.ndarray:
+        return self.words[a:b].view(self.wide)
+
+    def _begin(self, nth: int) -> np.ndarray:
+        out, size, at = np.zeros((self.columns, self.width), complex), 0, 0
+        noise = np.empty(len(self.y), np.float32)
+        for number, mask in self.masks:
+            size = int(mask.sum())
+            noise[at : at + size] = np.random.default_rng([self.seed, nth, number]).standard_exponential(len(mask), np.float32)[mask]
+            at += size
+        self.node[:] = 0
+        for a, b in self.chunks:
+            p, weight, drawn, bins = sigmoid(self.score[a:b]), self.w[a:b] * noise[a:b], self.drawn[a:b], self._bins(a, b)
+            drawn.real = weight * (self.y[a:b] - p)
+            drawn.imag = weight * p * (1 - p)
+            for c in range(self.columns):
+                np.add.at(out[c], bins[:, c].astype(np.int64), drawn)
+        return out[:, None]
+
+    def _ask(self, tree: Tree) -> np.ndarray:
+        """The last question moves each row to a half of its node. Sums of the half for which it is true."""
+        column, border, nodes = tree.columns[-1], tree.borders[-1], self.level.shape[1]
+        some = self.node[::64] + nodes * (self._bins(0, len(self.y))[::64, column] > border)
+        false, true = np.bincount(some, minlength=2 * nodes).reshape(2, nodes)
+        true = true < false
+        out = np.zeros((self.columns, nodes * self.width), complex)
+        at = np.empty(CHUNK, np.int64)
+        for a, b in self.chunks:
+            bins, node = self._bins(a, b), self.node[a:b]
+            bit = bins[:, column] > border
+            own = np.flatnonzero(true.take(node) == bit)
+            drawn, rows, place, to = self.drawn[a:b].take(own), self.words[a:b].take(own, axis=0).view(self.wide), node.take(own) * self.width, at[: len(own)]
+            for c in range(self.columns):
+                np.add(place, rows[:, c], out=to)
+                np.add.at(out[c], to, drawn)
+            node += bit * np.int64(nodes)
+        out = out.reshape(self.level.shape)
+        return np.where(true[:, None], out, self.level - out)
+
+    def by_node(self, tree: Tree, nth: int) -> np.ndarray:
+        self.cells = None
+        sums = self._ask(tree) if tree.columns else self._begin(nth)
+        self.level = np.concatenate([self.level - sums, sums], axis=1) if tree.columns else sums
+        return np.stack([sums.real, sums.imag], axis=1)
+
+    def _buckets(self, tree: Tree) -> tuple:
+        """By leaf and bucket with rows: the leaf, the bucket's middle, coefficients of gradients and of second derivatives; by leaf: the weight of label 1."""
+        column, border, leaves = tree.columns[-1], tree.borders[-1], 1 << self.params.depth
+        low, high = (math.floor(f(initial=self.score[:1].sum()) / BUCKET) for f in (self.score.min, self.score.max))
+        n = high - low + 1
+        sums, hits = np.zeros((MOMENTS // 2, leaves * n), complex), np.zeros(leaves)
+        both = np.empty(CHUNK, complex)
+        for a, b in self.chunks:
+            node = self.node[a:b]
+            node += (self._bins(a, b)[:, column] > border) * np.int64(self.level.shape[1])
+            hits += np.bincount(node, self.w[a:b] * self.y[a:b], leaves)
+            scaled = self.score[a:b] / BUCKET
+            bucket = np.floor(scaled)
+            off = (scaled - bucket - 0.5) * BUCKET
+            cell = node * n + (bucket.astype(np.int64) - low)
+            power, drawn = self.w[a:b], both[: b - a]
+            for k in range(MOMENTS // 2):
+                drawn.real = power
+                drawn.imag = power = power * off
+                power = power * off
+                np.add.at(sums[k], cell, drawn)
+        moments = np.stack([sums.real, sums.imag], axis=1).reshape(MOMENTS, -1)
+        has = np.flatnonzero(moments[0])
+        moments, series = moments[:, has], _derivatives(MOMENTS + 1)
+        first = [sum(series[k, i] * moments[k] for k in range(MOMENTS)) for i in range(MOMENTS + 2)]
+        second = [sum((k + 1) * series[k + 1, i] * moments[k] for k in range(MOMENTS)) for i in range(MOMENTS + 2)]
+        return has // n, (has % n + low + 0.5) * BUCKET, first, second, hits
+
+    def by_leaf(self, tree: Tree, nth: int) -> np.ndarray:
+        if self.cells is None:
+            self.cells = self._buckets(tree)
+        leaf, middle, first, second, hits = self.cells
+        p = sigmoid(middle + np.array(tree.leaves)[leaf])
+        g, h = first[-1], second[-1]
+        for k in range(len(first) - 2, -1, -1):
+            g, h = g * p + first[k], h * p + second[k]
+        return np.stack([hits - np.bincount(leaf, g, len(hits)), np.bincount(leaf, h, len(hits))])
+
+    def loss(self, tree: Tree, nth: int) -> np.ndarray:
+        return loss(self.other, self.seed, tree, nth, self.params)
+
+    def keep(self, tree: Tree, nth: int) -> None:
+        self.other.apply(self.seed, [tree])
+        values = np.array(tree.leaves)
+        for a, b in self.chunks:
+            self.score[a:b] += values.take(self.node[a:b])
+
+
+def _serve(end, others: Sequence, shared: mmap.mmap, blocks: Sequence[Block], seed: int, params: Params) -> None:
+    """A process of a seed's task; it ends with the task. Answers go by shared memory, their shapes by the pipe."""
+    for x in others:
+        x.close()
+    part = Part(blocks, seed, params)
+    while True:
+        try:
+            name, tree, nth = end.recv()
+        except EOFError:
+            return
+        got = getattr(part, name)(tree, nth)
+        if got is not None:
+            np.frombuffer(shared, count=got.size)[:] = got.ravel()
+        end.send(got is not None and got.shape)
+
+
+def _together(blocks: Sequence[Block], seed: int, base: float, params: Params, stop: bool, cores: int) -> list[Tree]:
+    """One seed's trees by several processes, each with its blocks."""
+    forked, ends, made, shared = multiprocessing.get_context("fork"), [], [], []
+    most = 8 * max(2 * len(blocks[0].bins) * (params.borders + 2) << max(0, params.depth - 1), 2 << params.depth)
+    for k in range(min(cores, len(blocks))):
+        here, there = forked.Pipe()
+        shared.append(mmap.mmap(-1, most))
+        made.append(forked.Process(target=_serve, args=(there, [*ends, here], shared[-1], blocks[k::cores], seed, params), daemon=True))
+        made[-1].start()
+        there.close()
+        ends.append(here)
+
+    def all_of(name: str, tree: Tree, nth: int) -> list:
+        for x in ends:
+            x.send((name, tree, nth))
+        shapes = [x.recv() for x in ends]
+        return [np.frombuffer(m, count=math.prod(shape)).reshape(shape) for m, shape in zip(shared, shapes) if shape]
+
+    ask = lambda question, now, nth: {s: sum(all_of(question.__name__, t, nth)) for s, t in now.items()}
+    keep = lambda now: [all_of("keep", t, 0) for t in now.values()]
+    try:
+        return boosted([seed], base, params, ask, keep, stop)[seed]
+    finally:
+        for x in ends:
+            x.close()
+        for x in made:
+            x.join()
+
+
 def best_question(sums: np.ndarray, l2: float) -> tuple[int, int]:
     """The column and border with the greatest gain over all nodes together; the first of equal ones."""
     g, h = np.cumsum(sums[:, 0], axis=2), np.cumsum(sums[:, 1], axis=2)
@@ -132,6 +316,19 @@ def best_question(sums: np.ndarray, l2: float) -> tuple[int, int]:
     return tuple(int(x) for x in np.unravel_index(np.argmax(gain), gain.shape))
 
 
+def step(v: np.ndarray, g: np.ndarray, h: np.ndarray, l2: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Newton's step of each leaf. low and high, which are moved, hold values known to be too small or too great.
+
+    A step past one of them goes half the way to it: where a value is far off, second derivatives vanish and steps grow without end.
+    """
+    np.copyto(low, v, where=g > 0)
+    np.copyto(high, v, where=g < 0)
+    to = v + g / (h + l2)
+    past = np.where(g > 0, to >= high, (g < 0) & (to <= low))
+    to[past] = (low[past] + high[past]) / 2
+    return to
+
+
 Ask = Callable[[Callable, dict[int, Tree], int], dict[int, np.ndarray]]
 
 
@@ -152,9 +349,10 @@ def boosted(seeds: Sequence[int], base: float, params: Params, ask: Ask, keep: C
                 now[s].borders.append(border)
         for t in now.values():
             t.leaves = [0.0] * (1 << params.depth)
+        between = {s: (np.full(1 << params.depth, -np.inf), np.full(1 << params.depth, np.inf)) for s in on}
         for _ in range(params.leaf_steps):
             for s, (g, h) in ask(by_leaf, now, nth).items():
-                now[s].leaves = (np.array(now[s].leaves) + g / (h + params.l2)).tolist()
+                now[s].leaves = step(np.array(now[s].leaves), g, h, params.l2, *between[s]).tolist()
         for s, t in now.items():
             t.leaves = (params.rate * np.array(t.leaves)).tolist()
             trees[s].append(t)
@@ -187,8 +385,11 @@ def fit(train: DataFrame, names: Sequence[str], seeds: Sequence[int], weight: st
         return cuts, float("inf") if hits else float("-inf"), {s: [] for s in seeds}
     base = float(np.log(hits / (total - hits)))
     try:
-        if n <= (ROWS if rows is None else rows):
+        most = ROWS if rows is None else rows
+        if n <= min(most, BLOCK):
             return cuts, base, _by_seed(own, seeds, cuts, base, params, bool(validation))
+        if n * (len(names) + 56) <= most * 64:
+            return cuts, base, _by_processes(own, spark, seeds, cuts, base, params, bool(validation), n)
         return cuts, base, _spread(own, spark, seeds, cuts, base, params, bool(validation), n)
     finally:
         own.unpersist()
@@ -219,6 +420,53 @@ def _by_seed(rows: DataFrame, seeds: Sequence[int], cuts: list[list[float]], bas
     return out
 
 
+def _cores(spark, tasks: int) -> tuple[int, ResourceProfile | None]:
+    """Cores for each of so many long tasks, and the profile by which a task gets them: all of an executor, or a share of the local ones."""
+    sc = spark.sparkContext
+    executors = sc._jsc.sc().getExecutorMemoryStatus().size() - 1
+    if executors < 1 or sc.master.startswith("local["):
+        return max(1, sc.defaultParallelism // tasks), None
+    cores = int(sc.getConf().get("spark.executor.cores", "0")) or max(1, sc.defaultParallelism // executors)
+    if cores == 1 or sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        return int(sc.getConf().get("spark.task.cpus", "1")), None
+    return cores, ResourceProfileBuilder().require(TaskResourceRequests().cpus(cores)).build
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """number: the block of each row. Equal rows are in one block, whatever order they come in."""
+    return rows.withColumn("number", F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, -(-n // BLOCK)))).cast("int"))
+
+
+def _ordered(group: pa.Table) -> pa.Table:
+    return group.take(pa.array(np.lexsort([group.column(c).to_numpy() for c in group.column_names if c != "number"])))
+
+
+def _by_processes(rows: DataFrame, spark, seeds: Sequence[int], cuts: list[list[float]], base: float, params: Params, stop: bool, n: int) -> dict[int, list[Tree]]:
+    """Quantised blocks go to a task for each seed, which has all cores of an executor; there are no jobs between questions."""
+    cores, profile = _cores(spark, len(seeds))
+
+    def pack(group: pa.Table) -> pa.Table:
+        block = _block(group.column("number")[0].as_py(), _ordered(group), cuts, base, [])
+        data = [pa.array([block.number], pa.int32()), pa.array([block.bins.dtype == np.uint16]), *(pa.array([v.tobytes()], pa.binary()) for v in (block.bins, block.y, block.w, block.train))]
+        return pa.Table.from_arrays(data, ["number", "wide", "bins", "y", "w", "train"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list[Block]] = {}
+        for r in (r for part in batches for r in part.to_pylist()):
+            bins = np.frombuffer(r["bins"], np.uint16 if r["wide"] else np.uint8).reshape(len(cuts), -1)
+            own.setdefault(r["at"], []).append(Block(r["number"], bins, np.frombuffer(r["y"]), np.frombuffer(r["w"]), np.frombuffer(r["train"], bool), {seeds[r["at"]]: np.full(bins.shape[1], base)}))
+        for at in sorted(own):
+            made = _together(sorted(own.pop(at), key=lambda b: b.number), seeds[at], base, params, stop, cores)
+            yield pa.RecordBatch.from_arrays([pa.array([at] * len(made), pa.int32()), pa.array(range(len(made)), pa.int32()), *(pa.array([getattr(t, c) for t in made], pa.list_(k)) for c, k in (("columns", pa.int32()), ("borders", pa.int32()), ("leaves", pa.float64())))], ["at", "nth", "columns", "borders", "leaves"])
+
+    blocks = _dealt(rows, n).groupBy("number").applyInArrow(pack, "number int, wide boolean, bins binary, y binary, w binary, train binary")
+    each = blocks.withColumn("at", F.explode(F.array(*(F.lit(i) for i in range(len(seeds)))))).repartitionById(len(seeds), F.col("at"))
+    out: dict[int, list[Tree]] = {s: [] for s in seeds}
+    for r in sorted(each.mapInArrow(run, "at int, nth int, columns array<int>, borders array<int>, leaves array<double>", profile=profile).collect(), key=lambda r: r.nth):
+        out[seeds[r["at"]]].append(Tree(list(r["columns"]), list(r["borders"]), list(r["leaves"])))
+    return out
+
+
 def _spread(rows: DataFrame, spark, seeds: Sequence[int], cuts: list[list[float]], base: float, params: Params, stop: bool, n: int) -> dict[int, list[Tree]]:
     """Blocks over the cluster; a question is one job for all seeds, whose answers (columns * nodes * bins numbers) are summed by column of the answer."""
     import tempfile
@@ -231,8 +479,7 @@ def _spread(rows: DataFrame, spark, seeds: Sequence[int], cuts: list[list[float]
         root = f"file://{tempfile.mkdtemp(prefix='pelorus-')}"
     root = f"{root}/boosting-{uuid.uuid4().hex}"
     fields = "number int, bins binary, wide boolean, y binary, w binary, train binary, " + ", ".join(f"s{s} binary" for s in seeds)
-    parts = max(1, -(-n // BLOCK))
-    dealt = rows.withColumn("number", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
+    dealt = _dealt(rows, n)
 
     def pack(block: Block) -> pa.Table:
         data = {"number": [block.number], "bins": [block.bins.tobytes()], "wide": [block.bins.dtype == np.uint16], "y": [block.y.tobytes()], "w": [block.w.tobytes()], "train": [block.train.tobytes()]}
@@ -244,8 +491,7 @@ def _spread(rows: DataFrame, spark, seeds: Sequence[int], cuts: list[list[float]
         return Block(got["number"], bins, np.frombuffer(got["y"]), np.frombuffer(got["w"]), np.frombuffer(got["train"], bool), {s: np.frombuffer(got[f"s{s}"]) for s in seeds})
 
     def begin(group: pa.Table) -> pa.Table:
-        order = np.lexsort([group.column(c).to_numpy() for c in group.column_names if c != "number"])
-        return pack(_block(group.column("number")[0].as_py(), group.take(pa.array(order)), cuts, base, seeds))
+        return pack(_block(group.column("number")[0].as_py(), _ordered(group), cuts, base, seeds))
 
     stored, pending, kept = 0, {s: [] for s in seeds}, 0
 

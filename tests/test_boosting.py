@@ -48,6 +48,47 @@ def test_blocks_give_what_one_task_gives(spark, train, monkeypatch):
     assert abs(got[0] - got[1]) < 0.02
 
 
+def test_processes_give_what_the_cluster_gives(spark, train, monkeypatch):
+    """Blocks dealt to a task's processes, and the same blocks over the cluster with a job for each question: the same trees."""
+    monkeypatch.setattr(boosting, "BLOCK", 300)
+    odd = train.selectExpr(*NAMES, "label", "late", "IF(f0 > 1, 0.5D, 1 + rand(3)) AS weight").cache()
+    one = offline.fit(odd, NAMES, (1, 2), "weight", "late", SMALL)
+    over = offline.fit(odd, NAMES, (1, 2), "weight", "late", SMALL, rows=100)
+    for a, b in zip(one, over):
+        assert len(a.trees) == 6 and [(t.columns, t.borders) for t in a.trees] == [(t.columns, t.borders) for t in b.trees]
+        assert np.allclose([t.leaves for t in a.trees], [t.leaves for t in b.trees], atol=1e-9)
+
+
+@pytest.mark.parametrize("columns", [3, 11])
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
+def test_a_part_answers_as_its_blocks(columns, kind):
+    """Chunks, the smaller halves and the scores in buckets change no sum."""
+    rng, params = np.random.default_rng(7), boosting.Params(depth=4, borders=20)
+    make = lambda k, n: boosting.Block(k, rng.integers(0, 22, (columns, n)).astype(kind), (rng.random(n) < 0.3).astype(float), rng.random(n), rng.random(n) < 0.8, {1: rng.normal(-1, 2, n)})
+    blocks = [make(0, 20_000), make(5, 900), make(6, 1)]
+    part, tree = boosting.Part(blocks, 1, params), boosting.Tree([], [], [])
+    for nth in range(2):
+        for column, border in ((2, 17), (0, 3), (2, 5), (1, 10)):
+            assert np.allclose(part.by_node(tree, nth), sum(boosting.by_node(b, 1, tree, nth, params) for b in blocks), atol=1e-8)
+            tree.columns.append(column)
+            tree.borders.append(border)
+        for tree.leaves in ([0.0] * 16, rng.normal(size=16).tolist(), [-4.0] * 16):
+            assert np.allclose(part.by_leaf(tree, nth), sum(boosting.by_leaf(b, 1, tree, nth, params) for b in blocks), atol=1e-8)
+        assert np.allclose(part.loss(tree, nth), sum(boosting.loss(b, 1, tree, nth, params) for b in blocks))
+        part.keep(tree, nth)
+        for b in blocks:
+            b.apply(1, [tree])
+        tree = boosting.Tree([], [], [])
+
+
+def test_leaf_steps_stay_within_bounds(spark):
+    """A leaf far off the first score: steps of Newton's alone overshoot there and grow without end."""
+    frame = pd.DataFrame({"f0": [0.0] * 9000 + [1.0] * 1000, "label": ([1] + [0] * 17) * 500 + ([1] * 6 + [0] * 4) * 100})
+    model = offline.fit(spark.createDataFrame(frame), ["f0"], (1,), params=offline.Params(iterations=1, depth=1, rate=1.0))
+    got = {r.f0: r.p_offline for r in offline.score(spark.createDataFrame(frame), model).collect()}
+    assert got[0.0] == pytest.approx(1 / 18, abs=1e-3) and got[1.0] == pytest.approx(0.6, abs=1e-3)
+
+
 def test_ensemble_learns_and_stops(spark, train, tmp_path):
     params = offline.Params(iterations=150, depth=4, rate=0.1, leaf_steps=3, patience=15)
     models = offline.fit(train, NAMES, (1, 2), None, "late", params)
