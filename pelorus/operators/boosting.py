@@ -165,8 +165,11 @@ class Part:
         rows[:, : len(bins)] = bins.T
         self.words = rows.view(np.uint64)
         self.y, self.w, self.score = (own(of, True) for of in (lambda b: b.y, lambda b: b.w, lambda b: b.score[seed]))
+        # processes side by side wait for memory, so what is read for each tree is small
+        self.y = small if (self.y == (small := self.y.astype(np.int8))).all() else self.y
+        self.w = self.w if (self.w != 1).any() else np.broadcast_to(1.0, len(self.w))
         self.other = Block(0, own(lambda b: b.bins, False), *(own(of, False) for of in (lambda b: b.y, lambda b: b.w, lambda b: b.train)), {seed: own(lambda b: b.score[seed], False)})
-        self.node, self.drawn = np.zeros(len(self.y), np.int64), np.zeros(len(self.y), complex)
+        self.node, self.drawn = np.zeros(len(self.y), np.min_scalar_type((1 << params.depth) - 1)), np.zeros(len(self.y), complex)
         self.level = self.cells = None
         self.chunks = [(a, min(a + CHUNK, len(self.y))) for a in range(0, len(self.y), CHUNK)]
 
@@ -192,7 +195,7 @@ class Part:
     def _ask(self, tree: Tree) -> np.ndarray:
         """The last question moves each row to a half of its node. Sums of the half for which it is true."""
         column, border, nodes = tree.columns[-1], tree.borders[-1], self.level.shape[1]
-        some = self.node[::64] + nodes * (self._bins(0, len(self.y))[::64, column] > border)
+        some = self.node[::64] + np.int64(nodes) * (self._bins(0, len(self.y))[::64, column] > border)
         false, true = np.bincount(some, minlength=2 * nodes).reshape(2, nodes)
         true = true < false
         out = np.zeros((self.columns, nodes * self.width), complex)
@@ -200,12 +203,13 @@ class Part:
         for a, b in self.chunks:
             bins, node = self._bins(a, b), self.node[a:b]
             bit = bins[:, column] > border
-            own = np.flatnonzero(true.take(node) == bit)
-            drawn, rows, place, to = self.drawn[a:b].take(own), self.words[a:b].take(own, axis=0).view(self.wide), node.take(own) * self.width, at[: len(own)]
+            place = node.astype(np.int64)
+            own = np.flatnonzero(true.take(place) == bit)
+            drawn, rows, place, to = self.drawn[a:b].take(own), self.words[a:b].take(own, axis=0).view(self.wide), place.take(own) * self.width, at[: len(own)]
             for c in range(self.columns):
                 np.add(place, rows[:, c], out=to)
                 np.add.at(out[c], to, drawn)
-            node += bit * np.int64(nodes)
+            node += bit * node.dtype.type(nodes)
         out = out.reshape(self.level.shape)
         return np.where(true[:, None], out, self.level - out)
 
@@ -224,7 +228,8 @@ class Part:
         both = np.empty(CHUNK, complex)
         for a, b in self.chunks:
             node = self.node[a:b]
-            node += (self._bins(a, b)[:, column] > border) * np.int64(self.level.shape[1])
+            node += (self._bins(a, b)[:, column] > border) * node.dtype.type(self.level.shape[1])
+            node = node.astype(np.int64)
             hits += np.bincount(node, self.w[a:b] * self.y[a:b], leaves)
             scaled = self.score[a:b] / BUCKET
             bucket = np.floor(scaled)
@@ -260,7 +265,7 @@ class Part:
         self.other.apply(self.seed, [tree])
         values = np.array(tree.leaves)
         for a, b in self.chunks:
-            self.score[a:b] += values.take(self.node[a:b])
+            self.score[a:b] += values.take(self.node[a:b].astype(np.int64))
 
 
 def _serve(end, others: Sequence, shared: mmap.mmap, blocks: Sequence[Block], seed: int, params: Params) -> None:
@@ -423,12 +428,16 @@ def _by_seed(rows: DataFrame, seeds: Sequence[int], cuts: list[list[float]], bas
 def _cores(spark, tasks: int) -> tuple[int, ResourceProfile | None]:
     """Cores for each of so many long tasks, and the profile by which a task gets them: all of an executor, or a share of the local ones."""
     sc = spark.sparkContext
-    executors = sc._jsc.sc().getExecutorMemoryStatus().size() - 1
-    if executors < 1 or sc.master.startswith("local["):
+    conf, executors = sc.getConf(), sc._jsc.sc().getExecutorMemoryStatus().size() - 1
+    if sc.master == "local" or sc.master.startswith("local["):
         return max(1, sc.defaultParallelism // tasks), None
-    cores = int(sc.getConf().get("spark.executor.cores", "0")) or max(1, sc.defaultParallelism // executors)
-    if cores == 1 or sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
-        return int(sc.getConf().get("spark.task.cpus", "1")), None
+    own = cores = int(conf.get("spark.task.cpus", "1"))
+    if conf.get("spark.executor.cores"):
+        cores = int(conf.get("spark.executor.cores"))
+    elif sc.master.startswith(("spark:", "local-cluster")) and executors > 0 and not conf.get("spark.default.parallelism") and sc.defaultParallelism > 2:
+        cores = sc.defaultParallelism // executors  # executors have all cores of their machines
+    if cores <= own or conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return own, None
     return cores, ResourceProfileBuilder().require(TaskResourceRequests().cpus(cores)).build
 
 
